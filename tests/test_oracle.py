@@ -1,0 +1,60 @@
+"""Every registered query against its SQL in DuckDB: names, types and values."""
+
+import glob
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+QUERIES = entry.queries()
+ORACLES = entry.oracle_sql()
+
+TYPES = {
+    "BIGINT": "bigint",
+    "INTEGER": "int",
+    "VARCHAR": "string",
+    "DOUBLE": "double",
+    "DATE": "date",
+    "BOOLEAN": "boolean",
+    "TIMESTAMP": "timestamp_ntz",
+}
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for path in glob.glob(f"{SF_DIR}/*.parquet"):
+        name = os.path.basename(path).removesuffix(".parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path}'")
+    return con
+
+
+def test_every_query_has_an_oracle():
+    assert QUERIES.keys() == ORACLES.keys()
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_query_equals_oracle(spark, duck, name):
+    result = QUERIES[name](spark, SF_DIR)
+    sql = ORACLES[name]
+    kinds = {r[0]: TYPES[r[1]] for r in duck.execute(f"DESCRIBE {sql}").fetchall()}
+    assert dict(result.dtypes) == kinds
+    columns = sorted(kinds)
+    ordered = ", ".join(columns)
+    expected = duck.execute(f"SELECT {ordered} FROM ({sql})").fetchall()
+    actual = [tuple(row) for row in result.select(*columns).collect()]
+
+    def key(row):
+        return [(v is None, str(v)) for v in row]
+
+    assert len(actual) == len(expected)
+    assert sorted(actual, key=key) == sorted(expected, key=key)
+    assert expected
+    assert not spark.streams.active
+
+
+def test_entry_has_rows(spark):
+    assert entry.entry(spark).count() > 0
