@@ -1,40 +1,40 @@
 """Python text semantics as built-in Spark expressions.
 
-Spark's ``trim`` removes spaces only. Python's ``str.strip`` removes all Unicode
-white space, and the four separators x1c to x1f, which Java's ``\\s`` lacks.
+Spark's ``trim`` removes spaces unless it is told what to remove; Python's
+``str.strip`` removes the characters below. Trimming by a list looks at the ends of
+a text only, where a pattern would search all of it.
 """
 
 from pyspark.sql import Column, functions as F
 
 # White space as str.strip sees it, and the characters at which
 # str.splitlines ends a line.
-WHITE_SPACE = r"[\s\x1c-\x1f]"
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 LINE_BREAKS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
-_LEADING = rf"^{WHITE_SPACE}++"
-# The look-behind starts a match only at the head of a run of white space, so a
-# long run inside the text is walked once and not once per character.
-_TRAILING = rf"(?<!{WHITE_SPACE}){WHITE_SPACE}++\z"
+
+def strip_ws(c) -> Column:
+    """``str.strip()``."""
+    return F.trim(c, F.lit(WHITE_SPACE))
 
 
 def lstrip_ws(c) -> Column:
     """``str.lstrip()``."""
-    return F.regexp_replace(c, f"(?U){_LEADING}", "")
+    return F.ltrim(c, F.lit(WHITE_SPACE))
 
 
 def rstrip_ws(c) -> Column:
     """``str.rstrip()``."""
-    return F.regexp_replace(c, f"(?U){_TRAILING}", "")
-
-
-def strip_ws(c) -> Column:
-    """``str.strip()``."""
-    return F.regexp_replace(c, f"(?U){_LEADING}|{_TRAILING}", "")
+    return F.rtrim(c, F.lit(WHITE_SPACE))
 
 
 def has_text(c) -> Column:
     """True if any character is not white space."""
-    return F.rlike(c, F.lit(r"(?U)[^\s\x1c-\x1f]"))
+    return lstrip_ws(c) != ""
 
 
 def last_line(c) -> Column:

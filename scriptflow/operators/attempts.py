@@ -12,9 +12,20 @@ from .runlog import ATTEMPT, Limits, exit_code, with_output
 MAX_ATTEMPTS = 3
 MAX_ATTEMPTS_RANGE = range(1, 11)
 
+# What an attempt can lead to.
+ACTIONS = [
+    "analysis_error",
+    "save_error",
+    "success",
+    "max_attempts",
+    "no_suggestion",
+    "same_code",
+    "retry",
+]
+
 SAME_CODE_NOTE = "\n\n[note] the reply repeats the code; the run stops here"
 NO_SUGGESTION_NOTE = "\n\n[note] no reply to go on with; the run stops here"
-STAGE_ERROR_NOTE = "[note] the script could not be run: %s"
+STAGE_ERROR_NOTE = "[note] the script was not run: %s"
 
 
 def _has_suggestion() -> Column:
@@ -34,48 +45,79 @@ def suggestion_changed(attempts: DataFrame) -> DataFrame:
     )
 
 
-def action(max_attempts: int = MAX_ATTEMPTS) -> Column:
-    """What an attempt leads to: the first rule that holds."""
+def _action_code(max_attempts: int) -> Column:
+    """Place in ``ACTIONS`` of what an attempt leads to: the first rule that holds."""
     if max_attempts not in MAX_ATTEMPTS_RANGE:
         raise ValueError(f"max_attempts must be 1 to 10, not {max_attempts}")
+    code = ACTIONS.index
     return (
-        F.when(
-            F.col("stage_error").isNotNull(), F.concat("stage_error", F.lit("_error"))
-        )
-        .when(exit_code() == 0, "success")
-        .when(F.col("attempt") >= max_attempts, "max_attempts")
-        .when(~_has_suggestion(), "no_suggestion")
-        .when(~_differs(), "same_code")
-        .otherwise("retry")
+        F.when(F.col("stage_error") == "save", code("save_error"))
+        .when(F.col("stage_error").isNotNull(), code("analysis_error"))
+        .when(exit_code() == 0, code("success"))
+        .when(F.col("attempt") >= max_attempts, code("max_attempts"))
+        .when(~_has_suggestion(), code("no_suggestion"))
+        .when(~_differs(), code("same_code"))
+        .otherwise(code("retry"))
     )
 
 
+def _action_name(code) -> Column:
+    return F.get(F.array(*(F.lit(a) for a in ACTIONS)), code)
+
+
 def attempt_action(
     attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS
 ) -> DataFrame:
-    return attempts.select(*ATTEMPT, action(max_attempts).alias("action"))
+    """What each attempt leads to. Any ``stage_error`` but ``save`` counts as one of
+    the analysis."""
+    return attempts.select(
+        *ATTEMPT, _action_name(_action_code(max_attempts)).alias("action")
+    )
 
 
-def run_outcome(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
-    """How each run ended and at which attempt.
+def _final_attempts(attempts: DataFrame, max_attempts: int) -> DataFrame:
+    """The first attempt per run that does not lead to another one; NULLs if none.
 
-    That is the first attempt which does not lead to another one. A run without
-    one is ``incomplete``; ``attempts_used`` then counts up to its latest attempt.
+    Attempt and action travel as one number. With texts among the aggregates, Spark
+    would sort the attempts before it combines them.
     """
-    final = F.when(F.col("action") != "retry", F.struct("attempt", "action"))
+    code = F.col("code")
+    rank = F.when(
+        code != ACTIONS.index("retry"),
+        F.col("attempt").cast("bigint") * len(ACTIONS) + code,
+    )
     return (
-        attempt_action(attempts, max_attempts)
+        attempts.select(*ATTEMPT, "exit_code", _action_code(max_attempts).alias("code"))
         .groupBy("run_id")
-        .agg(F.min(final).alias("final"), F.max("attempt").alias("latest"))
+        .agg(
+            F.min(rank).alias("rank"),
+            F.min_by("exit_code", rank).alias("exit_code"),
+            F.max("attempt").alias("latest"),
+        )
         .select(
             "run_id",
-            F.coalesce("final.action", F.lit("incomplete")).alias("outcome"),
-            F.col("final.attempt").alias("attempt"),
-            F.coalesce("final.attempt", "latest").alias("attempts_used"),
+            F.expr(f"CAST(rank div {len(ACTIONS)} AS INT)").alias("attempt"),
+            _action_name((F.col("rank") % len(ACTIONS)).cast("int")).alias("action"),
+            "exit_code",
+            "latest",
         )
     )
 
 
+def run_outcome(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """How each run ended and at which attempt.
+
+    A run that never came to an end is ``incomplete``; ``attempts_used`` then counts
+    up to its latest attempt.
+    """
+    return _final_attempts(attempts, max_attempts).select(
+        "run_id",
+        F.coalesce("action", F.lit("incomplete")).alias("outcome"),
+        "attempt",
+        F.coalesce("attempt", "latest").alias("attempts_used"),
+    )
+
+
 def run_summary(outcomes: DataFrame) -> DataFrame:
     """Runs by outcome, their share, and the mean number of attempts.
 
@@ -106,30 +148,21 @@ def failure_report(
 
     Only the lines of those attempts are put together.
     """
-    final = F.when(
-        F.col("action") != "retry",
-        F.struct("attempt", "action", "exit_code", "stage_error"),
-    )
-    failed = (
-        attempts.select(
-            *ATTEMPT, "exit_code", "stage_error", action(max_attempts).alias("action")
-        )
-        .groupBy("run_id")
-        .agg(F.min(final).alias("final"))
-        .filter(F.col("final.action") != "success")
-        .select("run_id", "final.*")
+    failed = _final_attempts(attempts, max_attempts).filter(
+        F.col("action") != "success"
     )
+    not_run = F.col("action").isin("analysis_error", "save_error")
     note = (
         F.when(~F.col("is_last"), "")
         .when(F.col("action") == "same_code", SAME_CODE_NOTE)
         .when(F.col("action") == "no_suggestion", NO_SUGGESTION_NOTE)
         .otherwise("")
     )
-    report = F.when(
-        F.col("stage_error").isNotNull(), F.format_string(STAGE_ERROR_NOTE, "stage_error")
-    ).otherwise(F.concat("output", note))
-    ran = failed.filter(F.col("stage_error").isNull()).select(*ATTEMPT)
-    return with_output(failed, logs, limits, ran).select(
+    report = F.when(not_run, F.format_string(STAGE_ERROR_NOTE, "action")).otherwise(
+        F.concat("output", note)
+    )
+    ran = failed.filter(~not_run).select(*ATTEMPT)
+    return with_output(failed.drop("latest"), logs, limits, ran).select(
         "run_id",
         F.col("action").alias("outcome"),
         "attempt",

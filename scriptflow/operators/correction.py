@@ -21,11 +21,12 @@ CODE_HEAD = "--- CODE ---\n"
 OUTPUT_HEAD = "\n\n--- OUTPUT ---\n"
 END = "\n\n--- CORRECTED CODE ---\n"
 
-# Both ends in one pass. As in strip_ws, a run of white space is entered only at
-# its head.
+# Both ends in one pass. A run of white space is entered only at its head, so a long
+# run inside the text is walked once and not once per character.
+_WS = f"[{WHITE_SPACE}]"
 _WRAPPING = (
-    rf"(?U)^{WHITE_SPACE}*+(?:```python|```)?+{WHITE_SPACE}*+"
-    rf"|(?:(?<!{WHITE_SPACE}){WHITE_SPACE}++)?+(?:```{WHITE_SPACE}*+)?\z"
+    rf"^{_WS}*+(?:```python|```)?+{_WS}*+"
+    rf"|(?:(?<!{_WS}){_WS}++)?+(?:```{_WS}*+)?\z"
 )
 
 

@@ -14,7 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import has_text, last_line, lstrip_ws, rstrip_ws, strip_ws
-from .sizing import counted
+from ..sources.storage import stage
+from .sizing import sized
 
 ATTEMPT = ["run_id", "attempt"]
 
@@ -95,18 +96,27 @@ def _large_attempts(logs: DataFrame, limits: Limits) -> DataFrame:
     )
 
 
-def _in_parts(logs: DataFrame, limits: Limits, trim: bool, only) -> DataFrame:
-    """The lines with their ``part`` and whether it is the first or last one.
+def _gather(
+    logs: DataFrame, limits: Limits, trim: bool, only: DataFrame | None, *texts: Column
+) -> DataFrame:
+    """Aggregate the lines of every attempt, or of every part of a large one.
 
     ``trim`` drops the outer white space of large attempts here, line by line;
-    small ones are stripped once they are one text.
+    small ones are stripped once they are one text. ``only`` restricts the work to
+    some ``(run_id, attempt)`` before any line is shuffled.
+
+    Lines are exchanged as they are: collecting them first on the map side would
+    not make them fewer.
     """
-    n_large, large = counted(_large_attempts(logs, limits))
-    lines = logs.select(*ATTEMPT, "seq", "stream", "line")
+    n_large, large = sized(_large_attempts(logs, limits))
+    lines = logs.select(
+        *ATTEMPT, "seq", "stream", "line", (~has_text("line")).alias("blank")
+    )
     if only is not None:
-        lines = lines.join(counted(only)[1], ATTEMPT, "left_semi")
+        lines = lines.join(sized(only)[1], ATTEMPT, "left_semi")
     if n_large == 0:
-        return lines.select(
+        whole = lines.repartition(*ATTEMPT).groupBy(*ATTEMPT).agg(*texts)
+        return whole.select(
             "*",
             F.lit(0).cast("bigint").alias("part"),
             F.lit(True).alias("is_first"),
@@ -126,17 +136,23 @@ def _in_parts(logs: DataFrame, limits: Limits, trim: bool, only) -> DataFrame:
     def part_of(seq: str) -> Column:
         return F.expr(f"coalesce({seq} div width, 0)")
 
-    # The explicit exchange lets Spark split a skewed join before it: with the
-    # aggregation's own, the join would have to keep every attempt in one task.
-    return lines.select(
+    # With the exchange of the aggregation alone, a join that shuffles would have to
+    # keep every attempt in one task; before one of its own it can be split.
+    placed = lines.select(
         *ATTEMPT,
         "seq",
         "stream",
         "line",
+        "blank",
         part_of("seq").alias("part"),
         (small | (part_of("seq") == part_of("first"))).alias("is_first"),
         (small | (part_of("seq") == part_of("last"))).alias("is_last"),
     ).repartition(*ATTEMPT, "part")
+    return placed.groupBy(*ATTEMPT, "part").agg(
+        *texts,
+        F.any_value("is_first").alias("is_first"),
+        F.any_value("is_last").alias("is_last"),
+    )
 
 
 def _ordered_text(where: str = "true") -> Column:
@@ -160,31 +176,29 @@ def outputs(
 ) -> DataFrame:
     """The stripped output of every attempt, both streams in order.
 
-    ``only`` restricts the work to some ``(run_id, attempt)`` before any line is
-    shuffled. ``blank_stdout`` and ``blank_stderr`` hold the lines without text,
-    which is all there is when the output is empty.
+    ``blank_stdout`` and ``blank_stderr`` hold the lines without text, which is all
+    there is when the output is empty.
     """
     text = F.col("raw")
     # A middle part starts and ends inside the output; its edges are kept.
     text = F.when(F.col("is_first") & F.col("is_last"), strip_ws(text)).otherwise(text)
-    return (
-        _in_parts(logs, limits, True, only)
-        .withColumn("blank", ~has_text("line"))
-        .groupBy(*ATTEMPT, "part", "is_first", "is_last")
-        .agg(
-            _unique(_ordered_text()).alias("raw"),
-            _ordered_text("blank AND stream = 'stdout'").alias("blank_stdout"),
-            _ordered_text("blank AND stream = 'stderr'").alias("blank_stderr"),
-        )
-        .select(
-            *ATTEMPT,
-            "part",
-            "is_first",
-            "is_last",
-            text.alias("full_output"),
-            "blank_stdout",
-            "blank_stderr",
-        )
+    gathered = _gather(
+        logs,
+        limits,
+        True,
+        only,
+        _unique(_ordered_text()).alias("raw"),
+        _ordered_text("stream = 'stdout' AND blank").alias("blank_stdout"),
+        _ordered_text("stream = 'stderr' AND blank").alias("blank_stderr"),
+    )
+    return gathered.select(
+        *ATTEMPT,
+        "part",
+        "is_first",
+        "is_last",
+        text.alias("full_output"),
+        "blank_stdout",
+        "blank_stderr",
     )
 
 
@@ -194,16 +208,16 @@ def log_full_output(logs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 def log_by_stream(logs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Text and number of lines of each stream, unstripped."""
-    return (
-        _in_parts(logs, limits, False, None)
-        .groupBy(*ATTEMPT, "part")
-        .agg(
-            _unique(_ordered_text("stream = 'stdout'")).alias("stdout"),
-            _ordered_text("stream = 'stderr'").alias("stderr"),
-            F.count_if(F.col("stream") == "stdout").alias("stdout_lines"),
-            F.count_if(F.col("stream") == "stderr").alias("stderr_lines"),
-        )
-    )
+    return _gather(
+        logs,
+        limits,
+        False,
+        None,
+        _unique(_ordered_text("stream = 'stdout'")).alias("stdout"),
+        _ordered_text("stream = 'stderr'").alias("stderr"),
+        F.count_if(F.col("stream") == "stdout").alias("stdout_lines"),
+        F.count_if(F.col("stream") == "stderr").alias("stderr_lines"),
+    ).drop("is_first", "is_last")
 
 
 def with_output(
@@ -250,23 +264,34 @@ def success_marker(
     Attempts where it is missing, as at the end of one stream before the other goes
     on, are put together and read as text.
     """
-    unended = ~F.col("line").endswith("\n")
-    seen = logs.groupBy(*ATTEMPT).agg(
-        F.max_by("line", F.when(has_text("line"), F.col("seq"))).alias("last"),
-        F.bool_or(F.contains("line", F.lit(marker))).alias("marker_any_line"),
-        F.count_if(unended).alias("n_unended"),
-        F.max_by(unended, "seq").alias("ends_unended"),
+    line = F.col("line")
+    unended = ~line.endswith("\n")
+    seq_with_text = F.when(has_text(line), F.col("seq"))
+
+    def in_last_line(text: Column) -> Column:
+        return F.when(
+            F.contains(text, F.lit(marker)),
+            F.contains(last_line(rstrip_ws(text)), F.lit(marker)),
+        ).otherwise(False)
+
+    # Flags and numbers only: with a text among them the aggregation would have to
+    # sort the whole log.
+    seen = stage(
+        logs.groupBy(*ATTEMPT).agg(
+            F.max_by(in_last_line(line), seq_with_text).alias("in_last"),
+            F.bool_or(F.contains(line, F.lit(marker))).alias("marker_any_line"),
+            F.count_if(unended).alias("n_unended"),
+            F.max_by(unended, "seq").alias("ends_unended"),
+        ),
+        "marker",
     )
     joined = F.col("n_unended") > F.col("ends_unended").cast("int")
-    n_joined, keys = counted(seen.filter(joined).select(*ATTEMPT))
-
-    def verdict(last_text: Column) -> Column:
-        found = F.contains(last_line(last_text), F.lit(marker))
-        return F.coalesce(found, F.lit(False)).alias("marker_last_line")
-
+    n_joined, keys = sized(seen.filter(joined).select(*ATTEMPT))
     by_line = seen.filter(~joined) if n_joined else seen
     result = by_line.select(
-        *ATTEMPT, verdict(rstrip_ws("last")), "marker_any_line"
+        *ATTEMPT,
+        F.coalesce("in_last", F.lit(False)).alias("marker_last_line"),
+        "marker_any_line",
     )
     if n_joined == 0:
         return result
@@ -275,9 +300,9 @@ def success_marker(
         outputs(logs, limits, keys)
         .groupBy(*ATTEMPT)
         .agg(
-            F.bool_or(
-                F.col("is_last") & verdict(F.col("full_output"))
-            ).alias("marker_last_line"),
+            F.bool_or(F.col("is_last") & in_last_line(F.col("full_output"))).alias(
+                "marker_last_line"
+            ),
             F.bool_or(F.contains("full_output", F.lit(marker))).alias(
                 "marker_any_line"
             ),
@@ -286,33 +311,38 @@ def success_marker(
     return result.unionByName(by_text)
 
 
-def error_of(text: Column) -> Column:
-    """Type and message of the last error line of a text, else NULL."""
-
-    def last(group: int) -> Column:
-        return F.try_element_at(
-            F.regexp_extract_all(text, F.lit(_ERROR_LINE), F.lit(group)), F.lit(-1)
-        )
-
-    kind = last(1)
+def _last_error_line(text) -> Column:
+    # The cheap test first: few lines can match.
     return F.when(
-        (F.contains(text, F.lit("Error")) | F.contains(text, F.lit("Exception")))
-        & kind.isNotNull(),
-        F.struct(
-            kind.alias("error_type"),
-            F.nullif(last(2), F.lit("")).alias("error_message"),
+        F.contains(text, F.lit("Error")) | F.contains(text, F.lit("Exception")),
+        F.try_element_at(
+            F.regexp_extract_all(text, F.lit(_ERROR_LINE), F.lit(0)), F.lit(-1)
         ),
     )
 
 
+def _error_parts(error_line: Column) -> list[Column]:
+    return [
+        F.regexp_extract(error_line, _ERROR_LINE, 1).alias("error_type"),
+        F.nullif(F.regexp_extract(error_line, _ERROR_LINE, 2), F.lit("")).alias(
+            "error_message"
+        ),
+    ]
+
+
+def error_of(text: Column) -> Column:
+    """Type and message of the last error line of a text; NULLs if there is none."""
+    return F.struct(*_error_parts(_last_error_line(text)))
+
+
 def error_type(logs: DataFrame) -> DataFrame:
-    """The last error each attempt reports, from its lines; NULL if there is none."""
-    error = error_of(F.col("line"))
+    """The last error each attempt reports, from its lines; NULLs if there is none."""
+    found = logs.select(*ATTEMPT, "seq", _last_error_line(F.col("line")).alias("found"))
+    seq = F.when(F.col("found").isNotNull(), F.col("seq"))
     return (
-        logs.select(*ATTEMPT, "seq", error.alias("error"))
-        .groupBy(*ATTEMPT)
-        .agg(F.max_by("error", F.when(F.col("error").isNotNull(), F.col("seq"))).alias("e"))
-        .select(*ATTEMPT, "e.error_type", "e.error_message")
+        found.groupBy(*ATTEMPT)
+        .agg(F.max_by("found", seq).alias("found"))
+        .select(*ATTEMPT, *_error_parts(F.col("found")))
     )
 
 

@@ -1,14 +1,19 @@
-"""Broadcasts whose size has been counted."""
+"""Broadcasts whose size is known."""
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.storage import stage
+
 BROADCAST_ROWS = 200_000
 
 
-def counted(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[int, DataFrame]:
+def sized(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[int, DataFrame]:
     """The number of rows of ``side``, and ``side`` marked for broadcast if that is
-    at most ``max_rows``. Meant for sides with a few fixed-width columns. Beyond
-    the limit the join is left to Spark, which shuffles and splits skewed keys.
+    at most ``max_rows``. Meant for sides with a few fixed-width columns.
+
+    Beyond the limit the join is left to Spark, which shuffles and splits skewed
+    keys. ``side`` is staged, so it is computed once for both answers.
     """
+    side = stage(side, "side")
     n = side.count()
     return n, F.broadcast(side) if n <= max_rows else side

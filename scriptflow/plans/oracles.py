@@ -140,7 +140,7 @@ LEFT JOIN actions a ON a.run_id = r.run_id AND a.attempt = r.final
 _REPORT = f"""
 SELECT o.run_id, o.outcome, o.attempt, CAST(0 AS BIGINT) AS part,
        CASE WHEN w.stage_error IS NOT NULL
-              THEN {_text(at.STAGE_ERROR_NOTE).replace("%s", "' || w.stage_error || '")}
+              THEN {_text(at.STAGE_ERROR_NOTE).replace("%s", "' || o.outcome || '")}
             ELSE w.output || CASE o.outcome
               WHEN 'same_code' THEN {_text(at.SAME_CODE_NOTE)}
               WHEN 'no_suggestion' THEN {_text(at.NO_SUGGESTION_NOTE)}

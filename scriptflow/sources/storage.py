@@ -6,7 +6,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def file_system(spark: SparkSession, path: str):
@@ -41,6 +41,28 @@ def shared_root(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """Where this application keeps what it needs until it ends."""
+    return f"{shared_root(spark)}/scriptflow-{spark.sparkContext.applicationId}"
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
-    """A path in shared storage that nothing else uses. It is not created."""
-    return f"{shared_root(spark)}/{label}_{uuid.uuid4().hex}"
+    """A path in the scratch folder that nothing else uses. It is not created."""
+    return f"{scratch_dir(spark)}/{label}_{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the scratch folder and continue from the written table.
+
+    For results that are used more than once: they are computed once, and the loss
+    of an executor does not lose them.
+    """
+    path = fresh_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Remove the scratch folder. Frames that read from it can no longer be used."""
+    fs, hadoop_path = file_system(spark, scratch_dir(spark))
+    fs.delete(hadoop_path, True)
