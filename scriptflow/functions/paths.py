@@ -12,10 +12,6 @@ from pyspark.sql import Column, functions as F
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 
 
-def _col(value) -> Column:
-    return value if isinstance(value, Column) else F.lit(value)
-
-
 def _segments(path: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda s: (s != "") & (s != "."))
 
@@ -37,17 +33,16 @@ def is_relative(path: Column) -> Column:
     return ~(path.startswith("/") | path.rlike(_SCHEME))
 
 
-def resolve(path: Column, base) -> Column:
-    """The path under ``base`` (text or column) if relative, else unchanged."""
-    base = _col(base)
+def resolve(path: Column, base: Column) -> Column:
+    """The path under ``base`` if relative, else unchanged."""
     tail = F.array_join(_segments(path), "/")
     under_base = F.when(tail == "", base).otherwise(F.concat(base, F.lit("/"), tail))
     return F.when(is_relative(path), under_base).otherwise(path)
 
 
-def escapes(path: Column, base) -> Column:
+def escapes(path: Column, base: Column) -> Column:
     """True if a path that is meant to lie under ``base`` leaves it through ``..``."""
-    prefix = F.concat(_col(base), F.lit("/"))
+    prefix = F.concat(base, F.lit("/"))
     below = F.when(is_relative(path), path).when(
         path.startswith(prefix), F.substr(path, F.length(prefix) + 1)
     )

@@ -262,7 +262,8 @@ def success_marker(
     come from one aggregation that keeps a single line per attempt, so no output is
     put together. That is exact when every line but the last one has its line end.
     Attempts where it is missing, as at the end of one stream before the other goes
-    on, are put together and read as text.
+    on, are put together and read as text, part by part if they are large: there, a
+    line without its end stops at the border of its part.
     """
     line = F.col("line")
     unended = ~line.endswith("\n")

@@ -83,6 +83,10 @@ def _rewrite(code: pd.Series, base: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=_REWRITTEN.names, dtype="object")
 
 
+def _as_column(base: str | Column) -> Column:
+    return base if isinstance(base, Column) else F.lit(base)
+
+
 def script_syntax(scripts: DataFrame) -> DataFrame:
     """Whether each script parses, and if not the error with its line."""
     return scripts.select("script_id", _syntax("code").alias("result")).select(
@@ -96,17 +100,19 @@ def script_paths(scripts: DataFrame, base: str | Column) -> DataFrame:
     ``dynamic`` marks calls whose path is not a literal. ``escapes`` marks paths
     that leave ``base``; a script with such a path must not be run.
     """
-    path = F.col("call.original_path")
+    path, under = F.col("call.original_path"), F.col("base")
     return scripts.select(
-        "script_id", F.explode(_parquet_calls("code")).alias("call")
+        "script_id",
+        _as_column(base).alias("base"),
+        F.explode(_parquet_calls("code")).alias("call"),
     ).select(
         "script_id",
         "call.call_no",
         "call.original_path",
-        paths.resolve(path, base).alias("resolved_path"),
+        paths.resolve(path, under).alias("resolved_path"),
         "call.direction",
         path.isNull().alias("dynamic"),
-        paths.escapes(path, base).alias("escapes"),
+        paths.escapes(path, under).alias("escapes"),
     )
 
 
@@ -136,7 +142,6 @@ def script_rewrite(scripts: DataFrame, base: str | Column) -> DataFrame:
     ``code`` is kept, since a correction is asked for the code as it was given.
     ``stage_error`` is set where the script could not be analysed at all.
     """
-    base = base if isinstance(base, Column) else F.lit(base)
     return scripts.select(
-        "script_id", "code", _rewrite("code", base).alias("result")
+        "script_id", "code", _rewrite("code", _as_column(base)).alias("result")
     ).select("script_id", "code", "result.*")

@@ -100,8 +100,8 @@ def queries() -> dict[str, Query]:
             lambda df: df.select(
                 "path_id",
                 "path",
-                paths.resolve(F.col("path"), BASE).alias("resolved_path"),
-                paths.escapes(F.col("path"), BASE).alias("escapes"),
+                paths.resolve(F.col("path"), F.lit(BASE)).alias("resolved_path"),
+                paths.escapes(F.col("path"), F.lit(BASE)).alias("escapes"),
             )
         ),
         "workspace_roundtrip": tx(

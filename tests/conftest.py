@@ -6,6 +6,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from scriptflow import session  # noqa: E402
+from scriptflow.sources import storage  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -17,8 +18,10 @@ def spark():
             "spark.ui.enabled": "false",
             "spark.sql.shuffle.partitions": "4",
             "spark.driver.memory": "4g",
+            "spark.sql.maxMetadataStringLength": "10000",
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
     yield spark
+    storage.remove_scratch(spark)
     spark.stop()

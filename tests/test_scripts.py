@@ -1,0 +1,224 @@
+"""Script jobs on scripts with known answers."""
+
+import textwrap
+
+import pytest
+from pyspark.sql import functions as F
+
+from scriptflow.operators import scripts
+
+BASE = "/work/base"
+
+
+def table(spark, codes):
+    rows = list(enumerate(codes, 1))
+    return spark.createDataFrame(rows, "script_id long, code string").repartition(2)
+
+
+def by_id(df):
+    return [tuple(r)[1:] for r in df.orderBy("script_id").collect()]
+
+
+def calls(spark, *codes):
+    df = scripts.script_paths(table(spark, codes), BASE)
+    return [tuple(r) for r in df.orderBy("script_id", "call_no").collect()]
+
+
+ETL = """
+spark = None
+try:
+    df = spark.createDataFrame(rows)
+    df.write.mode("overwrite").parquet("raw.parquet")
+    raw = spark.read.parquet("raw.parquet")
+    raw.filter("x > 1").write.mode("overwrite").parquet("mid/filtered.parquet")
+    spark.read.parquet("mid/filtered.parquet").select("x").write.parquet("out/report.parquet")
+except Exception as e:
+    print(e)
+finally:
+    pass
+"""
+
+
+def test_syntax_errors(spark):
+    codes = [
+        ETL,
+        # A bracket that is never closed, in a list of rows.
+        'data = [\n    (1, "Alice", 45),\n    (3, "Elaine", 42\n    (4, "Carlos", 23)\n]',
+        # A missing comma between tuples is a call, and parses.
+        "rows = [\n    (1, 2)\n    (3, 4)\n]",
+        "try:\n    x = 1\nexcept Exception as e:\n    y = 2\n   z = 3",
+        "try:\n    x = 1\nfinally\n    y = 2",
+        "x = undefined_name",
+        "if x:\n\ty = 1\n        z = 2",
+        "",
+        "x = '\x00'",
+        "(" * 10_000,
+        "x = " + "-" * 200_000 + "1",
+        None,
+    ]
+    result = by_id(scripts.script_syntax(table(spark, codes)))
+    assert [r[:3] for r in result[:8]] == [
+        (True, None, None),
+        (False, "SyntaxError", 5),
+        (True, None, None),
+        (False, "IndentationError", 5),
+        (False, "SyntaxError", 3),
+        (True, None, None),
+        (False, "TabError", 3),
+        (True, None, None),
+    ]
+    assert result[1][3] == (
+        "closing parenthesis ']' does not match opening parenthesis '(' on line 3"
+    )
+    assert result[4][3] == "expected ':'"
+    # Whatever the parser cannot take is an answer too, and fails no task.
+    assert [r[0] for r in result[8:]] == [False, False, False, None]
+    assert all(r[1] for r in result[8:11])
+
+
+def test_calls_of_an_etl(spark):
+    assert [c[1:6] for c in calls(spark, ETL)] == [
+        (1, "raw.parquet", f"{BASE}/raw.parquet", "write", False),
+        (2, "raw.parquet", f"{BASE}/raw.parquet", "read", False),
+        (3, "mid/filtered.parquet", f"{BASE}/mid/filtered.parquet", "write", False),
+        (4, "out/report.parquet", f"{BASE}/out/report.parquet", "write", False),
+        (5, "mid/filtered.parquet", f"{BASE}/mid/filtered.parquet", "read", False),
+    ]
+
+
+@pytest.mark.parametrize(
+    "code, path, direction",
+    [
+        ('spark.read.parquet("x")', "x", "read"),
+        ('spark.read.option("a", 1).parquet("x")', "x", "read"),
+        ('df.write.parquet("x")', "x", "write"),
+        ('df.write.mode("overwrite").partitionBy("y").parquet("x")', "x", "write"),
+        ('df["a"].write.parquet("x")', "x", "write"),
+        ('spark.read.parquet(path="x")', "x", "read"),
+        ('df.write.parquet(mode="append", path="x")', "x", "write"),
+        ('read.parquet("x")', "x", "read"),
+        ('thing.parquet("x")', "x", "unknown"),
+        ('spark.readStream.parquet("x")', "x", "unknown"),
+        ('(a or b).parquet("x")', "x", "unknown"),
+        ('spark.read.parquet("x", "y")', "x", "read"),
+        ('spark.read.parquet("x" "y")', "xy", "read"),
+        ('spark.read.parquet(p, path="x")', "x", "read"),
+        ("spark.read.parquet(p)", None, "read"),
+        ("spark.read.parquet(f'{p}/x')", None, "read"),
+        ("spark.read.parquet('a' + 'b')", None, "read"),
+        ("spark.read.parquet(*paths)", None, "read"),
+        ("spark.read.parquet(b'x')", None, "read"),
+        ("df.write.parquet()", None, "write"),
+    ],
+)
+def test_path_and_direction(spark, code, path, direction):
+    [call] = calls(spark, code)
+    assert (call[2], call[4], call[5]) == (path, direction, path is None)
+
+
+def test_other_calls_are_not_touched(spark):
+    code = """
+        spark.read.csv("a")
+        spark.read.format("parquet").load("b")
+        df.write.format("parquet").save("c")
+        spark.sql("select * from parquet.`d`")
+        parquet("e")
+        spark.read.parquet
+    """
+    code = textwrap.dedent(code)
+    assert calls(spark, code, "x = (", None) == []
+    [(_, rewritten, error)] = by_id(scripts.script_rewrite(table(spark, [code]), BASE))
+    assert error is None and BASE not in rewritten
+
+
+def test_order_is_depth_first(spark):
+    code = 'spark.read.parquet("l").join(spark.read.parquet(f(x.parquet("in"))), "id")'
+    assert [c[2] for c in calls(spark, code)] == ["l", None, "in"]
+
+
+def test_escapes_and_uris(spark):
+    found = calls(
+        spark, 'r.read.parquet("../x")', 'r.read.parquet("s3a://b/x")', 'r.read.parquet("/x")'
+    )
+    assert [(c[3], c[6]) for c in found] == [
+        (f"{BASE}/../x", True),
+        ("s3a://b/x", False),
+        ("/x", False),
+    ]
+
+
+def test_inputs_and_usage(spark):
+    code = 'r.read.parquet("a")\nr.read.parquet("a")\nr.read.parquet("/b")\nr.write.parquet("c")'
+    found = scripts.script_paths(table(spark, [code, code + "\nr.read.parquet(p)"]), BASE)
+    inputs = scripts.script_inputs(found).collect()
+    assert sorted(map(tuple, inputs)) == [(1, "a", 2), (2, "a", 2)]
+    usage = scripts.dataset_usage(found).collect()
+    assert sorted(map(tuple, usage)) == [
+        ("/b", "read", 2),
+        ("a", "read", 4),
+        ("c", "write", 2),
+    ]
+
+
+def test_rewrite(spark):
+    code = textwrap.dedent(
+        '''
+        # a comment
+        df = spark.read.parquet("in.parquet")   # layout goes too
+        df.write.mode("overwrite").parquet(path="out/x.parquet")
+        spark.read.parquet("l").join(spark.read.parquet("/abs"), "id")
+        spark.read.parquet(p)
+        '''
+    )
+    [(kept, rewritten, error)] = by_id(scripts.script_rewrite(table(spark, [code]), BASE))
+    assert kept == code and error is None
+    assert rewritten.splitlines() == [
+        f"df = spark.read.parquet('{BASE}/in.parquet')",
+        f"df.write.mode('overwrite').parquet(path='{BASE}/out/x.parquet')",
+        f"spark.read.parquet('{BASE}/l').join(spark.read.parquet('/abs'), 'id')",
+        "spark.read.parquet(p)",
+    ]
+
+
+def test_rewrite_twice_is_rewrite_once(spark):
+    codes = [ETL, 'r.read.parquet("../x")', 'r.read.parquet("s3a://b/x")', 'w.parquet("")', "x = ("]
+    once = scripts.script_rewrite(table(spark, codes), BASE)
+    again = scripts.script_rewrite(
+        once.select("script_id", F.col("rewritten_code").alias("code")), BASE
+    )
+    assert [r[1] for r in by_id(once)] == [r[1] for r in by_id(again)]
+
+
+def test_rewrite_passes_what_it_cannot_read(spark):
+    deep = "x" + ".a()" * 5_000
+    codes = ["y = (1,", deep, None]
+    result = by_id(scripts.script_rewrite(table(spark, codes), BASE))
+    assert result[0] == ("y = (1,", "y = (1,", None)
+    assert result[1][1] == deep and result[1][2].split(":")[0] in (
+        "RecursionError",
+        "MemoryError",
+    )
+    assert result[2] == (None, None, None)
+
+
+def test_base_may_differ_per_script(spark):
+    df = table(spark, ['r.read.parquet("a")'] * 2)
+    df = df.withColumn("home", F.concat(F.lit("/runs/"), F.col("script_id").cast("string")))
+    rewritten = [r[1] for r in by_id(scripts.script_rewrite(df, F.col("home")))]
+    assert rewritten == [f"r.read.parquet('/runs/{i}/a')" for i in (1, 2)]
+    found = scripts.script_paths(df, F.col("home")).orderBy("script_id")
+    assert [r.resolved_path for r in found.collect()] == ["/runs/1/a", "/runs/2/a"]
+
+
+def test_python_sees_the_code_only(spark, tmp_path):
+    table(spark, [ETL]).withColumn("other", F.lit("x")).write.parquet(str(tmp_path / "s"))
+    df = spark.read.parquet(str(tmp_path / "s"))
+    for job in (
+        scripts.script_syntax(df),
+        scripts.script_paths(df, BASE),
+        scripts.script_rewrite(df, BASE),
+    ):
+        plan = job._jdf.queryExecution().executedPlan().toString()
+        assert "ReadSchema: struct<script_id:bigint,code:string>" in plan
+        assert plan.count("ArrowEvalPython") == 1
+        assert "Exchange" not in plan

@@ -1,0 +1,61 @@
+"""Text expressions against Python's own string methods."""
+
+import random
+import sys
+
+from pyspark.sql import functions as F
+
+from scriptflow.functions import text
+from scriptflow.operators.correction import clean_response
+
+
+def test_white_space_and_line_breaks_are_pythons():
+    characters = [chr(i) for i in range(sys.maxunicode + 1)]
+    assert set(text.WHITE_SPACE) == {c for c in characters if c.isspace()}
+    assert set(text.LINE_BREAKS) == {c for c in characters if len(f"a{c}b".splitlines()) > 1}
+
+
+def _texts(alphabet, n=3_000, longest=12, seed=7):
+    rng = random.Random(seed)
+    made = {"".join(rng.choices(alphabet, k=rng.randint(0, longest))) for _ in range(n)}
+    return sorted(made)
+
+
+def _evaluate(spark, texts, expression):
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    return dict(df.select("t", expression(F.col("t")).alias("r")).collect())
+
+
+def test_strip(spark):
+    texts = _texts([*text.WHITE_SPACE, "a", "é", "\u200b"])
+    for ours, pythons in [
+        (text.strip_ws, str.strip),
+        (text.lstrip_ws, str.lstrip),
+        (text.rstrip_ws, str.rstrip),
+        (text.has_text, lambda t: t.strip() != ""),
+    ]:
+        assert _evaluate(spark, texts, ours) == {t: pythons(t) for t in texts}
+
+
+def test_last_line(spark):
+    texts = [t.rstrip() for t in _texts([*text.LINE_BREAKS, "a", "b", " "])]
+    texts = sorted({t for t in texts if t})
+    assert _evaluate(spark, texts, text.last_line) == {
+        t: t.splitlines()[-1] for t in texts
+    }
+
+
+def _clean(reply):
+    code = reply.strip()
+    for fence in ("```python", "```"):
+        if code.startswith(fence):
+            code = code.removeprefix(fence).strip()
+            break
+    return code.removesuffix("```").strip() or None
+
+
+def test_clean_response(spark):
+    pieces = ["```", "`", "python", "py", "x = 1", " ", "\n", "\u3000", "\x1f"]
+    texts = _texts(pieces, n=6_000, longest=8)
+    assert _evaluate(spark, texts, clean_response) == {t: _clean(t) for t in texts}
+    assert _evaluate(spark, [None], clean_response) == {None: None}
