@@ -37,9 +37,9 @@ _ERROR_LINE = r"(?m)^([\w.]*(?:Error|Exception))(?:: (.*))?$"
 class Limits:
     """When an output is too large for one value, and how large a part may be."""
 
-    chars: int = 32_000_000
-    lines: int = 1_000_000
-    part_lines: int = 65_536
+    chars: int = 8_000_000
+    lines: int = 100_000
+    part_lines: int = 50_000
 
 
 def exit_code(c="exit_code") -> Column:
@@ -69,9 +69,9 @@ def log_frames(attempts: DataFrame) -> DataFrame:
     return attempts.select(*ATTEMPT, F.inline(frames))
 
 
-def _large_attempts(logs: DataFrame, limits: Limits) -> DataFrame:
-    """Attempts that need parts: the range of lines between the outer white space,
-    and how many values of ``seq`` make up a part.
+def _large_attempts(logs: DataFrame, limits: Limits) -> DataFrame | None:
+    """Attempts that need parts, if any: the range of lines between the outer white
+    space, and how many values of ``seq`` make up a part.
 
     Lines per part are bounded because ``seq`` is unique, and characters because
     the longest line is known.
@@ -86,18 +86,27 @@ def _large_attempts(logs: DataFrame, limits: Limits) -> DataFrame:
         F.max("seq").alias("end"),
     )
     fitting = F.expr(f"{limits.chars} div greatest(longest, 1)")
-    return sizes.filter(
-        (F.col("n") > limits.lines) | (F.col("chars") > limits.chars)
-    ).select(
-        *ATTEMPT,
-        F.coalesce("first", "end").alias("first"),
-        F.coalesce("last", "end").alias("last"),
-        F.greatest(F.lit(1), F.least(F.lit(limits.part_lines), fitting)).alias("width"),
+    n_large, large = sized(
+        sizes.filter(
+            (F.col("n") > limits.lines) | (F.col("chars") > limits.chars)
+        ).select(
+            *ATTEMPT,
+            F.coalesce("first", "end").alias("first"),
+            F.coalesce("last", "end").alias("last"),
+            F.greatest(F.lit(1), F.least(F.lit(limits.part_lines), fitting)).alias(
+                "width"
+            ),
+        )
     )
+    return large if n_large else None
 
 
 def _gather(
-    logs: DataFrame, limits: Limits, trim: bool, only: DataFrame | None, *texts: Column
+    logs: DataFrame,
+    large: DataFrame | None,
+    trim: bool,
+    only: DataFrame | None,
+    *texts: Column,
 ) -> DataFrame:
     """Aggregate the lines of every attempt, or of every part of a large one.
 
@@ -108,13 +117,12 @@ def _gather(
     Lines are exchanged as they are: collecting them first on the map side would
     not make them fewer.
     """
-    n_large, large = sized(_large_attempts(logs, limits))
     lines = logs.select(
         *ATTEMPT, "seq", "stream", "line", (~has_text("line")).alias("blank")
     )
     if only is not None:
-        lines = lines.join(sized(only)[1], ATTEMPT, "left_semi")
-    if n_large == 0:
+        lines = lines.join(only, ATTEMPT, "left_semi")
+    if large is None:
         whole = lines.repartition(*ATTEMPT).groupBy(*ATTEMPT).agg(*texts)
         return whole.select(
             "*",
@@ -171,8 +179,8 @@ def _unique(text: Column) -> Column:
     ).otherwise(F.raise_error(F.lit("seq is not unique within an attempt")))
 
 
-def outputs(
-    logs: DataFrame, limits: Limits = Limits(), only: DataFrame | None = None
+def _outputs(
+    logs: DataFrame, large: DataFrame | None, only: DataFrame | None = None
 ) -> DataFrame:
     """The stripped output of every attempt, both streams in order.
 
@@ -184,7 +192,7 @@ def outputs(
     text = F.when(F.col("is_first") & F.col("is_last"), strip_ws(text)).otherwise(text)
     gathered = _gather(
         logs,
-        limits,
+        large,
         True,
         only,
         _unique(_ordered_text()).alias("raw"),
@@ -203,14 +211,15 @@ def outputs(
 
 
 def log_full_output(logs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    return outputs(logs, limits).select(*ATTEMPT, "part", "full_output")
+    large = _large_attempts(logs, limits)
+    return _outputs(logs, large).select(*ATTEMPT, "part", "full_output")
 
 
 def log_by_stream(logs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Text and number of lines of each stream, unstripped."""
     return _gather(
         logs,
-        limits,
+        _large_attempts(logs, limits),
         False,
         None,
         _unique(_ordered_text("stream = 'stdout'")).alias("stdout"),
@@ -226,17 +235,33 @@ def with_output(
     """Attempts with ``output``: what they printed, or a note if that is nothing.
 
     White space alone is shown by stream; an attempt that failed without any line
-    gets a note with its exit code; one that succeeded gets an empty text.
+    gets a note with its exit code; one that succeeded gets an empty text. With
+    ``only``, other attempts count as silent.
     """
+    large = _large_attempts(logs, limits)
+    only = None if only is None else sized(only)[1]
+    printed = _outputs(logs, large, only)
+    if large is None:
+        joined = attempts.join(printed, ATTEMPT, "left")
+    else:
+        # An attempt may have any number of parts. Spark can split an inner join on
+        # their side, an outer one it cannot.
+        keys = logs.select(*ATTEMPT)
+        if only is not None:
+            keys = keys.join(only, ATTEMPT, "left_semi")
+        silent = attempts.join(keys.distinct(), ATTEMPT, "left_anti")
+        joined = attempts.join(printed, ATTEMPT).unionByName(
+            silent, allowMissingColumns=True
+        )
     both = strip_ws(F.format_string(BOTH_STREAMS, "blank_stdout", "blank_stderr"))
-    printed = (F.col("blank_stdout") != "") | (F.col("blank_stderr") != "")
+    blank = (F.col("blank_stdout") != "") | (F.col("blank_stderr") != "")
     output = (
         F.when(F.col("full_output") != "", F.col("full_output"))
-        .when(printed, both)
+        .when(blank, both)
         .when(exit_code() != 0, F.format_string(NO_OUTPUT_NOTE, exit_code()))
         .otherwise("")
     )
-    return attempts.join(outputs(logs, limits, only), ATTEMPT, "left").select(
+    return joined.select(
         *attempts.columns,
         F.coalesce("part", F.lit(0).cast("bigint")).alias("part"),
         F.coalesce("is_first", F.lit(True)).alias("is_first"),
@@ -298,7 +323,7 @@ def success_marker(
         return result
 
     by_text = (
-        outputs(logs, limits, keys)
+        _outputs(logs, _large_attempts(logs, limits), keys)
         .groupBy(*ATTEMPT)
         .agg(
             F.bool_or(F.col("is_last") & in_last_line(F.col("full_output"))).alias(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import paths
 from ..operators import attempts, correction, etl, runlog, scripts
+from ..operators.sizing import spread
 from ..sources import rows, workspace
 from ..streaming import logs as streaming
 from . import fixtures as fx
@@ -31,6 +32,10 @@ def _over(*blocks: str) -> Callable[[Callable[..., DataFrame]], Query]:
     return wrap
 
 
+def _scripts(build: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: build(spread(fx.load(spark, sf_dir, fx.SCRIPTS)))
+
+
 def _log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as they arrive, as log lines."""
     return spark.sql(
@@ -65,7 +70,7 @@ def _calls(df: DataFrame) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     tx = _over(fx.TRANSACTIONS)
-    script = _over(fx.SCRIPTS)
+    script = _scripts
     log = _over(fx.LOG_LINES)
     tries = _over(fx.ATTEMPTS)
     tries_log = _over(fx.ATTEMPTS, fx.LOG_LINES)
