@@ -1,9 +1,12 @@
 """Session set-up: a builder with this library's defaults, and S3A settings.
 
 Library functions take the caller's session and never stop it. A job started by
-``spark-submit`` builds its own with ``build`` and stops it when it ends.
+``spark-submit`` has its own for the length of a ``with job(...)`` block.
 """
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 # Adaptive execution stays on: it sizes shuffle partitions, splits skewed joins
@@ -11,14 +14,11 @@ from pyspark.sql import SparkSession
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    "spark.sql.streaming.stateStore.providerClass": (
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    ),
 }
 
 
 def build(app_name: str, master: str | None = None, **conf: str) -> SparkSession:
-    """A session with ``DEFAULTS``; ``conf`` wins over them.
+    """A session with ``DEFAULTS``; the settings in ``conf`` win over them.
 
     ``master`` is for tests and local work. On a cluster, leave master and memory
     to ``spark-submit``.
@@ -31,6 +31,16 @@ def build(app_name: str, master: str | None = None, **conf: str) -> SparkSession
     return builder.getOrCreate()
 
 
+@contextmanager
+def job(app_name: str, **conf: str) -> Iterator[SparkSession]:
+    """A session for one job; stopped at its end, also after an error."""
+    spark = build(app_name, **conf)
+    try:
+        yield spark
+    finally:
+        spark.stop()
+
+
 def s3a_conf(
     hadoop_version: str,
     access_key: str | None = None,

@@ -2,12 +2,14 @@
 
 Both jobs keep their results as Parquet in shared storage, one directory per
 micro-batch. A batch that is run again after a failure replaces its own directory,
-so a line counts once.
+so a line counts once. Neither job keeps streaming state, which would grow with every
+attempt that was ever seen.
 """
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.runlog import ATTEMPT, Limits, log_full_output
 from ..sources.storage import exists, file_system, fresh_dir
@@ -33,49 +35,59 @@ def file_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
 
 @dataclass(frozen=True)
 class LiveTable:
-    """A table that a stream fills batch by batch."""
+    """A table that a stream fills batch by batch.
+
+    ``of_batch`` makes the rows that a micro-batch of lines adds.
+    """
 
     path: str
-    schema: T.StructType
+    of_batch: Callable[[DataFrame], DataFrame]
 
     @property
     def rows_path(self) -> str:
         return f"{self.path}/rows"
 
-    def fill(self, stream: DataFrame, mode: str) -> None:
+    def fill(self, lines: DataFrame) -> None:
         """Process what has arrived, then stop. A later call goes on from there."""
 
         def store(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{self.rows_path}/batch_id={batch_id}")
+            self.of_batch(batch).write.mode("overwrite").parquet(
+                f"{self.rows_path}/batch_id={batch_id}"
+            )
 
         query = (
-            stream.writeStream.outputMode(mode)
-            .foreachBatch(store)
+            lines.writeStream.foreachBatch(store)
             .option("checkpointLocation", f"{self.path}/checkpoint")
             .trigger(availableNow=True)
             .start()
         )
         query.awaitTermination()
 
-    def rows(self, spark: SparkSession) -> DataFrame:
-        schema = T.StructType([*self.schema.fields, T.StructField("batch_id", T.LongType())])
+    def rows(self, lines: DataFrame) -> DataFrame:
+        """What all batches added so far."""
+        spark, schema = lines.sparkSession, self.of_batch(lines).schema
         if not exists(spark, self.rows_path):
             return spark.createDataFrame([], schema)
         return spark.read.schema(schema).parquet(self.rows_path)
 
 
+def _count_lines(lines: DataFrame) -> DataFrame:
+    return lines.groupBy(*STREAM).agg(F.count("*").alias("n"))
+
+
+def _keep_lines(lines: DataFrame) -> DataFrame:
+    return lines.select(*ATTEMPT, "seq", "stream", "line")
+
+
 def log_stream_totals(lines: DataFrame, path: str | None = None) -> DataFrame:
     """Lines per run, attempt and stream, counted as they arrive.
 
-    The counts are streaming state. Each batch stores the totals it changed; the
-    current total of a key is that of its latest batch. Call again with the same
-    ``path`` to go on.
+    Each batch stores its own counts, and the view adds them up. Call again with the
+    same ``path`` to go on.
     """
-    spark = lines.sparkSession
-    totals = lines.groupBy(*STREAM).agg(F.count("*").alias("n"))
-    table = LiveTable(path or fresh_dir(spark, "log_totals"), totals.schema)
-    table.fill(totals, "update")
-    return table.rows(spark).groupBy(*STREAM).agg(F.max_by("n", "batch_id").alias("n"))
+    table = LiveTable(path or fresh_dir(lines.sparkSession, "log_totals"), _count_lines)
+    table.fill(lines)
+    return table.rows(lines).groupBy(*STREAM).agg(F.sum("n").alias("n"))
 
 
 def log_stream_output(
@@ -83,11 +95,8 @@ def log_stream_output(
 ) -> DataFrame:
     """The output of every attempt, from the lines that have arrived.
 
-    The stream keeps no state: it stores the lines, and the text is put together
-    when it is read. So state does not grow with the log.
+    Each batch stores its lines; the texts are put together when they are read.
     """
-    spark = lines.sparkSession
-    stored = lines.select(*ATTEMPT, "seq", "stream", "line")
-    table = LiveTable(path or fresh_dir(spark, "log_lines"), stored.schema)
-    table.fill(stored, "append")
-    return log_full_output(table.rows(spark), limits)
+    table = LiveTable(path or fresh_dir(lines.sparkSession, "log_lines"), _keep_lines)
+    table.fill(lines)
+    return log_full_output(table.rows(lines), limits)

@@ -120,6 +120,17 @@ def test_session_defaults(spark):
     assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
 
 
+def test_a_job_stops_its_session(monkeypatch):
+    stopped = []
+    built = SimpleNamespace(stop=lambda: stopped.append(True))
+    monkeypatch.setattr(session, "build", lambda name, **conf: built)
+    with session.job("a") as spark:
+        assert spark is built and not stopped
+    with pytest.raises(ZeroDivisionError), session.job("b"):
+        1 / 0
+    assert len(stopped) == 2
+
+
 def test_s3a_conf():
     version = "3.4.2"
     plain = session.s3a_conf(version)
