@@ -11,7 +11,7 @@ the table without any task or value growing with it.
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import has_text, last_line, lstrip_ws, rstrip_ws, strip_ws
 from ..sources.storage import stage
@@ -101,21 +101,17 @@ def _large_attempts(logs: DataFrame, limits: Limits) -> DataFrame | None:
     return large if n_large else None
 
 
-def _gather(
+def _placed(
     logs: DataFrame,
     large: DataFrame | None,
-    trim: bool,
-    only: DataFrame | None,
-    *texts: Column,
+    trim: bool = True,
+    only: DataFrame | None = None,
 ) -> DataFrame:
-    """Aggregate the lines of every attempt, or of every part of a large one.
+    """The lines; those of large attempts with the ``part`` they belong to.
 
     ``trim`` drops the outer white space of large attempts here, line by line;
     small ones are stripped once they are one text. ``only`` restricts the work to
     some ``(run_id, attempt)`` before any line is shuffled.
-
-    Lines are exchanged as they are: collecting them first on the map side would
-    not make them fewer.
     """
     lines = logs.select(
         *ATTEMPT, "seq", "stream", "line", (~has_text("line")).alias("blank")
@@ -123,13 +119,7 @@ def _gather(
     if only is not None:
         lines = lines.join(only, ATTEMPT, "left_semi")
     if large is None:
-        whole = lines.repartition(*ATTEMPT).groupBy(*ATTEMPT).agg(*texts)
-        return whole.select(
-            "*",
-            F.lit(0).cast("bigint").alias("part"),
-            F.lit(True).alias("is_first"),
-            F.lit(True).alias("is_last"),
-        )
+        return lines
 
     lines = lines.join(large, ATTEMPT, "left")
     small = F.col("width").isNull()
@@ -144,9 +134,7 @@ def _gather(
     def part_of(seq: str) -> Column:
         return F.expr(f"coalesce({seq} div width, 0)")
 
-    # With the exchange of the aggregation alone, a join that shuffles would have to
-    # keep every attempt in one task; before one of its own it can be split.
-    placed = lines.select(
+    return lines.select(
         *ATTEMPT,
         "seq",
         "stream",
@@ -155,11 +143,69 @@ def _gather(
         part_of("seq").alias("part"),
         (small | (part_of("seq") == part_of("first"))).alias("is_first"),
         (small | (part_of("seq") == part_of("last"))).alias("is_last"),
-    ).repartition(*ATTEMPT, "part")
-    return placed.groupBy(*ATTEMPT, "part").agg(
-        *texts,
-        F.any_value("is_first").alias("is_first"),
-        F.any_value("is_last").alias("is_last"),
+    )
+
+
+def _aligned(placed: DataFrame) -> DataFrame:
+    """The lines, moved so that no part ends inside a line.
+
+    What follows the last line end of a part goes to the next part that has a line
+    end, or to the last part. The window runs over one short row per part.
+    """
+    ended = F.when(F.col("line").endswith("\n"), F.col("seq"))
+    later = (
+        Window.partitionBy(*ATTEMPT)
+        .orderBy(F.desc("part"))
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    with_end = F.when(F.col("last_end").isNotNull(), F.col("part"))
+    parts = (
+        placed.groupBy(*ATTEMPT, "part")
+        .agg(F.max(ended).alias("last_end"))
+        .withColumn(
+            "next_part",
+            F.coalesce(
+                F.last(with_end, ignorenulls=True).over(later),
+                F.first("part").over(later),
+                "part",
+            ),
+        )
+    )
+    part = F.when(F.col("seq") <= F.col("last_end"), F.col("part")).otherwise(
+        F.col("next_part")
+    )
+    return (
+        placed.join(parts, [*ATTEMPT, "part"])
+        .withColumn("part", part)
+        .drop("last_end", "next_part")
+    )
+
+
+def _gather(placed: DataFrame, *texts: Column) -> DataFrame:
+    """Aggregate the lines of every attempt, or of every part of a large one.
+
+    Lines are exchanged as they are: collecting them first on the map side would
+    not make them fewer. The exchange is stated, since with the one that an
+    aggregation brings along, a join before it would have to keep every attempt in
+    one task; so it can be split.
+    """
+    if "part" not in placed.columns:
+        whole = placed.repartition(*ATTEMPT).groupBy(*ATTEMPT).agg(*texts)
+        return whole.select(
+            "*",
+            F.lit(0).cast("bigint").alias("part"),
+            F.lit(True).alias("is_first"),
+            F.lit(True).alias("is_last"),
+        )
+    keys = [*ATTEMPT, "part"]
+    return (
+        placed.repartition(*keys)
+        .groupBy(*keys)
+        .agg(
+            *texts,
+            F.bool_or("is_first").alias("is_first"),
+            F.bool_or("is_last").alias("is_last"),
+        )
     )
 
 
@@ -179,9 +225,7 @@ def _unique(text: Column) -> Column:
     ).otherwise(F.raise_error(F.lit("seq is not unique within an attempt")))
 
 
-def _outputs(
-    logs: DataFrame, large: DataFrame | None, only: DataFrame | None = None
-) -> DataFrame:
+def _outputs(placed: DataFrame) -> DataFrame:
     """The stripped output of every attempt, both streams in order.
 
     ``blank_stdout`` and ``blank_stderr`` hold the lines without text, which is all
@@ -191,10 +235,7 @@ def _outputs(
     # A middle part starts and ends inside the output; its edges are kept.
     text = F.when(F.col("is_first") & F.col("is_last"), strip_ws(text)).otherwise(text)
     gathered = _gather(
-        logs,
-        large,
-        True,
-        only,
+        placed,
         _unique(_ordered_text()).alias("raw"),
         _ordered_text("stream = 'stdout' AND blank").alias("blank_stdout"),
         _ordered_text("stream = 'stderr' AND blank").alias("blank_stderr"),
@@ -211,17 +252,14 @@ def _outputs(
 
 
 def log_full_output(logs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    large = _large_attempts(logs, limits)
-    return _outputs(logs, large).select(*ATTEMPT, "part", "full_output")
+    placed = _placed(logs, _large_attempts(logs, limits))
+    return _outputs(placed).select(*ATTEMPT, "part", "full_output")
 
 
 def log_by_stream(logs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Text and number of lines of each stream, unstripped."""
     return _gather(
-        logs,
-        _large_attempts(logs, limits),
-        False,
-        None,
+        _placed(logs, _large_attempts(logs, limits), trim=False),
         _unique(_ordered_text("stream = 'stdout'")).alias("stdout"),
         _ordered_text("stream = 'stderr'").alias("stderr"),
         F.count_if(F.col("stream") == "stdout").alias("stdout_lines"),
@@ -240,7 +278,7 @@ def with_output(
     """
     large = _large_attempts(logs, limits)
     only = None if only is None else sized(only)[1]
-    printed = _outputs(logs, large, only)
+    printed = _outputs(_placed(logs, large, only=only))
     if large is None:
         joined = attempts.join(printed, ATTEMPT, "left")
     else:
@@ -287,8 +325,7 @@ def success_marker(
     come from one aggregation that keeps a single line per attempt, so no output is
     put together. That is exact when every line but the last one has its line end.
     Attempts where it is missing, as at the end of one stream before the other goes
-    on, are put together and read as text, part by part if they are large: there, a
-    line without its end stops at the border of its part.
+    on, are put together and read as text, in parts that end with a line.
     """
     line = F.col("line")
     unended = ~line.endswith("\n")
@@ -322,8 +359,10 @@ def success_marker(
     if n_joined == 0:
         return result
 
+    large = _large_attempts(logs, limits)
+    placed = _placed(logs, large, only=keys)
     by_text = (
-        _outputs(logs, _large_attempts(logs, limits), keys)
+        _outputs(placed if large is None else _aligned(placed))
         .groupBy(*ATTEMPT)
         .agg(
             F.bool_or(F.col("is_last") & in_last_line(F.col("full_output"))).alias(

@@ -132,10 +132,10 @@ def test_output_or_note(spark, limits):
     assert whole(result, "output") == expected
 
 
-@pytest.mark.parametrize("limits", [LIMITS[2], LIMITS[3]])
-@pytest.mark.parametrize("seed", [5, 6, 7])
+@pytest.mark.parametrize("limits", LIMITS)
+@pytest.mark.parametrize("seed", [5, 6])
 def test_success_marker(spark, limits, seed):
-    rows = random_log(seed, attempts=120)
+    rows = random_log(seed, attempts=150)
     logs = spark.createDataFrame(rows, LOG)
     expected = {}
     for key, text in texts(rows).items():
@@ -145,16 +145,25 @@ def test_success_marker(spark, limits, seed):
             "SUCESSO" in text,
         )
     result = runlog.success_marker(logs, limits=limits).collect()
+    assert len(result) == len(expected)
     found = {(r.run_id, r.attempt): (r.marker_last_line, r.marker_any_line) for r in result}
-    if limits == Limits():
-        assert found == expected
-    else:
-        # A border between parts may cut a line that has no line end.
-        ended = {(r[0], r[1]) for r in rows} - {
-            (r[0], r[1]) for r in rows if not r[4].endswith("\n")
+    assert found == expected
+
+
+def test_marker_across_parts(spark):
+    pieces = ["SUC", "ES", "SO", " a", "b\n", "SUC", "\n", "ESSO", "SUC", "ESSO"]
+    rows = [
+        (run, 1, seq * 3, "stdout", line)
+        for run in range(len(pieces))
+        for seq, line in enumerate(pieces[run:] + pieces[:run])
+    ]
+    logs = spark.createDataFrame(rows, LOG)
+    expected = {run: t.strip() for (run, _), t in texts(rows).items()}
+    for limits in (Limits(lines=0, part_lines=1), Limits(lines=0, part_lines=4), Limits()):
+        result = runlog.success_marker(logs, limits=limits).collect()
+        assert {r.run_id: (r.marker_last_line, r.marker_any_line) for r in result} == {
+            run: ("SUCESSO" in t.splitlines()[-1], "SUCESSO" in t) for run, t in expected.items()
         }
-        assert {k: found[k] for k in ended} == {k: expected[k] for k in ended}
-        assert found.keys() == expected.keys()
 
 
 def test_shipped_scripts_end_without_the_marker_in_their_last_line(spark):
