@@ -111,17 +111,19 @@ def _placed(
 
     ``trim`` drops the outer white space of large attempts here, line by line;
     small ones are stripped once they are one text. ``only`` restricts the work to
-    some ``(run_id, attempt)`` before any line is shuffled.
+    some distinct ``(run_id, attempt)``. The lines take part in one join at most:
+    Spark does not split skewed keys in a row of joins.
     """
     lines = logs.select(
         *ATTEMPT, "seq", "stream", "line", (~has_text("line")).alias("blank")
     )
-    if only is not None:
-        lines = lines.join(only, ATTEMPT, "left_semi")
     if large is None:
-        return lines
+        return lines if only is None else lines.join(only, ATTEMPT, "left_semi")
+    if only is None:
+        lines = lines.join(large, ATTEMPT, "left")
+    else:
+        lines = lines.join(sized(only.join(large, ATTEMPT, "left"))[1], ATTEMPT)
 
-    lines = lines.join(large, ATTEMPT, "left")
     small = F.col("width").isNull()
     if trim:
         lines = lines.filter(small | F.col("seq").between(F.col("first"), F.col("last")))
@@ -277,17 +279,17 @@ def with_output(
     ``only``, other attempts count as silent.
     """
     large = _large_attempts(logs, limits)
-    only = None if only is None else sized(only)[1]
+    only = None if only is None else sized(only.distinct())[1]
     printed = _outputs(_placed(logs, large, only=only))
     if large is None:
         joined = attempts.join(printed, ATTEMPT, "left")
     else:
         # An attempt may have any number of parts. Spark can split an inner join on
         # their side, an outer one it cannot.
-        keys = logs.select(*ATTEMPT)
+        keys = logs.select(*ATTEMPT).distinct()
         if only is not None:
             keys = keys.join(only, ATTEMPT, "left_semi")
-        silent = attempts.join(keys.distinct(), ATTEMPT, "left_anti")
+        silent = attempts.join(keys, ATTEMPT, "left_anti")
         joined = attempts.join(printed, ATTEMPT).unionByName(
             silent, allowMissingColumns=True
         )
