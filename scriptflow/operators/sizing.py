@@ -12,7 +12,8 @@ def sized(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[int, DataFra
     at most ``max_rows``. Meant for sides with a few fixed-width columns.
 
     Beyond the limit the join is left to Spark, which shuffles and splits skewed
-    keys. ``side`` is staged, so it is computed once for both answers.
+    keys. ``side`` is staged, so it is computed once for both answers, and the join
+    that follows has no other one below it, which would keep it from being split.
     """
     side = stage(side, "side")
     n = side.count()

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from scriptflow.operators import runlog
+from scriptflow.operators import runlog, sizing
 from scriptflow.operators.runlog import Limits
 
 LOG = "run_id long, attempt int, seq long, stream string, line string"
@@ -219,19 +219,53 @@ def test_one_attempt_with_a_third_of_all_lines(spark, limits):
 
 
 def test_large_sides_are_joined_without_broadcast(spark, monkeypatch):
+    tuned = spark.newSession()
+    tuned.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(runlog, "sized", lambda side: sizing.sized(side, max_rows=0))
     rows = random_log(9)
-    logs = spark.createDataFrame(rows, LOG)
-    monkeypatch.setattr(runlog, "sized", lambda side: (side.count(), side))
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        result = runlog.log_full_output(logs, LIMITS[1])
-        plan = result._jdf.queryExecution().executedPlan().toString()
-        assert "SortMergeJoin" in plan and "REPARTITION_BY_COL" in plan
-        found = whole(result, "full_output")
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    assert found == {key: (text.strip(),) for key, text in texts(rows).items()}
+    result = runlog.log_full_output(tuned.createDataFrame(rows, LOG), LIMITS[1])
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "REPARTITION_BY_COL" in plan
+    assert whole(result, "full_output") == {
+        key: (text.strip(),) for key, text in texts(rows).items()
+    }
+
+
+SMALL_SKEW = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8kb",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8kb",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+}
+
+
+def test_joins_on_a_frequent_attempt_are_split(spark, monkeypatch):
+    tuned = spark.newSession()
+    for key, value in SMALL_SKEW.items():
+        tuned.conf.set(key, value)
+    monkeypatch.setattr(runlog, "sized", lambda side: sizing.sized(side, max_rows=0))
+    logs = tuned.range(0, 30_000, 1, 8).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 0 ELSE id % 1000 END AS run_id",
+        "int(CASE WHEN id % 3 = 0 THEN 1 ELSE 1 + id % 2 END) AS attempt",
+        "id AS seq",
+        "'stdout' AS stream",
+        "concat(md5(string(id)), '\n') AS line",
+    )
+    attempts = tuned.range(2_000).selectExpr(
+        "id div 2 AS run_id", "int(1 + id % 2) AS attempt", "1 AS exit_code"
+    )
+    only = attempts.select("run_id", "attempt")
+    result = runlog.with_output(attempts, logs, Limits(lines=100, part_lines=200), only)
+    rows = result.collect()
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    # The lines with their places, and the attempts with their outputs.
+    assert final.count("SortMergeJoin(skew=true)") == 2
+    hot = [r for r in rows if (r.run_id, r.attempt) == (0, 1)]
+    assert len(hot) > 100 and sum(len(r.output) for r in hot) == 33 * (10_000 + 20) - 1
+    assert {(r.run_id, r.attempt) for r in rows} == {(i // 2, i % 2 + 1) for i in range(2_000)}
 
 
 def test_blank_outputs_stay(spark):
