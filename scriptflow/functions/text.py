@@ -5,6 +5,8 @@ Spark's ``trim`` removes spaces unless it is told what to remove; Python's
 a text only, where a pattern would search all of it.
 """
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 # White space as str.strip sees it, and the characters at which
@@ -41,3 +43,15 @@ def last_line(c) -> Column:
     """``splitlines()[-1]`` of a text that does not end in a line break."""
     others = LINE_BREAKS[1:]
     return F.substring_index(F.translate(c, others, "\n" * len(others)), "\n", -1)
+
+
+def fill(template: str, *values) -> Column:
+    """``template % values`` for ``%s`` and ``%d``; NULL if a value is.
+
+    A concatenation, where ``format_string`` would run a formatter for every row.
+    """
+    first, *rest = re.split("%[sd]", template)
+    pieces = [F.lit(first)]
+    for value, text in zip(values, rest, strict=True):
+        pieces += [value, F.lit(text)]
+    return F.concat(*pieces)

@@ -5,7 +5,7 @@ Columns: ``(run_id, attempt, exit_code, code, suggestion, stage_error)``.
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import strip_ws
+from ..functions.text import fill, strip_ws
 from .runlog import ATTEMPT, Limits, exit_code, with_output
 
 # Fixed value: attempts per run unless the user asks for another number.
@@ -158,7 +158,7 @@ def failure_report(
         .when(F.col("action") == "no_suggestion", NO_SUGGESTION_NOTE)
         .otherwise("")
     )
-    report = F.when(not_run, F.format_string(STAGE_ERROR_NOTE, "action")).otherwise(
+    report = F.when(not_run, fill(STAGE_ERROR_NOTE, "action")).otherwise(
         F.concat("output", note)
     )
     ran = failed.filter(~not_run).select(*ATTEMPT)

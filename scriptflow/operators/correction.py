@@ -21,13 +21,8 @@ CODE_HEAD = "--- CODE ---\n"
 OUTPUT_HEAD = "\n\n--- OUTPUT ---\n"
 END = "\n\n--- CORRECTED CODE ---\n"
 
-# Both ends in one pass. A run of white space is entered only at its head, so a long
-# run inside the text is walked once and not once per character.
-_WS = f"[{WHITE_SPACE}]"
-_WRAPPING = (
-    rf"^{_WS}*+(?:```python|```)?+{_WS}*+"
-    rf"|(?:(?<!{_WS}){_WS}++)?+(?:```{_WS}*+)?\z"
-)
+_OPENING_FENCE = rf"^(?:```python|```)[{WHITE_SPACE}]*+"
+_CLOSING_FENCE = r"```\z"
 
 
 def prompt_text(
@@ -83,7 +78,9 @@ def clean_response(raw: Column) -> Column:
     closes it, and white space around each. Other tags and text before the fence
     stay.
     """
-    return F.nullif(F.regexp_replace(raw, _WRAPPING, ""), F.lit(""))
+    opened = F.regexp_replace(strip_ws(raw), _OPENING_FENCE, "")
+    code = strip_ws(F.regexp_replace(opened, _CLOSING_FENCE, ""))
+    return F.nullif(code, F.lit(""))
 
 
 def clean_responses(replies: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Jobs over process output, ``(run_id, attempt, seq, ts, stream, line)``.
+"""Jobs over process output, ``(run_id, attempt, seq, stream, line)``.
 
 A row is one line of ``stdout`` or ``stderr`` with its line end. ``seq`` orders the
 lines of an attempt and is unique within it; no result depends on arrival.
@@ -13,7 +13,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import has_text, last_line, lstrip_ws, rstrip_ws, strip_ws
+from ..functions.text import (
+    fill,
+    has_text,
+    last_line,
+    lstrip_ws,
+    rstrip_ws,
+    strip_ws,
+)
 from ..sources.storage import stage
 from .sizing import sized
 
@@ -35,7 +42,11 @@ _ERROR_LINE = r"(?m)^([\w.]*(?:Error|Exception))(?:: (.*))?$"
 
 @dataclass(frozen=True)
 class Limits:
-    """When an output is too large for one value, and how large a part may be."""
+    """When an output is too large for one value, and how large a part may be.
+
+    A part covers ``part_lines`` numbers of ``seq``; where ``seq`` has gaps it holds
+    fewer lines.
+    """
 
     chars: int = 8_000_000
     lines: int = 100_000
@@ -59,11 +70,11 @@ def log_frames(attempts: DataFrame) -> DataFrame:
     frames = F.array(
         F.struct(
             F.lit("start").alias("place"),
-            F.format_string(START_FRAME, "attempt").alias("text"),
+            fill(START_FRAME, "attempt").alias("text"),
         ),
         F.struct(
             F.lit("end").alias("place"),
-            F.format_string(END_FRAME, "attempt", exit_code()).alias("text"),
+            fill(END_FRAME, "attempt", exit_code()).alias("text"),
         ),
     )
     return attempts.select(*ATTEMPT, F.inline(frames))
@@ -293,12 +304,12 @@ def with_output(
         joined = attempts.join(printed, ATTEMPT).unionByName(
             silent, allowMissingColumns=True
         )
-    both = strip_ws(F.format_string(BOTH_STREAMS, "blank_stdout", "blank_stderr"))
+    both = strip_ws(fill(BOTH_STREAMS, "blank_stdout", "blank_stderr"))
     blank = (F.col("blank_stdout") != "") | (F.col("blank_stderr") != "")
     output = (
         F.when(F.col("full_output") != "", F.col("full_output"))
         .when(blank, both)
-        .when(exit_code() != 0, F.format_string(NO_OUTPUT_NOTE, exit_code()))
+        .when(exit_code() != 0, fill(NO_OUTPUT_NOTE, exit_code()))
         .otherwise("")
     )
     return joined.select(

@@ -81,7 +81,8 @@ SELECT script_id, code,
          WHEN 4 THEN code
          WHEN 5 THEN 'df = spark.read.parquet(''s3a://bucket/' || k || ''')'
          WHEN 6 THEN 'df = spark.read.parquet(''{BASE}/../up_' || k || ''')'
-         ELSE 'a = spark.read.parquet(''{BASE}/l'').join(spark.read.parquet(''{BASE}/r''), ''id'')'
+         ELSE 'a = spark.read.parquet(''{BASE}/l'')'
+           || '.join(spark.read.parquet(''{BASE}/r''), ''id'')'
        END AS rewritten_code,
        CAST(NULL AS STRING) AS stage_error
 FROM (SELECT *, CAST(script_id AS STRING) AS k FROM scripts)
