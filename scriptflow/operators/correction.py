@@ -25,26 +25,27 @@ _OPENING_FENCE = rf"^(?:```python|```)[{WHITE_SPACE}]*+"
 _CLOSING_FENCE = r"```\z"
 
 
-def prompt_text(
-    code: Column, output: Column, is_first: Column | None = None,
-    is_last: Column | None = None,
-) -> Column:
-    """The prompt for a failed script.
+def _head(code: Column) -> Column:
+    return F.concat(F.lit(INSTRUCTION + CODE_HEAD), code, F.lit(OUTPUT_HEAD))
 
-    When an output comes in parts, so does its prompt: ``is_first`` and ``is_last``
-    tell which part carries the code and which one the end.
-    """
-    whole = is_first is None
-    head = F.concat(F.lit(INSTRUCTION + CODE_HEAD), code, F.lit(OUTPUT_HEAD))
-    if whole:
-        shown = F.coalesce(F.nullif(strip_ws(output), F.lit("")), F.lit(EMPTY_OUTPUT_NOTE))
-        return F.concat(head, shown, F.lit(END))
-    note = F.when(is_first & is_last, EMPTY_OUTPUT_NOTE).otherwise("")
-    shown = F.coalesce(F.nullif(output, F.lit("")), note)
-    return F.concat(
-        F.when(is_first, head).otherwise(""),
-        shown,
-        F.when(is_last, F.lit(END)).otherwise(""),
+
+def prompt_text(code: Column, output: Column) -> Column:
+    """The prompt for a failed script."""
+    shown = F.coalesce(F.nullif(strip_ws(output), F.lit("")), F.lit(EMPTY_OUTPUT_NOTE))
+    return F.concat(_head(code), shown, F.lit(END))
+
+
+def prompt_part(
+    code: Column, output: Column, is_first: Column, is_last: Column
+) -> Column:
+    """The prompt for a part of an output: the first part carries the code."""
+    whole = is_first & is_last
+    return F.when(whole, prompt_text(code, output)).otherwise(
+        F.concat(
+            F.when(is_first, _head(code)).otherwise(""),
+            output,
+            F.when(is_last, F.lit(END)).otherwise(""),
+        )
     )
 
 
@@ -60,7 +61,7 @@ def prompts(
         & (exit_code() != 0)
         & (F.col("attempt") < max_attempts)
     )
-    prompt = prompt_text(
+    prompt = prompt_part(
         F.col("code"), F.col("output"), F.col("is_first"), F.col("is_last")
     )
     return with_output(

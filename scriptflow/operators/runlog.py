@@ -285,9 +285,9 @@ def with_output(
 ) -> DataFrame:
     """Attempts with ``output``: what they printed, or a note if that is nothing.
 
-    White space alone is shown by stream; an attempt that failed without any line
-    gets a note with its exit code; one that succeeded gets an empty text. With
-    ``only``, other attempts count as silent.
+    White space alone is shown by stream, unless it is too large for one value; an
+    attempt that failed without any line gets a note with its exit code; one that
+    succeeded gets an empty text. With ``only``, other attempts count as silent.
     """
     large = _large_attempts(logs, limits)
     only = None if only is None else sized(only.distinct())[1]
@@ -306,8 +306,10 @@ def with_output(
         )
     both = strip_ws(fill(BOTH_STREAMS, "blank_stdout", "blank_stderr"))
     blank = (F.col("blank_stdout") != "") | (F.col("blank_stderr") != "")
+    is_first = F.coalesce("is_first", F.lit(True))
+    is_last = F.coalesce("is_last", F.lit(True))
     output = (
-        F.when(F.col("full_output") != "", F.col("full_output"))
+        F.when((F.col("full_output") != "") | ~(is_first & is_last), F.col("full_output"))
         .when(blank, both)
         .when(exit_code() != 0, fill(NO_OUTPUT_NOTE, exit_code()))
         .otherwise("")
@@ -315,8 +317,8 @@ def with_output(
     return joined.select(
         *attempts.columns,
         F.coalesce("part", F.lit(0).cast("bigint")).alias("part"),
-        F.coalesce("is_first", F.lit(True)).alias("is_first"),
-        F.coalesce("is_last", F.lit(True)).alias("is_last"),
+        is_first.alias("is_first"),
+        is_last.alias("is_last"),
         output.alias("output"),
     )
 

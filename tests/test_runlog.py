@@ -132,6 +132,17 @@ def test_output_or_note(spark, limits):
     assert whole(result, "output") == expected
 
 
+def test_no_note_inside_an_output(spark):
+    lines = ["a\n", "", "", "", "", "b\n"]
+    logs = spark.createDataFrame(
+        [(1, 1, seq, "stdout", line) for seq, line in enumerate(lines)], LOG
+    )
+    attempts = spark.createDataFrame([(1, 1, 3)], "run_id long, attempt int, exit_code int")
+    result = runlog.output_or_note(attempts, logs, Limits(lines=0, part_lines=2))
+    assert result.count() == 3
+    assert whole(result, "output") == {(1, 1): ("a\nb",)}
+
+
 @pytest.mark.parametrize("limits", LIMITS)
 @pytest.mark.parametrize("seed", [5, 6])
 def test_success_marker(spark, limits, seed):
