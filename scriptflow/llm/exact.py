@@ -24,7 +24,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..sources.storage import fresh_dir, stage
+from ..sources.storage import file_system, fresh_dir, stage
 from ..streaming.logs import file_stream
 
 _BLANK = r"[\x20\x09-\x0D]+"
@@ -32,6 +32,10 @@ _BLANK = r"[\x20\x09-\x0D]+"
 _LAST = 2**63 - 1
 #: Files of one micro-batch of the stream.
 FILES_PER_BATCH = 100_000
+#: Input for which the state gets a partition of its own, and bounds of their number.
+#: It is fixed when a state is new, so it follows the input and not the session.
+BYTES_PER_STATE = 256 << 20
+STATES = (12, 8192)
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": (
@@ -71,8 +75,15 @@ def _rank() -> list[Column]:
     ]
 
 
-def watch(docs: DataFrame, digest: Column, state: str) -> None:
-    """Take a stream of documents into the state at ``state``.
+def _state_partitions(spark: SparkSession, path: str) -> int:
+    fs, where = file_system(spark, path)
+    size = fs.getContentSummary(where).getLength()
+    return min(max(STATES[0], size // BYTES_PER_STATE), STATES[1])
+
+
+def watch(docs: DataFrame, digest: Column, state: str, partitions: int) -> None:
+    """Take a stream of documents into the state at ``state``, which has so many
+    partitions if it is new.
 
     Every batch writes the rows of state that it changed to ``state/changes``; a
     batch that runs again replaces its own. ``docs`` needs ``doc_id, text, _file,
@@ -90,7 +101,8 @@ def watch(docs: DataFrame, digest: Column, state: str) -> None:
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{state}/changes/batch_id={batch_id}")
 
-    with _settings(docs.sparkSession, _STATE):
+    number = {"spark.sql.streaming.internal.stateStore.partitions": str(partitions)}
+    with _settings(docs.sparkSession, _STATE | number):
         query = (
             groups.writeStream.outputMode("update")
             .option("checkpointLocation", f"{state}/checkpoint")
@@ -141,7 +153,8 @@ def deduplicate(
     """
     state = state or fresh_dir(spark, "exact_state")
     digest = F.substring(F.unhex(sha256(normalised(F.col("text")))), 1, digest_bytes)
-    watch(_located(file_stream(spark, path, files_per_batch)), digest, state)
+    stream = _located(file_stream(spark, path, files_per_batch))
+    watch(stream, digest, state, _state_partitions(spark, path))
     groups = stage(latest(spark, state), "exact_groups")
 
     docs = spark.read.parquet(path)

@@ -4,17 +4,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, quality
+from . import chat, decontamination, exact, jaccard, lines, packing, pii, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": decontamination.op1_decontamination,
+        "op2_lines": lines.op2_lines,
         "op3_quality": quality.op3_quality,
+        "op5_jaccard": jaccard.op5_jaccard,
+        "op6_pii": pii.op6_pii,
         "op8_exact": exact.op8_exact,
+        "op9_packing": packing.op9_packing,
+        "op10_chat": chat.op10_chat,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_lines": lines.OP2_SQL,
         "op8_exact": exact.OP8_SQL,
+        "op10_chat": chat.OP10_SQL,
     }

@@ -138,3 +138,8 @@ def shingle_hashes(words: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray
         else:
             out.append(words[:0])
     return out
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z in lower case."""
+    return _LOWER[data]
