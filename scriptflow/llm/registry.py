@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, exact, jaccard, lines, packing, pii, quality
+from . import chat, decontamination, exact, jaccard, lines, packing, pii, ppm, quality, repeats
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -12,8 +12,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": decontamination.op1_decontamination,
         "op2_lines": lines.op2_lines,
         "op3_quality": quality.op3_quality,
+        "op4_ppm": ppm.op4_ppm,
         "op5_jaccard": jaccard.op5_jaccard,
         "op6_pii": pii.op6_pii,
+        "op7_repeats": repeats.op7_repeats,
         "op8_exact": exact.op8_exact,
         "op9_packing": packing.op9_packing,
         "op10_chat": chat.op10_chat,
