@@ -15,7 +15,7 @@ Words are runs of bytes outside ``[\\x20\\x09-\\x0D]``, lower-cased A-Z; punctua
 at their ends does not count.
 
 Defined cases: a null text has no words and is clean; items of fewer than five words,
-or null, are not searched for; items that are alike are all reported; no items leave
+or null, are not searched for; a null item id is reported as null; items that are alike are all reported; no items leave
 every document clean; every row of a repeated document gets its own result.
 """
 
@@ -84,7 +84,7 @@ class Index:
         column = pa.array(texts, pa.large_string())
         found = [_words(data, offsets) for _, _, data, offsets in words.blocks(column, 2**62)]
         self.words, self.at = found[0] if found else (np.zeros(0, np.uint64), np.zeros(1, int))
-        self.ids = np.array(item_ids, np.int64)
+        self.ids = item_ids
         size = np.diff(self.at)
         short = {int(n) for n in size if LEAST_WORDS <= n < max(map(len, MASKS))}
         self.masks = [*MASKS, *("1" * n for n in short if n > LEAST_WORDS)]
@@ -131,7 +131,7 @@ class Index:
             segment = verified(equal, int(last - first))
             if segment:
                 start, n, same = segment
-                hit = (int(self.ids[item]), int(low + shift + start - at[text]), n, same)
+                hit = (self.ids[item], int(low + shift + start - at[text]), n, same)
                 out[text][hit] = None
         return [list(hits) for hits in out]
 

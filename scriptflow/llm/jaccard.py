@@ -164,14 +164,14 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _links(sets, side, threshold) -> np.ndarray:
-    """Which of the sets link: a symmetric matrix. With two sides, only sets of
+    """Which of the sets link: a symmetric matrix. If there are sides, only sets of
     different sides are held against each other."""
     num, den = threshold
     size = np.array([len(s) for s in sets], np.float64)
     both = overlaps(sets)
     linked = den * both >= num * (size[:, None] + size[None, :] - both)
     np.fill_diagonal(linked, False)
-    if side.min() != side.max():
+    if side is not None:
         linked &= side[:, None] != side[None, :]
     return linked
 
@@ -197,7 +197,9 @@ def _product(threshold):
         family = table["family"].to_numpy()
         node = table["node"].to_numpy()
         copies = table["copies"].to_numpy()
-        side = table["side"].to_numpy()
+        # One of two blocks may be empty here: its number tells, not the rows.
+        two = table["unit_left"][0] != table["unit_right"][0]
+        side = table["side"].to_numpy() if two else None
         grams = table["grams"]
         out: list[list[np.ndarray]] = [[], [], []]
         order = np.lexsort((node, family))
@@ -206,7 +208,7 @@ def _product(threshold):
             if len(rows) < 2:
                 continue
             sets = [np.frombuffer(grams[int(k)].as_buffer(), np.uint64) for k in rows]
-            linked = _links(sets, side[rows], threshold)
+            linked = _links(sets, side[rows] if two else None, threshold)
             some = linked.any(axis=1)
             out[0].append(node[rows][some])
             out[1].append(_joined(linked, node[rows])[some])

@@ -1,0 +1,131 @@
+"""PPM against a plain version with dictionaries, base scores against counters."""
+
+import collections
+import math
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from scriptflow.llm import ppm, words
+
+SCHEMA = "doc_id bigint, text string, row string, score int, n int"
+TEXTS = ["the cat sat", "the hat", "", "aaaa", "caté the", "tea at the café", "a", "the cat sat"]
+
+
+def block(texts):
+    (only,) = words.blocks(pa.array(texts, pa.large_string()))
+    return only[2], only[3]
+
+
+def counted(texts, order):
+    out = [collections.Counter() for _ in range(order + 1)]
+    for text in texts:
+        symbols = [ppm.END] * order + list(text.encode()) + [ppm.END]
+        for at in range(order, len(symbols)):
+            for k in range(order + 1):
+                out[k][tuple(symbols[at - k : at + 1])] += 1
+    return out
+
+
+def plain(counts, context, symbol, least=1):
+    """The probability of a symbol, from the longest context down."""
+    p, excluded = 1.0, set()
+    for k in range(len(counts) - 1, -1, -1):
+        here = tuple(context[len(context) - k :])
+        all_ = {g[-1]: n for g, n in counts[k].items() if g[:-1] == here}
+        kept = {s: n for s, n in all_.items() if n >= least}
+        if not kept:
+            continue
+        pruned = sum(n for s, n in all_.items() if s not in kept)
+        left = {s: n for s, n in kept.items() if s not in excluded}
+        total = 2 * (sum(left.values()) + pruned)
+        if symbol in left:
+            return p * (2 * left[symbol] - 1) / total
+        if total:
+            p *= (len(left) + 2 * pruned) / total
+        excluded |= kept.keys()
+    return p / max(ppm.SYMBOLS - len(excluded), 1)
+
+
+def trained(spark, texts, order, share):
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    return ppm.train(ppm.gather(df, order), order, share)
+
+
+@pytest.mark.parametrize("order,share", [(3, 1 << 21), (7, 1 << 21), (2, 20)])
+def test_equals_dictionaries(spark, order, share):
+    trie = trained(spark, TEXTS, order, share)
+    counts = counted(TEXTS, order)
+    least = max(1, -(-sum(counts[0].values()) // share))
+    for text in ["the cat", "the cat sat", "", "zzz", "cafe aaa", "é"]:
+        symbols = [ppm.END] * order + list(text.encode()) + [ppm.END]
+        expected = sum(
+            math.log10(plain(counts, symbols[at - order : at], symbols[at], least))
+            for at in range(order, len(symbols))
+        )
+        data, offsets = block([text])
+        assert trie.score(data, offsets)[0] == pytest.approx(expected, abs=1e-9)
+
+
+@pytest.mark.parametrize("share", [1 << 21, 20])
+def test_probabilities_sum_to_one(spark, share):
+    trie = trained(spark, TEXTS, 4, share)
+    for context in (b"the ", b"cat\xc3", b"zzzz", bytes([ppm.END] * 4), b"\xff\xffth"):
+        number = np.uint64(int.from_bytes(context, "big") << 8)
+        grams = number | np.arange(256, dtype=np.uint64)
+        assert (10 ** trie.log_probability(grams)).sum() == pytest.approx(1, abs=1e-9)
+
+
+def test_blocks_do_not_matter():
+    texts = ["ab", "", "c", "", "", "dé"]
+    whole = ppm.sequences(*block(texts), 3)
+    alone = [ppm.sequences(*block([t]), 3) for t in texts]
+    assert whole.tolist() == np.concatenate(alone).tolist()
+
+
+def test_hashed():
+    keys = np.random.default_rng(1).integers(0, 2**64, 5000, dtype=np.uint64)
+    keys[:100] = np.arange(100)
+    table = ppm.Hashed(keys[:4000], np.arange(4000.0))
+    values, found = table.find(keys)
+    assert found[:4000].all() and not found[4000:].any()
+    assert (values[:4000] == np.arange(4000)).all() and (values[4000:] == 0).all()
+
+
+@pytest.mark.parametrize("share", [1 << 21, 8])
+def test_documents(spark, share):
+    rows = [(k, t, "x", 1, 2) for k, t in enumerate([*TEXTS, None, "Un Known  words", "THE"] * 3)]
+    rows += [rows[0], (None, "the", None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = ppm.score_documents(df, order=3, share=share).collect()
+    held = lambda k: k is not None and zlib.crc32(str(k).encode()) % 7 == 2
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    tokens = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", lower(t)), None]
+    counts = collections.Counter(w for k, t, *_ in rows if not held(k) for w in tokens(t))
+    n, v = sum(counts.values()), len(counts)
+    expected = sorted(
+        (
+            str(k), held(k), len(tokens(t)), sum(counts[w] > 0 for w in tokens(t)), n,
+            round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens(t)), 6),
+        )
+        for k, t, *_ in rows
+    )
+    assert expected == sorted(
+        (str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6))
+        for r in got
+    )
+    scores = collections.defaultdict(set)
+    for r in got:
+        scores[r.doc_id].add(r.score)
+    assert all(len(s) == 1 and max(s) < 0 for s in scores.values())
+
+
+def test_no_training_rows(spark):
+    df = spark.createDataFrame([], SCHEMA)
+    assert ppm.score_documents(df).collect() == []
+    held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 7 == 2)
+    (row,) = ppm.score_documents(spark.createDataFrame([(held, "ab", "", 1, 1)], SCHEMA)).collect()
+    assert row.score == pytest.approx(3 * math.log10(1 / 256)) and row.base_score == 0

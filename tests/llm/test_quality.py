@@ -1,0 +1,92 @@
+"""The classifier: calibration, held-out accuracy, odd inputs."""
+
+import numpy as np
+import pytest
+
+from scriptflow.llm import quality
+
+SF_DIR = "/root/testdata/sf0.01"
+SCHEMA = "doc_id bigint, text string, stats int, label int, score double, held_out int"
+
+
+def test_isotonic_is_the_best_rising_step_function():
+    rng = np.random.default_rng(1)
+    at, n = np.arange(60.0), rng.integers(1, 9, 60)
+    good = rng.binomial(n, np.linspace(0.1, 0.9, 60))
+    knots, levels = quality.isotonic(at, good.astype(float), n.astype(float))
+    assert (np.diff(levels) >= 0).all() and (np.diff(knots) >= 0).all()
+    fitted = np.interp(at, knots, levels)
+    # min-max formula of isotonic regression
+    best = [
+        max(min(good[a : b + 1].sum() / n[a : b + 1].sum() for b in range(k, 60)) for a in range(k + 1))
+        for k in range(60)
+    ]
+    assert np.abs(fitted - best).max() < 0.05
+
+
+def test_statistics_do_not_depend_on_the_block():
+    texts = ["Some words.\nSome words.", "", "ÜBER!! 12 $$$", "a a a", " \n ", "x" * 500]
+    column = quality.pa.array(texts, quality.pa.large_string())
+    rows = lambda size: np.vstack(
+        [quality.statistics(d, o) for _, _, d, o in quality.words.blocks(column, size)]
+    )
+    assert rows(10**6).shape == (len(texts), len(quality.STATISTICS))
+    assert np.allclose(rows(1), rows(10**6))
+
+
+def test_normal_equations_equal_a_direct_fit(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, len(quality.STATISTICS)))
+    y = (x[:, 0] > 0).astype(int)
+    rows = [(r.tolist(), int(t), k % 3 == 2) for k, (r, t) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "stats array<double>, label int, calibrate boolean")
+    model = quality.fit(df.repartition(4))
+    learn = np.arange(300) % 3 != 2
+    z, t = model.features(x[learn]), y[learn]
+    w = np.where(t == 1, 0.5 / t.mean(), 0.5 / (1 - t.mean()))
+    gram = (z * w[:, None]).T @ z + quality.RIDGE * len(t) * np.eye(z.shape[1])
+    assert np.allclose(model.weights, np.linalg.solve(gram, z.T @ (w * t)))
+    assert ((model.score(x) >= 0.5) == (y == 1)).mean() > 0.9
+
+
+def test_held_out_accuracy(spark):
+    scored = quality.op3_quality(spark, SF_DIR)
+    assert scored.columns == ["doc_id", "held_out", "score", "predicted"]
+    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
+    rows = scored.filter("held_out").join(labels, "doc_id").collect()
+    assert np.mean([r.predicted == r.quality for r in rows]) > 0.95
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
+
+
+def odd_docs(spark):
+    rows = [(k, f"plain words number {k}", 1, 2, 3.0, 4) for k in range(40)]
+    rows += [(100 + k, f"NO!! WAY!! {k}$$$ " * 3, 1, 2, 3.0, 4) for k in range(40)]
+    rows += [(200, None, None, None, None, None), (201, "", 1, 1, 1.0, 1), rows[0]]
+    return spark.createDataFrame([*rows, (None, "no id", 1, 1, 1.0, 1)], SCHEMA)
+
+
+@pytest.mark.parametrize("labels,kept", [("none", 84), ("bad", 0), ("both", None)])
+def test_odd_inputs(spark, labels, kept):
+    rows = {
+        "none": [],
+        "bad": [(k, 0) for k in range(40)],
+        "both": [(k, 1) for k in range(40)] + [(100 + k, 0) for k in range(40)]
+        + [(None, 1), (1, None), (1, 1), (999, 0)],
+    }[labels]
+    table = spark.createDataFrame(rows, "doc_id bigint, quality int")
+    docs = odd_docs(spark)
+    scored = quality.classify(docs, table).collect()
+    assert len(scored) == 84 and all(0 <= r.score <= 1 for r in scored)
+    good = quality.keep_good(docs, table)
+    assert good.columns == docs.columns
+    if kept is not None:
+        assert good.count() == kept
+    else:
+        ids = {r.doc_id for r in good.collect()}
+        assert set(range(40)) <= ids and not ids & set(range(100, 140))
+
+
+def test_empty_table(spark):
+    empty = odd_docs(spark).limit(0)
+    labels = spark.createDataFrame([(1, 1)], "doc_id bigint, quality int")
+    assert quality.classify(empty, labels).collect() == []
