@@ -154,8 +154,9 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     total = np.zeros((len(sets), len(sets)), np.float64)
-    width = max(1, SLAB // len(sets))
-    for first in range(0, int(shared.sum()), width):
+    columns = int(shared.sum())
+    width = max(1, min(SLAB // len(sets), columns))
+    for first in range(0, columns, width):
         low, high = np.searchsorted(column, [first, first + width])
         slab = np.zeros((len(sets), width), np.float32)
         slab[row[low:high], column[low:high] - first] = 1
