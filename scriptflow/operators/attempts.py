@@ -1,12 +1,22 @@
 """Jobs over attempts: what each led to, and how each run ended.
 
-Columns: ``(run_id, attempt, exit_code, code, suggestion, stage_error)``.
+Columns: ``(run_id, attempt, exit_code, code, suggestion, stage_error)``. A
+``stage_error`` of ``analysis`` or ``save`` means that the script was not run, one of
+``stream`` that its output could not be read to the end: such an attempt has failed,
+whatever its exit code, and goes on to correction.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import fill, strip_ws
-from .runlog import ATTEMPT, Limits, exit_code, with_output
+from .runlog import (
+    ATTEMPT,
+    PART_LINES,
+    STREAM,
+    STREAM_ERROR_NOTE,
+    exit_code,
+    with_output,
+)
 
 # Fixed value: attempts per run unless the user asks for another number.
 MAX_ATTEMPTS = 3
@@ -52,8 +62,8 @@ def _action_code(max_attempts: int) -> Column:
     code = ACTIONS.index
     return (
         F.when(F.col("stage_error") == "save", code("save_error"))
-        .when(F.col("stage_error").isNotNull(), code("analysis_error"))
-        .when(exit_code() == 0, code("success"))
+        .when(F.col("stage_error") != STREAM, code("analysis_error"))
+        .when((exit_code() == 0) & F.col("stage_error").isNull(), code("success"))
         .when(F.col("attempt") >= max_attempts, code("max_attempts"))
         .when(~_has_suggestion(), code("no_suggestion"))
         .when(~_differs(), code("same_code"))
@@ -68,8 +78,8 @@ def _action_name(code) -> Column:
 def attempt_action(
     attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS
 ) -> DataFrame:
-    """What each attempt leads to. Any ``stage_error`` but ``save`` counts as one of
-    the analysis."""
+    """What each attempt leads to. Any ``stage_error`` but ``save`` and ``stream``
+    counts as one of the analysis."""
     return attempts.select(
         *ATTEMPT, _action_name(_action_code(max_attempts)).alias("action")
     )
@@ -87,11 +97,14 @@ def _final_attempts(attempts: DataFrame, max_attempts: int) -> DataFrame:
         F.col("attempt").cast("bigint") * len(ACTIONS) + code,
     )
     return (
-        attempts.select(*ATTEMPT, "exit_code", _action_code(max_attempts).alias("code"))
+        attempts.select(
+            *ATTEMPT, "exit_code", "stage_error", _action_code(max_attempts).alias("code")
+        )
         .groupBy("run_id")
         .agg(
             F.min(rank).alias("rank"),
             F.min_by("exit_code", rank).alias("exit_code"),
+            F.min_by(F.col("stage_error") == STREAM, rank).alias("cut_off"),
             F.max("attempt").alias("latest"),
         )
         .select(
@@ -99,6 +112,7 @@ def _final_attempts(attempts: DataFrame, max_attempts: int) -> DataFrame:
             F.expr(f"CAST(rank div {len(ACTIONS)} AS INT)").alias("attempt"),
             _action_name((F.col("rank") % len(ACTIONS)).cast("int")).alias("action"),
             "exit_code",
+            F.when(F.col("cut_off"), STREAM).alias("stage_error"),
             "latest",
         )
     )
@@ -142,11 +156,13 @@ def failure_report(
     attempts: DataFrame,
     logs: DataFrame,
     max_attempts: int = MAX_ATTEMPTS,
-    limits: Limits = Limits(),
+    part_lines: int = PART_LINES,
 ) -> DataFrame:
     """What is shown for each failed run: the output of its final attempt.
 
-    Only the lines of those attempts are put together.
+    Only the lines of those attempts are put together. Runs that never came to an end
+    have no final attempt and are not in the report; ``run_outcome`` has them as
+    ``incomplete``.
     """
     failed = _final_attempts(attempts, max_attempts).filter(
         F.col("action") != "success"
@@ -158,11 +174,12 @@ def failure_report(
         .when(F.col("action") == "no_suggestion", NO_SUGGESTION_NOTE)
         .otherwise("")
     )
+    cut_off = F.col("is_last") & (F.col("stage_error") == STREAM)
     report = F.when(not_run, fill(STAGE_ERROR_NOTE, "action")).otherwise(
-        F.concat("output", note)
+        F.concat("output", F.when(cut_off, STREAM_ERROR_NOTE).otherwise(""), note)
     )
     ran = failed.filter(~not_run).select(*ATTEMPT)
-    return with_output(failed.drop("latest"), logs, limits, ran).select(
+    return with_output(failed.drop("latest"), logs, part_lines, ran).select(
         "run_id",
         F.col("action").alias("outcome"),
         "attempt",

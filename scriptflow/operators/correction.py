@@ -7,11 +7,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import WHITE_SPACE, strip_ws
 from .attempts import MAX_ATTEMPTS
-from .runlog import ATTEMPT, Limits, exit_code, with_output
+from .runlog import (
+    ATTEMPT,
+    PART_LINES,
+    STREAM,
+    STREAM_ERROR_NOTE,
+    exit_code,
+    with_output,
+)
 
 EMPTY_OUTPUT_NOTE = (
     "[note] the script failed and printed nothing; look for the cause in the code"
 )
+NO_CODE_NOTE = "[note] the code is not known"
 INSTRUCTION = (
     "The PySpark script below failed. Its output follows the code.\n"
     "Correct syntax and run-time errors. Reply with the whole corrected script, as\n"
@@ -26,6 +34,7 @@ _CLOSING_FENCE = r"```\z"
 
 
 def _head(code: Column) -> Column:
+    code = F.coalesce(code, F.lit(NO_CODE_NOTE))
     return F.concat(F.lit(INSTRUCTION + CODE_HEAD), code, F.lit(OUTPUT_HEAD))
 
 
@@ -53,21 +62,22 @@ def prompts(
     attempts: DataFrame,
     logs: DataFrame,
     max_attempts: int = MAX_ATTEMPTS,
-    limits: Limits = Limits(),
+    part_lines: int = PART_LINES,
 ) -> DataFrame:
-    """The prompt of every attempt that ran, failed, and may be tried again."""
+    """The prompt of every attempt that ran, failed, and may be tried again; one of
+    which the output broke off has failed."""
+    cut_off = F.coalesce(F.col("stage_error") == STREAM, F.lit(False))
     asked = attempts.filter(
-        F.col("stage_error").isNull()
-        & (exit_code() != 0)
+        (cut_off | F.col("stage_error").isNull() & (exit_code() != 0))
         & (F.col("attempt") < max_attempts)
     )
-    prompt = prompt_part(
-        F.col("code"), F.col("output"), F.col("is_first"), F.col("is_last")
-    )
+    note = F.when(cut_off & F.col("is_last"), STREAM_ERROR_NOTE).otherwise("")
+    output = F.concat("output", note)
+    prompt = prompt_part(F.col("code"), output, F.col("is_first"), F.col("is_last"))
     return with_output(
-        asked.select(*ATTEMPT, "exit_code", "code"),
+        asked.select(*ATTEMPT, "exit_code", "code", "stage_error"),
         logs,
-        limits,
+        part_lines,
         asked.select(*ATTEMPT),
     ).select(*ATTEMPT, "part", prompt.alias("prompt"))
 

@@ -3,14 +3,17 @@
 A row is one line of ``stdout`` or ``stderr`` with its line end. ``seq`` orders the
 lines of an attempt and is unique within it; no result depends on arrival.
 
-An attempt's output is one text when it is small enough to be one value. A larger
-one comes as several rows whose texts, put together in the order of ``part``, are
-the output. Parts are ranges of ``seq``, so a single attempt may hold any share of
-the table without any task or value growing with it.
+Every output comes in parts, cut by one rule: ``part_lines`` numbers of ``seq``,
+counted from the attempt's first line (of those with text, where outer white space is
+dropped). Put together in the order of ``part``, they are the output. A short output
+is one part; an attempt that holds a third of the table is as many as it takes, and
+no task or value grows with it. Where ``seq`` has gaps, a part holds fewer lines.
+
+No function starts a job. Where the edges of an output are needed, the log is read
+twice: once for a few numbers of each attempt, combined before the shuffle, and once
+for the lines, which are exchanged by attempt and part.
 """
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import (
@@ -19,38 +22,29 @@ from ..functions.text import (
     last_line,
     lstrip_ws,
     rstrip_ws,
-    strip_ws,
 )
-from ..sources.storage import stage
-from .sizing import sized
 
 ATTEMPT = ["run_id", "attempt"]
 
 # The exit code of an attempt that reported none, the word that marks
-# success, and the formats of displayed text.
+# success, the ``stage_error`` of an output that broke off, and the formats of
+# displayed text.
 NO_EXIT_CODE = -99
 SUCCESS_MARKER = "SUCESSO"
 STDERR_PREFIX = "[STDERR] "
 START_FRAME = "--- Iniciando execução da Tentativa %d ---\n"
 END_FRAME = "\n--- Fim da execução (Tentativa %d) --- Código de Saída: %d ---\n"
 BOTH_STREAMS = "STDOUT:\n%s\n\nSTDERR:\n%s"
+STREAM = "stream"
+STREAM_ERROR_NOTE = "\nSTREAMING ERROR: the output could not be read to its end"
 NO_OUTPUT_NOTE = "[note] the script ended with exit code %d and printed nothing"
 
 # A line that ends a traceback: the type, and the message after a colon.
 _ERROR_LINE = r"(?m)^([\w.]*(?:Error|Exception))(?:: (.*))?$"
 
 
-@dataclass(frozen=True)
-class Limits:
-    """When an output is too large for one value, and how large a part may be.
-
-    A part covers ``part_lines`` numbers of ``seq``; where ``seq`` has gaps it holds
-    fewer lines.
-    """
-
-    chars: int = 8_000_000
-    lines: int = 100_000
-    part_lines: int = 50_000
+#: Numbers of ``seq`` that a part of an output covers.
+PART_LINES = 10_000
 
 
 def exit_code(c="exit_code") -> Column:
@@ -80,82 +74,64 @@ def log_frames(attempts: DataFrame) -> DataFrame:
     return attempts.select(*ATTEMPT, F.inline(frames))
 
 
-def _large_attempts(logs: DataFrame, limits: Limits) -> DataFrame | None:
-    """Attempts that need parts, if any: the range of lines between the outer white
-    space, and how many values of ``seq`` make up a part.
-
-    Lines per part are bounded because ``seq`` is unique, and characters because
-    the longest line is known.
-    """
+def _bounds(logs: DataFrame) -> DataFrame:
+    """Of every attempt its first and last ``seq``, those of lines with text (NULL if
+    it has none), and whether it printed anything at all."""
     seq_with_text = F.when(has_text("line"), F.col("seq"))
-    sizes = logs.groupBy(*ATTEMPT).agg(
-        F.count("*").alias("n"),
-        F.sum(F.length("line")).alias("chars"),
-        F.max(F.length("line")).alias("longest"),
+    return logs.groupBy(*ATTEMPT).agg(
+        F.min("seq").alias("start"),
+        F.max("seq").alias("end"),
         F.min(seq_with_text).alias("first"),
         F.max(seq_with_text).alias("last"),
-        F.max("seq").alias("end"),
-    )
-    fitting = F.expr(f"{limits.chars} div greatest(longest, 1)")
-    n_large, large = sized(
-        sizes.filter(
-            (F.col("n") > limits.lines) | (F.col("chars") > limits.chars)
-        ).select(
-            *ATTEMPT,
-            F.coalesce("first", "end").alias("first"),
-            F.coalesce("last", "end").alias("last"),
-            F.greatest(F.lit(1), F.least(F.lit(limits.part_lines), fitting)).alias(
-                "width"
-            ),
-        )
+        F.bool_or(F.col("line") != "").alias("printed"),
     )
-    return large if n_large else None
 
 
 def _placed(
     logs: DataFrame,
-    large: DataFrame | None,
+    part_lines: int,
     trim: bool = True,
+    blank_stdout: bool = False,
     only: DataFrame | None = None,
 ) -> DataFrame:
-    """The lines; those of large attempts with the ``part`` they belong to.
+    """The lines with the ``part`` they belong to.
 
-    ``trim`` drops the outer white space of large attempts here, line by line;
-    small ones are stripped once they are one text. ``only`` restricts the work to
-    some distinct ``(run_id, attempt)``. The lines take part in one join at most:
-    Spark does not split skewed keys in a row of joins.
+    ``trim`` drops the outer white space of every output; of an attempt without text
+    one empty line stays. With ``blank_stdout`` such an attempt keeps its ``stdout``,
+    and empty lines for the other stream. ``only`` restricts the work to some distinct
+    ``(run_id, attempt)``.
     """
-    lines = logs.select(
-        *ATTEMPT, "seq", "stream", "line", (~has_text("line")).alias("blank")
-    )
-    if large is None:
-        return lines if only is None else lines.join(only, ATTEMPT, "left_semi")
-    if only is None:
-        lines = lines.join(large, ATTEMPT, "left")
-    else:
-        lines = lines.join(sized(only.join(large, ATTEMPT, "left"))[1], ATTEMPT)
-
-    small = F.col("width").isNull()
+    bounds = _bounds(logs)
+    if only is not None:
+        bounds = bounds.join(only, ATTEMPT, "left_semi")
+    # Skewed keys are split only where both sides come straight from an exchange: the
+    # lines take part in one join, and the few numbers are dealt out once more.
+    bounds = bounds.hint("rebalance")
+    lines = logs.select(*ATTEMPT, "seq", "stream", "line").join(bounds, ATTEMPT)
+    seq, blank = F.col("seq"), F.col("first").isNull()
+    origin, stop = F.col("start"), F.col("end")
     if trim:
-        lines = lines.filter(small | F.col("seq").between(F.col("first"), F.col("last")))
-        line = F.when(F.col("seq") == F.col("first"), lstrip_ws("line")).otherwise(
-            F.col("line")
+        shown = blank & F.col("printed") if blank_stdout else F.lit(False)
+        inside = seq.between(F.col("first"), F.col("last"))
+        lines = lines.filter(
+            F.when(shown, True).when(blank, seq == F.col("start")).otherwise(inside)
         )
-        line = F.when(F.col("seq") == F.col("last"), rstrip_ws(line)).otherwise(line)
-        lines = lines.withColumn("line", line)
-
-    def part_of(seq: str) -> Column:
-        return F.expr(f"coalesce({seq} div width, 0)")
-
+        line = F.when(seq == F.col("first"), lstrip_ws("line")).otherwise(F.col("line"))
+        line = F.when(seq == F.col("last"), rstrip_ws(line)).otherwise(line)
+        kept = shown & (F.col("stream") == "stdout")
+        lines = lines.withColumn("line", F.when(blank & ~kept, "").otherwise(line))
+        origin = F.coalesce("first", "start")
+        stop = F.when(shown, stop).otherwise(F.coalesce("last", "start"))
+    lines = lines.withColumns({"origin": origin, "stop": stop})
     return lines.select(
         *ATTEMPT,
         "seq",
         "stream",
         "line",
-        "blank",
-        part_of("seq").alias("part"),
-        (small | (part_of("seq") == part_of("first"))).alias("is_first"),
-        (small | (part_of("seq") == part_of("last"))).alias("is_last"),
+        F.expr(f"(seq - origin) div {int(part_lines)}").alias("part"),
+        F.expr(f"(stop - origin) div {int(part_lines)}").alias("last_part"),
+        blank.alias("blank"),
+        "printed",
     )
 
 
@@ -194,123 +170,96 @@ def _aligned(placed: DataFrame) -> DataFrame:
     )
 
 
-def _gather(placed: DataFrame, *texts: Column) -> DataFrame:
-    """Aggregate the lines of every attempt, or of every part of a large one.
+def _gather(placed: DataFrame, *streams: str) -> DataFrame:
+    """The texts of every part: of the given streams, or of both together as
+    ``text``.
 
     Lines are exchanged as they are: collecting them first on the map side would
     not make them fewer. The exchange is stated, since with the one that an
     aggregation brings along, a join before it would have to keep every attempt in
     one task; so it can be split.
     """
-    if "part" not in placed.columns:
-        whole = placed.repartition(*ATTEMPT).groupBy(*ATTEMPT).agg(*texts)
-        return whole.select(
-            "*",
-            F.lit(0).cast("bigint").alias("part"),
-            F.lit(True).alias("is_first"),
-            F.lit(True).alias("is_last"),
-        )
     keys = [*ATTEMPT, "part"]
-    return (
+    gathered = (
         placed.repartition(*keys)
         .groupBy(*keys)
         .agg(
-            *texts,
-            F.bool_or("is_first").alias("is_first"),
-            F.bool_or("is_last").alias("is_last"),
+            F.sort_array(F.collect_list(F.struct("seq", "stream", "line"))).alias("lines"),
+            F.max("last_part").alias("last_part"),
+            F.bool_or("blank").alias("blank"),
+            F.bool_or("printed").alias("printed"),
         )
     )
-
-
-def _ordered_text(where: str = "true") -> Column:
-    return F.coalesce(
-        F.expr(
-            f"listagg(line, '') WITHIN GROUP (ORDER BY seq) FILTER (WHERE {where})"
-        ),
-        F.lit(""),
+    n_seq = F.size(F.array_distinct(F.transform("lines", lambda x: x["seq"])))
+    lines = F.when(n_seq == F.size("lines"), F.col("lines")).otherwise(
+        F.raise_error(F.lit("seq is not unique within an attempt"))
     )
+    gathered = gathered.withColumn("lines", lines)
+
+    def text(stream: str | None) -> list[Column]:
+        own = F.col("lines")
+        if stream:
+            own = F.filter(own, lambda x: x["stream"] == stream)
+        joined = F.array_join(F.transform(own, lambda x: x["line"]), "")
+        if not stream:
+            return [joined.alias("text")]
+        n = F.size(own).cast("bigint")
+        return [joined.alias(stream), n.alias(f"{stream}_lines")]
 
-
-def _unique(text: Column) -> Column:
-    """``text``, or an error if two lines of its group share a ``seq``."""
-    return F.when(
-        F.size(F.collect_set("seq")) == F.count("seq"), text
-    ).otherwise(F.raise_error(F.lit("seq is not unique within an attempt")))
-
-
-def _outputs(placed: DataFrame) -> DataFrame:
-    """The stripped output of every attempt, both streams in order.
-
-    ``blank_stdout`` and ``blank_stderr`` hold the lines without text, which is all
-    there is when the output is empty.
-    """
-    text = F.col("raw")
-    # A middle part starts and ends inside the output; its edges are kept.
-    text = F.when(F.col("is_first") & F.col("is_last"), strip_ws(text)).otherwise(text)
-    gathered = _gather(
-        placed,
-        _unique(_ordered_text()).alias("raw"),
-        _ordered_text("stream = 'stdout' AND blank").alias("blank_stdout"),
-        _ordered_text("stream = 'stderr' AND blank").alias("blank_stderr"),
-    )
     return gathered.select(
-        *ATTEMPT,
-        "part",
-        "is_first",
-        "is_last",
-        text.alias("full_output"),
-        "blank_stdout",
-        "blank_stderr",
+        *keys,
+        (F.col("part") == 0).alias("is_first"),
+        (F.col("part") == F.col("last_part")).alias("is_last"),
+        "blank",
+        "printed",
+        *[c for stream in streams or (None,) for c in text(stream)],
     )
 
 
-def log_full_output(logs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    placed = _placed(logs, _large_attempts(logs, limits))
-    return _outputs(placed).select(*ATTEMPT, "part", "full_output")
+def log_full_output(logs: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
+    return _gather(_placed(logs, part_lines)).select(
+        *ATTEMPT, "part", F.col("text").alias("full_output")
+    )
 
 
-def log_by_stream(logs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def log_by_stream(logs: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
     """Text and number of lines of each stream, unstripped."""
-    return _gather(
-        _placed(logs, _large_attempts(logs, limits), trim=False),
-        _unique(_ordered_text("stream = 'stdout'")).alias("stdout"),
-        _ordered_text("stream = 'stderr'").alias("stderr"),
-        F.count_if(F.col("stream") == "stdout").alias("stdout_lines"),
-        F.count_if(F.col("stream") == "stderr").alias("stderr_lines"),
-    ).drop("is_first", "is_last")
+    placed = _placed(logs, part_lines, trim=False)
+    return _gather(placed, "stdout", "stderr").select(
+        *ATTEMPT, "stdout", "stderr", "stdout_lines", "stderr_lines", "part"
+    )
 
 
 def with_output(
-    attempts: DataFrame, logs: DataFrame, limits: Limits = Limits(), only=None
+    attempts: DataFrame, logs: DataFrame, part_lines: int = PART_LINES, only=None
 ) -> DataFrame:
     """Attempts with ``output``: what they printed, or a note if that is nothing.
 
-    White space alone is shown by stream, unless it is too large for one value; an
-    attempt that failed without any line gets a note with its exit code; one that
-    succeeded gets an empty text. With ``only``, other attempts count as silent.
+    White space alone is shown by stream; an attempt that failed without printing
+    anything gets a note with its exit code; one that succeeded gets an empty text.
+    With ``only``, other attempts count as silent.
     """
-    large = _large_attempts(logs, limits)
-    only = None if only is None else sized(only.distinct())[1]
-    printed = _outputs(_placed(logs, large, only=only))
-    if large is None:
-        joined = attempts.join(printed, ATTEMPT, "left")
-    else:
-        # An attempt may have any number of parts. Spark can split an inner join on
-        # their side, an outer one it cannot.
-        keys = logs.select(*ATTEMPT).distinct()
-        if only is not None:
-            keys = keys.join(only, ATTEMPT, "left_semi")
-        silent = attempts.join(keys, ATTEMPT, "left_anti")
-        joined = attempts.join(printed, ATTEMPT).unionByName(
-            silent, allowMissingColumns=True
-        )
-    both = strip_ws(fill(BOTH_STREAMS, "blank_stdout", "blank_stderr"))
-    blank = (F.col("blank_stdout") != "") | (F.col("blank_stderr") != "")
+    only = None if only is None else only.distinct()
+    printed = _gather(_placed(logs, part_lines, blank_stdout=True, only=only))
+    # An attempt may have any number of parts. Spark can split an inner join on their
+    # side, an outer one it cannot.
+    keys = logs.select(*ATTEMPT).distinct()
+    if only is not None:
+        keys = keys.join(only, ATTEMPT, "left_semi")
+    silent = attempts.join(keys, ATTEMPT, "left_anti")
+    joined = attempts.join(printed, ATTEMPT).unionByName(silent, allowMissingColumns=True)
     is_first = F.coalesce("is_first", F.lit(True))
     is_last = F.coalesce("is_last", F.lit(True))
+    # Blank lines of the second stream would end the text, and are stripped there.
+    head, middle, _ = BOTH_STREAMS.split("%s")
+    by_stream = F.concat(
+        F.when(is_first, head).otherwise(""),
+        "text",
+        F.when(is_last, middle.rstrip()).otherwise(""),
+    )
     output = (
-        F.when((F.col("full_output") != "") | ~(is_first & is_last), F.col("full_output"))
-        .when(blank, both)
+        F.when(~F.col("blank"), F.col("text"))
+        .when(F.col("printed"), by_stream)
         .when(exit_code() != 0, fill(NO_OUTPUT_NOTE, exit_code()))
         .otherwise("")
     )
@@ -324,26 +273,35 @@ def with_output(
 
 
 def output_or_note(
-    attempts: DataFrame, logs: DataFrame, limits: Limits = Limits()
+    attempts: DataFrame, logs: DataFrame, part_lines: int = PART_LINES
 ) -> DataFrame:
-    return with_output(attempts.select(*ATTEMPT, "exit_code"), logs, limits).select(
-        *ATTEMPT, "part", "output"
-    )
+    attempts = attempts.select(*ATTEMPT, "exit_code")
+    return with_output(attempts, logs, part_lines).select(*ATTEMPT, "part", "output")
+
+
+def _is_joined() -> Column:
+    """Whether a line other than the last one lacks its line end, as at the end of one
+    stream before the other goes on. What a line says then depends on the next one."""
+    unended = ~F.col("line").endswith("\n")
+    return F.count_if(unended) > F.max_by(unended, "seq").cast("int")
+
+
+def _whole_lines(logs: DataFrame, attempts: DataFrame, part_lines: int) -> DataFrame:
+    """The texts of some attempts in parts that end with a line."""
+    return _gather(_aligned(_placed(logs, part_lines, only=attempts)))
 
 
 def success_marker(
-    logs: DataFrame, marker: str = SUCCESS_MARKER, limits: Limits = Limits()
+    logs: DataFrame, marker: str = SUCCESS_MARKER, part_lines: int = PART_LINES
 ) -> DataFrame:
     """Whether the last line of the output, and whether any line, has ``marker``.
 
     A marker anywhere else than on the last line counts for the second only. Both
-    come from one aggregation that keeps a single line per attempt, so no output is
-    put together. That is exact when every line but the last one has its line end.
-    Attempts where it is missing, as at the end of one stream before the other goes
-    on, are put together and read as text, in parts that end with a line.
+    come from one aggregation that keeps a few flags per attempt, so no output is
+    put together. That is exact when every line but the last one has its line end;
+    attempts where it is missing are read as text, in parts that end with a line.
     """
     line = F.col("line")
-    unended = ~line.endswith("\n")
     seq_with_text = F.when(has_text(line), F.col("seq"))
 
     def in_last_line(text: Column) -> Column:
@@ -354,41 +312,28 @@ def success_marker(
 
     # Flags and numbers only: with a text among them the aggregation would have to
     # sort the whole log.
-    seen = stage(
-        logs.groupBy(*ATTEMPT).agg(
-            F.max_by(in_last_line(line), seq_with_text).alias("in_last"),
-            F.bool_or(F.contains(line, F.lit(marker))).alias("marker_any_line"),
-            F.count_if(unended).alias("n_unended"),
-            F.max_by(unended, "seq").alias("ends_unended"),
-        ),
-        "marker",
+    seen = logs.groupBy(*ATTEMPT).agg(
+        F.max_by(in_last_line(line), seq_with_text).alias("in_last"),
+        F.bool_or(F.contains(line, F.lit(marker))).alias("marker_any_line"),
+        _is_joined().alias("joined"),
     )
-    joined = F.col("n_unended") > F.col("ends_unended").cast("int")
-    n_joined, keys = sized(seen.filter(joined).select(*ATTEMPT))
-    by_line = seen.filter(~joined) if n_joined else seen
-    result = by_line.select(
+    by_line = seen.filter(~F.col("joined")).select(
         *ATTEMPT,
         F.coalesce("in_last", F.lit(False)).alias("marker_last_line"),
         "marker_any_line",
     )
-    if n_joined == 0:
-        return result
-
-    large = _large_attempts(logs, limits)
-    placed = _placed(logs, large, only=keys)
+    joined = seen.filter("joined").select(*ATTEMPT)
     by_text = (
-        _outputs(placed if large is None else _aligned(placed))
+        _whole_lines(logs, joined, part_lines)
         .groupBy(*ATTEMPT)
         .agg(
-            F.bool_or(F.col("is_last") & in_last_line(F.col("full_output"))).alias(
+            F.bool_or(F.col("is_last") & in_last_line(F.col("text"))).alias(
                 "marker_last_line"
             ),
-            F.bool_or(F.contains("full_output", F.lit(marker))).alias(
-                "marker_any_line"
-            ),
+            F.bool_or(F.contains("text", F.lit(marker))).alias("marker_any_line"),
         )
     )
-    return result.unionByName(by_text)
+    return by_line.unionByName(by_text)
 
 
 def _last_error_line(text) -> Column:
@@ -415,15 +360,28 @@ def error_of(text: Column) -> Column:
     return F.struct(*_error_parts(_last_error_line(text)))
 
 
-def error_type(logs: DataFrame) -> DataFrame:
-    """The last error each attempt reports, from its lines; NULLs if there is none."""
-    found = logs.select(*ATTEMPT, "seq", _last_error_line(F.col("line")).alias("found"))
-    seq = F.when(F.col("found").isNotNull(), F.col("seq"))
-    return (
-        found.groupBy(*ATTEMPT)
-        .agg(F.max_by("found", seq).alias("found"))
-        .select(*ATTEMPT, *_error_parts(F.col("found")))
-    )
+def error_type(logs: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
+    """The last error each attempt reports; NULLs if there is none.
+
+    Errors are found line by line, and the last one of an attempt by its number, so
+    the log is not sorted. Attempts with joined lines are read as text, in parts that
+    end with a line.
+    """
+    kinds = logs.groupBy(*ATTEMPT).agg(_is_joined().alias("joined"))
+    found = logs.select(
+        *ATTEMPT, "seq", _last_error_line(F.col("line")).alias("found")
+    ).filter("found IS NOT NULL")
+    last = found.groupBy(*ATTEMPT).agg(F.max("seq").alias("seq"))
+    found = found.join(last, [*ATTEMPT, "seq"]).drop("seq")
+    by_line = kinds.filter(~F.col("joined")).join(found, ATTEMPT, "left")
+    by_line = by_line.select(*ATTEMPT, *_error_parts(F.col("found")))
+
+    joined = kinds.filter("joined").select(*ATTEMPT)
+    texts = _whole_lines(logs, joined, part_lines)
+    error = error_of(F.col("text"))
+    reported = F.when(error["error_type"].isNotNull(), F.col("part"))
+    by_text = texts.groupBy(*ATTEMPT).agg(F.max_by(error, reported).alias("error"))
+    return by_line.unionByName(by_text.select(*ATTEMPT, "error.*"))
 
 
 def attempt_verdict(attempts: DataFrame) -> DataFrame:

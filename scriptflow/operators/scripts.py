@@ -87,11 +87,15 @@ def _as_column(base: str | Column) -> Column:
     return base if isinstance(base, Column) else F.lit(base)
 
 
+def with_syntax(scripts: DataFrame) -> DataFrame:
+    """The scripts with ``ok``, whether they parse, and if not ``error_type``,
+    ``line`` and ``message``."""
+    return scripts.withColumn("result", _syntax("code")).select(*scripts.columns, "result.*")
+
+
 def script_syntax(scripts: DataFrame) -> DataFrame:
     """Whether each script parses, and if not the error with its line."""
-    return scripts.select("script_id", _syntax("code").alias("result")).select(
-        "script_id", "result.*"
-    )
+    return with_syntax(scripts.select("script_id", "code")).drop("code")
 
 
 def script_paths(scripts: DataFrame, base: str | Column) -> DataFrame:

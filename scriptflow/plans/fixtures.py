@@ -63,8 +63,8 @@ SELECT CAST(2 * FLOOR(o_orderkey / 7) + CASE WHEN o_orderkey % 7 < 5 THEN 0 ELSE
             WHEN o_custkey % 23 = 0 THEN ''
             WHEN o_custkey % 5 = 0 THEN '  ' || o_orderpriority || '  '
             ELSE o_orderpriority || ' ' || CAST(o_custkey AS STRING) END AS suggestion,
-       CASE WHEN o_custkey % 97 = 0 THEN 'analysis' WHEN o_custkey % 101 = 0 THEN 'save' END
-         AS stage_error
+       CASE WHEN o_custkey % 97 = 0 THEN 'analysis' WHEN o_custkey % 101 = 0 THEN 'save'
+            WHEN o_custkey % 43 = 0 THEN 'stream' END AS stage_error
 FROM {orders}
 """
 
@@ -74,8 +74,13 @@ SELECT user_id AS run_id,
        event_id AS seq,
        ts,
        CASE WHEN event_type = 'error' THEN 'stderr' ELSE 'stdout' END AS stream,
-       CASE WHEN event_id % 29 = 0 THEN 'SUCESSO' ELSE event_type || ' ' || props END || chr(10)
-         AS line
+       CASE WHEN user_id % 13 = 5
+              THEN CASE WHEN event_id % 2 = 0 THEN ' ' || chr(9) ELSE '' END || chr(10)
+            WHEN user_id % 13 = 6 THEN ''
+            WHEN event_id % 29 = 0 THEN 'SUCESSO'
+              || CASE WHEN event_id % 3 = 0 THEN '' ELSE chr(10) END
+            WHEN event_id % 31 = 0 THEN event_type
+            ELSE event_type || ' ' || props || chr(10) END AS line
 FROM {events}
 """
 
@@ -91,7 +96,7 @@ SELECT user_id AS run_id,
             WHEN event_id % 5 = 1 THEN '  File "job.py", line ' || CAST(event_id % 90 AS STRING)
             WHEN event_id % 5 = 2 THEN 'ValueError: ' || props
             WHEN event_id % 5 = 3 THEN 'pyspark.errors.AnalysisException: column ' || props
-            ELSE 'KeyError' END || chr(10) AS line
+            ELSE 'KeyError' END || CASE WHEN event_id % 17 = 0 THEN '' ELSE chr(10) END AS line
 FROM {events}
 """
 

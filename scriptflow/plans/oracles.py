@@ -92,29 +92,55 @@ _OUTPUTS = f"""
 SELECT run_id, attempt, {_strip("string_agg(line, '' ORDER BY seq)")} AS full_output
 FROM log_lines GROUP BY run_id, attempt
 """
-_FULL_OUTPUT = "SELECT run_id, attempt, CAST(0 AS BIGINT) AS part, full_output FROM outputs"
-_SIZES = f"""
-SELECT run_id, attempt, MIN(seq) AS first, MAX(seq) AS last,
-       COUNT(*) > {SMALL_PARTS.lines} OR SUM(LENGTH(line)) > {SMALL_PARTS.chars} AS large,
-       GREATEST(1, LEAST({SMALL_PARTS.part_lines}, {SMALL_PARTS.chars} // MAX(LENGTH(line))))
-         AS width
+_BOUNDS = f"""
+SELECT run_id, attempt, MIN(seq) AS b_start, MAX(seq) AS b_end, BOOL_OR(line <> '') AS b_printed,
+       MIN(seq) FILTER ({_strip("line")} <> '') AS b_first,
+       MAX(seq) FILTER ({_strip("line")} <> '') AS b_last
 FROM log_lines GROUP BY run_id, attempt
 """
-_PARTS = f"""
-SELECT run_id, attempt, CAST(CASE WHEN large THEN seq // width ELSE 0 END AS BIGINT) AS part,
-       string_agg(CASE WHEN first = last THEN {_strip("line")}
-                       WHEN seq = first THEN ltrim(line, {_WS})
-                       WHEN seq = last THEN rtrim(line, {_WS})
-                       ELSE line END, '' ORDER BY seq) AS full_output
-FROM log_lines JOIN sizes USING (run_id, attempt) GROUP BY ALL
+# Lines between the outer white space; of blank outputs one empty line, or for notes all.
+_TRIMMED = f"""
+SELECT *, seq - COALESCE(b_first, b_start) AS place, b_first IS NULL AS blank,
+       b_first IS NULL AND b_printed AS shown,
+       CASE WHEN b_first IS NULL
+              THEN CASE WHEN b_printed AND stream = 'stdout' THEN line ELSE '' END
+            WHEN b_first = b_last THEN {_strip("line")}
+            WHEN seq = b_first THEN ltrim(line, {_WS})
+            WHEN seq = b_last THEN rtrim(line, {_WS})
+            ELSE line END AS kept
+FROM log_lines JOIN bounds USING (run_id, attempt)
+"""
+
+
+def _parts(width: int) -> str:
+    return f"""
+SELECT run_id, attempt, CAST(place // {width} AS BIGINT) AS part,
+       string_agg(CASE WHEN blank THEN '' ELSE kept END, '' ORDER BY seq) AS full_output
+FROM trimmed WHERE CASE WHEN blank THEN place = 0 ELSE seq BETWEEN b_first AND b_last END
+GROUP BY ALL
+"""
+
+
+_SHOWN = f"""
+SELECT run_id, attempt, CAST(place // {SMALL_PARTS} AS BIGINT) AS part, blank, b_printed,
+       CASE WHEN shown THEN b_end - b_start ELSE COALESCE(b_last - b_first, 0) END
+         // {SMALL_PARTS} AS last_part,
+       string_agg(kept, '' ORDER BY seq) AS text
+FROM trimmed
+WHERE CASE WHEN shown THEN true WHEN blank THEN place = 0 ELSE seq BETWEEN b_first AND b_last END
+GROUP BY ALL
 """
 _WITH_OUTPUT = f"""
-SELECT a.*, CASE WHEN full_output <> '' THEN full_output
-                 WHEN COALESCE(exit_code, -99) <> 0
-                   THEN {_text(rl.NO_OUTPUT_NOTE).replace("%d",
-                        "' || CAST(COALESCE(exit_code, -99) AS STRING) || '")}
-                 ELSE '' END AS output
-FROM attempts a LEFT JOIN outputs o ON a.run_id = o.run_id AND a.attempt = o.attempt
+SELECT a.*, COALESCE(part, 0) AS part, COALESCE(part = 0, true) AS is_first,
+       COALESCE(part = last_part, true) AS is_last,
+       CASE WHEN NOT blank THEN text
+            WHEN b_printed THEN CASE WHEN part = 0 THEN 'STDOUT:' || chr(10) ELSE '' END || text
+              || CASE WHEN part = last_part THEN chr(10) || chr(10) || 'STDERR:' ELSE '' END
+            WHEN COALESCE(exit_code, -99) <> 0
+              THEN {_text(rl.NO_OUTPUT_NOTE).replace("%d",
+                   "' || CAST(COALESCE(exit_code, -99) AS STRING) || '")}
+            ELSE '' END AS output
+FROM attempts a LEFT JOIN shown_parts o ON a.run_id = o.run_id AND a.attempt = o.attempt
 """
 _LAST_LINE = "full_output LIKE '%SUCESSO%' AND string_split(full_output, chr(10))[-1]"
 
@@ -123,7 +149,7 @@ _DIFFERS = f"{_strip('suggestion')} IS DISTINCT FROM {_strip('code')}"
 _ACTIONS = f"""
 SELECT *, CASE WHEN stage_error = 'analysis' THEN 'analysis_error'
                WHEN stage_error = 'save' THEN 'save_error'
-               WHEN COALESCE(exit_code, -99) = 0 THEN 'success'
+               WHEN COALESCE(exit_code, -99) = 0 AND stage_error IS NULL THEN 'success'
                WHEN attempt >= 3 THEN 'max_attempts'
                WHEN NOT {_SUGGESTS} THEN 'no_suggestion'
                WHEN NOT ({_DIFFERS}) THEN 'same_code'
@@ -138,24 +164,33 @@ FROM (SELECT run_id, MAX(attempt) AS latest,
       FROM actions GROUP BY run_id) r
 LEFT JOIN actions a ON a.run_id = r.run_id AND a.attempt = r.final
 """
+_CUT_OFF = (
+    "CASE WHEN stage_error = 'stream' AND is_last"
+    f" THEN {_text(rl.STREAM_ERROR_NOTE)} ELSE '' END"
+)
 _REPORT = f"""
-SELECT o.run_id, o.outcome, o.attempt, CAST(0 AS BIGINT) AS part,
-       CASE WHEN w.stage_error IS NOT NULL
+SELECT o.run_id, o.outcome, o.attempt, w.part,
+       CASE WHEN o.outcome IN ('analysis_error', 'save_error')
               THEN {_text(at.STAGE_ERROR_NOTE).replace("%s", "' || o.outcome || '")}
-            ELSE w.output || CASE o.outcome
+            ELSE w.output || {_CUT_OFF} || CASE WHEN NOT is_last THEN '' ELSE CASE o.outcome
               WHEN 'same_code' THEN {_text(at.SAME_CODE_NOTE)}
               WHEN 'no_suggestion' THEN {_text(at.NO_SUGGESTION_NOTE)}
-              ELSE '' END END AS report
+              ELSE '' END END END AS report
 FROM outcomes o JOIN with_output w ON o.run_id = w.run_id AND o.attempt = w.attempt
 WHERE o.outcome NOT IN ('success', 'incomplete')
+  AND (w.part = 0 OR o.outcome NOT IN ('analysis_error', 'save_error'))
 """
 _PROMPTS = f"""
-SELECT run_id, attempt, CAST(0 AS BIGINT) AS part,
-       {_text(co.INSTRUCTION + co.CODE_HEAD)} || code || {_text(co.OUTPUT_HEAD)}
-         || CASE WHEN output = '' THEN {_text(co.EMPTY_OUTPUT_NOTE)} ELSE output END
-         || {_text(co.END)} AS prompt
+SELECT run_id, attempt, part,
+       CASE WHEN is_first THEN {_text(co.INSTRUCTION + co.CODE_HEAD)}
+         || COALESCE(code, {_text(co.NO_CODE_NOTE)}) || {_text(co.OUTPUT_HEAD)} ELSE '' END
+         || CASE WHEN NOT (is_first AND is_last) THEN output || {_CUT_OFF}
+                 WHEN {_strip("output || " + _CUT_OFF)} = '' THEN {_text(co.EMPTY_OUTPUT_NOTE)}
+                 ELSE {_strip("output || " + _CUT_OFF)} END
+         || CASE WHEN is_last THEN {_text(co.END)} ELSE '' END AS prompt
 FROM with_output
-WHERE stage_error IS NULL AND COALESCE(exit_code, -99) <> 0 AND attempt < 3
+WHERE (stage_error = 'stream' OR stage_error IS NULL AND COALESCE(exit_code, -99) <> 0)
+  AND attempt < 3
 """
 _UNFENCED = f"""
 SELECT conv_id, turn, {_strip(
@@ -215,7 +250,8 @@ FROM paths
 def oracle_sql() -> dict[str, str]:
     all_transactions = _over("transactions", "SELECT * FROM transactions")
     outputs = {"outputs": _OUTPUTS}
-    with_output = outputs | {"with_output": _WITH_OUTPUT}
+    trimmed = {"bounds": _BOUNDS, "trimmed": _TRIMMED}
+    with_output = trimmed | {"shown_parts": _SHOWN, "with_output": _WITH_OUTPUT}
     calls = {"calls": _CALLS, "call_paths": _PATHS_OF_CALLS}
     outcomes = {"actions": _ACTIONS, "outcomes": _OUTCOMES}
     return {
@@ -259,8 +295,8 @@ def oracle_sql() -> dict[str, str]:
             enriched=_ENRICHED,
         ),
         "run_ids": (
-            "SELECT o_orderkey, substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) AS run_id,"
-            " 'run_' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) AS base_name FROM orders"
+            "SELECT o_orderkey, md5(CAST(o_orderkey AS VARCHAR)) AS run_id,"
+            " 'run_' || md5(CAST(o_orderkey AS VARCHAR)) AS base_name FROM orders"
         ),
         "resolve_paths": _over("paths", _RESOLVED),
         "workspace_roundtrip": all_transactions,
@@ -298,20 +334,21 @@ def oracle_sql() -> dict[str, str]:
             " || line AS text FROM log_lines",
         ),
         "log_frames": _over("attempts", _FRAMES),
-        "log_full_output": _over("log_lines", _FULL_OUTPUT, **outputs),
-        "log_output_parts": _over("log_lines", _PARTS, sizes=_SIZES),
+        "log_full_output": _over("log_lines", _parts(rl.PART_LINES), **trimmed),
+        "log_output_parts": _over("log_lines", _parts(SMALL_PARTS), **trimmed),
         "log_by_stream": _over(
             "log_lines",
-            "SELECT run_id, attempt, CAST(0 AS BIGINT) AS part,"
+            f"SELECT run_id, attempt, CAST((seq - b_start) // {SMALL_PARTS} AS BIGINT) AS part,"
             " COALESCE(string_agg(line, '' ORDER BY seq) FILTER (stream = 'stdout'), '') AS stdout,"
             " COALESCE(string_agg(line, '' ORDER BY seq) FILTER (stream = 'stderr'), '') AS stderr,"
             " COUNT(*) FILTER (stream = 'stdout') AS stdout_lines,"
             " COUNT(*) FILTER (stream = 'stderr') AS stderr_lines"
-            " FROM log_lines GROUP BY run_id, attempt",
+            " FROM log_lines JOIN bounds USING (run_id, attempt) GROUP BY ALL",
+            bounds=_BOUNDS,
         ),
         "output_or_note": _over(
             "attempts log_lines",
-            "SELECT run_id, attempt, CAST(0 AS BIGINT) AS part, output FROM with_output",
+            "SELECT run_id, attempt, part, output FROM with_output",
             **with_output,
         ),
         "success_marker": _over(
@@ -331,7 +368,7 @@ def oracle_sql() -> dict[str, str]:
             "SELECT run_id, attempt, stream, COUNT(*) AS n FROM log_lines"
             " GROUP BY run_id, attempt, stream",
         ),
-        "log_stream_output": _over("log_lines", _FULL_OUTPUT, **outputs),
+        "log_stream_output": _over("log_lines", _parts(rl.PART_LINES), **trimmed),
         "suggestion_changed": _over(
             "attempts",
             f"SELECT run_id, attempt, {_SUGGESTS} AS has_suggestion,"

@@ -15,8 +15,8 @@ from .etl import run_etl
 YEAR = 1995
 BASE = "/work/base"
 
-# Limits at which about half of the attempts come in parts.
-SMALL_PARTS = runlog.Limits(chars=2_000, lines=20, part_lines=1_000)
+# Numbers of ``seq`` of a part, so few that most outputs have several.
+SMALL_PARTS = 2_000
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,8 +55,7 @@ def _balanced(prompt: str) -> str:
 
 
 def _correct_syntax(df: DataFrame) -> DataFrame:
-    syntax = scripts.script_syntax(df)
-    broken = df.join(syntax.filter(~F.col("ok")), "script_id").select(
+    broken = scripts.with_syntax(df).filter(~F.col("ok")).select(
         "script_id",
         "code",
         F.concat_ws(": ", "error_type", "message").alias("output"),
@@ -128,10 +127,16 @@ def queries() -> dict[str, Query]:
         "log_frames": tries(runlog.log_frames),
         "log_full_output": log(runlog.log_full_output),
         "log_output_parts": log(lambda df: runlog.log_full_output(df, SMALL_PARTS)),
-        "log_by_stream": log(runlog.log_by_stream),
-        "output_or_note": tries_log(runlog.output_or_note),
-        "success_marker": log(runlog.success_marker),
-        "error_type": _over(fx.ERROR_LINES)(runlog.error_type),
+        "log_by_stream": log(lambda df: runlog.log_by_stream(df, SMALL_PARTS)),
+        "output_or_note": tries_log(
+            lambda df, lines: runlog.output_or_note(df, lines, SMALL_PARTS)
+        ),
+        "success_marker": log(
+            lambda df: runlog.success_marker(df, part_lines=SMALL_PARTS)
+        ),
+        "error_type": _over(fx.ERROR_LINES)(
+            lambda df: runlog.error_type(df, SMALL_PARTS)
+        ),
         "attempt_verdict": tries(runlog.attempt_verdict),
         "log_stream_totals": lambda spark, sf_dir: streaming.log_stream_totals(
             _log_stream(spark, sf_dir)
@@ -144,9 +149,13 @@ def queries() -> dict[str, Query]:
         "attempt_action": tries(attempts.attempt_action),
         "run_outcome": tries(attempts.run_outcome),
         "run_summary": tries(lambda df: attempts.run_summary(attempts.run_outcome(df))),
-        "failure_report": tries_log(attempts.failure_report),
+        "failure_report": tries_log(
+            lambda df, lines: attempts.failure_report(df, lines, part_lines=SMALL_PARTS)
+        ),
         # Corrections
-        "prompt_text": tries_log(correction.prompts),
+        "prompt_text": tries_log(
+            lambda df, lines: correction.prompts(df, lines, part_lines=SMALL_PARTS)
+        ),
         "clean_response": _over(fx.RESPONSES)(correction.clean_responses),
         "map_corrector": script(_correct_syntax),
     }

@@ -37,23 +37,25 @@ def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def inferred(df: DataFrame, names: list[str]) -> DataFrame:
-    """The rows of a table under new names, each column as the type of its values.
+    """The rows of a table under new names, each column as a Python reader of its
+    values would type it: integers are ``bigint`` whatever their width, ``float``
+    becomes ``double``, and all else stays.
 
-    Integers become ``bigint`` whatever their width, as Python ints do. The types
-    come from one aggregation over the whole table, combined before the shuffle;
-    only their names reach the driver. A column with no value or with values of
-    more than one type is an error.
+    The types follow from the schema, so nothing is read before the result is. A
+    column of NULL type has no values to tell its type and is an error.
     """
     if len(names) != len(df.columns):
         raise ValueError(f"{len(names)} names for {len(df.columns)} columns")
-    values = df.select(
-        *(F.col(old).cast("variant").alias(new) for old, new in zip(df.columns, names))
+    wider = {"tinyint": "bigint", "smallint": "bigint", "int": "bigint", "float": "double"}
+    for (_, kind), name in zip(df.dtypes, names):
+        if kind in ("void", "variant"):
+            raise ValueError(f"no single type for column {name!r}: {kind}")
+    return df.select(
+        *(
+            F.col(f"`{old}`").cast(wider.get(kind, kind)).alias(new)
+            for (old, kind), new in zip(df.dtypes, names)
+        )
     )
-    found = values.agg(*(F.schema_of_variant_agg(n).alias(n) for n in names)).first()
-    for name in names:
-        if found[name] in ("VOID", "VARIANT"):
-            raise ValueError(f"no single type for column {name!r}: {found[name]}")
-    return values.select(*(F.col(n).cast(found[n]).alias(n) for n in names))
 
 
 def default_input(spark: SparkSession) -> DataFrame:

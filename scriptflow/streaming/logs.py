@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.runlog import ATTEMPT, Limits, log_full_output
+from ..operators.runlog import ATTEMPT, PART_LINES, log_full_output
 from ..sources.storage import exists, file_system, fresh_dir
 
 STREAM = [*ATTEMPT, "stream"]
@@ -91,7 +91,7 @@ def log_stream_totals(lines: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def log_stream_output(
-    lines: DataFrame, path: str | None = None, limits: Limits = Limits()
+    lines: DataFrame, path: str | None = None, part_lines: int = PART_LINES
 ) -> DataFrame:
     """The output of every attempt, from the lines that have arrived.
 
@@ -99,4 +99,4 @@ def log_stream_output(
     """
     table = LiveTable(path or fresh_dir(lines.sparkSession, "log_lines"), _keep_lines)
     table.fill(lines)
-    return log_full_output(table.rows(lines), limits)
+    return log_full_output(table.rows(lines), part_lines)

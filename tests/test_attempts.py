@@ -3,7 +3,6 @@
 import pytest
 
 from scriptflow.operators import attempts as at, runlog
-from scriptflow.operators.runlog import Limits
 
 SCHEMA = (
     "run_id long, attempt int, exit_code int, code string, suggestion string, stage_error string"
@@ -123,8 +122,8 @@ def test_summary(spark):
     ]
 
 
-@pytest.mark.parametrize("limits", [Limits(), Limits(lines=1, part_lines=2)])
-def test_failure_report(spark, limits):
+@pytest.mark.parametrize("part_lines", [runlog.PART_LINES, 2])
+def test_failure_report(spark, part_lines):
     rows = [
         (1, 1, 1, "x", "x", None),
         (2, 1, 1, "x", "y", None),
@@ -133,8 +132,10 @@ def test_failure_report(spark, limits):
         (4, 3, 7, "x", "y", None),
         (5, 1, None, "x", None, "analysis"),
         (6, 1, 1, "x", "y", None),
+        (7, 1, 0, "x", None, "stream"),
     ]
     lines = [
+        (7, 1, 1, "stdout", "begun\n"),
         (1, 1, 1, "stdout", "\n"),
         (1, 1, 2, "stdout", "one\n"),
         (1, 1, 3, "stderr", "two\n"),
@@ -145,7 +146,7 @@ def test_failure_report(spark, limits):
         (5, 1, 1, "stdout", "never ran\n"),
     ]
     logs = spark.createDataFrame(lines, LOG)
-    result = at.failure_report(frame(spark, rows), logs, limits=limits)
+    result = at.failure_report(frame(spark, rows), logs, part_lines=part_lines)
     found = {}
     for r in sorted(result.collect(), key=lambda r: r.part):
         found.setdefault((r.run_id, r.outcome, r.attempt), []).append(r.report)
@@ -154,6 +155,7 @@ def test_failure_report(spark, limits):
         (2, "no_suggestion", 2): "shown" + at.NO_SUGGESTION_NOTE,
         (4, "max_attempts", 3): runlog.NO_OUTPUT_NOTE % 7,
         (5, "analysis_error", 1): at.STAGE_ERROR_NOTE % "analysis_error",
+        (7, "no_suggestion", 1): "begun" + at.STREAM_ERROR_NOTE + at.NO_SUGGESTION_NOTE,
     }
-    if limits.lines == 1:
+    if part_lines == 2:
         assert len(found[1, "same_code", 1]) == 2

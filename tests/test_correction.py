@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptflow.operators import correction as co
-from scriptflow.operators.runlog import Limits
 
 
 def expected_prompt(code, output):
@@ -22,8 +21,8 @@ def test_prompt_text(spark):
     ]
 
 
-@pytest.mark.parametrize("limits", [Limits(), Limits(lines=0, part_lines=2)])
-def test_prompts_of_failed_attempts(spark, limits):
+@pytest.mark.parametrize("part_lines", [10_000, 2])
+def test_prompts_of_failed_attempts(spark, part_lines):
     attempts = spark.createDataFrame(
         [
             (1, 1, 1, "a", None),
@@ -31,6 +30,7 @@ def test_prompts_of_failed_attempts(spark, limits):
             (2, 1, None, "c", None),
             (2, 3, 1, "d", None),
             (3, 1, 1, "e", "analysis"),
+            (4, 1, 0, None, "stream"),
         ],
         "run_id long, attempt int, exit_code int, code string, stage_error string",
     )
@@ -40,13 +40,16 @@ def test_prompts_of_failed_attempts(spark, limits):
         "run_id long, attempt int, seq long, stream string, line string",
     )
     found = {}
-    for r in sorted(co.prompts(attempts, logs, limits=limits).collect(), key=lambda r: r.part):
+    for r in sorted(co.prompts(attempts, logs, part_lines=part_lines).collect(), key=lambda r: r.part):
         found.setdefault((r.run_id, r.attempt), []).append(r.prompt)
     assert {key: "".join(parts) for key, parts in found.items()} == {
         (1, 1): expected_prompt("a", "p\n\nq\nr"),
         (2, 1): expected_prompt(
             "c", "[note] the script ended with exit code -99 and printed nothing"
         ),
+        (4, 1): expected_prompt(
+            co.NO_CODE_NOTE, "STREAMING ERROR: the output could not be read to its end"
+        ),
     }
 
 

@@ -6,17 +6,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from scriptflow.operators import runlog, sizing
-from scriptflow.operators.runlog import Limits
+from scriptflow.operators import runlog
 
 LOG = "run_id long, attempt int, seq long, stream string, line string"
-# Every output in parts, most of them, a few of them, none of them.
-LIMITS = [
-    Limits(lines=0, part_lines=3),
-    Limits(lines=4, part_lines=5),
-    Limits(chars=60, part_lines=1_000),
-    Limits(),
-]
+# Every output in many parts, in a few, in one.
+PARTS = [1, 3, 25, runlog.PART_LINES]
 PIECES = [
     "ok\n",
     "  SUCESSO\n",
@@ -79,17 +73,17 @@ def attempts_of(rows, spark, exit_codes=(0, 1, None)):
     )
 
 
-@pytest.mark.parametrize("limits", LIMITS)
+@pytest.mark.parametrize("part_lines", PARTS)
 @pytest.mark.parametrize("seed", [1, 2])
-def test_full_output(spark, limits, seed):
+def test_full_output(spark, part_lines, seed):
     rows = random_log(seed)
     logs = spark.createDataFrame(rows, LOG)
-    result = whole(runlog.log_full_output(logs, limits), "full_output")
+    result = whole(runlog.log_full_output(logs, part_lines), "full_output")
     assert result == {key: (text.strip(),) for key, text in texts(rows).items()}
 
 
-@pytest.mark.parametrize("limits", LIMITS)
-def test_by_stream(spark, limits):
+@pytest.mark.parametrize("part_lines", PARTS)
+def test_by_stream(spark, part_lines):
     rows = random_log(3)
     logs = spark.createDataFrame(rows, LOG)
     columns = ["stdout", "stderr", "stdout_lines", "stderr_lines"]
@@ -101,7 +95,7 @@ def test_by_stream(spark, limits):
         for key in texts(rows)
     }
     out, err = texts(rows, "stdout"), texts(rows, "stderr")
-    assert whole(runlog.log_by_stream(logs, limits), *columns) == {
+    assert whole(runlog.log_by_stream(logs, part_lines), *columns) == {
         key: (out[key], err[key], *counts[key]) for key in counts
     }
 
@@ -116,8 +110,8 @@ def shown(text, out, err, code):
     return runlog.NO_OUTPUT_NOTE % code if code else ""
 
 
-@pytest.mark.parametrize("limits", [LIMITS[1], LIMITS[3]])
-def test_output_or_note(spark, limits):
+@pytest.mark.parametrize("part_lines", PARTS)
+def test_output_or_note(spark, part_lines):
     rows = random_log(4, longest=3)
     logs = spark.createDataFrame(rows, LOG)
     attempts = attempts_of(rows, spark)
@@ -128,7 +122,7 @@ def test_output_or_note(spark, limits):
         found = (d.get(key, "") for d in (all_, out, err))
         expected[key] = (shown(*found, code),)
     assert any(v[0].startswith("STDOUT:") for v in expected.values())
-    result = runlog.output_or_note(attempts, logs, limits)
+    result = runlog.output_or_note(attempts, logs, part_lines)
     assert whole(result, "output") == expected
 
 
@@ -138,14 +132,14 @@ def test_no_note_inside_an_output(spark):
         [(1, 1, seq, "stdout", line) for seq, line in enumerate(lines)], LOG
     )
     attempts = spark.createDataFrame([(1, 1, 3)], "run_id long, attempt int, exit_code int")
-    result = runlog.output_or_note(attempts, logs, Limits(lines=0, part_lines=2))
+    result = runlog.output_or_note(attempts, logs, 2)
     assert result.count() == 3
     assert whole(result, "output") == {(1, 1): ("a\nb",)}
 
 
-@pytest.mark.parametrize("limits", LIMITS)
+@pytest.mark.parametrize("part_lines", PARTS)
 @pytest.mark.parametrize("seed", [5, 6])
-def test_success_marker(spark, limits, seed):
+def test_success_marker(spark, part_lines, seed):
     rows = random_log(seed, attempts=150)
     logs = spark.createDataFrame(rows, LOG)
     expected = {}
@@ -155,7 +149,7 @@ def test_success_marker(spark, limits, seed):
             bool(text) and "SUCESSO" in text.splitlines()[-1],
             "SUCESSO" in text,
         )
-    result = runlog.success_marker(logs, limits=limits).collect()
+    result = runlog.success_marker(logs, part_lines=part_lines).collect()
     assert len(result) == len(expected)
     found = {(r.run_id, r.attempt): (r.marker_last_line, r.marker_any_line) for r in result}
     assert found == expected
@@ -170,8 +164,8 @@ def test_marker_across_parts(spark):
     ]
     logs = spark.createDataFrame(rows, LOG)
     expected = {run: t.strip() for (run, _), t in texts(rows).items()}
-    for limits in (Limits(lines=0, part_lines=1), Limits(lines=0, part_lines=4), Limits()):
-        result = runlog.success_marker(logs, limits=limits).collect()
+    for part_lines in PARTS:
+        result = runlog.success_marker(logs, part_lines=part_lines).collect()
         assert {r.run_id: (r.marker_last_line, r.marker_any_line) for r in result} == {
             run: ("SUCESSO" in t.splitlines()[-1], "SUCESSO" in t) for run, t in expected.items()
         }
@@ -202,7 +196,7 @@ def test_shipped_scripts_end_without_the_marker_in_their_last_line(spark):
 def test_result_does_not_depend_on_partitioning(spark):
     logs = spark.createDataFrame(random_log(8), LOG)
     for job in (
-        lambda df: runlog.log_full_output(df, LIMITS[1]),
+        lambda df: runlog.log_full_output(df, 5),
         runlog.log_by_stream,
         runlog.success_marker,
         runlog.error_type,
@@ -211,8 +205,8 @@ def test_result_does_not_depend_on_partitioning(spark):
         assert once == sorted(map(str, job(logs.repartition(13, "line")).collect()))
 
 
-@pytest.mark.parametrize("limits", LIMITS)
-def test_one_attempt_with_a_third_of_all_lines(spark, limits):
+@pytest.mark.parametrize("part_lines", PARTS)
+def test_one_attempt_with_a_third_of_all_lines(spark, part_lines):
     logs = spark.range(9_000).selectExpr(
         "CASE WHEN id % 3 = 0 THEN 0 ELSE id END AS run_id",
         "1 AS attempt",
@@ -220,26 +214,30 @@ def test_one_attempt_with_a_third_of_all_lines(spark, limits):
         "'stdout' AS stream",
         "concat('line ', id, '\n') AS line",
     )
-    # Broadcast by size, and beyond it the join that shuffles.
-    result = whole(runlog.log_full_output(logs, limits), "full_output")
+    result = whole(runlog.log_full_output(logs, part_lines), "full_output")
     assert len(result) == 6_001
     assert result[0, 1][0] == "".join(f"line {i}\n" for i in range(0, 9_000, 3)).strip()
-    sizes = runlog.log_full_output(logs, limits).select(F.length("full_output")).collect()
-    if limits.lines < 3_000:
-        assert max(s[0] for s in sizes) <= limits.part_lines * 10
-
-
-def test_large_sides_are_joined_without_broadcast(spark, monkeypatch):
-    tuned = spark.newSession()
-    tuned.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    monkeypatch.setattr(runlog, "sized", lambda side: sizing.sized(side, max_rows=0))
-    rows = random_log(9)
-    result = runlog.log_full_output(tuned.createDataFrame(rows, LOG), LIMITS[1])
-    plan = result._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and "REPARTITION_BY_COL" in plan
-    assert whole(result, "full_output") == {
-        key: (text.strip(),) for key, text in texts(rows).items()
-    }
+    sizes = runlog.log_full_output(logs, part_lines).select(F.length("full_output")).collect()
+    assert max(s[0] for s in sizes) <= part_lines * 10
+
+
+def test_jobs_start_none_and_scan_what_they_must(spark, tmp_path):
+    spark.createDataFrame(random_log(9), LOG).write.parquet(str(tmp_path / "log"))
+    logs = spark.read.parquet(str(tmp_path / "log"))
+    attempts = attempts_of(random_log(9), spark)
+    tracker = spark.sparkContext.statusTracker()
+    before = tracker.getJobIdsForGroup(None)
+    frames = [
+        runlog.log_full_output(logs),
+        runlog.log_by_stream(logs),
+        runlog.output_or_note(attempts, logs),
+        runlog.success_marker(logs),
+        runlog.error_type(logs),
+    ]
+    assert tracker.getJobIdsForGroup(None) == before
+    # The lines, and the few numbers that tell where an output begins and ends.
+    plan = frames[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2
 
 
 SMALL_SKEW = {
@@ -252,11 +250,10 @@ SMALL_SKEW = {
 }
 
 
-def test_joins_on_a_frequent_attempt_are_split(spark, monkeypatch):
+def test_joins_on_a_frequent_attempt_are_split(spark):
     tuned = spark.newSession()
     for key, value in SMALL_SKEW.items():
         tuned.conf.set(key, value)
-    monkeypatch.setattr(runlog, "sized", lambda side: sizing.sized(side, max_rows=0))
     logs = tuned.range(0, 30_000, 1, 8).selectExpr(
         "CASE WHEN id % 3 = 0 THEN 0 ELSE id % 1000 END AS run_id",
         "int(CASE WHEN id % 3 = 0 THEN 1 ELSE 1 + id % 2 END) AS attempt",
@@ -268,12 +265,12 @@ def test_joins_on_a_frequent_attempt_are_split(spark, monkeypatch):
         "id div 2 AS run_id", "int(1 + id % 2) AS attempt", "1 AS exit_code"
     )
     only = attempts.select("run_id", "attempt")
-    result = runlog.with_output(attempts, logs, Limits(lines=100, part_lines=200), only)
+    result = runlog.with_output(attempts, logs, 200, only)
     rows = result.collect()
     plan = result._jdf.queryExecution().executedPlan().toString()
     final = plan.split("== Initial Plan ==")[0]
     # The lines with their places, and the attempts with their outputs.
-    assert final.count("SortMergeJoin(skew=true)") == 2
+    assert final.count("SortMergeJoin(skew=true)") >= 2
     hot = [r for r in rows if (r.run_id, r.attempt) == (0, 1)]
     assert len(hot) > 100 and sum(len(r.output) for r in hot) == 33 * (10_000 + 20) - 1
     assert {(r.run_id, r.attempt) for r in rows} == {(i // 2, i % 2 + 1) for i in range(2_000)}
@@ -282,17 +279,17 @@ def test_joins_on_a_frequent_attempt_are_split(spark, monkeypatch):
 def test_blank_outputs_stay(spark):
     rows = [(1, 1, s, "stdout", " \n") for s in range(50)] + [(2, 1, 1, "stderr", "")]
     logs = spark.createDataFrame(rows, LOG)
-    for limits in LIMITS:
-        result = whole(runlog.log_full_output(logs, limits), "full_output")
+    for part_lines in PARTS:
+        result = whole(runlog.log_full_output(logs, part_lines), "full_output")
         assert result == {(1, 1): ("",), (2, 1): ("",)}
 
 
-@pytest.mark.parametrize("limits", [LIMITS[0], LIMITS[3]])
-def test_a_repeated_seq_is_an_error(spark, limits):
+@pytest.mark.parametrize("part_lines", [3, runlog.PART_LINES])
+def test_a_repeated_seq_is_an_error(spark, part_lines):
     rows = [(1, 1, 1, "stdout", "a\n"), (1, 1, 1, "stderr", "b\n"), (1, 1, 2, "stdout", "c\n")]
     logs = spark.createDataFrame(rows, LOG)
     with pytest.raises(Exception, match="seq is not unique"):
-        runlog.log_full_output(logs, limits).collect()
+        runlog.log_full_output(logs, part_lines).collect()
 
 
 def test_display(spark):
@@ -347,12 +344,76 @@ def test_error_type_of_lines(spark):
     assert [tuple(r)[2:] for r in result] == [e for _, e in ERRORS] + [(None, None)]
 
 
-def test_marker_does_not_sort_the_log(spark, monkeypatch):
-    logs = spark.createDataFrame(random_log(10), LOG)
-    monkeypatch.setattr(runlog, "stage", lambda df, label: df)
-    seen = runlog.success_marker(logs.filter("line LIKE '%\n'"))
-    plan = seen._jdf.queryExecution().executedPlan().toString()
+@pytest.mark.parametrize("part_lines", PARTS)
+@pytest.mark.parametrize(
+    "lines,error",
+    [
+        (["foo ", "ValueError: x\n"], (None, None)),
+        (["ValueError: x", " more\n"], ("ValueError", "x more")),
+        (["Value", "Error: y\n"], ("ValueError", "y")),
+        (["KeyError: a\n", "x", "y\n", "z\n"], ("KeyError", "a")),
+        (["KeyError: a\n", "Type", "Error\n", "z"], ("TypeError", None)),
+    ],
+)
+def test_error_type_of_joined_lines(spark, lines, error, part_lines):
+    logs = spark.createDataFrame(
+        [(1, 1, 2 * k, "stderr", line) for k, line in enumerate(lines)], LOG
+    )
+    (row,) = runlog.error_type(logs, part_lines).collect()
+    assert tuple(row)[2:] == error
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_error_type_equals_the_text(spark, seed):
+    rows = random_log(seed, attempts=120)
+    logs = spark.createDataFrame(rows, LOG)
+    pattern = re.compile(r"^([\w.]*(?:Error|Exception))(?:: (.*))?$", re.M)
+    expected = {}
+    for key, text in texts(rows).items():
+        # Lines end as in the pattern of the job.
+        found = pattern.findall(re.sub("[\r\x85\u2028\u2029]", "\n", text.strip()))
+        expected[key] = found[-1][0] if found else None
+    for part_lines in PARTS:
+        got = runlog.error_type(logs, part_lines).collect()
+        assert {(r.run_id, r.attempt): r.error_type for r in got} == expected
+
+
+def test_the_log_is_not_sorted_before_it_is_combined(spark, tmp_path):
+    spark.createDataFrame(random_log(10), LOG).write.parquet(str(tmp_path / "log"))
+    logs = spark.read.parquet(str(tmp_path / "log"))
+    found = logs.groupBy(*runlog.ATTEMPT).agg(runlog._is_joined())
+    plan = found._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "Sort" not in plan
+    errors = runlog.error_type(logs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in errors.split("Union")[1].split("Scan parquet")[0]
+
+
+def test_a_huge_line(spark):
+    lines = ["short\n"] * 20 + ["x" * 5_000_000 + "\n"] + ["short\n"] * 20
+    logs = spark.createDataFrame(
+        [(1, 1, k, "stdout", line) for k, line in enumerate(lines)], LOG
+    )
+    result = runlog.log_full_output(logs, 10).collect()
+    assert len(result) == 5
+    assert "".join(r.full_output for r in sorted(result, key=lambda r: r.part)) == "".join(lines).strip()
+
+
+@pytest.mark.parametrize("part_lines", PARTS)
+def test_blank_lines_are_shown_at_any_size(spark, part_lines):
+    logs = spark.createDataFrame(
+        [(1, 1, k, ("stdout", "stderr")[k % 2], " \t\n") for k in range(6)]
+        + [(2, 1, k, "stdout", "") for k in range(6)],
+        LOG,
+    )
+    attempts = spark.createDataFrame(
+        [(1, 1, 1), (2, 1, 1), (3, 1, 0)], "run_id long, attempt int, exit_code int"
+    )
+    result = whole(runlog.output_or_note(attempts, logs, part_lines), "output")
+    assert result == {
+        (1, 1): ("STDOUT:\n" + " \t\n" * 3 + "\n\nSTDERR:",),
+        (2, 1): (runlog.NO_OUTPUT_NOTE % 1,),
+        (3, 1): ("",),
+    }
 
 
 def test_verdict(spark):

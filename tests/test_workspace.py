@@ -92,7 +92,12 @@ def test_run_ids_repeat(spark):
     df = spark.range(100)
     first = run_ids(df, "id").collect()
     assert sorted(first) == sorted(run_ids(df.repartition(7), "id").collect())
-    assert all(len(r.run_id) == 8 and r.base_name == f"run_{r.run_id}" for r in first)
+    assert all(len(r.run_id) == 32 and r.base_name == f"run_{r.run_id}" for r in first)
+
+
+def test_run_ids_do_not_meet(spark):
+    ids = run_ids(spark.read.parquet("/root/testdata/sf0.1/orders.parquet"), "o_orderkey")
+    assert ids.select("run_id").distinct().count() == ids.count()
 
 
 def test_shared_root_is_the_named_one():
