@@ -35,6 +35,8 @@ Defined cases: a null text stays null, an empty one stays empty; what is not val
 stays as it is; every row of a repeated document gets the same result.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Key of the registered query. Give a secret one of your own in earnest.
@@ -52,6 +54,11 @@ _DIGITS = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
 PATTERN = "|".join((_EMAIL, _SECRET, _IP, _ISO, _DMY, _SSN, _PHONE, _DIGITS))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used there."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _hash(key: str, label: str, *parts: Column) -> Column:
     """60 bits of a keyed hash."""
     text = F.concat_ws("|", F.lit(key), F.lit(label), *[p.cast("string") for p in parts])
@@ -93,66 +100,90 @@ def _refilled(match: Column, old: Column, new: Column) -> Column:
     first = F.char_length(_digits(match)) - F.char_length(old)
     start = F.struct(F.lit("").alias("out"), (-first).alias("at"))
 
-    def put(x: Column, c: Column) -> Column:
-        digit = c.rlike("[0-9]")
-        char = F.when(digit & (x["at"] >= 0), F.substr(new, x["at"] + 1, F.lit(1))).otherwise(c)
-        return F.struct(
-            F.concat(x["out"], char).alias("out"), (x["at"] + digit.cast("int")).alias("at")
-        )
+    def filled(new: Column) -> Column:
+        def put(x: Column, c: Column) -> Column:
+            digit = c.rlike("[0-9]")
+            char = F.when(digit & (x["at"] >= 0), F.substr(new, x["at"] + 1, F.lit(1)))
+            return F.struct(
+                F.concat(x["out"], char.otherwise(c)).alias("out"),
+                (x["at"] + digit.cast("int")).alias("at"),
+            )
+
+        return F.aggregate(F.split(match, ""), start, put, lambda x: x["out"])
 
-    return F.aggregate(F.split(match, ""), start, put, lambda x: x["out"])
+    return _let(new, filled)
 
 
 def luhn_sum(digits: Column) -> Column:
     """The Luhn sum of a string of digits, of which the last counts once."""
-    at = F.sequence(F.lit(1), F.char_length(digits))
 
-    def add(total: Column, k: Column) -> Column:
-        d = F.substr(digits, F.char_length(digits) - k + 1, F.lit(1)).cast("int")
-        twice = d * 2 - F.when(d > 4, 9).otherwise(0)
-        return total + F.when(k % 2 == 0, twice).otherwise(d)
+    def total(digits: Column) -> Column:
+        def add(total: Column, k: Column) -> Column:
+            d = F.substr(digits, F.char_length(digits) - k + 1, F.lit(1)).cast("int")
+            twice = d * 2 - F.when(d > 4, 9).otherwise(0)
+            return total + F.when(k % 2 == 0, twice).otherwise(d)
 
-    return F.aggregate(at, F.lit(0), add)
+        return F.aggregate(F.sequence(F.lit(1), F.char_length(digits)), F.lit(0), add)
+
+    return _let(digits, total)
 
 
 def _in_halves(key: str, kind: str, digits: Column) -> Column:
-    size = F.char_length(digits)
-    left = F.floor(size / 2).cast("int")
-    right = size - left
     power = lambda k: F.rpad(F.lit("1"), k + 1, F.lit("0")).cast("bigint")
-    new = feistel(
-        key,
-        kind,
-        _number(digits, 1, left),
-        F.substr(digits, left + 1, right).cast("bigint"),
-        power(left),
-        power(right),
-    )
-    return F.concat(_padded(new["a"], left), _padded(new["b"], right))
+
+    def permuted(digits: Column) -> Column:
+        left = F.floor(F.char_length(digits) / 2).cast("int")
+        right = F.char_length(digits) - left
+        new = feistel(
+            key,
+            kind,
+            _number(digits, 1, left),
+            F.substr(digits, left + 1, right).cast("bigint"),
+            power(left),
+            power(right),
+        )
+        return _let(
+            new, lambda new: F.concat(_padded(new["a"], left), _padded(new["b"], right))
+        )
+
+    return _let(digits, permuted)
 
 
 def _card(key: str, digits: Column) -> Column:
     body = F.substr(digits, F.lit(1), F.char_length(digits) - 1)
-    new = _in_halves(key, "card", body)
-    check = F.pmod(-luhn_sum(F.concat(new, F.lit("0"))), F.lit(10))
-    return F.concat(new, check.cast("string"))
+
+    def checked(new: Column) -> Column:
+        check = F.pmod(-luhn_sum(F.concat(new, F.lit("0"))), F.lit(10))
+        return F.concat(new, check.cast("string"))
+
+    return _let(_in_halves(key, "card", body), checked)
 
 
 def _ssn(key: str, digits: Column) -> Column:
     area = _number(digits, 1, 3)
     rank = (area - F.when(area > 666, 2).otherwise(1)) * 99 + _number(digits, 4, 2) - 1
-    new = feistel(key, "ssn", rank, _number(digits, 6, 4) - 1, F.lit(88902), F.lit(9999))
-    area = F.floor(new["a"] / 99) + 1
-    area = area + F.when(area >= 666, 1).otherwise(0)
-    return F.concat(_padded(area, 3), _padded(new["a"] % 99 + 1, 2), _padded(new["b"] + 1, 4))
+
+    def written(new: Column) -> Column:
+        area = F.floor(new["a"] / 99) + 1
+        area = area + F.when(area >= 666, 1).otherwise(0)
+        return F.concat(
+            _padded(area, 3), _padded(new["a"] % 99 + 1, 2), _padded(new["b"] + 1, 4)
+        )
+
+    serial = _number(digits, 6, 4) - 1
+    return _let(feistel(key, "ssn", rank, serial, F.lit(88902), F.lit(9999)), written)
 
 
 def _ip(key: str, match: Column) -> Column:
     octet = lambda k: F.split_part(match, F.lit("."), F.lit(k)).cast("bigint")
     size = F.lit(1 << 16)
-    new = feistel(key, "ip", octet(1) * 256 + octet(2), octet(3) * 256 + octet(4), size, size)
-    parts = [F.floor(new["a"] / 256), new["a"] % 256, F.floor(new["b"] / 256), new["b"] % 256]
-    return F.concat_ws(".", *[p.cast("string") for p in parts])
+
+    def written(new: Column) -> Column:
+        parts = [f(new[c]) for c in ("a", "b") for f in (lambda x: F.floor(x / 256), lambda x: x % 256)]
+        return F.concat_ws(".", *[p.cast("string") for p in parts])
+
+    a, b = octet(1) * 256 + octet(2), octet(3) * 256 + octet(4)
+    return _let(feistel(key, "ip", a, b, size, size), written)
 
 
 #: 28 years between 1901 and 2099 have this many days, 21 times 487.
@@ -168,11 +199,14 @@ def _day(match: Column) -> Column:
 
 
 def _date(key: str, match: Column) -> Column:
-    since = F.datediff(_day(match), F.lit("1901-01-01").cast("date"))
-    cycle, day = F.floor(since / _CYCLE), since % _CYCLE
-    new = feistel(key, "date", F.floor(day / 487), day % 487, F.lit(21), F.lit(487))
-    at = (cycle * _CYCLE + new["a"] * 487 + new["b"]).cast("int")
-    date = F.date_add(F.lit("1901-01-01").cast("date"), at)
+    start = F.lit("1901-01-01").cast("date")
+
+    def moved(since: Column) -> Column:
+        day = since % _CYCLE
+        new = feistel(key, "date", F.floor(day / 487), day % 487, F.lit(21), F.lit(487))
+        return _let(new, lambda new: since - day + new["a"] * 487 + new["b"])
+
+    date = F.date_add(start, _let(F.datediff(_day(match), start), moved).cast("int"))
     return F.when(match.rlike(r"^\d{4}-"), F.date_format(date, "yyyy-MM-dd")).otherwise(
         F.date_format(date, "dd/MM/yyyy")
     )
@@ -279,9 +313,13 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     ).otherwise(F.array().cast("array<string>"))
 
     def replaced(match: Column) -> Column:
-        kind = kind_of(match)
-        return F.struct(
-            kind.alias("kind"), match.alias("value"), pseudonym(match, kind, key).alias("pseudonym")
+        return _let(
+            kind_of(match),
+            lambda kind: F.struct(
+                kind.alias("kind"),
+                match.alias("value"),
+                pseudonym(match, kind, key).alias("pseudonym"),
+            ),
         )
 
     # An array function is computed once where its result is exploded or filtered
