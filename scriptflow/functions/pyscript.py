@@ -69,13 +69,13 @@ def direction(call) -> str:
             return "unknown"
 
 
-def rewrite(code: str, base: str):
-    """``(new code, None)`` with relative Parquet paths put under ``base``.
+def rewrite(code: str, tree, error, base: str):
+    """``(new code, None)`` with relative Parquet paths put under ``base``, from what
+    ``parse`` made of ``code``. The paths of ``tree`` are changed.
 
     Code with a syntax error passes through unchanged, as ``(code, None)``, so
     that running it shows the error. Any other failure is returned as text.
     """
-    tree, error = parse(code)
     if isinstance(error, SyntaxError):
         return code, None
     if error:

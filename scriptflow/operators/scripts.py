@@ -12,85 +12,74 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions import paths, pyscript
 
 # Types as objects: a DDL text could only be read with a session at hand.
-_SYNTAX = (
-    T.StructType()
-    .add("ok", T.BooleanType())
-    .add("error_type", T.StringType())
-    .add("line", T.IntegerType())
-    .add("message", T.StringType())
-)
 _CALL = (
     T.StructType()
     .add("call_no", T.IntegerType())
     .add("original_path", T.StringType())
     .add("direction", T.StringType())
 )
-_REWRITTEN = (
+_ANALYSIS = (
     T.StructType()
+    .add("ok", T.BooleanType())
+    .add("error_type", T.StringType())
+    .add("line", T.IntegerType())
+    .add("message", T.StringType())
+    .add("calls", T.ArrayType(_CALL))
     .add("rewritten_code", T.StringType())
     .add("stage_error", T.StringType())
 )
 
 
-@F.pandas_udf(_SYNTAX)
-def _syntax(code: pd.Series) -> pd.DataFrame:
-    def check(text):
-        if text is None:
-            return None, None, None, None
-        error = pyscript.parse(text)[1]
-        if error is None:
-            return True, None, None, None
-        line = getattr(error, "lineno", None)
-        return False, type(error).__name__, line, getattr(error, "msg", str(error))
+def _calls_of(tree) -> list[dict]:
+    found = []
+    for number, call in enumerate(pyscript.parquet_calls(tree), 1):
+        literal = pyscript.path_literal(call)
+        found.append(
+            {
+                "call_no": number,
+                "original_path": None if literal is None else literal.value,
+                "direction": pyscript.direction(call),
+            }
+        )
+    return found
 
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        rows = [check(text) for text in code]
-    return pd.DataFrame(rows, columns=_SYNTAX.names, dtype="object")
-
-
-@F.pandas_udf(T.ArrayType(_CALL))
-def _parquet_calls(code: pd.Series) -> pd.Series:
-    def calls(text):
-        tree = None if text is None else pyscript.parse(text)[0]
-        if tree is None:
-            return []
-        found = []
-        for number, call in enumerate(pyscript.parquet_calls(tree), 1):
-            literal = pyscript.path_literal(call)
-            found.append(
-                {
-                    "call_no": number,
-                    "original_path": None if literal is None else literal.value,
-                    "direction": pyscript.direction(call),
-                }
-            )
-        return found
 
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        return pd.Series([calls(text) for text in code], dtype="object")
+def _analysis_of(code: str | None, base: str):
+    if code is None:
+        return None, None, None, None, [], None, None
+    tree, error = pyscript.parse(code)
+    syntax = (True, None, None, None)
+    if error is not None:
+        message = getattr(error, "msg", str(error))
+        syntax = (False, type(error).__name__, getattr(error, "lineno", None), message)
+    calls = [] if tree is None else _calls_of(tree)
+    return *syntax, calls, *pyscript.rewrite(code, tree, error, base)
 
 
-@F.pandas_udf(_REWRITTEN)
-def _rewrite(code: pd.Series, base: pd.Series) -> pd.DataFrame:
+@F.pandas_udf(_ANALYSIS)
+def _analyse(code: pd.Series, base: pd.Series) -> pd.DataFrame:
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        rows = [
-            (None, None) if text is None else pyscript.rewrite(text, under)
-            for text, under in zip(code, base)
-        ]
-    return pd.DataFrame(rows, columns=_REWRITTEN.names, dtype="object")
+        rows = [_analysis_of(text, under) for text, under in zip(code, base)]
+    return pd.DataFrame(rows, columns=_ANALYSIS.names, dtype="object")
 
 
 def _as_column(base: str | Column) -> Column:
     return base if isinstance(base, Column) else F.lit(base)
 
 
+def _analysed(scripts: DataFrame, base: str | Column = "/") -> DataFrame:
+    """The scripts with ``_base`` and ``_result``, all that one parse tells."""
+    # Parsed once per row, whatever the optimizer does with what is read from it.
+    parsed = _analyse.asNondeterministic()("code", "_base")
+    return scripts.withColumn("_base", _as_column(base)).withColumn("_result", parsed)
+
+
 def with_syntax(scripts: DataFrame) -> DataFrame:
     """The scripts with ``ok``, whether they parse, and if not ``error_type``,
     ``line`` and ``message``."""
-    return scripts.withColumn("result", _syntax("code")).select(*scripts.columns, "result.*")
+    told = [f"_result.{c}" for c in ("ok", "error_type", "line", "message")]
+    return _analysed(scripts).select(*scripts.columns, *told)
 
 
 def script_syntax(scripts: DataFrame) -> DataFrame:
@@ -104,30 +93,38 @@ def script_paths(scripts: DataFrame, base: str | Column) -> DataFrame:
     ``dynamic`` marks calls whose path is not a literal. ``escapes`` marks paths
     that leave ``base``; a script with such a path must not be run.
     """
-    path, under = F.col("call.original_path"), F.col("base")
-    return scripts.select(
-        "script_id",
-        _as_column(base).alias("base"),
-        F.explode(_parquet_calls("code")).alias("call"),
-    ).select(
-        "script_id",
-        "call.call_no",
-        "call.original_path",
-        paths.resolve(path, under).alias("resolved_path"),
-        "call.direction",
-        path.isNull().alias("dynamic"),
-        paths.escapes(path, under).alias("escapes"),
+    path, under = F.col("call.original_path"), F.col("_base")
+    return (
+        _analysed(scripts, base)
+        .select("script_id", "_base", F.explode("_result.calls").alias("call"))
+        .select(
+            "script_id",
+            "call.call_no",
+            "call.original_path",
+            paths.resolve(path, under).alias("resolved_path"),
+            "call.direction",
+            path.isNull().alias("dynamic"),
+            paths.escapes(path, under).alias("escapes"),
+        )
     )
 
 
-def script_inputs(calls: DataFrame) -> DataFrame:
-    """Relative paths each script reads, from ``script_paths``."""
+def script_inputs(scripts: DataFrame) -> DataFrame:
+    """Relative paths each script reads, and how often; counted within its row."""
+    read = F.filter(
+        "_result.calls",
+        lambda c: (c["direction"] == "read") & paths.is_relative(c["original_path"]),
+    )
+    read = F.transform(read, lambda c: c["original_path"])
+
+    def counted(path: Column) -> Column:
+        n = F.size(F.filter("read", lambda p: p == path)).cast("bigint")
+        return F.struct(path.alias("original_path"), n.alias("n"))
+
     return (
-        calls.filter(
-            (F.col("direction") == "read") & paths.is_relative(F.col("original_path"))
-        )
-        .groupBy("script_id", "original_path")
-        .agg(F.count("*").alias("n"))
+        _analysed(scripts)
+        .select("script_id", read.alias("read"))
+        .select("script_id", F.inline(F.transform(F.array_distinct("read"), counted)))
     )
 
 
@@ -144,8 +141,10 @@ def script_rewrite(scripts: DataFrame, base: str | Column) -> DataFrame:
     """Each script with its relative Parquet paths put under ``base``.
 
     ``code`` is kept, since a correction is asked for the code as it was given.
-    ``stage_error`` is set where the script could not be analysed at all.
+    ``stage_error`` is set where the script could not be analysed at all. A script
+    with ``escapes`` has a path that leaves ``base`` and must not be run.
     """
-    return scripts.select(
-        "script_id", "code", _rewrite("code", _as_column(base)).alias("result")
-    ).select("script_id", "code", "result.*")
+    leaves = F.exists("_result.calls", lambda c: paths.escapes(c["original_path"], F.col("_base")))
+    return _analysed(scripts, base).select(
+        "script_id", "code", "_result.rewritten_code", "_result.stage_error", leaves.alias("escapes")
+    )

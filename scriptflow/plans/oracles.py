@@ -84,7 +84,7 @@ SELECT script_id, code,
          ELSE 'a = spark.read.parquet(''{BASE}/l'')'
            || '.join(spark.read.parquet(''{BASE}/r''), ''id'')'
        END AS rewritten_code,
-       CAST(NULL AS STRING) AS stage_error
+       CAST(NULL AS STRING) AS stage_error, script_id % 8 = 6 AS escapes
 FROM (SELECT *, CAST(script_id AS STRING) AS k FROM scripts)
 """
 
@@ -263,7 +263,7 @@ def oracle_sql() -> dict[str, str]:
         "rows_inferred": _over(
             "people", "SELECT id, name, CAST(age AS BIGINT) AS age FROM people"
         ),
-        "parquet_scan": all_transactions,
+        "parquet_scan": "SELECT * FROM orders",
         "parquet_roundtrip": all_transactions,
         "date_parts": _over(
             "transactions",

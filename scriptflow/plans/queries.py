@@ -81,7 +81,7 @@ def queries() -> dict[str, Query]:
         "rows_inferred": _over(fx.PEOPLE)(
             lambda df: rows.inferred(df, ["id", "name", "age"])
         ),
-        "parquet_scan": tx(lambda df: df),
+        "parquet_scan": lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/orders.parquet"),
         "parquet_roundtrip": tx(
             lambda df: _workspace(df).stage(df, "nested/dir/transactions.parquet")
         ),
@@ -119,7 +119,7 @@ def queries() -> dict[str, Query]:
         # Scripts
         "script_syntax": script(scripts.script_syntax),
         "script_paths": script(_calls),
-        "script_inputs": script(lambda df: scripts.script_inputs(_calls(df))),
+        "script_inputs": script(scripts.script_inputs),
         "script_rewrite": script(lambda df: scripts.script_rewrite(df, BASE)),
         "dataset_usage": script(lambda df: scripts.dataset_usage(_calls(df))),
         # Run logs

@@ -127,7 +127,7 @@ def test_other_calls_are_not_touched(spark):
     """
     code = textwrap.dedent(code)
     assert calls(spark, code, "x = (", None) == []
-    [(_, rewritten, error)] = by_id(scripts.script_rewrite(table(spark, [code]), BASE))
+    [(_, rewritten, error, _)] = by_id(scripts.script_rewrite(table(spark, [code]), BASE))
     assert error is None and BASE not in rewritten
 
 
@@ -149,8 +149,9 @@ def test_escapes_and_uris(spark):
 
 def test_inputs_and_usage(spark):
     code = 'r.read.parquet("a")\nr.read.parquet("a")\nr.read.parquet("/b")\nr.write.parquet("c")'
-    found = scripts.script_paths(table(spark, [code, code + "\nr.read.parquet(p)"]), BASE)
-    inputs = scripts.script_inputs(found).collect()
+    df = table(spark, [code, code + "\nr.read.parquet(p)", "x = ("])
+    found = scripts.script_paths(df, BASE)
+    inputs = scripts.script_inputs(df).collect()
     assert sorted(map(tuple, inputs)) == [(1, "a", 2), (2, "a", 2)]
     usage = scripts.dataset_usage(found).collect()
     assert sorted(map(tuple, usage)) == [
@@ -170,7 +171,7 @@ def test_rewrite(spark):
         spark.read.parquet(p)
         '''
     )
-    [(kept, rewritten, error)] = by_id(scripts.script_rewrite(table(spark, [code]), BASE))
+    [(kept, rewritten, error, _)] = by_id(scripts.script_rewrite(table(spark, [code]), BASE))
     assert kept == code and error is None
     assert rewritten.splitlines() == [
         f"df = spark.read.parquet('{BASE}/in.parquet')",
@@ -193,12 +194,18 @@ def test_rewrite_passes_what_it_cannot_read(spark):
     deep = "x" + ".a()" * 5_000
     codes = ["y = (1,", deep, None]
     result = by_id(scripts.script_rewrite(table(spark, codes), BASE))
-    assert result[0] == ("y = (1,", "y = (1,", None)
+    assert result[0] == ("y = (1,", "y = (1,", None, False)
     assert result[1][1] == deep and result[1][2].split(":")[0] in (
         "RecursionError",
         "MemoryError",
     )
-    assert result[2] == (None, None, None)
+    assert result[2] == (None, None, None, False)
+
+
+def test_rewrite_marks_what_leaves_the_base(spark):
+    codes = ['r.read.parquet("a")', 'r.read.parquet("a/../../b")', "r.read.parquet(p)"]
+    result = by_id(scripts.script_rewrite(table(spark, codes), BASE))
+    assert [r[3] for r in result] == [False, True, False]
 
 
 def test_base_may_differ_per_script(spark):
@@ -216,6 +223,7 @@ def test_python_sees_the_code_only(spark, tmp_path):
     for job in (
         scripts.script_syntax(df),
         scripts.script_paths(df, BASE),
+        scripts.script_inputs(df),
         scripts.script_rewrite(df, BASE),
     ):
         plan = job._jdf.queryExecution().executedPlan().toString()
