@@ -1,6 +1,6 @@
 """Connected components of a large graph, and joins with a side of checked size."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.storage import stage
 
@@ -8,11 +8,14 @@ from ..sources.storage import stage
 BROADCAST_BYTES = 48_000_000
 
 
-def limited(side: DataFrame, row_bytes: int) -> DataFrame:
+def limited(side: DataFrame, row_bytes: int | Column) -> DataFrame:
     """``side``, staged, and marked for broadcast if its rows take at most
-    ``BROADCAST_BYTES``. Otherwise the join shuffles, with the same result."""
+    ``BROADCAST_BYTES`` in all; ``row_bytes`` is the size of a row, or its expression.
+    Otherwise the join shuffles, with the same result."""
     side = stage(side, "join_side")
-    return F.broadcast(side) if side.count() * row_bytes <= BROADCAST_BYTES else side
+    size = F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes
+    total = side.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return F.broadcast(side) if total <= BROADCAST_BYTES else side
 
 
 def components(edges: DataFrame) -> DataFrame:

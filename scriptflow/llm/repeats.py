@@ -279,7 +279,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     )
     lists = differ.groupBy("doc_id", "text_hash").agg(F.collect_list("r").alias("list"))
     lists = limited(
-        lists.withColumnRenamed("doc_id", "id").withColumnRenamed("text_hash", "hash"), 1000
+        lists.withColumnRenamed("doc_id", "id").withColumnRenamed("text_hash", "hash"),
+        F.size("list") * 64 + 64,
     )
     same_text = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
     once = docs.join(lists, same_text).dropDuplicates(["doc_id", "text_hash"])
@@ -363,7 +364,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         F.collect_list(F.struct("begin", "stop")).alias("ranges")
     )
     ranges = limited(
-        ranges.withColumnRenamed("doc_id", "id").withColumnRenamed("text_hash", "hash"), 1000
+        ranges.withColumnRenamed("doc_id", "id").withColumnRenamed("text_hash", "hash"),
+        F.size("ranges") * 40 + 64,
     )
     same_text = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
     rows = docs.join(ranges, same_text, "left").select(

@@ -84,7 +84,7 @@ def test_equals_all_pairs(spark, monkeypatch, blocks):
         monkeypatch.setattr(jaccard, "BLOCK_NODES", 4)
         monkeypatch.setattr(jaccard, "BLOCK_GRAMS", 2000)
         monkeypatch.setattr(jaccard, "BUNDLE_GRAMS", 500)
-        monkeypatch.setattr(graphs, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(graphs, "BROADCAST_BYTES", -1)
     df = spark.createDataFrame(rows(), SCHEMA).repartition(5)
     assert found(df) == expected(rows())
 

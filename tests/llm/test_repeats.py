@@ -77,7 +77,7 @@ def test_equals_dictionary(spark, monkeypatch, length, gram, sorted_regions):
     monkeypatch.setattr(repeats, "SORTED_REGIONS", sorted_regions)
     if sorted_regions == 2:
         monkeypatch.setattr(repeats, "TASK_REGIONS", 10)
-        monkeypatch.setattr(graphs, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(graphs, "BROADCAST_BYTES", -1)
         monkeypatch.setattr(repeats, "_SEGMENT", 64)
     df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows()], SCHEMA).repartition(4)
     assert found(df, length, gram) == expected(rows(), length)
