@@ -65,19 +65,19 @@ def regions(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     """The regions of a block of texts: hash of the anchor, hash of the region, its
     text, its start, its number of strings, and the place of the anchor in it."""
     out = [[np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)] * 4]
+    owner = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     for at in range(0, len(data) - length + 1, _SEGMENT):
         part = data[at : at + _SEGMENT + length - 1]
         sums = words.prefix_sums(part)
-        starts = np.arange(len(part) - gram + 1)
-        hashes = words.range_hashes(sums, starts, starts + gram)
+        hashes = words.window_hashes(sums, gram)
         low_bits = np.uint64(_PLACE_BITS)
-        keys = hashes >> low_bits << low_bits | starts.astype(np.uint64)
-        anchor = (_least(keys, length - gram + 1) & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
-        first = np.arange(len(anchor))
-        text = np.searchsorted(offsets, first + at, "right") - 1
-        inside = first + at + length <= offsets[text + 1]
+        keys = hashes >> low_bits << low_bits
+        keys |= np.arange(len(hashes), dtype=np.uint64)
+        anchor = (_least(keys, length - gram + 1) & np.uint64((1 << _PLACE_BITS) - 1)).view(np.int64)
+        text = owner[at : at + len(anchor)]
+        inside = text == owner[at + length - 1 : at + length - 1 + len(anchor)]
         new = np.ones(len(anchor), bool)
-        new[1:] = (np.diff(anchor) != 0) | (np.diff(text) != 0) | (inside[1:] != inside[:-1])
+        new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]) | (inside[1:] != inside[:-1])
         begin = np.flatnonzero(new)
         stop = np.append(begin[1:], len(anchor))
         begin, stop = begin[inside[begin]], stop[inside[begin]]

@@ -46,10 +46,11 @@ def _grown(n: int) -> list[np.ndarray]:
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values; a bijection."""
     x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
+    x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(32)
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def blocks(column, max_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -105,6 +106,14 @@ def range_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def window_hashes(sums: np.ndarray, width: int) -> np.ndarray:
+    """``range_hashes`` of all ranges of ``width`` bytes."""
+    out = sums[width:] - sums[:-width]
+    out *= _grown(len(sums))[1][: len(out)]
+    out += np.uint64(width)
+    return mixed(out)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each word, lower-cased, and where the words of each text begin
     in that list (one more entry than texts)."""
