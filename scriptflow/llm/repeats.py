@@ -36,7 +36,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..sources.storage import stage
 from . import words
-from .graphs import limited
 from .suffixes import suffix_array
 
 LENGTH = 100
@@ -278,10 +277,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
         F.struct("anchor", "first.start", "strings", "place", "kinds").alias("r"),
     )
     lists = differ.groupBy("doc_id", "text_hash").agg(F.collect_list("r").alias("list"))
-    lists = limited(
-        lists.withColumnRenamed("doc_id", "id").withColumnRenamed("text_hash", "hash"),
-        F.size("list") * 64 + 64,
-    )
+    lists = lists.withColumnRenamed("doc_id", "id").withColumnRenamed("text_hash", "hash")
     same_text = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
     once = docs.join(lists, same_text).dropDuplicates(["doc_id", "text_hash"])
     known = once.select(
@@ -363,10 +359,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     ranges = repeats(docs, length, gram).groupBy("doc_id", "text_hash").agg(
         F.collect_list(F.struct("begin", "stop")).alias("ranges")
     )
-    ranges = limited(
-        ranges.withColumnRenamed("doc_id", "id").withColumnRenamed("text_hash", "hash"),
-        F.size("ranges") * 40 + 64,
-    )
+    ranges = ranges.withColumnRenamed("doc_id", "id").withColumnRenamed("text_hash", "hash")
     same_text = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
     rows = docs.join(ranges, same_text, "left").select(
         "text", "ranges", "doc_id", F.octet_length("text").cast("bigint").alias("n_bytes")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scriptflow.llm import graphs, repeats
+from scriptflow.llm import repeats
 from scriptflow.llm.suffixes import suffix_array
 
 SCHEMA = "doc_id bigint, text string, anchor int, bytes int, kept int"
@@ -77,7 +77,6 @@ def test_equals_dictionary(spark, monkeypatch, length, gram, sorted_regions):
     monkeypatch.setattr(repeats, "SORTED_REGIONS", sorted_regions)
     if sorted_regions == 2:
         monkeypatch.setattr(repeats, "TASK_REGIONS", 10)
-        monkeypatch.setattr(graphs, "BROADCAST_BYTES", -1)
         monkeypatch.setattr(repeats, "_SEGMENT", 64)
     df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows()], SCHEMA).repartition(4)
     assert found(df, length, gram) == expected(rows(), length)
