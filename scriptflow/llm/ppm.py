@@ -33,11 +33,13 @@ from ..sources.storage import stage
 from . import words
 from .quality import remainder
 
-ORDER = 7
+ORDER = 6
 #: A sequence of symbols or a word is frequent if it makes up this share of all.
 SHARE = 1 << 21
-#: Symbols of which a task counts the sequences at once.
-COUNT_SYMBOLS = 10_000_000
+#: Symbols of which a task counts the sequences at once, and different sequences or
+#: words that it holds before it hands on their counts.
+COUNT_SYMBOLS = 8_000_000
+COUNT_KEYS = 6_000_000
 END = 0xFF
 SYMBOLS = 256
 _BITS = 8
@@ -82,38 +84,56 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.insert(hashes, at[1:], END_WORD), at + np.arange(n + 1)
 
 
-def _counted(order: int):
-    def out(kind: int, parts: list[np.ndarray]):
-        keys, n = np.unique(np.concatenate(parts), return_counts=True)
-        parts.clear()
+class Tally:
+    """Counts of 64-bit keys, added in pieces."""
+
+    def __init__(self):
+        self.new: list[np.ndarray] = []
+        self.keys, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def merge(self) -> None:
+        if self.new:
+            keys, n = np.unique(np.concatenate(self.new), return_counts=True)
+            self.new.clear()
+            keys, n = np.concatenate([self.keys, keys]), np.concatenate([self.n, n])
+            order = np.argsort(keys, kind="stable")  # two sorted runs
+            keys, n = keys[order], n[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            self.keys, self.n = keys[first], np.add.reduceat(n, first)
+
+    def batches(self, kind: int):
+        self.merge()
         step = 100_000
-        for k in range(0, len(keys), step):
-            some = keys[k : k + step].view(np.int64)
+        for k in range(0, len(self.keys), step):
+            some = self.keys[k : k + step].view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(len(some), kind, np.int32)),
                     pa.array(some),
-                    pa.array(n[k : k + step]),
+                    pa.array(self.n[k : k + step]),
                 ],
                 names=["kind", "key", "n"],
             )
+        self.__init__()
+
 
+def _counted(order: int):
     def count(batches):
-        grams: list[np.ndarray] = []
-        tokens: list[np.ndarray] = []
+        tallies = {_GRAM: Tally(), _WORD: Tally()}
         held = 0
         for batch in batches:
             for _, _, data, offsets in words.blocks(batch.column(0)):
-                grams.append(sequences(data, offsets, order))
-                tokens.append(_tokens(data, offsets)[0])
-                held += len(grams[-1])
+                tallies[_GRAM].new.append(sequences(data, offsets, order))
+                tallies[_WORD].new.append(_tokens(data, offsets)[0])
+                held += len(tallies[_GRAM].new[-1])
                 if held >= COUNT_SYMBOLS:
-                    yield from out(_GRAM, grams)
-                    yield from out(_WORD, tokens)
                     held = 0
-        if grams:
-            yield from out(_GRAM, grams)
-            yield from out(_WORD, tokens)
+                    for kind, tally in tallies.items():
+                        tally.merge()
+                        if len(tally.keys) > COUNT_KEYS:
+                            yield from tally.batches(kind)
+        for kind, tally in tallies.items():
+            yield from tally.batches(kind)
 
     return count
 
@@ -278,30 +298,24 @@ def _sorted_columns(df: DataFrame, *names: str) -> list[np.ndarray]:
 
 
 def train(counts: DataFrame, order: int = ORDER, share: int = SHARE) -> Trie:
-    """The trie of gathered counts. The driver sees frequent sequences only, of each
-    length at most ``share``."""
+    """The trie of gathered counts: those of the longest sequences, and of shorter ones
+    step by step. The driver sees frequent sequences only, of each length at most
+    ``share``."""
     grams = counts.filter(F.col("kind") == _GRAM)
     total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     least = max(1, -(-total // share))
-    each = grams.select(
-        "n",
-        F.posexplode(
-            F.array(
-                *[F.col("key").bitwiseAND(F.lit(_signed(_mask(k + 1)))) for k in range(order + 1)]
-            )
-        ).alias("k", "gram"),
-    )
-    every = each.groupBy("k", "gram").agg(F.sum("n").alias("n"))
-    every = stage(
-        every.withColumn("context", F.shiftrightunsigned("gram", _BITS)), "ppm_sequences"
-    )
-    k, gram, n = _sorted_columns(every.filter(F.col("n") >= least), "k", "gram", "n")
-    all_n = every.groupBy("k", "context").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    context_k, context, context_n = _sorted_columns(all_n, "k", "context", "n")
-    return Trie(
-        [(gram[k == j], n[k == j]) for j in range(order + 1)],
-        [(context[context_k == j], context_n[context_k == j]) for j in range(order + 1)],
-    )
+    level = grams.select(F.col("key").alias("gram"), "n")
+    kept, totals = [], []
+    for k in range(order, -1, -1):
+        kept.insert(0, _sorted_columns(level.filter(F.col("n") >= least), "gram", "n"))
+        contexts = level.groupBy(F.shiftrightunsigned("gram", _BITS).alias("context"))
+        contexts = contexts.agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+        totals.insert(0, _sorted_columns(contexts, "context", "n"))
+        if k:  # without the first symbol
+            shorter = F.col("gram").bitwiseAND(F.lit(_signed(_mask(k)))).alias("gram")
+            level = level.select(shorter, "n").groupBy("gram").agg(F.sum("n").alias("n"))
+            level = stage(level, "ppm_sequences")
+    return Trie(kept, totals)
 
 
 _SCORED = "n_tokens long, known long, log_sum double, score double, rare array<long>"
