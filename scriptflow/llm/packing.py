@@ -18,6 +18,8 @@ place anywhere, which is an error.
 
 import math
 import os
+import sys
+import types
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ ATTENTION = TOKENS**2
 PIECES_PER_SHARD = 16_384
 TOKENS_PER_SHARD = 16_000_000
 #: Words whose ids a worker remembers, and words that are encoded together.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 WORDS_AT_ONCE = 1000
 END_ID = 0
 
@@ -75,6 +77,18 @@ class WordIds:
         return [b"".join([known[w] for w in found]) for found in split]
 
 
+def _word_ids(tokenizer: str) -> WordIds:
+    """The one that this worker has used before, if it was of the same tokenizer.
+
+    Functions come to a worker anew with every task, with their modules, so what
+    should last is held where all of Python finds it.
+    """
+    held = sys.modules.setdefault("_scriptflow_word_ids", types.ModuleType("_scriptflow_word_ids"))
+    if getattr(held, "tokenizer", None) != tokenizer:
+        held.tokenizer, held.word_ids = tokenizer, WordIds(tokenizer)
+    return held.word_ids
+
+
 def _cut(ids: bytes, tokens: int):
     step = 4 * tokens
     for piece, at in enumerate(range(0, len(ids), step)):
@@ -88,15 +102,11 @@ def tokenize(docs: DataFrame, tokenizer: str, tokens: int = TOKENS) -> DataFrame
     contain white space. A document ends with the id 0.
     """
     with open(tokenizer, encoding="utf-8") as file:
-        # The worker's copy also holds the words that its tasks have met so far.
-        shared = docs.sparkSession.sparkContext.broadcast({"file": file.read()})
+        shared = docs.sparkSession.sparkContext.broadcast(file.read())
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut(batches):
-        held = shared.value
-        if "words" not in held:
-            held["words"] = WordIds(held["file"])
-        ids_of = held["words"]
+        ids_of = _word_ids(shared.value)
         for batch in batches:
             doc_id, text = batch.column(0), batch.column(1)
             for first, _, data, offsets in words.blocks(text, 500_000):
