@@ -5,15 +5,16 @@ training text. A byte is coded in the longest context of the trie that it follow
 if it was not seen there, an escape is coded and the next shorter context is asked,
 in which all bytes seen in the longer one are excluded. Below the empty context all
 bytes left are equally likely. Escapes are estimated as in method D: each of the
-different bytes of a context gives half an occurrence to the escape, and a pruned one
-gives all of them. A text ends with a symbol of its own, a byte that UTF-8 never has,
+different bytes of a context gives half an occurrence to the escape. A text ends with a symbol of its own, a byte that UTF-8 never has,
 so probabilities of all texts sum to one.
 
 Counts are gathered in one pass: each task counts the sequences of ``ORDER + 1``
-symbols in its texts, and Spark adds them up; shorter contexts are sums of these. A
-sequence enters the trie if at least ``1 / SHARE`` of all symbols are its occurrences.
-By this rule at most ``SHARE`` sequences of each length are in it, however large the
-input, and it prunes nothing while the input is smaller than that.
+symbols in its texts, and Spark adds them up; shorter contexts are sums of these. Every
+counted sequence is in the model, which grows with the training text. A model of at
+most ``SHARE`` symbols is sent to the tasks as a whole. A larger one stays in tables:
+the tasks look up the sequences that make up ``1 / SHARE`` of all symbols, of which
+there are at most ``SHARE``; the other sequences of each text are joined with theirs,
+and those that were never seen go down from order to order. Both ways give the same.
 
 The base score is that of single words with one added to every count. Frequent words
 (again a share of all, so their number is bounded) are looked up in the tasks; the
@@ -27,10 +28,12 @@ score is 0.
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..sources.storage import stage
 from . import words
+from .graphs import limited
 from .quality import remainder
 
 ORDER = 6
@@ -267,6 +270,10 @@ class Trie:
         out[left] += self.uniform
         return out
 
+    def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``log_probability``, which is there for every sequence."""
+        return self.log_probability(grams), np.ones(len(grams), bool)
+
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The ``log10`` probability of each text of a block."""
         values = self.log_probability(sequences(data, offsets, self.order))
@@ -297,37 +304,150 @@ def _sorted_columns(df: DataFrame, *names: str) -> list[np.ndarray]:
     return [c[order] for c in columns]
 
 
-def train(counts: DataFrame, order: int = ORDER, share: int = SHARE) -> Trie:
-    """The trie of gathered counts: those of the longest sequences, and of shorter ones
-    step by step. The driver sees frequent sequences only, of each length at most
-    ``share``."""
+def _levels(counts: DataFrame, order: int) -> list[DataFrame]:
+    """``gram, n`` for each order: gathered counts of the longest sequences, and of
+    shorter ones step by step."""
+    level = counts.filter(F.col("kind") == _GRAM).select(F.col("key").alias("gram"), "n")
+    levels = [level]
+    for k in range(order, 0, -1):  # without the first symbol
+        shorter = F.col("gram").bitwiseAND(F.lit(_signed(_mask(k)))).alias("gram")
+        level = level.select(shorter, "n").groupBy("gram").agg(F.sum("n").alias("n"))
+        level = stage(level, "ppm_sequences")
+        levels.insert(0, level)
+    return levels
+
+
+def _total(counts: DataFrame) -> int:
     grams = counts.filter(F.col("kind") == _GRAM)
-    total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(1, -(-total // share))
-    level = grams.select(F.col("key").alias("gram"), "n")
+    return grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def _context(k: int = 7):
+    """The ``k`` symbols before the last one."""
+    return F.shiftrightunsigned("gram", _BITS).bitwiseAND(F.lit(_mask(k))).alias("context")
+
+
+def train(counts: DataFrame, order: int = ORDER, share: int = SHARE) -> Trie:
+    """The trie of gathered counts in memory, without sequences that make up less than
+    ``1 / share`` of all symbols; none is left out of a text of up to ``share``."""
+    least = max(1, -(-_total(counts) // share))
     kept, totals = [], []
-    for k in range(order, -1, -1):
-        kept.insert(0, _sorted_columns(level.filter(F.col("n") >= least), "gram", "n"))
-        contexts = level.groupBy(F.shiftrightunsigned("gram", _BITS).alias("context"))
+    for level in _levels(counts, order):
+        kept.append(_sorted_columns(level.filter(F.col("n") >= least), "gram", "n"))
+        contexts = level.groupBy(_context())
         contexts = contexts.agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-        totals.insert(0, _sorted_columns(contexts, "context", "n"))
-        if k:  # without the first symbol
-            shorter = F.col("gram").bitwiseAND(F.lit(_signed(_mask(k)))).alias("gram")
-            level = level.select(shorter, "n").groupBy("gram").agg(F.sum("n").alias("n"))
-            level = stage(level, "ppm_sequences")
+        totals.append(_sorted_columns(contexts, "context", "n"))
     return Trie(kept, totals)
 
 
-_SCORED = "n_tokens long, known long, log_sum double, score double, rare array<long>"
+class Cache:
+    """The code lengths of the frequent sequences of a model in tables."""
+
+    def __init__(self, order: int, grams: np.ndarray, logs: np.ndarray):
+        self.order, self.table = order, Hashed(grams, logs)
+
+    def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.table.find(grams)
+
+
+def _coded(batches):
+    """One order of the way down: asked sequences and what follows their context, to
+    what coding or escaping adds, and the symbols that the next order excludes."""
+    for batch in batches:
+        table = pa.table(batch)
+        n = table.num_rows
+        gram = table["gram"].to_numpy().view(np.uint64)
+        log = table["log"].to_numpy().copy()
+        row = lambda lists: np.repeat(
+            np.arange(n), pc.fill_null(pc.list_value_length(lists), 0)
+        )
+        seen, follow = (table[c].combine_chunks() for c in ("seen", "follow"))
+        out = np.zeros((n, SYMBOLS), bool)
+        out[row(seen), seen.flatten().to_numpy(zero_copy_only=False)] = True
+        count = np.zeros((n, SYMBOLS), np.int64)
+        entries = follow.flatten()
+        symbol, often = (entries.field(c).to_numpy(zero_copy_only=False) for c in ("symbol", "n"))
+        count[row(follow), symbol] = often
+        there = count.any(axis=1)
+        new = np.where(out, 0, count)
+        den = _log(2 * new.sum(axis=1))
+        own = new[np.arange(n), (gram & np.uint64(_mask(1))).astype(np.int64)]
+        log += np.where(own > 0, _log(2 * own - 1), _log((new > 0).sum(axis=1))) - den
+        again = count > 0
+        again[own > 0] = False
+        again[~there] = out[~there]
+        at = np.concatenate([[0], np.cumsum(again.sum(axis=1))])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(gram.view(np.int64)),
+                pa.array(log),
+                pa.ListArray.from_arrays(
+                    pa.array(at, pa.int32()), pa.array(np.nonzero(again)[1].astype(np.int32))
+                ),
+                pa.array(own > 0),
+            ],
+            names=["gram", "log", "seen", "done"],
+        )
+
+
+def _unseen(asked: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """``gram, log`` for different sequences that the training text does not have."""
+    left = asked.select("gram", F.lit(0.0).alias("log"), F.array().cast("array<int>").alias("seen"))
+    found = []
+    for k in range(len(levels) - 1, -1, -1):
+        left = left.withColumn("context", _context(k))
+        symbol = F.col("gram").bitwiseAND(F.lit(_mask(1))).cast("int").alias("symbol")
+        follow = levels[k].select(_context(k), F.struct(symbol, "n").alias("next"))
+        if k < 3:
+            follow = follow.groupBy("context").agg(F.collect_list("next").alias("follow"))
+            follow = limited(follow, 32 + 16 * F.size("follow"))
+        else:
+            wanted = left.select("context").distinct()
+            follow = follow.join(wanted, "context", "left_semi")
+            follow = follow.groupBy("context").agg(F.collect_list("next").alias("follow"))
+        step = left.join(follow, "context", "left").select("gram", "log", "seen", "follow")
+        step = step.mapInArrow(_coded, "gram long, log double, seen array<int>, done boolean")
+        step = stage(step, "ppm_unseen")
+        found.append(step.filter("done").select("gram", "log"))
+        left = step.filter("not done").drop("done")
+    different = levels[0].count()
+    uniform = float(-np.log10(max(SYMBOLS - different, 1)))
+    found.append(left.select("gram", (F.col("log") + uniform).alias("log")))
+    for more in found[1:]:
+        found[0] = found[0].unionByName(more)
+    return found[0]
+
+
+_SCORED = (
+    "n_tokens long, known long, log_sum double, score double, rare array<long>, "
+    "asked array<struct<gram: long, times: long>>"
+)
+
+
+def _asked(grams: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The different sequences of each text with their counts."""
+    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    order = np.lexsort((grams, text))
+    grams, text = grams[order], text[order]
+    new = np.ones(len(grams), bool)
+    new[1:] = (grams[1:] != grams[:-1]) | (text[1:] != text[:-1])
+    first = np.flatnonzero(new)
+    times = np.diff(np.concatenate([first, [len(grams)]]))
+    return pa.ListArray.from_arrays(
+        pa.array(np.searchsorted(text[first], np.arange(len(at))), pa.int32()),
+        pa.StructArray.from_arrays(
+            [pa.array(grams[first].view(np.int64)), pa.array(times)], names=["gram", "times"]
+        ),
+    )
 
 
-def _scored(model, frequent):
+def _scored(kind, model, frequent):
     def score(batches):
-        trie = Trie.__new__(Trie)
-        trie.__dict__.update(model.value)
+        codes = kind.__new__(kind)
+        codes.__dict__.update(model.value)
         table = Hashed.__new__(Hashed)
-        table.__dict__.update(trie.table)
-        trie.table = table
+        table.__dict__.update(codes.table)
+        codes.table = table
         common = Hashed.__new__(Hashed)
         common.__dict__.update(frequent.value)
         for batch in batches:
@@ -338,16 +458,23 @@ def _scored(model, frequent):
                 rare = pa.ListArray.from_arrays(
                     pa.array(rare_at, pa.int32()), pa.array(tokens[~known].view(np.int64))
                 )
+                grams = sequences(data, offsets, codes.order)
+                starts = offsets + np.arange(len(offsets))
+                lengths, there = codes.find(grams)
+                unknown_at = np.concatenate([[0], np.cumsum(~there)])[starts]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[c.slice(first, last - first) for c in batch.columns[:-1]],
                         pa.array(np.diff(at)),
                         pa.array(np.add.reduceat(known.astype(np.int64), at[:-1])),
                         pa.array(np.add.reduceat(logs, at[:-1])),
-                        pa.array(trie.score(data, offsets)),
+                        pa.array(np.add.reduceat(lengths, starts[:-1])),
                         rare,
+                        _asked(grams[~there], unknown_at),
+                    ],
+                    names=[
+                        "doc_id", "held_out", "n_tokens", "known", "log_sum", "score", "rare", "asked"
                     ],
-                    names=["doc_id", "held_out", "n_tokens", "known", "log_sum", "score", "rare"],
                 )
 
     return score
@@ -372,7 +499,20 @@ def score_documents(
         F.col("text").cast("string").alias("text"),
     )
     counts = gather(docs.filter("not held_out"), order)
-    model = context.broadcast(_plain(train(counts, order, share)))
+    total = _total(counts)
+    whole = total <= share
+    if whole:
+        codes = train(counts, order, share)
+    else:
+        levels = _levels(counts, order)
+        # At most 256 rows of a context.
+        all_ = F.sum("n").over(Window.partitionBy(_context()))
+        learned = stage(
+            levels[-1].select("gram", "n", all_.alias("total")), "ppm_learned"
+        ).select("gram", "n", (F.log10(2 * F.col("n") - 1) - F.log10(2 * F.col("total"))).alias("log"))
+        cached = F.col("n") >= -(-total // share)
+        codes = Cache(order, *_sorted_columns(learned.filter(cached), "gram", "log"))
+    model = context.broadcast(_plain(codes))
 
     vocabulary = counts.filter(F.col("kind") == _WORD)
     n, v = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -384,7 +524,7 @@ def score_documents(
         [*docs.schema.fields[:2], *T._parse_datatype_string(_SCORED).fields]
     )
     rows = stage(
-        docs.mapInArrow(_scored(model, frequent), schema).withColumn(
+        docs.mapInArrow(_scored(type(codes), model, frequent), schema).withColumn(
             "row", F.monotonically_increasing_id()
         ),
         "ppm_scored",
@@ -396,8 +536,22 @@ def score_documents(
         .groupBy("row")
         .agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("more_log"))
     )
+    if not whole:
+        seldom = learned.filter(~cached).select("gram", "log")
+        asked = rows.select("row", "held_out", F.inline("asked"))
+        unseen = asked.filter("held_out").select("gram").distinct()
+        unseen = stage(unseen.join(seldom, "gram", "left_anti"), "ppm_asked")
+        seldom = seldom.unionByName(_unseen(unseen, levels))
+        added = (
+            asked.join(seldom, "gram")
+            .groupBy("row")
+            .agg(F.sum(F.col("times") * F.col("log")).alias("added"))
+        )
+        rows = rows.join(added, "row", "left").withColumn(
+            "score", F.col("score") + F.coalesce("added", F.lit(0.0))
+        )
     per_token = float(np.log10(n + v + 1.0))
-    return rows.drop("rare").join(rest, "row", "left").select(
+    return rows.drop("rare", "asked").join(rest, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",

@@ -129,3 +129,17 @@ def test_no_training_rows(spark):
     held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 7 == 2)
     (row,) = ppm.score_documents(spark.createDataFrame([(held, "ab", "", 1, 1)], SCHEMA)).collect()
     assert row.score == pytest.approx(3 * math.log10(1 / 256)) and row.base_score == 0
+
+
+def test_nothing_is_pruned(spark):
+    rows = [(k, t, "x", 1, 2) for k, t in enumerate([*TEXTS, "zq", "the catz", "tea é", None] * 4)]
+    rows += [(k + 500, "the cat " + "xyz"[k % 3] * (k % 5) + chr(97 + k % 26), "", 0, 0) for k in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    held = lambda k: zlib.crc32(str(k).encode()) % 7 == 2
+    counts = counted([t or "" for k, t, *_ in rows if not held(k)], 3)
+    for share in (1 << 21, 40, 4):  # a model in memory, and tables with smaller caches
+        for r in ppm.score_documents(df, order=3, share=share).collect():
+            text = next(t for k, t, *_ in rows if k == r.doc_id) or ""
+            symbols = [ppm.END] * 3 + list(text.encode()) + [ppm.END]
+            steps = [plain(counts, symbols[at - 3 : at], symbols[at]) for at in range(3, len(symbols))]
+            assert r.score == pytest.approx(sum(map(math.log10, steps)), abs=1e-9)
