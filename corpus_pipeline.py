@@ -6,7 +6,8 @@ columns of the documents:
 
 1. documents that the quality classifier rejects go;
 2. of equal texts one stays;
-3. of documents linked by near-equal n-grams one stays;
+3. of documents linked by a Jaccard similarity of their five-word n-grams of 0.8 or more
+   one stays;
 4. documents with a benchmark passage go;
 5. what is left is tokenised and packed into sequences: a row for each piece, with its
    token ids (little-endian, unsigned, 32 bits), its sequence and its place there.
@@ -31,7 +32,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def join_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.keep_one(docs)
+    return jaccard.keep_one(docs, threshold=(80, 100), n=5)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

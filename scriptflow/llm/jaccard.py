@@ -89,10 +89,10 @@ def signatures(grams: np.ndarray, threshold: tuple[int, int] = THRESHOLD) -> np.
     return np.concatenate(out) if out else grams[:0]
 
 
-def _sets(text) -> list[np.ndarray]:
+def _sets(text, n: int = N) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     for _, _, data, offsets in words.blocks(text):
-        out += words.shingle_hashes(*words.word_hashes(data, offsets), N)
+        out += words.shingle_hashes(*words.word_hashes(data, offsets), n)
     return out
 
 
@@ -100,13 +100,13 @@ def _signed(values) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-def _rows(threshold):
+def _rows(threshold, n):
     def rows(batches):
         for batch in batches:
             doc_id, text = batch.column(0), batch.column(1)
             step = 1000
             for at in range(0, batch.num_rows, step):
-                sets = _sets(text.slice(at, step))
+                sets = _sets(text.slice(at, step), n)
                 found = [signatures(s, threshold) for s in sets]
                 ends = np.cumsum([0, *map(len, found)])
                 yield pa.RecordBatch.from_arrays(
@@ -124,23 +124,26 @@ def _rows(threshold):
     return rows
 
 
-def _with_grams(batches):
-    """The n-grams of the documents whose set is the node that is asked for."""
-    for batch in batches:
-        node, text = batch.column(0), batch.column(1)
-        wanted = node.to_numpy(zero_copy_only=False)
-        step = 1000
-        for at in range(0, batch.num_rows, step):
-            sets = _sets(text.slice(at, step))
-            have = np.array([node_of(s) for s in sets], np.uint64).view(np.int64)
-            same = np.flatnonzero(have == wanted[at : at + step])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(have[same]),
-                    pa.array([sets[k].tobytes() for k in same], pa.binary()),
-                ],
-                names=["node", "grams"],
-            )
+def _with_grams(n):
+    def with_grams(batches):
+        """The n-grams of the documents whose set is the node that is asked for."""
+        for batch in batches:
+            node, text = batch.column(0), batch.column(1)
+            wanted = node.to_numpy(zero_copy_only=False)
+            step = 1000
+            for at in range(0, batch.num_rows, step):
+                sets = _sets(text.slice(at, step), n)
+                have = np.array([node_of(s) for s in sets], np.uint64).view(np.int64)
+                same = np.flatnonzero(have == wanted[at : at + step])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(have[same]),
+                        pa.array([sets[k].tobytes() for k in same], pa.binary()),
+                    ],
+                    names=["node", "grams"],
+                )
+
+    return with_grams
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -295,8 +298,10 @@ def _units(families: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     return alone.unionByName(large.select("family", "node", "copies", "u.*"))
 
 
-def similar(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """``doc_id, n_shingles, component_id, n_links`` of every document.
+def similar(
+    docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, n: int = N
+) -> DataFrame:
+    """``doc_id, n_shingles, component_id, n_links`` of every document, by its ``n``-grams.
 
     ``component_id`` is the smallest id that links lead to, ``n_links`` the number of
     documents linked with directly.
@@ -310,7 +315,7 @@ def similar(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFram
             T.StructField("signatures", T.ArrayType(T.LongType())),
         ]
     )
-    rows = stage(slim.mapInArrow(_rows(threshold), schema), "jaccard_rows")
+    rows = stage(slim.mapInArrow(_rows(threshold, n), schema), "jaccard_rows")
     nodes = stage(
         rows.filter("n_shingles > 0")
         .groupBy("node")
@@ -339,7 +344,7 @@ def similar(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFram
 
     asked = limited(families.select("node", F.col("first_id").alias("id")), 40)
     texts = slim.join(asked, F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
-    grams = stage(texts.mapInArrow(_with_grams, "node long, grams binary"), "jaccard_grams")
+    grams = stage(texts.mapInArrow(_with_grams(n), "node long, grams binary"), "jaccard_grams")
     linked = stage(
         _units(families.drop("first_id"), threshold)
         .join(grams, "node")
@@ -373,10 +378,12 @@ def similar(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFram
     )
 
 
-def keep_one(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+def keep_one(
+    docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, n: int = N
+) -> DataFrame:
     """The document with the smallest id of each component, with its columns."""
     kept = (
-        similar(docs, threshold)
+        similar(docs, threshold, n)
         .filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
         .select(F.col("doc_id").alias("_kept"))
         .distinct()

@@ -79,3 +79,24 @@ def test_packed(steps):
 def test_registered(spark, steps):
     result = entry.queries()["pipeline"](spark, SF_DIR)
     assert result.count() == steps[5].count()
+
+
+def five_word_sets(text):
+    found = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if len(found) < 5:
+        return {tuple(found)} if found else set()
+    return {tuple(found[k : k + 5]) for k in range(len(found) - 4)}
+
+
+def test_similar_by_five_words(spark):
+    docs = []
+    for length, replaced in ((100, (30, 70)), (200, (20, 70, 120, 170)), (50, (25,)), (60, (15, 30, 45))):
+        text = [f"w{length}x{k}" for k in range(length)]
+        copy = ["new" if k in replaced else w for k, w in enumerate(text)]
+        docs += [(len(docs) + 1, " ".join(text)), (len(docs) + 2, " ".join(copy))]
+    docs += [(20, "a b c d"), (21, "A b c d"), (22, "a b c e"), (23, None)]
+    sets = {k: five_word_sets(t) for k, t in docs}
+    link = lambda a, b: 100 * len(a & b) >= 80 * len(a | b) > 0
+    kept = [k for k in sets if not any(j < k and link(sets[j], sets[k]) for j in sets)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert ids(pipeline.join_similar(spark, df, SF_DIR)) == kept == [1, 3, 5, 7, 8, 20, 22, 23]
