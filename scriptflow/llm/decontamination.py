@@ -3,13 +3,15 @@
 A mask such as ``1101011`` selects word positions; the words under it are hashed at
 every place of a text. Positions that a mask leaves out may hold any word, so a
 passage in which words were replaced still shares hashes with the original. The
-masks below find every passage of ``SEGMENT`` words of which two were replaced.
+masks below find every passage of ten words of which two were replaced, and so each
+that counts; items of six to nine words have masks of their own.
 
 The hashes of a bounded block of benchmark items are sent to all tasks, which join
 them with the hashes of their documents. Around each hit, item and document are
 aligned and compared word by word: a segment counts if at least four of five words
-are equal and at least ``SEGMENT`` words are, or the whole item. Benchmarks of more
-than ``BLOCK_WORDS`` words are searched for block by block.
+are equal and at least ``SEGMENT`` words are, or four of five of the item's, and five.
+Of several the one with most equal words is reported. Benchmarks of more than
+``BLOCK_WORDS`` words are searched for block by block.
 
 Words are runs of bytes outside ``[\\x20\\x09-\\x0D]``, lower-cased A-Z; punctuation
 at their ends does not count.
@@ -32,11 +34,13 @@ from . import words
 
 #: Five words each.
 MASKS = ("11111", "1101011", "11011001", "10100111", "1110101")
+#: One replaced word in an item of fewer than ten words.
+SHORT_MASKS = ("101111", "110111", "111011", "111101")
 #: Words that must be equal in a segment, and the share of its words that must be.
 SEGMENT = 13
 LEAST_WORDS = 5
 #: Score of a word that differs, where one that is equal scores 1: at most one of
-#: five words differs in a segment of positive score.
+#: five words differs in a segment of a score of 0 or more.
 MISS = -4.0
 #: Benchmark words whose hashes are sent to the tasks at once.
 BLOCK_WORDS = 500_000
@@ -86,8 +90,8 @@ class Index:
         self.words, self.at = found[0] if found else (np.zeros(0, np.uint64), np.zeros(1, int))
         self.ids = item_ids
         size = np.diff(self.at)
-        short = {int(n) for n in size if LEAST_WORDS <= n < max(map(len, MASKS))}
-        self.masks = [*MASKS, *("1" * n for n in short if n > LEAST_WORDS)]
+        short = ((size > LEAST_WORDS) & (size < 10)).any()
+        self.masks = [*MASKS, *(SHORT_MASKS if short else ())]
         self.tables = []
         for mask in self.masks:
             seeds = _seeds(self.words, mask)
@@ -137,17 +141,19 @@ class Index:
 
 
 def verified(equal: np.ndarray, item_words: int) -> tuple[int, int, int] | None:
-    """The best segment of aligned words as start, words and equal words, if it is
-    enough."""
-    gain = np.where(equal, 1.0, MISS)
-    sums = np.concatenate([[0.0], np.cumsum(gain)])
-    lowest = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums - lowest))
-    start = int(np.argmin(sums[: end + 1]))
-    same = int(equal[start:end].sum())
-    if same >= min(SEGMENT, math.ceil(0.8 * item_words)):
-        return start, end - start, same
-    return None
+    """The segment of aligned words with most equal ones, of those in which at least
+    four of five are, as start, words and equal words, if it is enough."""
+    sums = np.concatenate([[0.0], np.cumsum(np.where(equal, 1.0, MISS))])
+    count = np.concatenate([[0], np.cumsum(equal)])
+    # For each end the first start from which the score is not negative.
+    starts = np.searchsorted(-np.minimum.accumulate(sums), -sums, "left")
+    same = count - count[starts]
+    end = int(np.argmax(same))
+    if same[end] < max(LEAST_WORDS, min(SEGMENT, math.ceil(0.8 * item_words))):
+        return None
+    start = int(starts[end])
+    start += int(np.argmax(equal[start:end]))
+    return start, end - start, int(same[end])
 
 
 def _found(items) -> Column:

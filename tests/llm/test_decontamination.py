@@ -92,3 +92,26 @@ def test_odd_inputs(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert dc.keep_clean(df, none).count() == len(rows)
     assert dc.keep_clean(df.limit(0), items).count() == 0
+
+
+def counts(equal, item_words):
+    """The rule, over all windows."""
+    need = max(5, min(13, -(-4 * item_words // 5)))
+    windows = (equal[i:j] for i in range(len(equal)) for j in range(i + need, len(equal) + 1))
+    return max((sum(w) for w in windows if 5 * sum(w) >= 4 * len(w) and sum(w) >= need), default=0)
+
+
+@pytest.mark.parametrize("n", [6, 7, 8, 9, 10, 12, 15, 16, 20])
+def test_replaced_words_at_every_position(n):
+    item = [f"w{k}" for k in range(n)]
+    index = dc.Index([1], [" ".join(item)])
+    docs, most = [], []
+    for k in range(1, 4):
+        for gone in itertools.combinations(range(n), k):
+            text = ["new" if at in gone else w for at, w in enumerate(item)]
+            docs.append(" ".join(["before", *text, "after"]))
+            most.append(counts([at not in gone for at in range(n)], n))
+    for _, _, data, offsets in dc.words.blocks(dc.pa.array(docs)):
+        hits = index.search(data, offsets)
+        assert [max((h[3] for h in found), default=0) for found in hits] == most
+    assert any(most)
