@@ -31,6 +31,9 @@ number      13 to 19 digits that are no card         all digits            halve
 Names and secrets are permuted half by half, each character within its class (digit,
 lower or upper case letter, hexadecimal letters for secrets).
 
+A number of 13 to 19 digits is unbroken or in groups such as 4-4-4-4 and 4-6-5; a short
+number beside such a one is not part of it. Digits in other groups are taken as one number.
+
 Defined cases: a null text stays null, an empty one stays empty; what is not valid
 stays as it is; every row of a repeated document gets the same result.
 """
@@ -50,7 +53,15 @@ _ISO = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])"
 _DMY = r"(?<![\d/])\d{2}/\d{2}/\d{4}(?![\d/])"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 _PHONE = r"(?<![\d+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
-_DIGITS = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
+#: Groups that numbers are written in, with one separator throughout.
+_GROUPS = [(x, g) for x in " -" for g in ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 3, 3, 3))]
+_WRITTEN = "|".join(
+    [r"\d{13,19}", r"\d{4}-\d{4}-\d{4}-\d{4}-\d{3}"]
+    + [x.join(rf"\d{{{n}}}" for n in g) for x, g in _GROUPS]
+)
+_WRITTEN = rf"(?:{_WRITTEN})(?!\d)"
+#: Other groups count too, but never run into a number that is written as above.
+_DIGITS = rf"(?<!\d)(?:{_WRITTEN}|\d(?:\d|[ -](?!{_WRITTEN})\d){{12,18}}(?!\d))"
 PATTERN = "|".join((_EMAIL, _SECRET, _IP, _ISO, _DMY, _SSN, _PHONE, _DIGITS))
 
 

@@ -156,3 +156,21 @@ def test_odd_inputs(spark):
 @pytest.mark.parametrize("digits,total", [("79927398713", 70), ("0", 0), ("18", 10)])
 def test_luhn_sum(spark, digits, total):
     assert spark.range(1).select(pii.luhn_sum(F.lit(digits))).first()[0] == total == luhn(digits)
+
+
+@pytest.mark.parametrize(
+    "value",
+    ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111", "378282246310005",
+     "3782 822463 10005", "3056 930902 5904"],
+)
+def test_short_numbers_beside_a_card(spark, value):
+    around = ["{}", "{} 123", "12 {}", "7 {} 12", "1-{}-22", "{} 1", "123 {} 123", "{} {}"]
+    for row, text in zip(safe(spark, [a.replace("{}", value) for a in around]), around):
+        assert {tuple(f) for f in row.found} == {("card", value, card(value))}
+        assert row.safe_text == text.replace("{}", card(value))
+
+
+def test_other_groups_are_still_found(spark):
+    values = ["123456 7890123", "41111-1111 111-11111", "12 345678 901234", "4111-1111-1111-1111-123"]
+    for row, value in zip(safe(spark, values), values):
+        assert [f.value for f in row.found] == [value] and row.safe_text != value
