@@ -36,7 +36,7 @@ from . import words
 from .graphs import limited
 from .quality import remainder
 
-ORDER = 6
+ORDER = 7
 #: A sequence of symbols or a word is frequent if it makes up this share of all.
 SHARE = 1 << 21
 #: Symbols of which a task counts the sequences at once, and different sequences or

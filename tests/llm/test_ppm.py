@@ -143,3 +143,12 @@ def test_nothing_is_pruned(spark):
             symbols = [ppm.END] * 3 + list(text.encode()) + [ppm.END]
             steps = [plain(counts, symbols[at - 3 : at], symbols[at]) for at in range(3, len(symbols))]
             assert r.score == pytest.approx(sum(map(math.log10, steps)), abs=1e-9)
+
+
+def test_seven_bytes_of_context(spark):
+    held = [k for k in range(200) if zlib.crc32(str(k).encode()) % 7 == 2][:2]
+    rows = [(k, "1abcdefX" if k % 2 else "2abcdefY") for k in range(200) if k not in held]
+    rows += [(held[0], "1abcdefX"), (held[1], "1abcdefY")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    score = {r.doc_id: r.score for r in ppm.score_documents(df).collect()}
+    assert ppm.ORDER == 7 and score[held[0]] > score[held[1]] + 1
