@@ -4,7 +4,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, exact, jaccard, lines, packing, pii, ppm, quality, repeats
+from . import (
+    chat,
+    decontamination,
+    exact,
+    jaccard,
+    licenses,
+    lines,
+    packing,
+    pii,
+    ppm,
+    quality,
+    repeats,
+    turns,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +32,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact": exact.op8_exact,
         "op9_packing": packing.op9_packing,
         "op10_chat": chat.op10_chat,
+        "op12_turns": turns.op12_turns,
+        "op13_licenses": licenses.op13_licenses,
     }
 
 
@@ -27,4 +42,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_lines": lines.OP2_SQL,
         "op8_exact": exact.OP8_SQL,
         "op10_chat": chat.OP10_SQL,
+        "op12_turns": turns.OP12_SQL,
     }
