@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import (
     chat,
+    collocations,
     decontamination,
     exact,
     jaccard,
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact": exact.op8_exact,
         "op9_packing": packing.op9_packing,
         "op10_chat": chat.op10_chat,
+        "op11_collocations": collocations.op11_collocations,
         "op12_turns": turns.op12_turns,
         "op13_licenses": licenses.op13_licenses,
     }
@@ -42,5 +44,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_lines": lines.OP2_SQL,
         "op8_exact": exact.OP8_SQL,
         "op10_chat": chat.OP10_SQL,
+        "op11_collocations": collocations.OP11_SQL,
         "op12_turns": turns.OP12_SQL,
     }

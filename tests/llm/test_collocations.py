@@ -1,0 +1,106 @@
+"""Collocations against a plain count of everything."""
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from scriptflow.llm import collocations
+
+SCHEMA = "doc_id bigint, text string, lang string, phrase string, n int"
+COLUMNS = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def plain(rows, support, top, covered=(80, 100)):
+    f = {}
+    for _, text, lang, *_ in rows:
+        own = f.setdefault(lang or "und", Counter())
+        lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lowered):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            for size in range(1, 5):
+                for k in range(len(words) - size + 1):
+                    own[tuple(words[k : k + size])] += 1
+    out = []
+    for lang, own in f.items():
+        n = sum(c for p, c in own.items() if len(p) == 1)
+        candidates = {p: c for p, c in own.items() if len(p) > 1 and c >= support}
+        around = Counter()
+        for p, c in candidates.items():
+            for size in range(2, len(p)):
+                for k in range(len(p) - size + 1):
+                    part = p[k : k + size]
+                    around[part] = max(around[part], c)
+        found = []
+        for p, a in candidates.items():
+            if covered[1] * around[p] >= covered[0] * a:
+                continue
+            score, _, left, right = min(
+                (2_000_000 * a // (own[p[:k]] + own[p[k:]]), k, own[p[:k]], own[p[k:]])
+                for k in range(1, len(p))
+            )
+            found.append((-score, -a, " ".join(p).encode(), left, right))
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(found)[:top], 1):
+            out.append((lang, rank, phrase.decode(), -a, left, right, n, -score))
+    return sorted(out)
+
+
+def rows():
+    rng = random.Random(9)
+    common = ["the", "New", "york", "City", "of", "é", "über", "a.b", "in", "x-y"]
+    texts = []
+    for _ in range(250):
+        text = ""
+        for _ in range(rng.randrange(60)):
+            text += rng.choice(common) if rng.random() < 0.8 else f"w{rng.randrange(300)}"
+            text += rng.choice([" "] * 8 + [", ", "\t ", ".", "\n", "; ", "!?"])
+        texts.append(text)
+    texts += [None, "", " \t", ".,;", "aa " * 200, "new york city hall " * 50, "new york city hall" * 3]
+    texts += ["big apple. " * 40, "big. apple " * 40, "long " + "z" * 200_000 + " long"]
+    texts += [f"{rng.randrange(5)} {rng.randrange(5)}\x0b{rng.randrange(3)}\x0c" * 30 for _ in range(5)]
+    langs = ["en", "en", "en", "de", None, "und", "fr"]
+    out = [(k, t, rng.choice(langs), "clash", 1) for k, t in enumerate(texts)]
+    return out + out[:15] + [(None, "new york", "xx", None, None)]
+
+
+def found(df, *args):
+    return sorted(tuple(r) for r in collocations.collocations(df, *args).select(*COLUMNS).collect())
+
+
+@pytest.mark.parametrize("support, top", [(30, 2000), (5, 20), (2, 2000), (1000, 5)])
+def test_equals_plain(spark, support, top):
+    df = spark.createDataFrame(rows(), SCHEMA).repartition(4)
+    assert found(df, support, top) == plain(rows(), support, top)
+
+
+def test_full_filters_and_small_batches(spark, monkeypatch):
+    """A filter without room lets everything through; the result is the same."""
+    monkeypatch.setattr(collocations, "FILTER_BITS", collocations._CHUNK_BITS)
+    monkeypatch.setattr(collocations, "BATCH_BYTES", 500)
+    monkeypatch.setattr(collocations, "SHARDS", 3)
+    df = spark.createDataFrame(rows(), SCHEMA).repartition(2)
+    assert found(df, 8, 2000) == plain(rows(), 8, 2000)
+
+
+def test_filter_never_loses(spark):
+    keys = np.random.default_rng(1).integers(-(2**62), 2**62, 50_000)
+    kept = collocations._filter(spark.createDataFrame([(int(k),) for k in keys], "key long"))
+    assert kept.has(keys.view(np.uint64)).all()
+    other = np.random.default_rng(2).integers(0, 2**62, 50_000)
+    assert kept.has(other.view(np.uint64)).mean() < 0.1
+
+
+def test_shards_prune(spark, monkeypatch):
+    """Words that are rare in their shard are no candidates."""
+    counted = []
+    real = collocations._filter
+    monkeypatch.setattr(collocations, "_filter", lambda keys: counted.append(keys.count()) or real(keys))
+    texts = [(k, f"often seen {' '.join(f'r{k}x{j}' for j in range(50))}", "en", "", 0) for k in range(400)]
+    collocations.collocations(spark.createDataFrame(texts, SCHEMA))
+    assert max(counted) <= 2 * collocations.SHARDS
+
+
+def test_empty_table(spark):
+    assert found(spark.createDataFrame([], SCHEMA)) == []
