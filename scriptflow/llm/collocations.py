@@ -44,14 +44,18 @@ TOP = 2000
 COVERED = (80, 100)
 #: Scores are whole numbers up to half of this.
 SCALE = 2_000_000
-#: Parts of the corpus that are mined on their own; below ``SUPPORT``, so that a phrase
-#: has to occur more than once in a shard, and at most 16.
-SHARDS = 8
+#: Parts of the corpus that are mined on their own, at most 16. They need not be many, as
+#: every one is mined by all tasks; the fewer they are, the higher is their support.
+SHARDS = 4
 #: Bits of a filter, 16 MB: 14 million phrases at 9 bits each. With more it lets more through.
 FILTER_BITS = 1 << 27
 #: Bytes of text whose phrases are counted at once.
-BATCH_BYTES = 6_000_000
+BATCH_BYTES = 2_000_000
+#: Phrases that are written out at once.
+BATCH_PHRASES = 200_000
 
+#: A cell is a shard of a language and a length: ``(lang_id * SHARDS + shard) * _LENGTHS + length``.
+_LENGTHS = 8
 _PROBES = 4
 _CHUNK_BITS = 1 << 19
 _PIECE_ENDS = np.zeros(256, bool)
@@ -221,21 +225,20 @@ def _mined(lengths, shared):
                 at = _promising(found, length, own, filters)
                 if not len(at):
                     continue
-                keys = found.keys(at, length)
-                order = np.lexsort((keys, own[found.row[at]]))
-                keys, groups = keys[order], own[found.row[at]][order]
-                new = np.flatnonzero(
-                    np.concatenate([[True], (keys[1:] != keys[:-1]) | (groups[1:] != groups[:-1])])
-                )
+                keys, groups = found.keys(at, length), own[found.row[at]]
+                mixed = _salted(keys, groups)
+                order = np.argsort(mixed)
+                mixed = mixed[order]
+                new = np.flatnonzero(np.concatenate([[True], mixed[1:] != mixed[:-1]]))
+                first = order[new]
                 counts = np.diff(np.append(new, len(keys)))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(groups[new]),
-                        pa.array(keys[new].view(np.int64)),
-                        pa.array(np.full(len(new), length, np.int8)),
+                        pa.array(groups[first] * _LENGTHS + length),
+                        pa.array(keys[first].view(np.int64)),
                         pa.array(counts.astype(np.int64)),
                     ],
-                    names=["shard", "key", "length", "n"],
+                    names=["cell", "key", "n"],
                 )
 
     return mined
@@ -252,28 +255,28 @@ def _counted(shared):
                 owner = lang[found.row[at]]
                 kept = passed.has(_salted(found.keys(at, length), owner))
                 at, owner = at[kept], owner[kept]
-                if not len(at):
-                    continue
-                table = pa.table({"lang": owner, "phrase": found.texts(at, length)})
-                table = table.group_by(["lang", "phrase"]).aggregate([([], "count_all")])
-                yield from pa.table(
-                    {
-                        "lang": table["lang"],
-                        "phrase": table["phrase"].cast(pa.string()),
-                        "length": pa.array(np.full(len(table), length, np.int8)),
-                        "n": table["count_all"],
-                    }
-                ).combine_chunks().to_batches()
+                for k in range(0, len(at), BATCH_PHRASES):
+                    some = slice(k, k + BATCH_PHRASES)
+                    table = pa.table({"lang": owner[some], "phrase": found.texts(at[some], length)})
+                    table = table.group_by(["lang", "phrase"]).aggregate([([], "count_all")])
+                    yield from pa.table(
+                        {
+                            "lang": table["lang"],
+                            "phrase": table["phrase"].cast(pa.string()),
+                            "length": pa.array(np.full(len(table), length, np.int8)),
+                            "n": table["count_all"],
+                        }
+                    ).combine_chunks().to_batches()
 
     return counted
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``lang_id, shard, text`` of the documents, and the names of the ids, which are
-    hashes of 60 bits, so that an id and a shard are one number."""
+    hashes of 56 bits, so that an id, a shard and a length are one number."""
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
     rows = docs.select(
-        F.shiftrightunsigned(F.xxhash64(lang), 4).alias("lang_id"),
+        F.shiftrightunsigned(F.xxhash64(lang), 8).alias("lang_id"),
         F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(SHARDS)).alias("shard"),
         F.col("text").cast("string").alias("text"),
         lang.alias("lang"),
@@ -287,38 +290,39 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT) -> tuple[DataFrame
     ``support`` occurrences in their language, and ``lang, n``, the words of each."""
     spark = docs.sparkSession
     rows, names = _numbered(docs)
-    kinds = "shard long, key long, length byte, n long"
     filters: dict[int, _Filter] = {}
     united = None
-    sizes = None
+    lowered = None
+    shard = F.expr(f"cell div {_LENGTHS}")
     for lengths in ((1,), (2,), tuple(range(3, LENGTH + 1))):
         shared = _shared(spark, filters)
         counts = (
-            rows.mapInArrow(_mined(lengths, shared), kinds)
-            .groupBy("shard", "key", "length")
+            rows.mapInArrow(_mined(lengths, shared), "cell long, key long, n long")
+            .groupBy("cell", "key")
             .agg(F.sum("n").alias("n"))
         )
-        if sizes is None:
+        if lowered is None:
             counts = stage(counts, "phrase_words")
-            shards = counts.groupBy("shard").agg(F.sum("n").alias("words"))
-            shards = shards.withColumn("lang_id", F.expr(f"shard div {SHARDS}"))
-            sizes = stage(shards, "phrase_shards")
+            sizes = stage(
+                counts.groupBy(shard.alias("shard"), F.expr(f"cell div {_LENGTHS * SHARDS}").alias("lang_id"))
+                .agg(F.sum("n").alias("words")),
+                "phrase_shards",
+            )
             totals = sizes.groupBy("lang_id").agg(F.sum("words").alias("total"))
             # ceil(support * words / total), in decimals: products may pass 64 bits.
             need = F.expr(
                 f"CAST((CAST({support} AS DECIMAL(38, 0)) * words + total - 1) div total AS BIGINT)"
             )
-            lowered = stage(
-                sizes.join(totals, "lang_id").select("shard", need.alias("need")), "phrase_need"
-            )
+            lowered = limited(sizes.join(totals, "lang_id").select("shard", need.alias("need")), 40)
         frequent = stage(
-            counts.join(limited(lowered, 40), "shard")
+            counts.withColumn("shard", shard)
+            .join(lowered, "shard")
             .filter("n >= need")
-            .select("shard", "key", "length"),
+            .select("cell", "key"),
             f"phrases_{lengths[0]}",
         )
-        own = frequent.mapInArrow(_with_salt(1), "key long, length byte")
         if lengths[-1] < LENGTH:
+            own = frequent.mapInArrow(_with_salt(1), "key long, length byte")
             filters = {**filters, lengths[-1]: _filter(own.select("key"))}
         united = frequent if united is None else united.unionByName(frequent)
         shared.unpersist()
@@ -345,15 +349,17 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT) -> tuple[DataFrame
 def _with_salt(divisor: int):
     """Keys for a filter: of the shard, or of the language if shards are divided."""
 
-    def salted(batches):
+    def with_salt(batches):
         for batch in batches:
             key = batch.column(1).to_numpy().view(np.uint64)
-            owner = batch.column(0).to_numpy() // divisor
+            cell = batch.column(0).to_numpy()
+            salted = _salted(key, cell // (_LENGTHS * divisor))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_salted(key, owner).view(np.int64)), batch.column(2)], ["key", "length"]
+                [pa.array(salted.view(np.int64)), pa.array((cell % _LENGTHS).astype(np.int8))],
+                ["key", "length"],
             )
 
-    return salted
+    return with_salt
 
 
 def _parts(phrase: Column, start, n) -> Column:

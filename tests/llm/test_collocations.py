@@ -79,6 +79,7 @@ def test_full_filters_and_small_batches(spark, monkeypatch):
     """A filter without room lets everything through; the result is the same."""
     monkeypatch.setattr(collocations, "FILTER_BITS", collocations._CHUNK_BITS)
     monkeypatch.setattr(collocations, "BATCH_BYTES", 500)
+    monkeypatch.setattr(collocations, "BATCH_PHRASES", 7)
     monkeypatch.setattr(collocations, "SHARDS", 3)
     df = spark.createDataFrame(rows(), SCHEMA).repartition(2)
     assert found(df, 8, 2000) == plain(rows(), 8, 2000)
