@@ -46,13 +46,13 @@ COVERED = (80, 100)
 SCALE = 2_000_000
 #: Parts of the corpus that are mined on their own, at most 16. They need not be many, as
 #: every one is mined by all tasks; the fewer they are, the higher is their support.
-SHARDS = 4
+SHARDS = 3
 #: Bits of a filter, 16 MB: 14 million phrases at 9 bits each. With more it lets more through.
 FILTER_BITS = 1 << 27
 #: Bytes of text whose phrases are counted at once.
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
 #: Phrases that are written out at once.
-BATCH_PHRASES = 200_000
+BATCH_PHRASES = 100_000
 
 #: A cell is a shard of a language and a length: ``(lang_id * SHARDS + shard) * _LENGTHS + length``.
 _LENGTHS = 8
@@ -298,6 +298,8 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT) -> tuple[DataFrame
         shared = _shared(spark, filters)
         counts = (
             rows.mapInArrow(_mined(lengths, shared), "cell long, key long, n long")
+            # Tasks have combined what is equal; to do so again would fill their memory.
+            .repartition("cell", "key")
             .groupBy("cell", "key")
             .agg(F.sum("n").alias("n"))
         )
@@ -336,7 +338,8 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT) -> tuple[DataFrame
         _counted(_shared(spark, passed)), "lang long, phrase string, length byte, n long"
     )
     counted = (
-        counted.groupBy(F.col("lang").alias("lang_id"), "phrase", "length")
+        counted.repartition("lang", "phrase", "length")
+        .groupBy(F.col("lang").alias("lang_id"), "phrase", "length")
         .agg(F.sum("n").alias("f"))
         .filter(F.col("f") >= support)
     )
