@@ -7,13 +7,20 @@ from the sizes of two sets leave a chance:
 1. Documents with equal sets are one node.
 2. Two sets of at most ``m`` n-grams that link differ in at most
    ``d = 2m(1-t)/(1+t)`` of them. The n-grams are cut by hash into more than ``d``
-   segments, so at least one segment of two linked sets is equal. Nodes that share no
-   segment are in no common block. Sizes come in classes of a factor of two; a node
-   close to the next class is in both.
-3. Nodes that are joined by shared segments form a family. A family is cut into
-   blocks of bounded size, also by set size, as sets of too different sizes never
-   link. Each pair of blocks is one product, computed over slabs of n-grams, and
-   pairs whose count is below the bound of their sizes are dropped.
+   segments, so some segments of two linked sets are equal. Sizes come in classes of
+   a factor of ``1/t``; a set is in its own class and in that of the largest set it can
+   link with. Segments of the fewest n-grams are left out, as many as there are more
+   than ``d + 1``, so those that are compared are seldom alike by chance; a set whose
+   empty segments are more than that is also found by the first n-grams of a fixed
+   order, of which two linked sets share one. An empty segment is never compared.
+3. Sets with an equal segment are held against each other by sketches: bit ``h mod B``
+   is the parity of the n-grams with that hash, so sketches of linked sets differ in at
+   most ``d`` bits. What passes is a candidate; candidates that hang together are a
+   family. So a passage that unrelated documents share does not bring them together.
+4. A family is cut into blocks of bounded size, also by set size, as sets of too
+   different sizes never link. Each pair of blocks is one sparse product: rows are
+   multiplied n-gram by n-gram, the rare ones first, and a pair is dropped as soon as
+   its count and what is left of the smaller set stay below the bound of their sizes.
 
 No pair leaves its task: a product gives one row for each node with links, its number
 of links and the node it is connected to. Components follow from these rows.
@@ -43,8 +50,12 @@ BLOCK_NODES = 512
 BLOCK_GRAMS = 1_000_000
 #: Small families share a task up to so many n-grams.
 BUNDLE_GRAMS = 4_000_000
-#: Cells of a slab of the incidence matrix.
-SLAB = 4_000_000
+#: Bounds of a block of a group that is held against each other by sketches: nodes and
+#: bytes of sketches.
+GROUP_NODES = 4096
+GROUP_BYTES = 4_000_000
+#: Steps in which the columns of a product are added; pairs are dropped after each.
+STEPS = 4
 
 
 def _differences(largest: int, threshold: tuple[int, int]) -> int:
@@ -53,6 +64,18 @@ def _differences(largest: int, threshold: tuple[int, int]) -> int:
     return (den - num) * 2 * largest // (den + num)
 
 
+def _classes(size: int, threshold: tuple[int, int]) -> list[tuple[int, int]]:
+    """The size classes that a set is in, each with its largest size."""
+    num, den = threshold
+    out, k, largest = [], 0, 1
+    while True:
+        if largest >= size:
+            out.append((k, largest))
+            if largest * num >= size * den:  # no set beyond can link
+                return out
+        k, largest = k + 1, max(largest + 1, largest * den // num)
+
+
 def node_of(grams: np.ndarray) -> np.uint64:
     """The name of a set."""
     total = words.mixed(grams ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
@@ -63,30 +86,50 @@ def signatures(grams: np.ndarray, threshold: tuple[int, int] = THRESHOLD) -> np.
     """Hashes of the segments of a sorted set, for each class that it is in."""
     num, den = threshold
     size = len(grams)
-    if not size:
-        return grams
-    own = size.bit_length() - 1
-    near_next = den * size >= num * (2 << own)
+    if not size or num == den:  # only equal sets link
+        return grams[:0]
     values = words.mixed(grams + np.uint64(0x9E3779B97F4A7C15))
-    out = []
-    for k in (own, own + 1)[: 1 + near_next]:
-        differ = _differences((2 << k) - 1, threshold)
+    out, prefix = [], False
+    for k, largest in _classes(size, threshold):
+        differ = _differences(largest, threshold)
         if not differ:
-            continue  # only equal sets link
-        n = differ + 1 + 2 + differ // 32
+            continue
+        spare = max(2, differ * 2 // 5)
+        n = differ + 1 + spare
         # The hashes are sorted, so segments of their range lie one after the other.
         segment = ((grams >> np.uint64(33)) * np.uint64(n) >> np.uint64(31)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
-        sums = np.zeros(n, np.uint64)
-        sums[segment[first]] = np.add.reduceat(values, first)
-        names = np.arange(n, dtype=np.uint64) + np.uint64(k << 40)
-        found = words.mixed(sums + words.mixed(names))
-        # At least n - differ segments are equal. If no more than that are empty, one
-        # of them is not, and empty ones need not be compared.
-        if n - len(first) < n - differ:
-            found = found[segment[first]]
-        out.append(found)
-    return np.concatenate(out) if out else grams[:0]
+        counts = np.bincount(segment, minlength=n)
+        # At least n - differ > spare segments are equal. Each set leaves out those of
+        # fewer n-grams than ``least``; the higher of two such limits leaves one of the
+        # equal segments in both.
+        least = int(np.partition(counts, spare)[spare])
+        prefix |= not least
+        kept = np.flatnonzero(counts >= max(least, 1))
+        first = np.concatenate([[0], np.cumsum(counts)])
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
+        sums = sums[first[kept + 1]] - sums[first[kept]]
+        names = kept.astype(np.uint64) + np.uint64(k << 40)
+        out.append(words.mixed(sums + words.mixed(names)))
+    if prefix:
+        shared = size - -(-num * size // den) + 1
+        out.append(words.mixed(grams[:shared] ^ np.uint64(0x2545F4914F6CDD1D)))
+    return np.unique(np.concatenate(out)) if out else grams[:0]
+
+
+def sketch(grams: np.ndarray) -> bytes:
+    """The parity of the number of n-grams for each of as many bits as there are n-grams,
+    rounded up to a power of two from 64 to 65536."""
+    n_bits = 1 << min(max((len(grams) - 1).bit_length(), 6), 16)
+    place = words.mixed(grams ^ np.uint64(0xD1B54A32D192ED03)) & np.uint64(n_bits - 1)
+    odd = np.bincount(place.astype(np.int64), minlength=n_bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """A sketch of fewer bits, of the same set."""
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
 
 
 def _sets(text, n: int = N) -> list[np.ndarray]:
@@ -117,8 +160,9 @@ def _rows(threshold, n):
                         pa.ListArray.from_arrays(
                             pa.array(ends, pa.int32()), _signed(np.concatenate(found))
                         ),
+                        pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "node", "signatures"],
+                    names=["doc_id", "n_shingles", "node", "signatures", "sketch"],
                 )
 
     return rows
@@ -146,49 +190,125 @@ def _with_grams(n):
     return with_grams
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """How many n-grams each two of the sets share: the product of their incidence
-    matrix with its transpose, over slabs of the n-grams that two sets have."""
+def _columns(sets: list[np.ndarray]):
+    """The incidence matrix of the n-grams that two sets have, equal columns as one:
+    for each column its number of rows, its weight and where its rows begin, and the rows.
+    Columns of few rows come first."""
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count > 1
-    column_of = np.cumsum(shared) - 1
-    row, column = row[shared[column]], column_of[column[shared[column]]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    total = np.zeros((len(sets), len(sets)), np.float64)
-    columns = int(shared.sum())
-    width = max(1, min(SLAB // len(sets), columns))
-    for first in range(0, columns, width):
-        low, high = np.searchsorted(column, [first, first + width])
-        slab = np.zeros((len(sets), width), np.float32)
-        slab[row[low:high], column[low:high] - first] = 1
-        total += slab @ slab.T
-    return total
+    order = np.argsort(column, kind="stable")  # rows ascend within a column
+    row, ends = row[order], np.cumsum(count)
+    names = np.random.default_rng(1).integers(0, 2**63, (2, len(sets)), dtype=np.uint64)
+    sums = [np.add.reduceat(name[row], ends - count) for name in names]
+    found = np.lexsort((*sums, count))
+    found = found[count[found] > 1]
+    if not len(found):
+        return np.zeros((3, 0), np.int64), row
+    same = (sums[0][found[1:]] == sums[0][found[:-1]]) & (sums[1][found[1:]] == sums[1][found[:-1]])
+    first = np.flatnonzero(np.concatenate([[True], ~same]))
+    weight = np.diff(np.append(first, len(found)))
+    kept = found[first]
+    return np.stack([count[kept], weight, (ends - count)[kept]]), row
+
+
+def linked_rows(sets: list[np.ndarray], threshold, side=None):
+    """For each of the sets those after it that it links with: rows of the sparse product
+    of the incidence matrix with its transpose, without what falls below the bounds."""
+    num, den = threshold
+    size = np.array([len(s) for s in sets])
+    (count, weight, start), rows = _columns(sets)
+    at = np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
+    member = rows[at]
+    of = np.repeat(np.arange(len(count)), count)
+    by_row = np.argsort(member, kind="stable")
+    columns, bounds = of[by_row], np.searchsorted(member[by_row], np.arange(len(sets) + 1))
+    begin = np.cumsum(count) - count
+    for k in range(len(sets) - 1):
+        own = columns[bounds[k] : bounds[k + 1]]
+        # den * shared >= num * (both sizes - shared)
+        need = -(-num * (size[k] + size) // (num + den))
+        alive = np.minimum(size[k], size) >= need
+        alive[: k + 1] = False
+        if side is not None:
+            alive &= side != side[k]
+        total = np.zeros(len(sets), np.int64)
+        left = int(weight[own].sum())
+        for part in np.array_split(own, STEPS):
+            if not alive.any():
+                break
+            n = count[part]
+            places = np.repeat(begin[part] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            other = member[places]
+            here = alive[other]
+            total += np.bincount(
+                other[here], np.repeat(weight[part], n)[here], minlength=len(sets)
+            ).astype(np.int64)
+            left -= int(weight[part].sum())
+            alive &= total + left >= need
+        yield k, np.flatnonzero(alive)
 
 
 def _links(sets, side, threshold) -> np.ndarray:
     """Which of the sets link: a symmetric matrix. If there are sides, only sets of
     different sides are held against each other."""
-    num, den = threshold
-    size = np.array([len(s) for s in sets], np.float64)
-    both = overlaps(sets)
-    linked = den * both >= num * (size[:, None] + size[None, :] - both)
-    np.fill_diagonal(linked, False)
-    if side is not None:
-        linked &= side[:, None] != side[None, :]
+    linked = np.zeros((len(sets), len(sets)), bool)
+    for k, others in linked_rows(sets, threshold, side):
+        linked[k, others] = linked[others, k] = True
     return linked
 
 
+def _near(threshold):
+    num, den = threshold
+
+    def near(table: pa.Table) -> pa.Table:
+        """Edges between the nodes of each group whose sketches let them link, and no more
+        than it takes to connect them."""
+        family = table["family"].to_numpy()
+        node = table["node"].to_numpy()
+        size = table["n_shingles"].to_numpy()
+        sketches = table["sketch"]
+        out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        order = np.lexsort((node, family))
+        for rows in np.split(order, np.flatnonzero(np.diff(family[order])) + 1):
+            rows = rows[np.concatenate([[True], np.diff(node[rows]) != 0])] if len(rows) else rows
+            if len(rows) < 2:
+                continue
+            bits = [np.frombuffer(sketches[int(k)].as_buffer(), np.uint64) for k in rows]
+            least = min(map(len, bits))
+            bits = np.stack([_folded(b, least) for b in bits])
+            label = np.arange(len(rows))
+            n = size[rows]
+            for k in range(len(rows) - 1):
+                rest = k + 1 + np.flatnonzero(label[k + 1 :] != label[k])
+                if not len(rest):
+                    continue
+                apart = np.bitwise_count(bits[rest] ^ bits[k]).sum(axis=1, dtype=np.int64)
+                both = n[rest] + n[k]
+                passed = (den + num) * apart <= (den - num) * both
+                passed &= den * np.minimum(n[rest], n[k]) >= num * np.maximum(n[rest], n[k])
+                joined = np.unique(np.append(label[rest[passed]], label[k]))
+                if len(joined) > 1:
+                    label[np.isin(label, joined)] = joined[0]
+            moved = label != np.arange(len(rows))
+            out[0].append(node[rows][label[moved]])
+            out[1].append(node[rows][moved])
+        return pa.table({"a": np.concatenate(out[0]), "b": np.concatenate(out[1])})
+
+    return near
+
+
 def _joined(linked: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     """For each node the smallest node that it is connected to."""
-    label = np.argsort(np.argsort(nodes))
+    order = np.argsort(nodes)
+    linked = linked[np.ix_(order, order)]
+    label = np.arange(len(nodes))
     while True:
-        least = np.where(linked, label[None, :], len(nodes)).min(axis=1)
-        new = np.minimum(label, least)
-        new = np.minimum(new, new[np.argsort(label)][new])
+        new = np.minimum(label, np.where(linked, label[None, :], len(nodes)).min(axis=1))
+        new = np.minimum(new, new[new])
         if (new == label).all():
-            return np.sort(nodes)[label]
+            out = np.empty_like(nodes)
+            out[order] = nodes[order][label]
+            return out
         label = new
 
 
@@ -223,19 +343,22 @@ def _product(threshold):
     return product
 
 
-def _units(families: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+def _units(
+    families: DataFrame, threshold: tuple[int, int], weight: str, nodes: int, weights: int
+) -> DataFrame:
     """The products that each node takes part in: ``family, node, copies, side`` and
-    the columns of ``_UNIT``. ``families`` has ``family, node, copies, n_shingles``."""
+    the columns of ``_UNIT``. ``families`` has ``family, node, copies, n_shingles`` and
+    the column ``weight``; a block has at most so many ``nodes`` and ``weights``."""
     num, den = threshold
     totals = families.groupBy("family").agg(
-        F.count("*").alias("family_nodes"), F.sum("n_shingles").alias("family_grams")
+        F.count("*").alias("family_nodes"), F.sum(weight).alias("family_weight")
     )
     sized = stage(families.join(totals, "family"), "jaccard_families")
-    fits = (F.col("family_nodes") <= BLOCK_NODES) & (F.col("family_grams") <= BLOCK_GRAMS)
+    fits = (F.col("family_nodes") <= nodes) & (F.col("family_weight") <= weights)
 
     small = sized.filter(fits)
-    grams = small.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    bundles = math.ceil(grams / BUNDLE_GRAMS) or 1
+    total = small.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    bundles = math.ceil(total / BUNDLE_GRAMS) or 1
     alone = small.select(
         "family",
         "node",
@@ -250,7 +373,7 @@ def _units(families: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     large = sized.filter(~fits).withColumn("bucket", bucket)
     cut = large.groupBy("family", "bucket").agg(
         F.greatest(
-            F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n_shingles") / BLOCK_GRAMS)
+            F.ceil(F.count("*") / nodes), F.ceil(F.sum(weight) / weights)
         ).cast("int").alias("blocks")
     )
     cut = stage(cut, "jaccard_blocks")
@@ -313,6 +436,7 @@ def similar(
             T.StructField("n_shingles", T.LongType()),
             T.StructField("node", T.LongType()),
             T.StructField("signatures", T.ArrayType(T.LongType())),
+            T.StructField("sketch", T.BinaryType()),
         ]
     )
     rows = stage(slim.mapInArrow(_rows(threshold, n), schema), "jaccard_rows")
@@ -323,6 +447,7 @@ def similar(
             F.min("doc_id").alias("first_id"),
             F.max("n_shingles").alias("n_shingles"),
             F.count("*").alias("copies"),
+            F.max("sketch").alias("sketch"),
         ),
         "jaccard_nodes",
     )
@@ -334,19 +459,32 @@ def similar(
         .filter("low < high")
         .select("signature", "low")
     )
+    groups = (
+        shared.join(groups.select("signature"), "signature")
+        .select(F.col("signature").alias("family"), "node")
+        .distinct()
+    )
+    groups = stage(
+        groups.join(nodes.select("node", "copies", "n_shingles"), "node").withColumn(
+            "bytes", F.expr("n_shingles div 8 + 64")
+        ),
+        "jaccard_groups",
+    )
+    sketches = nodes.select("node", "n_shingles", "sketch")
     candidates = (
-        shared.join(groups, "signature")
-        .filter("node <> low")
-        .select(F.col("low").alias("a"), F.col("node").alias("b"))
+        _units(groups, threshold, "bytes", GROUP_NODES, GROUP_BYTES)
+        .join(sketches, "node")
+        .groupBy(*_UNIT)
+        .applyInArrow(_near(threshold), "a long, b long")
     )
     families = components(candidates).withColumnRenamed("component", "family")
-    families = stage(families.join(nodes, "node"), "jaccard_candidates")
+    families = stage(families.join(nodes.drop("sketch"), "node"), "jaccard_candidates")
 
     asked = limited(families.select("node", F.col("first_id").alias("id")), 40)
     texts = slim.join(asked, F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
     grams = stage(texts.mapInArrow(_with_grams(n), "node long, grams binary"), "jaccard_grams")
     linked = stage(
-        _units(families.drop("first_id"), threshold)
+        _units(families.drop("first_id"), threshold, "n_shingles", BLOCK_NODES, BLOCK_GRAMS)
         .join(grams, "node")
         .groupBy(*_UNIT)
         .applyInArrow(_product(threshold), _LINKED),

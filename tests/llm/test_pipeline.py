@@ -50,7 +50,8 @@ def test_exact(steps):
 
 def test_similar(steps):
     rows = [(r.doc_id, r.text) for r in steps[2].collect()]
-    assert ids(steps[3]) == sorted(r[0] for r in similar(rows) if r[0] == r[2])
+    kept = [r[0] for r in similar(rows, (80, 100), 5) if r[0] == r[2]]
+    assert ids(steps[3]) == sorted(kept)
 
 
 def test_benchmark(spark, steps):
