@@ -36,7 +36,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..sources.storage import stage
 from . import words
@@ -54,6 +54,8 @@ BUNDLE_GRAMS = 4_000_000
 #: bytes of sketches.
 GROUP_NODES = 4096
 GROUP_BYTES = 4_000_000
+#: Groups of so many nodes are compared pair by pair, all at once.
+SMALL_GROUP = 24
 #: Steps in which the columns of a product are added; pairs are dropped after each.
 STEPS = 4
 
@@ -257,42 +259,80 @@ def _links(sets, side, threshold) -> np.ndarray:
     return linked
 
 
-def _near(threshold):
-    num, den = threshold
+class _Sketches:
+    """The sketches of some nodes, by their number; compared at the smaller size of two."""
+
+    def __init__(self, sketches, size: np.ndarray, threshold):
+        self.threshold, self.size = threshold, size
+        bits = [np.frombuffer(s.as_buffer(), np.uint64) for s in sketches]
+        self.words = np.array([len(b) for b in bits])
+        self.tables = {}
+        for n in np.unique(self.words).tolist():
+            table = np.zeros((len(bits), n), np.uint64)
+            for k in np.flatnonzero(self.words >= n):
+                table[k] = _folded(bits[k], n)
+            self.tables[n] = table
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For pairs of nodes whether sketches and sizes let them link."""
+        num, den = self.threshold
+        both = self.size[a] + self.size[b]
+        low = np.minimum(self.size[a], self.size[b])
+        passed = den * low >= num * (both - low)
+        words = np.minimum(self.words[a], self.words[b])
+        for n, table in self.tables.items():
+            own = np.flatnonzero(passed & (words == n))
+            step = max(1, 2_000_000 // n)
+            for k in range(0, len(own), step):
+                some = own[k : k + step]
+                apart = np.bitwise_count(table[a[some]] ^ table[b[some]]).sum(axis=1, dtype=np.int64)
+                passed[some] = (den + num) * apart <= (den - num) * both[some]
+        return passed
 
+
+def _near(threshold):
     def near(table: pa.Table) -> pa.Table:
-        """Edges between the nodes of each group whose sketches let them link, and no more
-        than it takes to connect them."""
+        """Edges between the nodes of each group whose sketches let them link; of a large
+        group no more than it takes to connect them."""
+        node, first, number = np.unique(
+            table["node"].to_numpy(), return_index=True, return_inverse=True
+        )
+        if not len(node):
+            return pa.table({"a": node, "b": node})
+        chosen = table["sketch"].combine_chunks().take(pa.array(first))
+        sketches = _Sketches(chosen, table["n_shingles"].to_numpy()[first], threshold)
         family = table["family"].to_numpy()
-        node = table["node"].to_numpy()
-        size = table["n_shingles"].to_numpy()
-        sketches = table["sketch"]
-        out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        order = np.lexsort((node, family))
-        for rows in np.split(order, np.flatnonzero(np.diff(family[order])) + 1):
-            rows = rows[np.concatenate([[True], np.diff(node[rows]) != 0])] if len(rows) else rows
-            if len(rows) < 2:
-                continue
-            bits = [np.frombuffer(sketches[int(k)].as_buffer(), np.uint64) for k in rows]
-            least = min(map(len, bits))
-            bits = np.stack([_folded(b, least) for b in bits])
-            label = np.arange(len(rows))
-            n = size[rows]
-            for k in range(len(rows) - 1):
+        order = np.lexsort((number, family))
+        family, number = family[order], number[order]
+        new = np.concatenate([[True], (family[1:] != family[:-1]) | (number[1:] != number[:-1])])
+        family, number = family[new], number[new]
+        starts = np.flatnonzero(np.concatenate([[True], family[1:] != family[:-1]]))
+        counts = np.diff(np.append(starts, len(family)))
+        small = np.repeat(counts <= SMALL_GROUP, counts)
+        pairs = [np.zeros(0, np.int64)]
+        for apart in range(1, SMALL_GROUP):
+            at = np.flatnonzero((family[:-apart] == family[apart:]) & small[:-apart])
+            pairs.append(number[at] * len(node) + number[at + apart])
+        # Near copies are in many groups together.
+        pairs = np.unique(np.concatenate(pairs))
+        pairs = np.divmod(pairs, len(node))
+        passed = sketches.near(*pairs)
+        out = [pairs[0][passed]], [pairs[1][passed]]
+        for start, count in zip(starts[counts > SMALL_GROUP], counts[counts > SMALL_GROUP]):
+            rows = number[start : start + count]
+            label = np.arange(count)
+            for k in range(count - 1):
                 rest = k + 1 + np.flatnonzero(label[k + 1 :] != label[k])
                 if not len(rest):
                     continue
-                apart = np.bitwise_count(bits[rest] ^ bits[k]).sum(axis=1, dtype=np.int64)
-                both = n[rest] + n[k]
-                passed = (den + num) * apart <= (den - num) * both
-                passed &= den * np.minimum(n[rest], n[k]) >= num * np.maximum(n[rest], n[k])
+                passed = sketches.near(np.full(len(rest), rows[k]), rows[rest])
                 joined = np.unique(np.append(label[rest[passed]], label[k]))
                 if len(joined) > 1:
                     label[np.isin(label, joined)] = joined[0]
-            moved = label != np.arange(len(rows))
-            out[0].append(node[rows][label[moved]])
-            out[1].append(node[rows][moved])
-        return pa.table({"a": np.concatenate(out[0]), "b": np.concatenate(out[1])})
+            moved = label != np.arange(count)
+            out[0].append(rows[label[moved]])
+            out[1].append(rows[moved])
+        return pa.table({"a": node[np.concatenate(out[0])], "b": node[np.concatenate(out[1])]})
 
     return near
 
@@ -452,15 +492,17 @@ def similar(
         "jaccard_nodes",
     )
 
-    shared = rows.select("node", F.explode("signatures").alias("signature"))
+    # One exchange of the signatures, of which most are of one node.
+    same = Window.partitionBy("signature")
     groups = (
-        shared.groupBy("signature")
-        .agg(F.min("node").alias("low"), F.max("node").alias("high"))
+        rows.select("node", F.explode("signatures").alias("signature"))
+        .select(
+            "signature",
+            "node",
+            F.min("node").over(same).alias("low"),
+            F.max("node").over(same).alias("high"),
+        )
         .filter("low < high")
-        .select("signature", "low")
-    )
-    groups = (
-        shared.join(groups.select("signature"), "signature")
         .select(F.col("signature").alias("family"), "node")
         .distinct()
     )

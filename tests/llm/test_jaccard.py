@@ -90,6 +90,7 @@ def test_equals_all_pairs(spark, monkeypatch, blocks, how):
         monkeypatch.setattr(jaccard, "BLOCK_GRAMS", 2000)
         monkeypatch.setattr(jaccard, "BUNDLE_GRAMS", 500)
         monkeypatch.setattr(jaccard, "GROUP_NODES", 5)
+        monkeypatch.setattr(jaccard, "SMALL_GROUP", 3)
         monkeypatch.setattr(graphs, "BROADCAST_BYTES", -1)
     df = spark.createDataFrame(rows(), SCHEMA).repartition(5)
     assert found(df, *how) == expected(rows(), *how)
