@@ -100,6 +100,16 @@ SELECT user_id AS run_id,
 FROM {events}
 """
 
+# What running attempts write to their files, one text line each.
+RAW_LINES = """
+SELECT user_id % 50 AS run_id,
+       CAST(1 + FLOOR((DAY(ts) - 1) / 10) AS INT) AS attempt,
+       event_id AS seq,
+       CASE WHEN event_type = 'error' THEN 'stderr' ELSE 'stdout' END AS stream,
+       event_type || ' ' || props AS line
+FROM {events}
+"""
+
 RESPONSES = """
 SELECT conv_id, turn,
        CASE conv_id % 7

@@ -11,6 +11,7 @@ _BLOCKS = {
     "attempts": fx.ATTEMPTS,
     "log_lines": fx.LOG_LINES,
     "error_lines": fx.ERROR_LINES,
+    "raw_lines": fx.RAW_LINES,
     "responses": fx.RESPONSES,
     "people": fx.PEOPLE,
     "input_rows": fx.INPUT_ROWS,
@@ -369,6 +370,32 @@ def oracle_sql() -> dict[str, str]:
             " GROUP BY run_id, attempt, stream",
         ),
         "log_stream_output": _over("log_lines", _parts(rl.PART_LINES), **trimmed),
+        "log_window_totals": _over(
+            "log_lines",
+            "SELECT date_trunc('day', ts) AS window_start, stream, COUNT(*) AS n,"
+            " CAST(0 AS BIGINT) AS late, date_trunc('day', ts) + INTERVAL 25 HOUR"
+            " <= (SELECT MAX(ts) FROM log_lines) AS closed"
+            " FROM log_lines GROUP BY 1, 2",
+        ),
+        "attempt_closed": _over(
+            "attempts",
+            "SELECT run_id, attempt, COALESCE(exit_code, -99) AS exit_code,"
+            " COALESCE(exit_code, -99) = 0 AS exit_ok,"
+            " CASE WHEN exit_code IS NULL THEN 'timeout' ELSE 'status' END AS closed_by"
+            " FROM attempts",
+        ),
+        "live_output_or_note": _over(
+            "attempts log_lines",
+            "SELECT run_id, attempt, part, output FROM with_output",
+            **with_output,
+        ),
+        "raw_lines": _over(
+            "raw_lines",
+            "SELECT CAST(run_id AS VARCHAR) AS run_id, attempt, CAST(2 * (SUM(strlen(line) + 1)"
+            " OVER (PARTITION BY run_id, attempt, stream ORDER BY seq) - strlen(line) - 1)"
+            " + CASE stream WHEN 'stderr' THEN 1 ELSE 0 END AS BIGINT) AS seq, stream,"
+            " line || chr(10) AS line FROM raw_lines",
+        ),
         "suggestion_changed": _over(
             "attempts",
             f"SELECT run_id, attempt, {_SUGGESTS} AS has_suggestion,"

@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import paths
 from ..operators import attempts, correction, etl, runlog, scripts
 from ..operators.sizing import spread
-from ..sources import rows, workspace
-from ..streaming import logs as streaming
+from ..sources import raw_lines, rows, workspace
+from ..sources.storage import fresh_dir
+from ..streaming import logs as streaming, outputs, verdicts, windows
 from . import fixtures as fx
 from .etl import run_etl
 
@@ -43,6 +44,45 @@ def _log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _attempt_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The attempts as they arrive, all started when the log begins."""
+    orders = streaming.file_stream(spark, f"{sf_dir}/orders.parquet")
+    started = F.lit("2024-01-01").cast("timestamp_ntz")
+    return spark.sql(fx.ATTEMPTS, orders=orders).withColumn("started", started)
+
+
+def _attempt_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every attempt prints a line; those with an exit code report it a minute later."""
+    event = lambda kind, code, minutes: F.struct(
+        F.lit(kind).alias("kind"),
+        code.cast("int").alias("exit_code"),
+        (F.col("started") + F.expr(f"INTERVAL {minutes} MINUTES")).alias("ts"),
+    )
+    events = F.array(event("line", F.lit(None), 0), event("status", F.col("exit_code"), 1))
+    tries = _attempt_stream(spark, sf_dir).select("run_id", "attempt", F.inline(events))
+    tries = tries.filter("kind = 'line' OR exit_code IS NOT NULL")
+    return verdicts.attempt_closed(tries, upto="2024-03-01")
+
+
+def _live_output_or_note(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outputs.live_output_or_note(
+        _attempt_stream(spark, sf_dir),
+        _log_stream(spark, sf_dir),
+        span="40 days",
+        upto="2024-06-01",
+        part_lines=SMALL_PARTS,
+    )
+
+
+def _raw_lines(df: DataFrame) -> DataFrame:
+    """The lines written to a text file for each attempt and stream, and read again."""
+    root = fresh_dir(df.sparkSession, "raw_lines")
+    keys = ["run_id", "attempt", "stream"]
+    files = df.repartition(*keys).sortWithinPartitions(*keys, "seq")
+    files.select(*keys, F.col("line").alias("value")).write.partitionBy(*keys).text(root)
+    return raw_lines.read_raw_lines(df.sparkSession, root)
+
+
 def _workspace(df: DataFrame) -> workspace.Workspace:
     # Not closed here: the caller has yet to read what was written.
     return workspace.Workspace.fresh(df.sparkSession)
@@ -144,6 +184,13 @@ def queries() -> dict[str, Query]:
         "log_stream_output": lambda spark, sf_dir: streaming.log_stream_output(
             _log_stream(spark, sf_dir)
         ),
+        # Live, by event time
+        "log_window_totals": lambda spark, sf_dir: windows.log_window_totals(
+            _log_stream(spark, sf_dir)
+        ),
+        "attempt_closed": _attempt_closed,
+        "live_output_or_note": _live_output_or_note,
+        "raw_lines": _over(fx.RAW_LINES)(_raw_lines),
         # Attempts and outcomes
         "suggestion_changed": tries(attempts.suggestion_changed),
         "attempt_action": tries(attempts.attempt_action),
