@@ -5,6 +5,7 @@ Scripts are only parsed, never run.
 
 import ast
 
+from .constants import texts
 from .paths import resolve_one
 
 _LIMITS = (ValueError, RecursionError, MemoryError)
@@ -36,6 +37,19 @@ def parquet_calls(tree):
         pending.extend(reversed(list(ast.iter_child_nodes(node))))
 
 
+def path_argument(call):
+    """The expression that names the path: first argument, else ``path=``."""
+    if call.args:
+        return call.args[0]
+    return next((k.value for k in call.keywords if k.arg == "path"), None)
+
+
+def inferred_paths(tree) -> dict:
+    """The paths of the calls whose argument can have one text only, by call."""
+    wanted = {call: path_argument(call) for call in parquet_calls(tree)}
+    return texts(tree, {call: node for call, node in wanted.items() if node is not None})
+
+
 def path_literal(call):
     """The string constant that names the path: first argument, else ``path=``."""
 

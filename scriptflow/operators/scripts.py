@@ -17,6 +17,7 @@ _CALL = (
     .add("call_no", T.IntegerType())
     .add("original_path", T.StringType())
     .add("direction", T.StringType())
+    .add("inferred_path", T.StringType())
 )
 _ANALYSIS = (
     T.StructType()
@@ -32,13 +33,16 @@ _ANALYSIS = (
 
 def _calls_of(tree) -> list[dict]:
     found = []
-    for number, call in enumerate(pyscript.parquet_calls(tree), 1):
-        literal = pyscript.path_literal(call)
+    calls = list(pyscript.parquet_calls(tree))
+    literals = [pyscript.path_literal(call) for call in calls]
+    inferred = {} if None not in literals else pyscript.inferred_paths(tree)
+    for number, (call, literal) in enumerate(zip(calls, literals), 1):
         found.append(
             {
                 "call_no": number,
                 "original_path": None if literal is None else literal.value,
                 "direction": pyscript.direction(call),
+                "inferred_path": inferred.get(call) if literal is None else literal.value,
             }
         )
     return found
@@ -109,6 +113,26 @@ def script_paths(scripts: DataFrame, base: str | Column) -> DataFrame:
     )
 
 
+def script_inferred_paths(scripts: DataFrame, base: str | Column) -> DataFrame:
+    """One row per ``.parquet(...)`` call with ``inferred_path``: its literal, or the one
+    text that the names, sums and f-strings of the argument can have there. NULL if two
+    texts can reach the call, or if the argument is not understood."""
+    path, under = F.col("call.inferred_path"), F.col("_base")
+    return (
+        _analysed(scripts, base)
+        .select("script_id", "_base", F.explode("_result.calls").alias("call"))
+        .select(
+            "script_id",
+            "call.call_no",
+            "call.inferred_path",
+            paths.resolve(path, under).alias("resolved_path"),
+            "call.direction",
+            F.col("call.original_path").isNull().alias("dynamic"),
+            paths.escapes(path, under).alias("escapes"),
+        )
+    )
+
+
 def script_inputs(scripts: DataFrame) -> DataFrame:
     """Relative paths each script reads, and how often; counted within its row."""
     read = F.filter(

@@ -34,6 +34,40 @@ SELECT p_partkey AS script_id,
 FROM {part}
 """
 
+# Scripts whose paths are put together before they are used.
+BUILT_PATHS = """
+SELECT p_partkey AS script_id,
+       CASE p_partkey % 6
+         WHEN 0 THEN 'root = "data"' || chr(10) || 'day = "d' || CAST(p_partkey AS STRING) || '"'
+                  || chr(10) || 'df = spark.read.parquet(root + "/" + day)'
+         WHEN 1 THEN 'base = "in"' || chr(10) || 'n = ' || CAST(p_partkey AS STRING) || chr(10)
+                  || 'df = spark.read.option("a", 1).parquet(f"' || chr(123) || 'base'
+                  || chr(125) || '/n=' || chr(123) || 'n' || chr(125) || '")'
+         WHEN 2 THEN 'p = "a' || CAST(p_partkey AS STRING) || '"' || chr(10) || 'if flag:' || chr(10)
+                  || '    p = "b"' || chr(10) || 'df = spark.read.parquet(p)'
+         WHEN 3 THEN 'OUT = "../out_' || CAST(p_partkey AS STRING) || '"' || chr(10)
+                  || 'def main(df):' || chr(10) || '    df.write.parquet(path=OUT)' || chr(10) || 'main(x)'
+         WHEN 4 THEN 'for name in names:' || chr(10) || '    df = spark.read.parquet("x/" + name)'
+         ELSE 'df = spark.read.parquet("in_' || CAST(p_partkey AS STRING) || '")'
+       END AS code
+FROM {part}
+"""
+
+# Scripts that read what others write: a tree, a table that all read, some cycles, and
+# paths that nobody writes.
+LINKED_SCRIPTS = """
+SELECT p_partkey AS script_id,
+       'a = spark.read.parquet("t/' || CAST(CAST(FLOOR(p_partkey / 2) AS BIGINT) AS STRING) || '")' || chr(10)
+       || 'a.write.mode("overwrite").parquet("t/' || CAST(p_partkey AS STRING) || '")' || chr(10)
+       || CASE WHEN p_partkey <= 2 THEN 'a.write.parquet("hub")' ELSE 'h = spark.read.parquet("hub")' END
+       || CASE WHEN p_partkey % 32 = 31
+               THEN chr(10) || 'b = spark.read.parquet("t/' || CAST(2 * p_partkey AS STRING) || '")' ELSE '' END
+       || CASE WHEN p_partkey % 5 = 0
+               THEN chr(10) || 'c = spark.read.parquet("raw/' || CAST(p_partkey AS STRING) || '")' ELSE '' END
+       AS code
+FROM {part}
+"""
+
 PATHS = """
 SELECT p_partkey AS path_id,
        CASE p_partkey % 8

@@ -71,6 +71,47 @@ SELECT script_id, CAST(call_no AS INT) AS call_no, direction, escapes, under,
          AS original_path
 FROM calls
 """
+_ORDER = """
+WITH RECURSIVE ids AS (
+  SELECT p_partkey AS id FROM part
+), uses AS (
+  SELECT id, 't/' || CAST(id // 2 AS STRING) AS path, 'read' AS direction FROM ids
+  UNION ALL SELECT id, 't/' || CAST(id AS STRING), 'write' FROM ids
+  UNION ALL SELECT id, 'hub', CASE WHEN id <= 2 THEN 'write' ELSE 'read' END FROM ids
+  UNION ALL SELECT id, 't/' || CAST(2 * id AS STRING), 'read' FROM ids WHERE id % 32 = 31
+  UNION ALL SELECT id, 'raw/' || CAST(id AS STRING), 'read' FROM ids WHERE id % 5 = 0
+), needs AS (
+  SELECT DISTINCT r.id AS id, w.id AS other FROM uses r JOIN uses w
+    ON r.path = w.path AND r.direction = 'read' AND w.direction = 'write' AND r.id <> w.id
+), reach AS (
+  SELECT id, other FROM needs
+  UNION
+  SELECT reach.id, needs.other FROM reach JOIN needs ON reach.other = needs.id
+), cycles AS (
+  SELECT id FROM reach WHERE id = other
+), stuck AS (
+  SELECT id FROM cycles UNION SELECT id FROM reach WHERE other IN (SELECT id FROM cycles)
+), core AS (
+  SELECT id FROM cycles
+  UNION SELECT other FROM reach
+    WHERE id IN (SELECT id FROM cycles) AND other IN (SELECT id FROM stuck)
+    AND other IN (SELECT other FROM reach JOIN cycles ON reach.other = cycles.id)
+), chains AS (
+  SELECT id, 0::BIGINT AS level FROM ids WHERE id NOT IN (SELECT id FROM stuck)
+  UNION
+  SELECT needs.id, chains.level + 1 FROM chains JOIN needs ON needs.other = chains.id
+  WHERE needs.id NOT IN (SELECT id FROM stuck)
+), levels AS (
+  SELECT id, max(level) AS level FROM chains GROUP BY id
+), unwritten AS (
+  SELECT id, count(DISTINCT path) AS n FROM uses
+  WHERE direction = 'read' AND path NOT IN (SELECT path FROM uses WHERE direction = 'write')
+  GROUP BY id
+)
+SELECT ids.id AS script_id, level, ids.id IN (SELECT id FROM core) AS on_cycle,
+       coalesce(n, 0) AS n_unwritten
+FROM ids LEFT JOIN levels ON levels.id = ids.id LEFT JOIN unwritten ON unwritten.id = ids.id
+"""
 _REWRITTEN = f"""
 SELECT script_id, code,
        CASE script_id % 8
@@ -329,6 +370,19 @@ def oracle_sql() -> dict[str, str]:
             " WHERE original_path IS NOT NULL GROUP BY original_path, direction",
             **calls,
         ),
+        "script_inferred_paths": f"""
+SELECT p_partkey AS script_id, CAST(1 AS INT) AS call_no, path AS inferred_path,
+       '{BASE}/' || path AS resolved_path, direction, dynamic,
+       COALESCE(path LIKE '..%', false) AS escapes
+FROM (
+  SELECT p_partkey, head || CAST(p_partkey AS STRING) AS path, direction, dynamic
+  FROM part JOIN (
+    VALUES (0, 'data/d', 'read', true), (1, 'in/n=', 'read', true), (2, NULL, 'read', true),
+           (3, '../out_', 'write', true), (4, NULL, 'read', true), (5, 'in_', 'read', false)
+  ) AS c(variant, head, direction, dynamic) ON p_partkey % 6 = c.variant
+)
+""",
+        "script_order": _ORDER,
         "log_display": _over(
             "log_lines",
             "SELECT run_id, attempt, seq, CASE WHEN stream = 'stderr' THEN '[STDERR] ' ELSE '' END"

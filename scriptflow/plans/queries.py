@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import paths
-from ..operators import attempts, correction, etl, runlog, scripts
+from ..operators import attempts, correction, etl, lineage, runlog, scripts
 from ..operators.sizing import spread
 from ..sources import raw_lines, rows, workspace
 from ..sources.storage import fresh_dir
@@ -107,6 +107,12 @@ def _calls(df: DataFrame) -> DataFrame:
     return scripts.script_paths(df, BASE)
 
 
+def _script_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = spread(fx.load(spark, sf_dir, fx.LINKED_SCRIPTS))
+    calls = _calls(code).withColumnRenamed("original_path", "path")
+    return lineage.script_order(code, calls)
+
+
 def queries() -> dict[str, Query]:
     tx = _over(fx.TRANSACTIONS)
     script = _scripts
@@ -161,6 +167,10 @@ def queries() -> dict[str, Query]:
         "script_paths": script(_calls),
         "script_inputs": script(scripts.script_inputs),
         "script_rewrite": script(lambda df: scripts.script_rewrite(df, BASE)),
+        "script_inferred_paths": lambda spark, sf_dir: scripts.script_inferred_paths(
+            spread(fx.load(spark, sf_dir, fx.BUILT_PATHS)), BASE
+        ),
+        "script_order": _script_order,
         "dataset_usage": script(lambda df: scripts.dataset_usage(_calls(df))),
         # Run logs
         "log_display": log(runlog.log_display),
