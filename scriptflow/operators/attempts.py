@@ -6,8 +6,10 @@ Columns: ``(run_id, attempt, exit_code, code, suggestion, stage_error)``. A
 whatever its exit code, and goes on to correction.
 """
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ..functions import linediff
 from ..functions.text import fill, strip_ws
 from .runlog import (
     ATTEMPT,
@@ -186,3 +188,53 @@ def failure_report(
         "part",
         report.alias("report"),
     )
+
+
+_HUNKS = (
+    T.StructType()
+    .add("minimal", T.BooleanType())
+    .add(
+        "hunks",
+        T.ArrayType(
+            T.StructType()
+            .add("at_line", T.LongType())
+            .add("n_removed", T.LongType())
+            .add("added", T.ArrayType(T.StringType()))
+        ),
+    )
+)
+
+
+@F.pandas_udf(_HUNKS)
+def _hunks(code: pd.Series, suggestion: pd.Series) -> pd.DataFrame:
+    rows = []
+    for old, new in zip(code, suggestion):
+        found, minimal = linediff.hunks(old, new)
+        rows.append((minimal, [dict(zip(("at_line", "n_removed", "added"), h)) for h in found]))
+    return pd.DataFrame(rows, columns=_HUNKS.names)
+
+
+def suggestion_diff(attempts: DataFrame) -> DataFrame:
+    """What each suggestion changes: a row for each run of changed lines.
+
+    ``hunk`` counts from 1; ``n_removed`` lines of ``code`` from ``at_line`` on, counted
+    from 0, give way to the lines ``added``. Applied in order the hunks turn ``code`` into
+    ``suggestion``. They are the shortest such change, unless ``minimal`` is false because
+    the texts differ in very many lines. A missing code is empty; attempts without a
+    suggestion, or with one that is equal, have no rows.
+    """
+    code, suggestion = F.coalesce("code", F.lit("")), F.col("suggestion")
+    changed = attempts.filter(suggestion.isNotNull() & (suggestion != code))
+    diff = _hunks.asNondeterministic()(code, suggestion)
+    changed = changed.select(*ATTEMPT, diff.alias("diff"))
+    return changed.select(
+        *ATTEMPT, "diff.minimal", F.posexplode("diff.hunks").alias("pos", "h")
+    ).select(
+        *ATTEMPT,
+        (F.col("pos") + 1).alias("hunk"),
+        "h.at_line",
+        "h.n_removed",
+        F.size("h.added").cast("bigint").alias("n_added"),
+        F.array_join("h.added", "\n").alias("added"),
+        "minimal",
+    )

@@ -1,11 +1,13 @@
 """Texts that go to and come from whoever corrects a failed script."""
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import WHITE_SPACE, strip_ws
+from ..sources.storage import exists
 from .attempts import MAX_ATTEMPTS
 from .runlog import (
     ATTEMPT,
@@ -98,15 +100,8 @@ def clean_responses(replies: DataFrame) -> DataFrame:
     return replies.select("conv_id", "turn", clean_response(F.col("raw")).alias("code"))
 
 
-def map_corrector(
-    scripts: DataFrame, correct: Callable[[str], str | None], code="code", output="output"
-) -> DataFrame:
-    """Ask ``correct`` for every row; adds ``suggestion``, NULL where it fails.
-
-    ``correct`` takes a prompt and returns a reply. It runs inside tasks, must be
-    picklable, and is asked again for a batch whose task is retried. Spread rows
-    over more tasks with ``repartition`` before the call when it is slow.
-    """
+def _replies(correct: Callable[[str], str | None]):
+    """A column function that asks ``correct`` for every prompt; NULL where it fails."""
 
     def ask(prompt):
         try:
@@ -119,10 +114,72 @@ def map_corrector(
     def replies(prompt: pd.Series) -> pd.Series:
         return prompt.map(ask).astype("object")
 
+    return replies
+
+
+def map_corrector(
+    scripts: DataFrame, correct: Callable[[str], str | None], code="code", output="output"
+) -> DataFrame:
+    """Ask ``correct`` for every row; adds ``suggestion``, NULL where it fails.
+
+    ``correct`` takes a prompt and returns a reply. It runs inside tasks, must be
+    picklable, and is asked again for a batch whose task is retried. Spread rows
+    over more tasks with ``repartition`` before the call when it is slow.
+    """
+
     # Asked once per row, whatever the optimizer does with the expressions above.
-    reply = replies.asNondeterministic()(prompt_text(F.col(code), F.col(output)))
+    prompt = prompt_text(F.col(code), F.col(output))
+    reply = _replies(correct).asNondeterministic()(prompt)
     return (
         scripts.withColumn("reply", reply)
         .withColumn("suggestion", clean_response(F.col("reply")))
         .drop("reply")
     )
+
+
+@dataclass(frozen=True)
+class ReplyStore:
+    """Replies by prompt, kept at ``path``, so that no prompt is asked twice.
+
+    A prompt is known by its SHA-256. ``ask`` asks the distinct prompts that are not in the
+    store, a share of them at a time, and appends each share before the next; so what was
+    answered before a failure is not asked again. Failed replies are kept as NULL and not
+    asked again either; ``retry`` asks those anew. One caller at a time.
+    """
+
+    path: str
+    shares: int = 4
+
+    _SCHEMA = "digest string, asked int, reply string"
+
+    def replies(self, spark: SparkSession) -> DataFrame:
+        """``digest, reply``, of each prompt the latest."""
+        if not exists(spark, self.path):
+            return spark.createDataFrame([], "digest string, reply string")
+        rows = spark.read.schema(self._SCHEMA).parquet(self.path)
+        latest = F.max_by(F.struct("reply"), F.struct("asked", F.col("reply").isNotNull()))
+        return rows.groupBy("digest").agg(latest.alias("r")).select("digest", "r.reply")
+
+    def ask(
+        self, prompts: DataFrame, correct: Callable[[str], str | None], retry: bool = False
+    ) -> DataFrame:
+        """``prompts``, which has ``prompt``, with ``suggestion``: the cleaned reply."""
+        spark = prompts.sparkSession
+        digest = F.sha2(F.col("prompt").cast("binary"), 256)
+        asked = prompts.filter("prompt IS NOT NULL").select(digest.alias("digest"), "prompt")
+        for share in range(self.shares):
+            # Within a share the store does not change while it is read.
+            known = self.replies(spark)
+            known = known.filter("reply IS NOT NULL") if retry else known
+            rest = asked.filter(F.pmod(F.xxhash64("digest"), F.lit(self.shares)) == share)
+            rest = rest.join(known, "digest", "left_anti")
+            # Distinct by digest, since texts are long; equal digests have equal prompts.
+            rest = rest.groupBy("digest").agg(F.any_value("prompt").alias("prompt"))
+            reply = _replies(correct).asNondeterministic()("prompt")
+            number = F.lit(1 if retry else 0)
+            rest.select("digest", number.alias("asked"), reply.alias("reply")).write.mode(
+                "append"
+            ).parquet(self.path)
+        replies = self.replies(spark).withColumnsRenamed({"digest": "_digest", "reply": "_reply"})
+        joined = prompts.join(replies, digest == F.col("_digest"), "left")
+        return joined.select(*prompts.columns, clean_response(F.col("_reply")).alias("suggestion"))

@@ -21,6 +21,19 @@ def report_rows(raw: DataFrame, year: int, label: str = SOURCE_LABEL) -> DataFra
     )
 
 
+def stage_years(
+    workspace: Workspace, raw: DataFrame, label: str = SOURCE_LABEL, staged: str = STAGED
+) -> None:
+    """Enrich and stage by year; years that ``raw`` has no rows for stay as they are."""
+    workspace.write_partitions(raw.transform(enrich, label), staged, "ano_transacao")
+
+
+def report_of_years(workspace: Workspace, *years: int, staged: str = STAGED) -> DataFrame:
+    """The report of some staged years; the folders of the others are not read."""
+    rows = workspace.read(staged)
+    return rows.filter(rows["ano_transacao"].isin(*years)).transform(finalize)
+
+
 def run_etl(
     workspace: Workspace,
     raw: DataFrame,

@@ -68,6 +68,20 @@ SELECT p_partkey AS script_id,
 FROM {part}
 """
 
+# Suggestions that add, drop and replace lines.
+EDITS = """
+SELECT p_partkey AS run_id, 1 AS attempt,
+       CASE p_partkey % 5 WHEN 3 THEN NULL
+         ELSE 'a' || chr(10) || 'b' || chr(10) || 'c' || chr(10) || 'd' END AS code,
+       CASE p_partkey % 5
+         WHEN 0 THEN 'a' || chr(10) || 'b' || CAST(p_partkey AS STRING) || chr(10) || 'c' || chr(10) || 'd'
+         WHEN 1 THEN 'a' || chr(10) || 'x' || chr(10) || 'b' || chr(10) || 'c' || chr(10) || 'd'
+         WHEN 2 THEN 'a' || chr(10) || 'c' || chr(10) || 'e'
+         WHEN 3 THEN 's' || CAST(p_partkey AS STRING)
+         ELSE 'a' || chr(10) || 'b' || chr(10) || 'c' || chr(10) || 'd' END AS suggestion
+FROM {part}
+"""
+
 PATHS = """
 SELECT p_partkey AS path_id,
        CASE p_partkey % 8

@@ -255,6 +255,29 @@ FROM (SELECT run_id, attempt, string_agg(line, '' ORDER BY seq) AS out
       FROM error_lines GROUP BY run_id, attempt)
 """
 
+_KINDS = """
+SELECT error_type, template, CAST(SUM(n) AS BIGINT) AS n FROM (
+  SELECT error_type, n_words, head, any_value(n) AS n,
+         string_agg(CASE WHEN low IS NULL THEN '' WHEN low <> high OR regexp_matches(low, '[0-9]')
+           THEN '<*>' ELSE low END, ' ' ORDER BY place) AS template
+  FROM (
+    SELECT error_type, n_words, head, place, min(ws[place]) AS low, max(ws[place]) AS high, count(*) AS n
+    FROM (
+      SELECT *, len(ws) AS n_words, unnest(range(1, greatest(len(ws), 1) + 1)) AS place,
+             list_transform(ws[1:2], lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END)
+               AS head
+      FROM (
+        SELECT error_type, list_filter(string_split_regex(coalesce(error_message, ''), ' +'),
+          lambda w: w <> '') AS ws
+        FROM errors WHERE error_type IS NOT NULL
+      )
+    )
+    GROUP BY ALL
+  )
+  GROUP BY error_type, n_words, head
+) GROUP BY ALL
+"""
+
 _TRANSACTION_COLUMNS = [
     ("id_registro", "bigint"),
     ("nome_cliente", "string"),
@@ -336,6 +359,14 @@ def oracle_sql() -> dict[str, str]:
             f"{_FINAL} WHERE ano_transacao = {YEAR}",
             enriched=_ENRICHED,
         ),
+        "etl_years": _over(
+            "transactions",
+            f"{_FINAL} WHERE ano_transacao IN ({YEAR}, {YEAR + 1})",
+            enriched=_ENRICHED.replace(
+                "'Sistema_B'",
+                f"CASE YEAR(data_transacao) WHEN {YEAR} THEN 'Sistema_B' ELSE 'Sistema_A' END",
+            ),
+        ),
         "run_ids": (
             "SELECT o_orderkey, md5(CAST(o_orderkey AS VARCHAR)) AS run_id,"
             " 'run_' || md5(CAST(o_orderkey AS VARCHAR)) AS base_name FROM orders"
@@ -413,6 +444,23 @@ FROM (
             **outputs,
         ),
         "error_type": _over("error_lines", _ERRORS),
+        "failure_kinds": _over("error_lines", _KINDS, errors=_ERRORS),
+        "suggestion_diff": """
+SELECT p_partkey AS run_id, 1 AS attempt, CAST(hunk AS INT) AS hunk, at_line::BIGINT AS at_line,
+       removed::BIGINT AS n_removed, added_lines::BIGINT AS n_added,
+       CASE WHEN numbered THEN added || CAST(p_partkey AS STRING) ELSE added END AS added,
+       true AS minimal
+FROM part JOIN (
+  VALUES (0, 1, 1, 1, 1, 'b', true), (1, 1, 1, 0, 1, 'x', false), (2, 1, 1, 1, 0, '', false),
+         (2, 2, 3, 1, 1, 'e', false), (3, 1, 0, 1, 1, 's', true)
+) AS c(variant, hunk, at_line, removed, added_lines, added, numbered) ON p_partkey % 5 = c.variant
+""",
+        "run_statistics": """
+SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, COUNT(*) AS n,
+       COUNT(DISTINCT o_custkey) AS distinct_who, quantile_disc(o_totalprice, 0.5) AS q50,
+       quantile_disc(o_totalprice, 0.9) AS q90
+FROM orders GROUP BY 1
+""",
         "attempt_verdict": _over(
             "attempts",
             "SELECT run_id, attempt, exit_code, COALESCE(exit_code, -99) = 0 AS exit_ok"
@@ -476,4 +524,9 @@ FROM (
             "SELECT script_id, 'x = 1' || chr(10) || 'y = (1,)' AS suggestion FROM scripts"
             " WHERE script_id % 8 = 4",
         ),
+        "ask_once": _over(
+            "scripts",
+            "SELECT script_id, 'x = 1' || chr(10) || 'y = (1,)' AS suggestion FROM scripts"
+            " WHERE script_id % 8 = 4",
+        ),
     }

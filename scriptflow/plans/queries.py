@@ -5,13 +5,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import paths
-from ..operators import attempts, correction, etl, lineage, runlog, scripts
+from ..operators import attempts, correction, etl, failures, lineage, runlog, scripts, statistics
 from ..operators.sizing import spread
 from ..sources import raw_lines, rows, workspace
-from ..sources.storage import fresh_dir
+from ..sources.storage import fresh_dir, stage
 from ..streaming import logs as streaming, outputs, verdicts, windows
 from . import fixtures as fx
-from .etl import run_etl
+from .etl import report_of_years, run_etl, stage_years
 
 YEAR = 1995
 BASE = "/work/base"
@@ -94,13 +94,39 @@ def _balanced(prompt: str) -> str:
     return f"```python\n{code})\n```"
 
 
-def _correct_syntax(df: DataFrame) -> DataFrame:
-    broken = scripts.with_syntax(df).filter(~F.col("ok")).select(
+def _broken(df: DataFrame) -> DataFrame:
+    return scripts.with_syntax(df).filter(~F.col("ok")).select(
         "script_id",
         "code",
         F.concat_ws(": ", "error_type", "message").alias("output"),
     )
-    return correction.map_corrector(broken, _balanced).select("script_id", "suggestion")
+
+
+def _correct_syntax(df: DataFrame) -> DataFrame:
+    return correction.map_corrector(_broken(df), _balanced).select("script_id", "suggestion")
+
+
+def _ask_once(df: DataFrame) -> DataFrame:
+    store = correction.ReplyStore(fresh_dir(df.sparkSession, "replies"))
+    prompt = correction.prompt_text(F.col("code"), F.col("output"))
+    prompts = _broken(df).select("script_id", prompt.alias("prompt"))
+    return store.ask(prompts, _balanced).select("script_id", "suggestion")
+
+
+def _etl_years(df: DataFrame) -> DataFrame:
+    """All years staged under one label, then one of them under another."""
+    place = _workspace(df)
+    stage_years(place, df, "Sistema_A")
+    stage_years(place, etl.filter_year(df, YEAR))
+    return report_of_years(place, YEAR, YEAR + 1)
+
+
+def _run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = orders.withColumn("day", F.col("o_orderdate").cast("date"))
+    kept = stage(statistics.sketches(orders, "day", "o_custkey", "o_totalprice"), "run_statistics")
+    month = F.trunc("day", "month").alias("month")
+    return statistics.report(kept, month)
 
 
 def _calls(df: DataFrame) -> DataFrame:
@@ -142,6 +168,7 @@ def queries() -> dict[str, Query]:
         "preview": tx(lambda df: etl.preview(df, "id_registro", 5)),
         "schema_report": tx(etl.schema_report),
         "etl_flow": tx(lambda df: run_etl(_workspace(df), df, YEAR)),
+        "etl_years": tx(_etl_years),
         # Run-scoped storage
         "run_ids": lambda spark, sf_dir: workspace.run_ids(
             spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderkey"
@@ -187,6 +214,9 @@ def queries() -> dict[str, Query]:
         "error_type": _over(fx.ERROR_LINES)(
             lambda df: runlog.error_type(df, SMALL_PARTS)
         ),
+        "failure_kinds": _over(fx.ERROR_LINES)(
+            lambda df: failures.failure_kinds(runlog.error_type(df))
+        ),
         "attempt_verdict": tries(runlog.attempt_verdict),
         "log_stream_totals": lambda spark, sf_dir: streaming.log_stream_totals(
             _log_stream(spark, sf_dir)
@@ -203,6 +233,8 @@ def queries() -> dict[str, Query]:
         "raw_lines": _over(fx.RAW_LINES)(_raw_lines),
         # Attempts and outcomes
         "suggestion_changed": tries(attempts.suggestion_changed),
+        "suggestion_diff": _over(fx.EDITS)(attempts.suggestion_diff),
+        "run_statistics": _run_statistics,
         "attempt_action": tries(attempts.attempt_action),
         "run_outcome": tries(attempts.run_outcome),
         "run_summary": tries(lambda df: attempts.run_summary(attempts.run_outcome(df))),
@@ -215,4 +247,5 @@ def queries() -> dict[str, Query]:
         ),
         "clean_response": _over(fx.RESPONSES)(correction.clean_responses),
         "map_corrector": script(_correct_syntax),
+        "ask_once": script(_ask_once),
     }

@@ -66,12 +66,9 @@ class Workspace:
             self.inputs.append(path)
         return self.spark.read.parquet(resolved)
 
-    def write(self, df: DataFrame, path: str) -> None:
-        """Write ``df``, replacing what is there.
-
-        Replacing files that ``df`` still has to read would lose them, so that is
-        refused.
-        """
+    def _target(self, df: DataFrame, path: str) -> str:
+        """Where ``path`` is written; refused if ``df`` still has to read files there, which
+        would be lost."""
         target = self.resolve(path)
         if exists(self.spark, target):
             fs, hadoop_path = file_system(self.spark, target)
@@ -79,7 +76,20 @@ class Workspace:
             # One list for all files, compared without a call for each of them.
             if any((url_path(file) + "/").startswith(root) for file in df.inputFiles()):
                 raise ValueError(f"the frame reads its own target: {path!r}")
-        df.write.mode("overwrite").parquet(target)
+        return target
+
+    def write(self, df: DataFrame, path: str) -> None:
+        """Write ``df``, replacing what is there."""
+        df.write.mode("overwrite").parquet(self._target(df, path))
+
+    def write_partitions(self, df: DataFrame, path: str, *by: str) -> None:
+        """Write ``df`` in a folder for each value of ``by``, replacing those folders that
+        it has rows for and no others. Rows of a folder are brought together first, but a
+        large one is split, so that files are few and no task has a whole folder."""
+        rows = df.hint("rebalance", *by)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            *by
+        ).parquet(self._target(df, path))
 
     def stage(self, df: DataFrame, path: str) -> DataFrame:
         """Write ``df`` and continue from the written table."""
