@@ -8,8 +8,8 @@ folder, are held against all earlier ones.
 
 A digest is only a hit. For each group of more than one document the full normalised
 texts are compared with the text at the locator's place; texts that differ from it
-leave the group and form groups of their own. Only the columns of the digest are
-shuffled for the other documents.
+leave the group and form groups of their own. When the hits are more than Spark
+broadcasts, that comparison shuffles the normalised texts of all documents once.
 
 Two texts are equal if they are identical after deleting every character of
 ``[\\x20\\x09-\\x0D]``. The text with the most code points stays; ties go to the
@@ -17,7 +17,7 @@ smallest ``doc_id``.
 
 Defined cases: a null text counts as empty, and all empty texts are equal; a null
 ``doc_id`` comes after all others; of rows that repeat an id and a text, each is
-counted, and all rows of the winning id that are as long are kept.
+counted and the first by file and row is kept, so of every group exactly one row stays.
 """
 
 from contextlib import contextmanager
@@ -114,7 +114,7 @@ def watch(docs: DataFrame, digest: Column, state: str, partitions: int) -> None:
 
 
 def latest(spark: SparkSession, state: str) -> DataFrame:
-    """``digest, size, keep_id, keep_length, file, row`` of every group so far."""
+    """``digest, size, keep_id, file, row`` of every group so far."""
     changes = spark.read.schema(
         "digest binary, best struct<neg_length int, id bigint, _file string, _row bigint>, "
         "size bigint, batch_id bigint"
@@ -124,7 +124,6 @@ def latest(spark: SparkSession, state: str) -> DataFrame:
         "digest",
         "size",
         F.col("best.id").alias("keep_id"),
-        (-F.col("best.neg_length")).alias("keep_length"),
         F.col("best._file").alias("file"),
         F.col("best._row").alias("row"),
     )
@@ -173,7 +172,7 @@ def deduplicate(
     )
     odd = members.join(first, "digest").filter("norm <> kept_norm")
     odd_rows = stage(odd.select("digest", "norm", *("neg_length", "id", "_file", "_row")), "exact_odd")
-    best = F.min(F.struct("neg_length", "id"))
+    best = F.min(F.struct("neg_length", "id", "_file", "_row"))
     odd_groups = odd_rows.groupBy("digest", "norm").agg(
         best.alias("best"), F.count("*").alias("odd_size")
     )
@@ -181,14 +180,16 @@ def deduplicate(
         "_file",
         "_row",
         F.col("best.id").alias("odd_keep_id"),
-        (-F.col("best.neg_length")).alias("odd_keep_length"),
+        F.col("best._file").alias("odd_file"),
+        F.col("best._row").alias("odd_row"),
         "odd_size",
     )
     left_out = odd_groups.groupBy("digest").agg(F.sum("odd_size").alias("left_out"))
     groups = groups.join(left_out, "digest", "left").select(
         "digest",
         "keep_id",
-        "keep_length",
+        "file",
+        "row",
         (F.col("size") - F.coalesce("left_out", F.lit(0))).alias("group_size"),
     )
 
@@ -202,12 +203,14 @@ def deduplicate(
     )
     joined = rows.join(groups, "digest").join(odd_rows, ["_file", "_row"], "left")
     keep_id = F.coalesce("odd_keep_id", "keep_id")
-    keep_length = F.coalesce("odd_keep_length", "keep_length")
+    is_kept = (F.col("_file") == F.coalesce("odd_file", "file")) & (
+        F.col("_row") == F.coalesce("odd_row", "row")
+    )
     return joined.select(
         "document",
         F.when(keep_id != _LAST, keep_id).alias("keep_id"),
         F.coalesce("odd_size", "group_size").alias("group_size"),
-        ((F.col("id") == keep_id) & (-F.col("neg_length") == keep_length)).alias("kept"),
+        is_kept.alias("kept"),
         "text_sha256",
     )
 

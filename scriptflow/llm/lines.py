@@ -2,12 +2,14 @@
 
 Each line's hash has a small HyperLogLog sketch of the sites it occurs on; sketches
 are merged by the aggregation, so a line that a third of all documents have costs one
-row for each task. A line whose estimate is far above the limit is boilerplate, a
-line of one site never is, and all others near the limit get an exact distinct count.
+row for each task. A line whose estimate is above all that fewer sites can give is
+boilerplate, a line of one site never is, and the others, near the limit or below it,
+get an exact distinct count.
 
-The sketches have 16 registers: an estimate above ``FAR`` times the limit needs more
-registers than fewer sites than the limit can set, so no line is wrongly taken for
-boilerplate; everything else with more than one site is counted.
+Fewer sites than ``sites`` set at most ``sites - 1`` of the ``m`` registers of a sketch.
+Sketches have at least four registers for each of ``sites``; then an estimate of so few
+registers is the linear count ``m ln(m / (m - sites + 1))`` at most. What is above that
+is decided by the sketch, and no line is wrongly taken for boilerplate.
 
 Lines are the parts of a text between line feeds; they are compared without the
 spaces, tabs and carriage returns at their ends, by 128 bits of hashes. Lines that
@@ -18,16 +20,17 @@ null source is a site of its own; rows that repeat an id and a text are treated
 alike; a text of boilerplate lines only becomes empty.
 """
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.storage import stage
 
 #: Sites on which a line must occur to be boilerplate.
 SITES = 5
-#: Estimates above so many times the limit need no exact count.
-FAR = 4.0
-#: Relative deviation of the sketches: 16 registers.
-DEVIATION = 0.26
+#: Registers of a sketch are a power of two: 32 at least, and so many for each site of
+#: the limit.
+REGISTERS = (32, 4)
 
 _KEY = ("line_a", "line_b")
 _EDGE = " \t\r"
@@ -54,13 +57,23 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text_hash", "site", a.alias(_KEY[0]), b.alias(_KEY[1]))
 
 
+def sketch_bound(sites: int) -> tuple[float, int]:
+    """The relative deviation to ask for, so that sketches have the registers they need,
+    and the largest estimate that fewer than ``sites`` sites can give."""
+    precision = math.ceil(math.log2(max(REGISTERS[0], REGISTERS[1] * sites)))
+    m = 2**precision
+    # Spark takes the least precision whose deviation, 1.106 / 2^(p/2), is no larger.
+    return 1.001 * 1.106 / 2 ** (precision / 2), round(m * math.log(m / (m - sites + 1)))
+
+
 def shared_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
     """The keys of lines that occur on at least ``sites`` sites."""
     lines = _occurrences(docs).select(*_KEY, "site")
+    deviation, bound = sketch_bound(sites)
     sketched = stage(
         lines.groupBy(*_KEY)
         .agg(
-            F.approx_count_distinct("site", DEVIATION).alias("about"),
+            F.approx_count_distinct("site", deviation).alias("about"),
             F.min("site").alias("low"),
             F.max("site").alias("high"),
         )
@@ -68,7 +81,7 @@ def shared_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
         .select(*_KEY, "about"),
         "line_sketches",
     )
-    far = F.col("about") > FAR * sites
+    far = F.col("about") > bound
     near = sketched.filter(~far).select(*_KEY)
     counted = (
         lines.join(near, [*_KEY])

@@ -22,6 +22,11 @@ ROWS = [
     (11, "other", "x", "y", 1),
     (11, "other", "x", "y", 1),
     (None, "no id", "x", "y", 1),
+    (13, "twice", "x", "y", 1),
+    (13, "twice", "x", "y", 1),
+    (14, "twi ce ", "x", "y", 1),
+    (14, "twi ce ", "x", "y", 1),
+    (15, "tw ice ", "x", "y", 1),
     (12, "a b", "x", "y", 1),
 ]
 
@@ -33,9 +38,10 @@ def expected(rows):
     out = []
     for norm, members in groups.items():
         rank = lambda r: (-len(r[1] or ""), r[0] is None, r[0] or 0)
+        members = [list(r) for r in members]  # repeated rows are rows of their own
         best = min(members, key=rank)
         sha = hashlib.sha256(norm.encode()).hexdigest()
-        out += [(r[0], best[0], len(members), rank(r) == rank(best), sha) for r in members]
+        out += [(r[0], best[0], len(members), r is best, sha) for r in members]
     return sorted(out, key=str)
 
 
@@ -67,5 +73,11 @@ def test_keep_first_keeps_columns(spark):
     assert ids == sorted([r[0] for r in expected(ROWS) if r[3]], key=str)
 
 
+def test_one_row_of_each_group_stays(spark):
+    rows = [(1, "a b"), (1, "a b"), (2, "ab"), (3, "c")]
+    kept = exact.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
 def test_empty_table(spark):
     assert exact.keep_first(spark.createDataFrame([], SCHEMA)).collect() == []
