@@ -59,7 +59,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     path = fresh_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged.staged_path = path
+    return staged
+
+
+def release(*staged: DataFrame) -> None:
+    """Remove staged tables that nothing will read any more. What was made of them must
+    have been written; frames that still read from them can no longer be used."""
+    for df in staged:
+        fs, hadoop_path = file_system(df.sparkSession, df.staged_path)
+        fs.delete(hadoop_path, True)
 
 
 def remove_scratch(spark: SparkSession) -> None:
