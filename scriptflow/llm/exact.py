@@ -24,7 +24,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..sources.storage import file_system, fresh_dir, stage
+from ..sources.storage import file_system, fresh_dir, release, stage
 from ..streaming.logs import file_stream
 
 _BLANK = r"[\x20\x09-\x0D]+"
@@ -172,6 +172,7 @@ def deduplicate(
     )
     odd = members.join(first, "digest").filter("norm <> kept_norm")
     odd_rows = stage(odd.select("digest", "norm", *("neg_length", "id", "_file", "_row")), "exact_odd")
+    release(members)
     best = F.min(F.struct("neg_length", "id", "_file", "_row"))
     odd_groups = odd_rows.groupBy("digest", "norm").agg(
         best.alias("best"), F.count("*").alias("odd_size")

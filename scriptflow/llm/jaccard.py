@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from ..sources.storage import stage
+from ..sources.storage import release, stage
 from . import words
 from .graphs import components, limited
 
@@ -385,9 +385,9 @@ def _product(threshold):
 
 def _units(
     families: DataFrame, threshold: tuple[int, int], weight: str, nodes: int, weights: int
-) -> DataFrame:
-    """The products that each node takes part in: ``family, node, copies, side`` and
-    the columns of ``_UNIT``. ``families`` has ``family, node, copies, n_shingles`` and
+) -> tuple[DataFrame, list[DataFrame]]:
+    """The products that each node takes part in, ``family, node, copies, side`` and
+    the columns of ``_UNIT``, and the staged tables that they are read from. ``families`` has ``family, node, copies, n_shingles`` and
     the column ``weight``; a block has at most so many ``nodes`` and ``weights``."""
     num, den = threshold
     totals = families.groupBy("family").agg(
@@ -458,7 +458,7 @@ def _units(
         ),
     )
     large = large.select("family", "node", "copies", F.explode(units).alias("u"))
-    return alone.unionByName(large.select("family", "node", "copies", "u.*"))
+    return alone.unionByName(large.select("family", "node", "copies", "u.*")), [sized, cut]
 
 
 def similar(
@@ -479,9 +479,10 @@ def similar(
             T.StructField("sketch", T.BinaryType()),
         ]
     )
-    rows = stage(slim.mapInArrow(_rows(threshold, n), schema), "jaccard_rows")
+    found_rows = stage(slim.mapInArrow(_rows(threshold, n), schema), "jaccard_signatures")
+    rows = stage(found_rows.select("doc_id", "n_shingles", "node"), "jaccard_rows")
     nodes = stage(
-        rows.filter("n_shingles > 0")
+        found_rows.filter("n_shingles > 0")
         .groupBy("node")
         .agg(
             F.min("doc_id").alias("first_id"),
@@ -495,7 +496,7 @@ def similar(
     # One exchange of the signatures, of which most are of one node.
     same = Window.partitionBy("signature")
     groups = (
-        rows.select("node", F.explode("signatures").alias("signature"))
+        found_rows.select("node", F.explode("signatures").alias("signature"))
         .select(
             "signature",
             "node",
@@ -512,26 +513,31 @@ def similar(
         ),
         "jaccard_groups",
     )
+    release(found_rows)
     sketches = nodes.select("node", "n_shingles", "sketch")
+    units, parts = _units(groups, threshold, "bytes", GROUP_NODES, GROUP_BYTES)
     candidates = (
-        _units(groups, threshold, "bytes", GROUP_NODES, GROUP_BYTES)
-        .join(sketches, "node")
+        units.join(sketches, "node")
         .groupBy(*_UNIT)
         .applyInArrow(_near(threshold), "a long, b long")
     )
     families = components(candidates).withColumnRenamed("component", "family")
     families = stage(families.join(nodes.drop("sketch"), "node"), "jaccard_candidates")
+    release(groups, *parts)
 
     asked = limited(families.select("node", F.col("first_id").alias("id")), 40)
     texts = slim.join(asked, F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
     grams = stage(texts.mapInArrow(_with_grams(n), "node long, grams binary"), "jaccard_grams")
+    units, parts = _units(
+        families.drop("first_id"), threshold, "n_shingles", BLOCK_NODES, BLOCK_GRAMS
+    )
     linked = stage(
-        _units(families.drop("first_id"), threshold, "n_shingles", BLOCK_NODES, BLOCK_GRAMS)
-        .join(grams, "node")
+        units.join(grams, "node")
         .groupBy(*_UNIT)
         .applyInArrow(_product(threshold), _LINKED),
         "jaccard_links",
     )
+    release(grams, families, *parts)
     named = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = linked.groupBy("node").agg(F.sum("links").alias("links"))
 
@@ -549,6 +555,7 @@ def similar(
         ),
         "jaccard_found",
     )
+    release(nodes, linked)
     filled = F.col("n_shingles") > 0
     return rows.join(found, "node", "left").select(
         "doc_id",
