@@ -33,10 +33,11 @@ names a component only if all its ids are null; no rows give no rows.
 """
 
 import math
+import sys
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..sources.storage import release, stage
 from . import words
@@ -50,10 +51,10 @@ BLOCK_NODES = 512
 BLOCK_GRAMS = 1_000_000
 #: Small families share a task up to so many n-grams.
 BUNDLE_GRAMS = 4_000_000
-#: Bounds of a block of a group that is held against each other by sketches: nodes and
-#: bytes of sketches.
-GROUP_NODES = 4096
-GROUP_BYTES = 4_000_000
+#: Nodes of a block of a group that is held against each other by sketches, of which none
+#: has more than 8 KB, and what a sketch counts as, in n-grams, where groups share a task.
+GROUP_NODES = 2048
+SKETCH_WEIGHT = 128
 #: Groups of so many nodes are compared pair by pair, all at once.
 SMALL_GROUP = 24
 #: Steps in which the columns of a product are added; pairs are dropped after each.
@@ -384,16 +385,24 @@ def _product(threshold):
 
 
 def _units(
-    families: DataFrame, threshold: tuple[int, int], weight: str, nodes: int, weights: int
+    families: DataFrame,
+    threshold: tuple[int, int],
+    weight: Column,
+    nodes: int,
+    weights: int = sys.maxsize,
 ) -> tuple[DataFrame, list[DataFrame]]:
     """The products that each node takes part in, ``family, node, copies, side`` and
     the columns of ``_UNIT``, and the staged tables that they are read from. ``families`` has ``family, node, copies, n_shingles`` and
-    the column ``weight``; a block has at most so many ``nodes`` and ``weights``."""
+    perhaps ``family_nodes, family_weight``; a block has at most so many ``nodes`` and
+    so much ``weight``."""
     num, den = threshold
-    totals = families.groupBy("family").agg(
-        F.count("*").alias("family_nodes"), F.sum(weight).alias("family_weight")
-    )
-    sized = stage(families.join(totals, "family"), "jaccard_families")
+    sized, staged = families, []
+    if "family_nodes" not in families.columns:
+        totals = families.groupBy("family").agg(
+            F.count("*").alias("family_nodes"), F.sum(weight).alias("family_weight")
+        )
+        sized = stage(families.join(totals, "family"), "jaccard_families")
+        staged.append(sized)
     fits = (F.col("family_nodes") <= nodes) & (F.col("family_weight") <= weights)
 
     small = sized.filter(fits)
@@ -458,7 +467,7 @@ def _units(
         ),
     )
     large = large.select("family", "node", "copies", F.explode(units).alias("u"))
-    return alone.unionByName(large.select("family", "node", "copies", "u.*")), [sized, cut]
+    return alone.unionByName(large.select("family", "node", "copies", "u.*")), [*staged, cut]
 
 
 def similar(
@@ -502,20 +511,23 @@ def similar(
             "node",
             F.min("node").over(same).alias("low"),
             F.max("node").over(same).alias("high"),
+            F.count("*").over(same).alias("family_nodes"),
         )
         .filter("low < high")
-        .select(F.col("signature").alias("family"), "node")
+        .select(F.col("signature").alias("family"), "node", "family_nodes")
         .distinct()
     )
-    groups = stage(
-        groups.join(nodes.select("node", "copies", "n_shingles"), "node").withColumn(
-            "bytes", F.expr("n_shingles div 8 + 64")
-        ),
-        "jaccard_groups",
-    )
+    groups = stage(groups, "jaccard_groups")
     release(found_rows)
+    # Set sizes matter only where a group is cut.
+    fits = F.col("family_nodes") <= GROUP_NODES
+    sized = groups.filter(fits).withColumn("n_shingles", F.lit(0).cast("long"))
+    cut = groups.filter(~fits).join(nodes.select("node", "n_shingles"), "node")
+    sized = sized.unionByName(cut).withColumns(
+        {"copies": F.lit(1).cast("long"), "family_weight": F.col("family_nodes") * SKETCH_WEIGHT}
+    )
     sketches = nodes.select("node", "n_shingles", "sketch")
-    units, parts = _units(groups, threshold, "bytes", GROUP_NODES, GROUP_BYTES)
+    units, parts = _units(sized, threshold, F.lit(SKETCH_WEIGHT), GROUP_NODES)
     candidates = (
         units.join(sketches, "node")
         .groupBy(*_UNIT)
@@ -529,7 +541,7 @@ def similar(
     texts = slim.join(asked, F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
     grams = stage(texts.mapInArrow(_with_grams(n), "node long, grams binary"), "jaccard_grams")
     units, parts = _units(
-        families.drop("first_id"), threshold, "n_shingles", BLOCK_NODES, BLOCK_GRAMS
+        families.drop("first_id"), threshold, F.col("n_shingles"), BLOCK_NODES, BLOCK_GRAMS
     )
     linked = stage(
         units.join(grams, "node")
