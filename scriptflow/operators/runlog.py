@@ -11,9 +11,12 @@ no task or value grows with it. Where ``seq`` has gaps, a part holds fewer lines
 
 No function starts a job. Where the edges of an output are needed, the log is read
 twice: once for a few numbers of each attempt, combined before the shuffle, and once
-for the lines, which are exchanged by attempt and part.
+for the lines, which are exchanged by attempt and part. Markers and errors need one
+read and the parts' first and last lines.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import (
@@ -135,38 +138,11 @@ def _placed(
     )
 
 
-def _aligned(placed: DataFrame) -> DataFrame:
-    """The lines, moved so that no part ends inside a line.
-
-    What follows the last line end of a part goes to the next part that has a line
-    end, or to the last part. The window runs over one short row per part.
-    """
-    ended = F.when(F.col("line").endswith("\n"), F.col("seq"))
-    later = (
-        Window.partitionBy(*ATTEMPT)
-        .orderBy(F.desc("part"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    with_end = F.when(F.col("last_end").isNotNull(), F.col("part"))
-    parts = (
-        placed.groupBy(*ATTEMPT, "part")
-        .agg(F.max(ended).alias("last_end"))
-        .withColumn(
-            "next_part",
-            F.coalesce(
-                F.last(with_end, ignorenulls=True).over(later),
-                F.first("part").over(later),
-                "part",
-            ),
-        )
-    )
-    part = F.when(F.col("seq") <= F.col("last_end"), F.col("part")).otherwise(
-        F.col("next_part")
-    )
-    return (
-        placed.join(parts, [*ATTEMPT, "part"])
-        .withColumn("part", part)
-        .drop("last_end", "next_part")
+def _unrepeated(lines: Column) -> Column:
+    """Lines of a part; an error if two of them have the same ``seq``."""
+    n_seq = F.size(F.array_distinct(F.transform(lines, lambda x: x["seq"])))
+    return F.when(n_seq == F.size(lines), lines).otherwise(
+        F.raise_error(F.lit("seq is not unique within an attempt"))
     )
 
 
@@ -190,11 +166,7 @@ def _gather(placed: DataFrame, *streams: str) -> DataFrame:
             F.bool_or("printed").alias("printed"),
         )
     )
-    n_seq = F.size(F.array_distinct(F.transform("lines", lambda x: x["seq"])))
-    lines = F.when(n_seq == F.size("lines"), F.col("lines")).otherwise(
-        F.raise_error(F.lit("seq is not unique within an attempt"))
-    )
-    gathered = gathered.withColumn("lines", lines)
+    gathered = gathered.withColumn("lines", _unrepeated(F.col("lines")))
 
     def text(stream: str | None) -> list[Column]:
         own = F.col("lines")
@@ -279,16 +251,70 @@ def output_or_note(
     return with_output(attempts, logs, part_lines).select(*ATTEMPT, "part", "output")
 
 
-def _is_joined() -> Column:
-    """Whether a line other than the last one lacks its line end, as at the end of one
-    stream before the other goes on. What a line says then depends on the next one."""
-    unended = ~F.col("line").endswith("\n")
-    return F.count_if(unended) > F.max_by(unended, "seq").cast("int")
+def _runs(
+    logs: DataFrame, part_lines: int, inner: Callable[[Column], Column]
+) -> DataFrame:
+    """The output of every attempt as numbered runs of whole lines.
+
+    A line need not have its line end, as at the end of one stream before the other goes
+    on; what it says then depends on the next one. The log is exchanged once, by attempt
+    and part, and each part is cut in three where it lies: its first line, what begins with
+    its last line that has text, and all between. What is between is whole lines, and only
+    its ``inner`` goes on. The end of one part and the first line of the next are put
+    together as ``text``, with parts between them that end no line. So the second exchange
+    carries two lines and one answer for each part of an attempt.
+
+    ``run`` orders the rows: a ``text``, then what follows it (NULL if there is none).
+    ``is_last`` marks the run that has the last line with text.
+    """
+    keys = [*ATTEMPT, "part"]
+    parts = (
+        logs.select(*ATTEMPT, "seq", "line", F.expr(f"seq div {int(part_lines)}").alias("part"))
+        .repartition(*keys)
+        .groupBy(*keys)
+        .agg(F.sort_array(F.collect_list(F.struct("seq", "line"))).alias("lines"))
+    )
 
+    def joined(lines: Column, of: str) -> Column:
+        return F.array_join(F.transform(lines, lambda x: x[of]), "")
 
-def _whole_lines(logs: DataFrame, attempts: DataFrame, part_lines: int) -> DataFrame:
-    """The texts of some attempts in parts that end with a line."""
-    return _gather(_aligned(_placed(logs, part_lines, only=attempts)))
+    text, rest, end = F.col("text"), F.col("rest"), F.col("end")
+    core = rstrip_ws(rest)
+    before_last = F.length(core) - F.length(F.substring_index(core, "\n", -1))
+    parts = (
+        parts.select(*keys, joined(_unrepeated(F.col("lines")), "line").alias("text"))
+        .withColumn("end", F.locate("\n", text))
+        .withColumn("rest", F.when(end > 0, F.substr(text, end + 1)))
+        .withColumn("cut", before_last)
+        .select(
+            *keys,
+            (end > 0).alias("ends"),
+            F.when(end > 0, F.substring(text, F.lit(1), end)).otherwise(text).alias("head"),
+            inner(F.substring(rest, F.lit(1), F.col("cut"))).alias("inner"),
+            F.substr(rest, F.col("cut") + 1).alias("tail"),
+        )
+    )
+    earlier = (
+        Window.partitionBy(*ATTEMPT).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    run = F.coalesce(F.count_if("ends").over(earlier), F.lit(0).cast("bigint"))
+    head = F.struct("run", "part", F.col("head").alias("piece"), "inner")
+    tail = F.struct(
+        (F.col("run") + 1).alias("run"),
+        "part",
+        F.col("tail").alias("piece"),
+        F.nullif("inner", "inner").alias("inner"),
+    )
+    pieces = parts.withColumn("run", run).select(
+        *ATTEMPT, F.inline(F.when(F.col("ends"), F.array(head, tail)).otherwise(F.array(head)))
+    )
+    lines = F.sort_array(F.collect_list(F.struct("part", "piece")))
+    glued = pieces.groupBy(*ATTEMPT, "run").agg(
+        joined(lines, "piece").alias("text"), F.max("inner").alias("inner")
+    )
+    last = F.max(F.when(has_text("text"), F.col("run"))).over(Window.partitionBy(*ATTEMPT))
+    is_last = F.coalesce(F.col("run") == last, F.lit(False))
+    return glued.withColumn("is_last", is_last)
 
 
 def success_marker(
@@ -296,44 +322,23 @@ def success_marker(
 ) -> DataFrame:
     """Whether the last line of the output, and whether any line, has ``marker``.
 
-    A marker anywhere else than on the last line counts for the second only. Both
-    come from one aggregation that keeps a few flags per attempt, so no output is
-    put together. That is exact when every line but the last one has its line end;
-    attempts where it is missing are read as text, in parts that end with a line.
+    A marker anywhere else than on the last line counts for the second only. The marker
+    is looked for within lines.
     """
-    line = F.col("line")
-    seq_with_text = F.when(has_text(line), F.col("seq"))
-
-    def in_last_line(text: Column) -> Column:
-        return F.when(
-            F.contains(text, F.lit(marker)),
-            F.contains(last_line(rstrip_ws(text)), F.lit(marker)),
-        ).otherwise(False)
-
-    # Flags and numbers only: with a text among them the aggregation would have to
-    # sort the whole log.
-    seen = logs.groupBy(*ATTEMPT).agg(
-        F.max_by(in_last_line(line), seq_with_text).alias("in_last"),
-        F.bool_or(F.contains(line, F.lit(marker))).alias("marker_any_line"),
-        _is_joined().alias("joined"),
-    )
-    by_line = seen.filter(~F.col("joined")).select(
-        *ATTEMPT,
-        F.coalesce("in_last", F.lit(False)).alias("marker_last_line"),
-        "marker_any_line",
-    )
-    joined = seen.filter("joined").select(*ATTEMPT)
-    by_text = (
-        _whole_lines(logs, joined, part_lines)
+
+    def marked(text: Column) -> Column:
+        return F.contains(text, F.lit(marker))
+
+    text = F.col("text")
+    in_last = F.when(marked(text), marked(last_line(rstrip_ws(text)))).otherwise(False)
+    return (
+        _runs(logs, part_lines, marked)
         .groupBy(*ATTEMPT)
         .agg(
-            F.bool_or(F.col("is_last") & in_last_line(F.col("text"))).alias(
-                "marker_last_line"
-            ),
-            F.bool_or(F.contains("text", F.lit(marker))).alias("marker_any_line"),
+            F.bool_or(F.col("is_last") & in_last).alias("marker_last_line"),
+            F.bool_or(marked(text) | F.coalesce("inner", F.lit(False))).alias("marker_any_line"),
         )
     )
-    return by_line.unionByName(by_text)
 
 
 def _last_error_line(text) -> Column:
@@ -361,27 +366,15 @@ def error_of(text: Column) -> Column:
 
 
 def error_type(logs: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
-    """The last error each attempt reports; NULLs if there is none.
-
-    Errors are found line by line, and the last one of an attempt by its number, so
-    the log is not sorted. Attempts with joined lines are read as text, in parts that
-    end with a line.
-    """
-    kinds = logs.groupBy(*ATTEMPT).agg(_is_joined().alias("joined"))
-    found = logs.select(
-        *ATTEMPT, "seq", _last_error_line(F.col("line")).alias("found")
-    ).filter("found IS NOT NULL")
-    last = found.groupBy(*ATTEMPT).agg(F.max("seq").alias("seq"))
-    found = found.join(last, [*ATTEMPT, "seq"]).drop("seq")
-    by_line = kinds.filter(~F.col("joined")).join(found, ATTEMPT, "left")
-    by_line = by_line.select(*ATTEMPT, *_error_parts(F.col("found")))
-
-    joined = kinds.filter("joined").select(*ATTEMPT)
-    texts = _whole_lines(logs, joined, part_lines)
-    error = error_of(F.col("text"))
-    reported = F.when(error["error_type"].isNotNull(), F.col("part"))
-    by_text = texts.groupBy(*ATTEMPT).agg(F.max_by(error, reported).alias("error"))
-    return by_line.unionByName(by_text.select(*ATTEMPT, "error.*"))
+    """The last error each attempt reports; NULLs if there is none."""
+    found = F.coalesce("inner", _last_error_line(F.col("text")))
+    return (
+        _runs(logs, part_lines, _last_error_line)
+        .select(*ATTEMPT, "run", found.alias("found"))
+        .groupBy(*ATTEMPT)
+        .agg(F.max_by("found", F.when(F.col("found").isNotNull(), F.col("run"))).alias("found"))
+        .select(*ATTEMPT, *_error_parts(F.col("found")))
+    )
 
 
 def attempt_verdict(attempts: DataFrame) -> DataFrame:

@@ -378,14 +378,37 @@ def test_error_type_equals_the_text(spark, seed):
         assert {(r.run_id, r.attempt): r.error_type for r in got} == expected
 
 
-def test_the_log_is_not_sorted_before_it_is_combined(spark, tmp_path):
+def test_markers_and_errors_read_the_log_once(spark, tmp_path):
     spark.createDataFrame(random_log(10), LOG).write.parquet(str(tmp_path / "log"))
     logs = spark.read.parquet(str(tmp_path / "log"))
-    found = logs.groupBy(*runlog.ATTEMPT).agg(runlog._is_joined())
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "HashAggregate" in plan and "Sort" not in plan
-    errors = runlog.error_type(logs)._jdf.queryExecution().executedPlan().toString()
-    assert "SortAggregate" not in errors.split("Union")[1].split("Scan parquet")[0]
+    for result in (runlog.success_marker(logs), runlog.error_type(logs)):
+        result.collect()
+        plan = result._jdf.queryExecution().executedPlan().toString()
+        final = plan.split("== Initial Plan ==")[0]
+        assert final.count("Scan parquet") == 1
+        # The lines by attempt and part, and a row for each part by attempt.
+        assert final.count("Exchange hashpartitioning") == 2
+
+
+@pytest.mark.parametrize("part_lines", PARTS)
+@pytest.mark.parametrize(
+    "lines,error",
+    [
+        (["ValueError: x\n", "KeyError y\n"], ("ValueError", "x")),
+        (["\n", " \n", "ValueError\n", "\n", " \n"], ("ValueError", None)),
+        (["\tValueError\n", "ok\n", "  ValueError: x\n"], (None, None)),
+        (["KeyError: a\n", "ok\n", "ValueError: \n", "\n"], ("ValueError", None)),
+        (["ok\n", "ValueError: x", "  \n", "\n", "\n", "  y"], ("ValueError", "x  ")),
+        (["ok", "\n", "Value", "Error", ": x", "\n\n", " ", "\n"], ("ValueError", "x")),
+        (["\n", " \n", ""], (None, None)),
+    ],
+)
+def test_error_type_at_the_edges_of_the_output(spark, lines, error, part_lines):
+    logs = spark.createDataFrame(
+        [(1, 1, 3 * k, "stderr", line) for k, line in enumerate(lines)], LOG
+    )
+    (row,) = runlog.error_type(logs, part_lines).collect()
+    assert tuple(row)[2:] == error
 
 
 def test_a_huge_line(spark):
