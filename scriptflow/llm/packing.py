@@ -16,8 +16,10 @@ repeated document is packed; no rows give no pieces; a piece over a capacity has
 place anywhere, which is an error.
 """
 
+import json
 import math
 import os
+import re
 import sys
 import types
 
@@ -36,18 +38,49 @@ ATTENTION = TOKENS**2
 PIECES_PER_SHARD = 16_384
 TOKENS_PER_SHARD = 16_000_000
 #: Words whose ids a worker remembers, and words that are encoded together.
-REMEMBERED = 300_000
-WORDS_AT_ONCE = 1000
+REMEMBERED = 600_000
+WORDS_AT_ONCE = 200
 END_ID = 0
 
 _PIECE = "piece int, start long, length long, ids binary"
 
 
+#: Fixed value: a rule by which a tokenizer cuts words before it encodes the pieces. By
+#: it, marks after an ASCII letter or digit are pieces of their own, but for an apostrophe.
+_CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_MARKS_LAST = re.compile(rb"(.*[0-9A-Za-z])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
+
+
+class Recent:
+    """A dictionary of the keys that were used last: when the newer half is full, what
+    was not used since the older one was closed goes."""
+
+    def __init__(self, most: int):
+        self.half = most // 2
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def missing(self, keys: set[bytes]) -> list[bytes]:
+        """The keys that are not there; the others are in ``new`` afterwards."""
+        if len(self.new) > self.half:
+            self.old, self.new = self.new, {}
+        out = []
+        for key in keys.difference(self.new):
+            value = self.old.get(key)
+            if value is None:
+                out.append(key)
+            else:
+                self.new[key] = value
+        return out
+
+
 class WordIds:
     """Token ids of words as bytes, little-endian unsigned 32-bit.
 
     For tokenizers whose tokens never contain white space, as then a text has the
-    ids of its words one after the other. Words end at ASCII white space.
+    ids of its words one after the other. Words end at ASCII white space. Where the rules
+    of the tokenizer allow it, words that differ in the case of A-Z or in the marks
+    behind them are encoded once.
     """
 
     def __init__(self, tokenizer: str):
@@ -56,25 +89,49 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer)
-        self.known: dict[bytes, bytes] = {}
-
-    def learn(self, new: set[bytes]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [w for w in new if w not in self.known]
-        for k in range(0, len(new), WORDS_AT_ONCE):
-            some = new[k : k + WORDS_AT_ONCE]
+        rules = json.loads(tokenizer)
+        steps = rules.get("normalizer") or {}
+        steps = [step["type"] for step in steps.get("normalizers", [steps]) if step]
+        self.one_case = "Lowercase" in steps and set(steps) <= {"NFC", "Replace", "Lowercase"}
+        cuts = rules.get("pre_tokenizer") or {}
+        first = cuts.get("pretokenizers", [cuts])[0]
+        self.marks_apart = (
+            self.one_case
+            and first.get("type") == "Split"
+            and first["pattern"] == {"Regex": _CUTS}
+        )
+        # Tokens that are found in a text as they are written, before any rule.
+        written = [re.escape(t["content"].encode()) for t in rules.get("added_tokens") or []]
+        self.whole = re.compile(b"|".join(written) or rb"(?!)", re.IGNORECASE)
+        self.known, self.pieces = Recent(REMEMBERED), Recent(REMEMBERED)
+
+    def cut(self, word: bytes) -> tuple[bytes, ...]:
+        """Pieces of a word that can be encoded on their own."""
+        if not self.one_case or self.whole.search(word):
+            return (word,)
+        word = word.lower()
+        found = _MARKS_LAST.fullmatch(word) if self.marks_apart else None
+        return found.groups() if found else (word,)
+
+    def learn(self, used: set[bytes]) -> None:
+        new = {word: self.cut(word) for word in self.known.missing(used)}
+        pieces = self.pieces.missing(set().union(*new.values()))
+        ids = self.pieces.new
+        for k in range(0, len(pieces), WORDS_AT_ONCE):
+            some = pieces[k : k + WORDS_AT_ONCE]
             # Without offsets into the text, which take longer than the ids.
             found = self.tokenizer.encode_batch_fast(
                 [w.decode() for w in some], add_special_tokens=False
             )
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, found))
+            ids.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, found))
+        for word, cut in new.items():
+            self.known.new[word] = b"".join([ids[piece] for piece in cut])
 
     def of(self, texts: list[bytes]) -> list[bytes]:
         split = [text.split() for text in texts]
         self.learn(set().union(*split))
-        known = self.known
-        return [b"".join([known[w] for w in found]) for found in split]
+        ids = self.known.new.__getitem__
+        return [b"".join(map(ids, found)) for found in split]
 
 
 def _word_ids(tokenizer: str) -> WordIds:

@@ -1,5 +1,6 @@
 """Tokens against the tokenizer, packing against its capacities."""
 
+import json
 import zlib
 
 import numpy as np
@@ -51,6 +52,30 @@ def test_a_full_memory_forgets(monkeypatch):
         assert np.frombuffer(ids, "<u4").tolist() == ids_of(text)[:-1]
 
 
+def test_odd_words_equal_the_tokenizer():
+    random = np.random.default_rng(5)
+    letters = list("aZ9é'.,*|<>$-İſKǅ—\u0301\u200b日")
+    with open(packing.word_bpe(), encoding="utf-8") as file:
+        words = packing.WordIds(file.read())
+    assert words.marks_apart
+    texts = ["".join(random.choice(letters, random.integers(1, 8))) for _ in range(5000)]
+    texts += [f"{t}<|STARToftext|>{t}" for t in texts[:500]]
+    texts += [f"{t}<|endoftext|>." for t in texts[:500]]
+    for text, ids in zip(texts, words.of([t.encode() for t in texts])):
+        assert np.frombuffer(ids, "<u4").tolist() == ids_of(text)[:-1], text
+
+
+def test_other_rules_keep_words_whole():
+    with open(packing.word_bpe(), encoding="utf-8") as file:
+        rules = json.load(file)
+    del rules["normalizer"]
+    words = packing.WordIds(json.dumps(rules))
+    assert words.cut(b"Word.") == (b"Word.",)
+    text = "Word. word. WORD."
+    expected = words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(words.of([text.encode()])[0], "<u4").tolist() == expected
+
+
 def filled(lengths, sequence, offset):
     bins = {}
     for n, s, o in zip(lengths, sequence, offset):
