@@ -19,7 +19,8 @@ place anywhere, which is an error.
 import json
 import math
 import os
-import re
+import string
+import struct
 import sys
 import types
 
@@ -37,8 +38,10 @@ ATTENTION = TOKENS**2
 #: Bounds of a shard, which one task packs.
 PIECES_PER_SHARD = 16_384
 TOKENS_PER_SHARD = 16_000_000
-#: Words whose ids a worker remembers, and words that are encoded together.
-REMEMBERED = 600_000
+#: Words and pieces of words whose ids a worker remembers, and pieces that are encoded
+#: together. A rare word comes back with other marks more often than as it was.
+REMEMBERED = 300_000
+REMEMBERED_PIECES = 1_200_000
 WORDS_AT_ONCE = 200
 END_ID = 0
 
@@ -48,7 +51,8 @@ _PIECE = "piece int, start long, length long, ids binary"
 #: Fixed value: a rule by which a tokenizer cuts words before it encodes the pieces. By
 #: it, marks after an ASCII letter or digit are pieces of their own, but for an apostrophe.
 _CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_MARKS_LAST = re.compile(rb"(.*[0-9A-Za-z])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
+_MARKS = string.punctuation.replace("'", "").encode()
+_ENDS = (string.ascii_letters + string.digits).encode()
 
 
 class Recent:
@@ -100,18 +104,20 @@ class WordIds:
             and first.get("type") == "Split"
             and first["pattern"] == {"Regex": _CUTS}
         )
-        # Tokens that are found in a text as they are written, before any rule.
-        written = [re.escape(t["content"].encode()) for t in rules.get("added_tokens") or []]
-        self.whole = re.compile(b"|".join(written) or rb"(?!)", re.IGNORECASE)
-        self.known, self.pieces = Recent(REMEMBERED), Recent(REMEMBERED)
+        # What all tokens begin with that are found as they are written, before any rule.
+        written = [t["content"] for t in rules.get("added_tokens") or []]
+        self.written = os.path.commonprefix(written).encode().lower()
+        self.known, self.pieces = Recent(REMEMBERED), Recent(REMEMBERED_PIECES)
 
     def cut(self, word: bytes) -> tuple[bytes, ...]:
         """Pieces of a word that can be encoded on their own."""
-        if not self.one_case or self.whole.search(word):
+        lower = word.lower()
+        if not self.one_case or self.written in lower:
             return (word,)
-        word = word.lower()
-        found = _MARKS_LAST.fullmatch(word) if self.marks_apart else None
-        return found.groups() if found else (word,)
+        head = lower.rstrip(_MARKS)
+        if not self.marks_apart or head == lower or not head or head[-1] not in _ENDS:
+            return (lower,)
+        return head, lower[len(head) :]
 
     def learn(self, used: set[bytes]) -> None:
         new = {word: self.cut(word) for word in self.known.missing(used)}
@@ -123,7 +129,9 @@ class WordIds:
             found = self.tokenizer.encode_batch_fast(
                 [w.decode() for w in some], add_special_tokens=False
             )
-            ids.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, found))
+            for piece, encoded in zip(some, found):
+                numbers = encoded.ids
+                ids[piece] = struct.pack(f"<{len(numbers)}I", *numbers)
         for word, cut in new.items():
             self.known.new[word] = b"".join([ids[piece] for piece in cut])
 

@@ -1,5 +1,6 @@
 """Tokens against the tokenizer, packing against its capacities."""
 
+import functools
 import json
 import zlib
 
@@ -25,9 +26,13 @@ ROWS = [(k, t, "a", "b", "c", "d") for k, t in enumerate(TEXTS)]
 ROWS += [ROWS[-1], (None, "no id", None, None, None, None)]
 
 
+@functools.cache
+def the_tokenizer():
+    return Tokenizer.from_file(packing.word_bpe())
+
+
 def ids_of(text):
-    tokenizer = Tokenizer.from_file(packing.word_bpe())
-    return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+    return [*the_tokenizer().encode(text or "", add_special_tokens=False).ids, 0]
 
 
 def test_pieces_equal_the_tokenizer(spark):
@@ -45,6 +50,7 @@ def test_pieces_equal_the_tokenizer(spark):
 
 def test_a_full_memory_forgets(monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 2)
+    monkeypatch.setattr(packing, "REMEMBERED_PIECES", 2)
     with open(packing.word_bpe(), encoding="utf-8") as file:
         words = packing.WordIds(file.read())
     for text in ("a b c d", "c d e f", "a b"):
