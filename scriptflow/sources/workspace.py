@@ -73,7 +73,7 @@ class Workspace:
         if exists(self.spark, target):
             fs, hadoop_path = file_system(self.spark, target)
             root = fs.makeQualified(hadoop_path).toUri().getPath() + "/"
-            # One list for all files, compared without a call for each of them.
+            # The names come from the JVM one by one, which takes time with very many files.
             if any((url_path(file) + "/").startswith(root) for file in df.inputFiles()):
                 raise ValueError(f"the frame reads its own target: {path!r}")
         return target
