@@ -38,10 +38,8 @@ ATTENTION = TOKENS**2
 #: Bounds of a shard, which one task packs.
 PIECES_PER_SHARD = 16_384
 TOKENS_PER_SHARD = 16_000_000
-#: Words and pieces of words whose ids a worker remembers, and pieces that are encoded
-#: together. A rare word comes back with other marks more often than as it was.
-REMEMBERED = 300_000
-REMEMBERED_PIECES = 1_200_000
+#: Pieces of words whose ids a worker remembers, and pieces that are encoded together.
+REMEMBERED = 1_200_000
 WORDS_AT_ONCE = 200
 END_ID = 0
 
@@ -49,10 +47,18 @@ _PIECE = "piece int, start long, length long, ids binary"
 
 
 #: Fixed value: a rule by which a tokenizer cuts words before it encodes the pieces. By
-#: it, marks after an ASCII letter or digit are pieces of their own, but for an apostrophe.
+#: it, marks beside an ASCII letter or digit are pieces of their own, but for an apostrophe.
 _CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_MARKS = string.punctuation.replace("'", "").encode()
-_ENDS = (string.ascii_letters + string.digits).encode()
+_MARK, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(string.punctuation.replace("'", "").encode())] = True
+_SIGN[list((string.ascii_letters + string.digits).encode())] = True
+
+
+def _marks_apart(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts of a block with a space wherever such a mark begins or ends."""
+    mark, sign = _MARK[data], _SIGN[data]
+    at = np.flatnonzero(sign[:-1] & mark[1:] | mark[:-1] & sign[1:]) + 1
+    return np.insert(data, at, ord(" ")), offsets + np.searchsorted(at, offsets)
 
 
 class Recent:
@@ -83,8 +89,8 @@ class WordIds:
 
     For tokenizers whose tokens never contain white space, as then a text has the
     ids of its words one after the other. Words end at ASCII white space. Where the rules
-    of the tokenizer allow it, words that differ in the case of A-Z or in the marks
-    behind them are encoded once.
+    of the tokenizer allow it, words that differ in the case of A-Z are encoded once, and
+    marks apart from the letters beside them.
     """
 
     def __init__(self, tokenizer: str):
@@ -107,41 +113,46 @@ class WordIds:
         # What all tokens begin with that are found as they are written, before any rule.
         written = [t["content"] for t in rules.get("added_tokens") or []]
         self.written = os.path.commonprefix(written).encode().lower()
-        self.known, self.pieces = Recent(REMEMBERED), Recent(REMEMBERED_PIECES)
-
-    def cut(self, word: bytes) -> tuple[bytes, ...]:
-        """Pieces of a word that can be encoded on their own."""
-        lower = word.lower()
-        if not self.one_case or self.written in lower:
-            return (word,)
-        head = lower.rstrip(_MARKS)
-        if not self.marks_apart or head == lower or not head or head[-1] not in _ENDS:
-            return (lower,)
-        return head, lower[len(head) :]
+        self.pieces = Recent(REMEMBERED)
+
+    def texts(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The texts of a block as they are cut into pieces at white space. One in which
+        a token may be written out stays as it is."""
+        given = _split(data, offsets)
+        if not self.one_case:
+            return given
+        data = words.lowered(data)
+        plain = _split(data, offsets)
+        apart = _split(*_marks_apart(data, offsets)) if self.marks_apart else plain
+        return [
+            own if self.written in lower else cut for own, lower, cut in zip(given, plain, apart)
+        ]
 
     def learn(self, used: set[bytes]) -> None:
-        new = {word: self.cut(word) for word in self.known.missing(used)}
-        pieces = self.pieces.missing(set().union(*new.values()))
-        ids = self.pieces.new
-        for k in range(0, len(pieces), WORDS_AT_ONCE):
-            some = pieces[k : k + WORDS_AT_ONCE]
+        new = self.pieces.missing(used)
+        for k in range(0, len(new), WORDS_AT_ONCE):
+            some = new[k : k + WORDS_AT_ONCE]
             # Without offsets into the text, which take longer than the ids.
             found = self.tokenizer.encode_batch_fast(
                 [w.decode() for w in some], add_special_tokens=False
             )
             for piece, encoded in zip(some, found):
                 numbers = encoded.ids
-                ids[piece] = struct.pack(f"<{len(numbers)}I", *numbers)
-        for word, cut in new.items():
-            self.known.new[word] = b"".join([ids[piece] for piece in cut])
+                self.pieces.new[piece] = struct.pack(f"<{len(numbers)}I", *numbers)
 
-    def of(self, texts: list[bytes]) -> list[bytes]:
-        split = [text.split() for text in texts]
+    def of(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The ids of each text of a block."""
+        split = [text.split() for text in self.texts(data, offsets)]
         self.learn(set().union(*split))
-        ids = self.known.new.__getitem__
+        ids = self.pieces.new.__getitem__
         return [b"".join(map(ids, found)) for found in split]
 
 
+def _split(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    raw, at = data.tobytes(), offsets.tolist()
+    return [raw[a:b] for a, b in zip(at[:-1], at[1:])]
+
+
 def _word_ids(tokenizer: str) -> WordIds:
     """The one that this worker has used before, if it was of the same tokenizer.
 
@@ -175,11 +186,9 @@ def tokenize(docs: DataFrame, tokenizer: str, tokens: int = TOKENS) -> DataFrame
         for batch in batches:
             doc_id, text = batch.column(0), batch.column(1)
             for first, _, data, offsets in words.blocks(text, 500_000):
-                raw = data.tobytes()
-                texts = [raw[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
                 rows = [
                     (first + k, *piece)
-                    for k, ids in enumerate(ids_of.of(texts))
+                    for k, ids in enumerate(ids_of.of(data, offsets))
                     for piece in _cut(ids + end, tokens)
                 ]
                 at, piece, start, length, ids = zip(*rows)

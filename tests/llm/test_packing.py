@@ -35,6 +35,12 @@ def ids_of(text):
     return [*the_tokenizer().encode(text or "", add_special_tokens=False).ids, 0]
 
 
+def block(texts):
+    raw = [text.encode() for text in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    return data, np.concatenate([[0], np.cumsum([len(t) for t in raw], dtype=np.int64)])
+
+
 def test_pieces_equal_the_tokenizer(spark):
     df = spark.createDataFrame(ROWS, SCHEMA)
     got = packing.tokenize(df, packing.word_bpe()).withColumn("crc", F.crc32("ids")).collect()
@@ -50,11 +56,10 @@ def test_pieces_equal_the_tokenizer(spark):
 
 def test_a_full_memory_forgets(monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 2)
-    monkeypatch.setattr(packing, "REMEMBERED_PIECES", 2)
     with open(packing.word_bpe(), encoding="utf-8") as file:
         words = packing.WordIds(file.read())
     for text in ("a b c d", "c d e f", "a b"):
-        (ids,) = words.of([text.encode()])
+        (ids,) = words.of(*block([text]))
         assert np.frombuffer(ids, "<u4").tolist() == ids_of(text)[:-1]
 
 
@@ -67,7 +72,8 @@ def test_odd_words_equal_the_tokenizer():
     texts = ["".join(random.choice(letters, random.integers(1, 8))) for _ in range(5000)]
     texts += [f"{t}<|STARToftext|>{t}" for t in texts[:500]]
     texts += [f"{t}<|endoftext|>." for t in texts[:500]]
-    for text, ids in zip(texts, words.of([t.encode() for t in texts])):
+    texts += ["", "3.14-a", "don't--x's", "."]
+    for text, ids in zip(texts, words.of(*block(texts))):
         assert np.frombuffer(ids, "<u4").tolist() == ids_of(text)[:-1], text
 
 
@@ -76,10 +82,10 @@ def test_other_rules_keep_words_whole():
         rules = json.load(file)
     del rules["normalizer"]
     words = packing.WordIds(json.dumps(rules))
-    assert words.cut(b"Word.") == (b"Word.",)
+    assert words.texts(*block(["Word.", "a-b"])) == [b"Word.", b"a-b"]
     text = "Word. word. WORD."
     expected = words.tokenizer.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(words.of([text.encode()])[0], "<u4").tolist() == expected
+    assert np.frombuffer(words.of(*block([text]))[0], "<u4").tolist() == expected
 
 
 def filled(lengths, sequence, offset):
