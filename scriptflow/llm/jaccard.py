@@ -592,3 +592,53 @@ def keep_one(
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Documents with the same set are one node, named after the smallest of them.
+OP5_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id,
+         regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x20\x09-\x0D]+'
+         ) AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id,
+         list_sort(list_distinct(CASE
+           WHEN len(w) = 0 THEN CAST([] AS VARCHAR[])
+           WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+           ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+         END)) AS g
+  FROM d
+), nodes AS MATERIALIZED (
+  SELECT min(doc_id) AS node, g, len(g) AS n, count(*) AS copies FROM sets WHERE len(g) > 0 GROUP BY g
+), items AS (
+  SELECT node, n, unnest(g) AS s FROM nodes
+), pairs AS (
+  SELECT a.node AS x, b.node AS y, a.n + b.n AS both_sizes, count(*) AS c
+  FROM items a JOIN items b ON a.s = b.s AND a.node < b.node
+  GROUP BY a.node, b.node, a.n, b.n
+), links AS MATERIALIZED (
+  SELECT x, y FROM pairs WHERE 100 * c >= 90 * (both_sizes - c)
+  UNION ALL
+  SELECT y, x FROM pairs WHERE 100 * c >= 90 * (both_sizes - c)
+), reach AS (
+  SELECT node, node AS other FROM nodes
+  UNION
+  SELECT reach.node, links.y FROM reach JOIN links ON reach.other = links.x
+), components AS (
+  SELECT node, min(other) AS component_id FROM reach GROUP BY node
+), linked AS (
+  SELECT links.x AS node, sum(nodes.copies) AS others
+  FROM links JOIN nodes ON links.y = nodes.node
+  GROUP BY links.x
+)
+SELECT sets.doc_id, len(sets.g) AS n_shingles,
+       coalesce(components.component_id, sets.doc_id) AS component_id,
+       CAST(coalesce(nodes.copies - 1, 0) + coalesce(linked.others, 0) AS BIGINT) AS n_links
+FROM sets
+LEFT JOIN nodes ON sets.g = nodes.g
+LEFT JOIN components ON nodes.node = components.node
+LEFT JOIN linked ON nodes.node = linked.node
+"""

@@ -42,6 +42,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_lines": lines.OP2_SQL,
+        "op5_jaccard": jaccard.OP5_SQL,
+        "op7_repeats": repeats.OP7_SQL,
         "op8_exact": exact.OP8_SQL,
         "op10_chat": chat.OP10_SQL,
         "op11_collocations": collocations.OP11_SQL,

@@ -384,3 +384,41 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+#: Bytes are read as two hexadecimal digits each; strings are compared by their MD5.
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n
+  FROM documents
+), parts AS (
+  SELECT doc_id, least(512, n - 99 - c) AS m, c, substr(h, 2 * c + 1, 2 * (512 + 99)) AS part
+  FROM (SELECT doc_id, h, n, unnest(range(0, n - 99, 512)) AS c FROM d)
+), strings AS (
+  SELECT doc_id, c + i AS s, md5(substr(part, 2 * i + 1, 200)) AS k
+  FROM (SELECT doc_id, c, part, unnest(range(0, m)) AS i FROM parts)
+), repeated AS (
+  SELECT doc_id, s
+  FROM strings
+  QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, s) > 1
+), marked AS (
+  SELECT doc_id, s,
+         CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 100 THEN 0 ELSE 1 END AS opens
+  FROM repeated
+), numbered AS (
+  SELECT doc_id, s, sum(opens) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM marked
+), spans AS (
+  SELECT doc_id, min(s) AS b, max(s) + 100 AS e FROM numbered GROUP BY doc_id, span
+), cut AS (
+  SELECT doc_id, b, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS p FROM spans
+)
+SELECT d.doc_id, any_value(d.n) AS n_bytes,
+       CAST(coalesce(sum(e - b), 0) AS BIGINT) AS n_removed,
+       count(b) AS n_spans,
+       sha256(unhex(
+         coalesce(string_agg(substr(h, 2 * p + 1, 2 * (b - p)), '' ORDER BY b), '')
+         || substr(any_value(h), 2 * coalesce(max(e), 0) + 1)
+       )) AS kept_sha256
+FROM d LEFT JOIN cut ON d.doc_id = cut.doc_id
+GROUP BY d.doc_id
+"""
