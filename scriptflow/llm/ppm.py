@@ -41,8 +41,8 @@ ORDER = 7
 SHARE = 1 << 21
 #: Symbols of which a task counts the sequences at once, and different sequences or
 #: words that it holds before it hands on their counts.
-COUNT_SYMBOLS = 8_000_000
-COUNT_KEYS = 6_000_000
+COUNT_SYMBOLS = 1_500_000
+COUNT_KEYS = 1_500_000
 END = 0xFF
 SYMBOLS = 256
 _BITS = 8
@@ -146,6 +146,8 @@ def gather(texts: DataFrame, order: int = ORDER) -> DataFrame:
     parts = texts.select(F.col("text").cast("string").alias("text")).mapInArrow(
         _counted(order), "kind int, key long, n long"
     )
+    # Tasks have combined what is equal; to do so again would fill their memory and disk.
+    parts = parts.repartition("kind", "key")
     return stage(parts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ppm_counts")
 
 
@@ -328,14 +330,15 @@ def _context(k: int = 7):
 
 
 def train(counts: DataFrame, order: int = ORDER, share: int = SHARE) -> Trie:
-    """The trie of gathered counts in memory, without sequences that make up less than
-    ``1 / share`` of all symbols; none is left out of a text of up to ``share``."""
-    least = max(1, -(-_total(counts) // share))
+    """The trie of gathered counts in memory, which has every sequence. A text of more
+    than ``share`` symbols is an error: ``score_documents`` keeps its model in tables."""
+    total = _total(counts)
+    if total > share:
+        raise ValueError(f"{total} symbols are more than a model in memory may have")
     kept, totals = [], []
     for level in _levels(counts, order):
-        kept.append(_sorted_columns(level.filter(F.col("n") >= least), "gram", "n"))
-        contexts = level.groupBy(_context())
-        contexts = contexts.agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+        kept.append(_sorted_columns(level, "gram", "n"))
+        contexts = level.groupBy(_context()).agg(F.sum("n").alias("n"))
         totals.append(_sorted_columns(contexts, "context", "n"))
     return Trie(kept, totals)
 
