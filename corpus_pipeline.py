@@ -10,7 +10,8 @@ columns of the documents:
    one stays;
 4. documents with a benchmark passage go;
 5. what is left is tokenised and packed into sequences: a row for each piece, with its
-   token ids (little-endian, unsigned, 32 bits), its sequence and its place there.
+   token ids (little-endian, unsigned, 32 bits), its sequence and its place there. A
+   sequence has at most ``DOCUMENTS`` pieces, so that its attention mask stays small.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from scriptflow.llm import decontamination, exact, jaccard, packing, quality
 from scriptflow.sources.storage import stage
 
+#: Pieces of documents in a sequence. The attention cost needs no bound of its own: the
+#: squares of lengths that sum to 2,048 never sum to more than 2,048 squared.
+DOCUMENTS = 64
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -40,7 +45,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.tokenize(docs, packing.word_bpe()))
+    pieces = packing.tokenize(docs, packing.word_bpe())
+    return packing.pack(pieces, documents=DOCUMENTS)
 
 
 STAGES = [
