@@ -42,7 +42,7 @@ SHARE = 1 << 21
 #: Symbols of which a task counts the sequences at once, and different sequences or
 #: words that it holds before it hands on their counts.
 COUNT_SYMBOLS = 1_500_000
-COUNT_KEYS = 1_500_000
+COUNT_KEYS = 4_000_000
 END = 0xFF
 SYMBOLS = 256
 _BITS = 8
@@ -98,11 +98,11 @@ class Tally:
         if self.new:
             keys, n = np.unique(np.concatenate(self.new), return_counts=True)
             self.new.clear()
-            keys, n = np.concatenate([self.keys, keys]), np.concatenate([self.n, n])
-            order = np.argsort(keys, kind="stable")  # two sorted runs
-            keys, n = keys[order], n[order]
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            self.keys, self.n = keys[first], np.add.reduceat(n, first)
+            at, held = _places(self.keys, keys)
+            self.n[at[held]] += n[held]
+            keys, n = keys[~held], n[~held]
+            at = np.searchsorted(self.keys, keys)
+            self.keys, self.n = np.insert(self.keys, at, keys), np.insert(self.n, at, n)
 
     def batches(self, kind: int):
         self.merge()

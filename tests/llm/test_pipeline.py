@@ -1,9 +1,11 @@
 """The pipeline: each stage against a plain version of its decision."""
 
+import os
 import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
@@ -73,10 +75,37 @@ def test_packed(steps):
         sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
     for pieces in sequences.values():
         ends = np.cumsum([n for _, n in sorted(pieces)])
+        assert len(pieces) <= pipeline.DOCUMENTS
         assert ends[-1] <= 2048 and [o for o, _ in sorted(pieces)] == [0, *ends[:-1]]
     assert len(sequences) <= sum(r.length for r in rows) / 2048 * 1.05 + 1
 
 
+def test_packed_documents_are_bounded(spark):
+    docs = spark.createDataFrame([(k, "a") for k in range(300)], "doc_id bigint, text string")
+    sizes = pipeline.pack(spark, docs, SF_DIR).groupBy("sequence_id").count().collect()
+    assert sorted(r["count"] for r in sizes) == [300 - 4 * 64, 64, 64, 64, 64]
+
+
+def test_odd_rows_pass_all_stages(spark, tmp_path):
+    documents = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    odd = spark.createDataFrame(
+        [(-1, None), (-2, ""), (-3, "a"), (-3, "a"), (None, "b c"), (-5, "w " * 200_000)],
+        "doc_id bigint, text string",
+    )
+    extra = {"row": F.lit("x"), "node": F.lit(1), "digest": F.lit(None).cast("string")}
+    for rows, name in ((documents.unionByName(odd, True), "odd"), (documents.limit(0), "empty")):
+        rows.withColumns(extra).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for table in ("labels", "benchmark"):
+            os.symlink(f"{SF_DIR}/{table}.parquet", f"{tmp_path}/{name}/{table}.parquet")
+    rows = pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert sum(r.doc_id == -3 for r in rows) <= 1
+    places = {}
+    for r in rows:
+        places.setdefault((r.doc_id, r.piece), []).append(r)
+    assert all(len(found) == 1 for found in places.values())
+    assert pipeline.run(spark, f"{tmp_path}/empty").collect() == []
+
+
 def test_registered(spark, steps):
     result = entry.queries()["pipeline"](spark, SF_DIR)
     assert result.count() == steps[5].count()
