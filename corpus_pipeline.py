@@ -17,7 +17,7 @@ columns of the documents:
 from pyspark.sql import DataFrame, SparkSession
 
 from scriptflow.llm import decontamination, exact, jaccard, packing, quality
-from scriptflow.sources.storage import stage
+from scriptflow.sources.storage import release, stage
 
 #: Pieces of documents in a sequence. The attention cost needs no bound of its own: the
 #: squares of lengths that sum to 2,048 never sum to more than 2,048 squared.
@@ -63,7 +63,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs, read = _table(spark, sf_dir, "documents"), []
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), name)
+        release(*read)
+        read = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

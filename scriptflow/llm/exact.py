@@ -21,10 +21,11 @@ counted and the first by file and row is kept, so of every group exactly one row
 """
 
 from contextlib import contextmanager
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..sources.storage import file_system, fresh_dir, release, stage
+from ..sources.storage import exists, file_system, fresh_dir, release, stage
 from ..streaming.logs import file_stream
 
 _BLANK = r"[\x20\x09-\x0D]+"
@@ -216,11 +217,29 @@ def deduplicate(
     )
 
 
+def _folder(docs: DataFrame) -> str | None:
+    """The folder of Parquet files that ``docs`` is a plain read of, if it is one."""
+    files = docs.inputFiles()
+    folders = {f.rpartition("/")[0] for f in files}
+    if len(folders) != 1:
+        return None
+    (folder,) = folders
+    for path in (folder, unquote(urlsplit(folder).path)):
+        if not set(path) & set("*?[]{}\\") and exists(docs.sparkSession, path):
+            plain = docs.sparkSession.read.parquet(path)
+            if plain.sameSemantics(docs) and set(plain.inputFiles()) == set(files):
+                return path
+    return None
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with their columns."""
+    """The documents that stay, with their columns. Documents that do not lie in a folder
+    as they are get copied to one."""
     spark = docs.sparkSession
-    path = fresh_dir(spark, "exact_input")
-    docs.write.parquet(path)
+    path = _folder(docs)
+    if path is None:
+        path = fresh_dir(spark, "exact_input")
+        docs.write.option("compression", "zstd").parquet(path)
     return deduplicate(spark, path).filter("kept").select("document.*")
 
 

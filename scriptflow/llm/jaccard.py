@@ -470,6 +470,30 @@ def _units(
     return alone.unionByName(large.select("family", "node", "copies", "u.*")), [*staged, cut]
 
 
+def _groups(rows: DataFrame) -> DataFrame:
+    """``family, node, family_nodes``: the nodes with an equal signature. Near copies have
+    many signatures in common; groups of the same nodes are one."""
+    # One exchange of the signatures, of which most are of one node.
+    same = Window.partitionBy("signature")
+    return (
+        rows.select("node", F.explode("signatures").alias("signature"))
+        .select(
+            "node",
+            F.min("node").over(same).alias("low"),
+            F.max("node").over(same).alias("high"),
+            F.count("*").over(same).alias("family_nodes"),
+            F.try_sum(F.shiftright(F.xxhash64("node"), 20)).over(same).alias("members"),
+        )
+        .filter("low < high")
+        .select(
+            F.xxhash64("low", "high", "family_nodes", "members").alias("family"),
+            "node",
+            "family_nodes",
+        )
+        .distinct()
+    )
+
+
 def similar(
     docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, n: int = N
 ) -> DataFrame:
@@ -502,22 +526,7 @@ def similar(
         "jaccard_nodes",
     )
 
-    # One exchange of the signatures, of which most are of one node.
-    same = Window.partitionBy("signature")
-    groups = (
-        found_rows.select("node", F.explode("signatures").alias("signature"))
-        .select(
-            "signature",
-            "node",
-            F.min("node").over(same).alias("low"),
-            F.max("node").over(same).alias("high"),
-            F.count("*").over(same).alias("family_nodes"),
-        )
-        .filter("low < high")
-        .select(F.col("signature").alias("family"), "node", "family_nodes")
-        .distinct()
-    )
-    groups = stage(groups, "jaccard_groups")
+    groups = stage(_groups(found_rows), "jaccard_groups")
     release(found_rows)
     # Set sizes matter only where a group is cut.
     fits = F.col("family_nodes") <= GROUP_NODES

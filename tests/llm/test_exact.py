@@ -79,5 +79,24 @@ def test_one_row_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
 
 
+def test_documents_in_a_folder_are_not_copied(spark, tmp_path, monkeypatch):
+    made = []
+    real = exact.fresh_dir
+    monkeypatch.setattr(exact, "fresh_dir", lambda s, label: made.append(label) or real(s, label))
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(ROWS, SCHEMA).repartition(3).write.parquet(path)
+    docs = spark.read.parquet(path)
+    whole = sorted((r.doc_id for r in exact.keep_first(docs).collect()), key=str)
+    assert whole == sorted([r[0] for r in expected(ROWS) if r[3]], key=str)
+    assert made == ["exact_state"]
+    part = docs.filter("doc_id > 2")
+    some = [r for r in ROWS if r[0] is not None and r[0] > 2]
+    ids = sorted(r.doc_id for r in exact.keep_first(part).collect())
+    assert ids == sorted(r[0] for r in expected(some) if r[3])
+    few = exact.keep_first(docs.select("doc_id", "text"))
+    assert few.columns == ["doc_id", "text"] and few.count() == len(whole)
+    assert made.count("exact_input") == 2
+
+
 def test_empty_table(spark):
     assert exact.keep_first(spark.createDataFrame([], SCHEMA)).collect() == []

@@ -181,6 +181,17 @@ def test_shared_passage_makes_no_family(spark, monkeypatch):
     assert [r for r in got if r[2] != r[0]] == [(99, 297, 5, 1)]
 
 
+def test_groups_of_the_same_nodes_are_one(spark):
+    signatures = [(1, [5, 6, 7, 9]), (1, [5, 6, 7, 9]), (2, [5, 6, 7, 8]), (3, [8, 9]), (4, [4])]
+    df = spark.createDataFrame(signatures, "node long, signatures array<long>")
+    members = {}
+    for family, node, n in jaccard._groups(df).collect():
+        members.setdefault((family, n), []).append(node)
+    assert sorted((sorted(m), n) for (_, n), m in members.items()) == [
+        ([1, 2], 3), ([1, 3], 3), ([2, 3], 2)
+    ]
+
+
 def test_very_long_text(spark):
     words = [f"w{k * 7919 % 30011}" for k in range(60_000)]
     near = [w if k % 200 else "new" for k, w in enumerate(words)]
