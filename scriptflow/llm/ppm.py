@@ -8,17 +8,16 @@ bytes left are equally likely. Escapes are estimated as in method D: each of the
 different bytes of a context gives half an occurrence to the escape. A text ends with a symbol of its own, a byte that UTF-8 never has,
 so probabilities of all texts sum to one.
 
-Counts are gathered in one pass: each task counts the sequences of ``ORDER + 1``
-symbols in its texts, and Spark adds them up; shorter contexts are sums of these. Every
-counted sequence is in the model, which grows with the training text. A model of at
-most ``SHARE`` symbols is sent to the tasks as a whole. A larger one stays in tables:
-the tasks look up the sequences that make up ``1 / SHARE`` of all symbols, of which
-there are at most ``SHARE``; the other sequences of each text are joined with theirs,
-and those that were never seen go down from order to order. Both ways give the same.
-
-The base score is that of single words with one added to every count. Frequent words
-(again a share of all, so their number is bounded) are looked up in the tasks; the
-rest are joined with their counts.
+The model is in parts, by the three bytes before the last one of a sequence, so a part
+has all sequences of its contexts of three bytes and more, and Spark deals the parts to
+tasks. Shorter contexts are few, whatever the text, and every part gets them. Runs of
+rows ask each part for their different sequences of ``ORDER + 1`` symbols, with their
+counts in texts that are learned from; a part adds them up and tells each run the code
+lengths, in the order in which it was asked. A sequence crosses the network once for each
+run that has it, not for each text. Every counted sequence is in the model.
+
+The base score is that of single words with one added to every count; words are asked
+for and told in the same way.
 
 Words are told apart by 64 bits of hashes. Defined cases: a null or empty text is its
 end symbol only, a null id is not held out; every row of a repeated document counts
@@ -28,17 +27,22 @@ score is 0.
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..sources.storage import stage
 from . import words
-from .graphs import limited
 from .quality import remainder
 
 ORDER = 7
-#: A sequence of symbols or a word is frequent if it makes up this share of all.
+#: Symbols of a training text of which ``train`` keeps a model in memory.
 SHARE = 1 << 21
+#: Bytes of text of a run of rows, which is counted and scored at once; short sequences that
+#: are counted at once; parts of the model, at least, and bytes of text for each part beyond that.
+RUN_SYMBOLS = 14_000_000
+RUN_PENDING = 6_000_000
+PARTS = 24
+PART_BYTES = 1 << 23
 #: Symbols of which a task counts the sequences at once, and different sequences or
 #: words that it holds before it hands on their counts.
 COUNT_SYMBOLS = 1_500_000
@@ -343,226 +347,388 @@ def train(counts: DataFrame, order: int = ORDER, share: int = SHARE) -> Trie:
     return Trie(kept, totals)
 
 
-class Cache:
-    """The code lengths of the frequent sequences of a model in tables."""
+def _shorter(grams: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences of ``k + 1`` symbols and their counts, sorted, from those of longer ones."""
+    keys, back = np.unique(grams & np.uint64(_mask(k + 1)), return_inverse=True)
+    return keys, np.bincount(back, n, len(keys)).astype(np.int64)
 
-    def __init__(self, order: int, grams: np.ndarray, logs: np.ndarray):
-        self.order, self.table = order, Hashed(grams, logs)
 
-    def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self.table.find(grams)
-
-
-def _coded(batches):
-    """One order of the way down: asked sequences and what follows their context, to
-    what coding or escaping adds, and the symbols that the next order excludes."""
-    for batch in batches:
-        table = pa.table(batch)
-        n = table.num_rows
-        gram = table["gram"].to_numpy().view(np.uint64)
-        log = table["log"].to_numpy().copy()
-        row = lambda lists: np.repeat(
-            np.arange(n), pc.fill_null(pc.list_value_length(lists), 0)
-        )
-        seen, follow = (table[c].combine_chunks() for c in ("seen", "follow"))
-        out = np.zeros((n, SYMBOLS), bool)
-        out[row(seen), seen.flatten().to_numpy(zero_copy_only=False)] = True
-        count = np.zeros((n, SYMBOLS), np.int64)
-        entries = follow.flatten()
-        symbol, often = (entries.field(c).to_numpy(zero_copy_only=False) for c in ("symbol", "n"))
-        count[row(follow), symbol] = often
-        there = count.any(axis=1)
-        new = np.where(out, 0, count)
-        den = _log(2 * new.sum(axis=1))
-        own = new[np.arange(n), (gram & np.uint64(_mask(1))).astype(np.int64)]
-        log += np.where(own > 0, _log(2 * own - 1), _log((new > 0).sum(axis=1))) - den
-        again = count > 0
-        again[own > 0] = False
-        again[~there] = out[~there]
-        at = np.concatenate([[0], np.cumsum(again.sum(axis=1))])
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(gram.view(np.int64)),
-                pa.array(log),
-                pa.ListArray.from_arrays(
-                    pa.array(at, pa.int32()), pa.array(np.nonzero(again)[1].astype(np.int32))
-                ),
-                pa.array(own > 0),
-            ],
-            names=["gram", "log", "seen", "done"],
-        )
+def _below(grams: np.ndarray, n: np.ndarray, order: int, last: int) -> list:
+    """Sorted sequences and counts of the orders from ``last`` to ``order``, of which the
+    longest are given."""
+    out = [(grams, n)]
+    for k in range(order - 1, last - 1, -1):
+        out.insert(0, _shorter(*out[0], k))
+    return out
 
 
-def _unseen(asked: DataFrame, levels: list[DataFrame]) -> DataFrame:
-    """``gram, log`` for different sequences that the training text does not have."""
-    left = asked.select("gram", F.lit(0.0).alias("log"), F.array().cast("array<int>").alias("seen"))
-    found = []
-    for k in range(len(levels) - 1, -1, -1):
-        left = left.withColumn("context", _context(k))
-        symbol = F.col("gram").bitwiseAND(F.lit(_mask(1))).cast("int").alias("symbol")
-        follow = levels[k].select(_context(k), F.struct(symbol, "n").alias("next"))
-        if k < 3:
-            follow = follow.groupBy("context").agg(F.collect_list("next").alias("follow"))
-            follow = limited(follow, 32 + 16 * F.size("follow"))
-        else:
-            wanted = left.select("context").distinct()
-            follow = follow.join(wanted, "context", "left_semi")
-            follow = follow.groupBy("context").agg(F.collect_list("next").alias("follow"))
-        step = left.join(follow, "context", "left").select("gram", "log", "seen", "follow")
-        step = step.mapInArrow(_coded, "gram long, log double, seen array<int>, done boolean")
-        step = stage(step, "ppm_unseen")
-        found.append(step.filter("done").select("gram", "log"))
-        left = step.filter("not done").drop("done")
-    different = levels[0].count()
-    uniform = float(-np.log10(max(SYMBOLS - different, 1)))
-    found.append(left.select("gram", (F.col("log") + uniform).alias("log")))
-    for more in found[1:]:
-        found[0] = found[0].unionByName(more)
-    return found[0]
-
-
-_SCORED = (
-    "n_tokens long, known long, log_sum double, score double, rare array<long>, "
-    "asked array<struct<gram: long, times: long>>"
-)
+def _contexts(kept: list) -> list:
+    """The contexts of each order and their counts."""
+    out = []
+    for grams, n in kept:
+        keys, back = np.unique(grams >> np.uint64(_BITS), return_inverse=True)
+        out.append((keys, np.bincount(back, n, len(keys)).astype(np.int64)))
+    return out
 
 
-def _asked(grams: np.ndarray, at: np.ndarray) -> pa.Array:
-    """The different sequences of each text with their counts."""
-    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    order = np.lexsort((grams, text))
-    grams, text = grams[order], text[order]
-    new = np.ones(len(grams), bool)
-    new[1:] = (grams[1:] != grams[:-1]) | (text[1:] != text[:-1])
-    first = np.flatnonzero(new)
-    times = np.diff(np.concatenate([first, [len(grams)]]))
-    return pa.ListArray.from_arrays(
-        pa.array(np.searchsorted(text[first], np.arange(len(at))), pa.int32()),
-        pa.StructArray.from_arrays(
-            [pa.array(grams[first].view(np.int64)), pa.array(times)], names=["gram", "times"]
-        ),
-    )
+def _few(order: int):
+    def few(batches):
+        """``key, n`` of the sequences of few symbols, counted in a table of all of them."""
+        size = 1 << _BITS * (order + 1)
+        total, new, held = np.zeros(size, np.int64), [], 0
+        for batch in batches:
+            for _, _, data, offsets in words.blocks(batch.column(0)):
+                new.append(sequences(data, offsets, order).astype(np.uint32))
+                held += len(new[-1])
+                if held >= RUN_PENDING:
+                    total += np.bincount(np.concatenate(new), minlength=size)
+                    new, held = [], 0
+        if new:
+            total += np.bincount(np.concatenate(new), minlength=size)
+        keys = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(total[keys])], names=["key", "n"])
 
+    return few
 
-def _scored(kind, model, frequent):
-    def score(batches):
-        codes = kind.__new__(kind)
-        codes.__dict__.update(model.value)
-        table = Hashed.__new__(Hashed)
-        table.__dict__.update(codes.table)
-        codes.table = table
-        common = Hashed.__new__(Hashed)
-        common.__dict__.update(frequent.value)
-        for batch in batches:
-            for first, last, data, offsets in words.blocks(batch.column(batch.num_columns - 1)):
-                tokens, at = _tokens(data, offsets)
-                logs, known = common.find(tokens)
-                rare_at = np.concatenate([[0], np.cumsum(~known)])[at]
-                rare = pa.ListArray.from_arrays(
-                    pa.array(rare_at, pa.int32()), pa.array(tokens[~known].view(np.int64))
-                )
-                grams = sequences(data, offsets, codes.order)
-                starts = offsets + np.arange(len(offsets))
-                lengths, there = codes.find(grams)
-                unknown_at = np.concatenate([[0], np.cumsum(~there)])[starts]
+
+def _turned(grams: np.ndarray) -> np.ndarray:
+    """Sequences with the symbol next to the last one in front, and the last one lowest: sorted,
+    contexts with the same end lie together, and so do those that share the table of a task."""
+    return (grams >> np.uint64(_BITS)).byteswap() | (grams & np.uint64(_mask(1)))
+
+
+def _turned_back(turned: np.ndarray) -> np.ndarray:
+    last = turned & np.uint64(_mask(1))
+    return (turned ^ last).byteswap() << np.uint64(_BITS) | last
+
+
+def _part(kind: int, keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the model that has a sequence, by the three symbols before the last one,
+    or a word; parts of words come behind those of sequences."""
+    spread = words.mixed(keys >> np.uint64(64 - 3 * _BITS) if kind == _GRAM else keys)
+    return ((spread >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64) + kind * parts
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers of one size, byte by byte, as neighbours are alike in most bytes."""
+    planes = values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    return pa.Codec("zstd", 1).compress(planes, asbytes=True)
+
+
+def _unpacked(packed, n: int, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    planes = pa.Codec("zstd", 1).decompress(packed.as_buffer(), n * size, asbytes=True)
+    planes = np.frombuffer(planes, np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
+
+
+def _symbols(text, order: int):
+    """For blocks of texts their first row and the row after the last, and of their sequences
+    of symbols, turned, and of their words where texts begin in that list."""
+    for first, last, data, offsets in words.blocks(text):
+        starts = offsets + np.arange(len(offsets))
+        yield first, last, [(_turned(sequences(data, offsets, order)), starts), _tokens(data, offsets)]
+
+
+def _sorted_by_part(kind: int, keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part of each key in ascending order, and the place of that key."""
+    part = _part(kind, keys, parts)
+    small = part.astype(np.uint16) if 2 * parts <= 1 << 16 else part  # sorted by digits
+    order = np.argsort(small, kind="stable")
+    return part[order], order
+
+
+class _Bag:
+    """Values of a run, put into one array, which is sorted where it lies."""
+
+    def __init__(self, table: pa.Table):
+        # No run has more sequences or words than bytes and texts.
+        self.values = np.empty(table["text"].nbytes + table.num_rows, np.uint64)
+        self.n = 0
+
+    def add(self, values: np.ndarray) -> None:
+        self.values[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+    def tallied(self) -> tuple[np.ndarray, np.ndarray]:
+        """The different values, sorted, and how often each is there."""
+        values = self.values[: self.n]
+        values.sort()
+        first = np.flatnonzero(np.append(True, values[1:] != values[:-1])[: self.n])
+        return values[first], np.diff(np.append(first, self.n))
+
+
+_ASKED = "file string, run long, first long, part long, size long, keys binary, counts binary"
+_TOLD = (
+    "file string, run long, first long, part long, size long, counts binary, totals binary, "
+    "unseen binary, distinct long, learned long"
+)
+
+
+def _asked(order: int, parts: int):
+    def asked(batches):
+        """For each run of rows and each part of the model: the different sequences or words
+        that the run asks for, with their counts in texts that are learned from."""
+
+        def rows(chunks):
+            table = pa.Table.from_batches(chunks)
+            held = table["held_out"].to_numpy()
+            learned, others = [_Bag(table) for _ in range(2)], [_Bag(table) for _ in range(2)]
+            for x, y, found in _symbols(table["text"], order):
+                for kind, (values, at) in enumerate(found):
+                    of = np.repeat(held[x:y], np.diff(at))
+                    learned[kind].add(values[~of])
+                    others[kind].add(values[of])
+            for kind in (_GRAM, _WORD):
+                keys, n = learned[kind].tallied()
+                also, _ = others[kind].tallied()
+                learned[kind] = others[kind] = None
+                also = also[~_places(keys, also)[1]]
+                at = np.searchsorted(keys, also)
+                keys, n = np.insert(keys, at, also), np.insert(n, at, 0)
+                part, by_part = _sorted_by_part(kind, keys, parts)
+                keys, n = keys[by_part], n[by_part]
+                cuts = np.flatnonzero(np.diff(part, prepend=-1))
+                ends = np.append(cuts[1:], len(keys))
+                some = len(cuts)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *[c.slice(first, last - first) for c in batch.columns[:-1]],
-                        pa.array(np.diff(at)),
-                        pa.array(np.add.reduceat(known.astype(np.int64), at[:-1])),
-                        pa.array(np.add.reduceat(logs, at[:-1])),
-                        pa.array(np.add.reduceat(lengths, starts[:-1])),
-                        rare,
-                        _asked(grams[~there], unknown_at),
-                    ],
-                    names=[
-                        "doc_id", "held_out", "n_tokens", "known", "log_sum", "score", "rare", "asked"
+                        pa.array([table["file"][0].as_py()] * some, pa.string()),
+                        *[pa.array([table[c][0].as_py()] * some, pa.int64()) for c in ("run", "row")],
+                        pa.array(part[cuts]),
+                        pa.array(ends - cuts),
+                        pa.array([_packed(keys[x:y]) for x, y in zip(cuts, ends)], pa.binary()),
+                        pa.array([_packed(n[x:y]) for x, y in zip(cuts, ends)], pa.binary()),
                     ],
+                    names=["file", "run", "first", "part", "size", "keys", "counts"],
                 )
 
-    return score
+        # A task may have pieces of a file that do not follow one another: what is asked for
+        # at once lies in one of them.
+        where = ["file", "block", "run"]
+        now, held = None, []
+        for batch in batches:
+            change = np.zeros(batch.num_rows, bool)
+            for c in where:
+                code = batch.column(c).dictionary_encode().indices.to_numpy()
+                change |= np.diff(code, prepend=code[:1]) != 0
+            cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+            for x, y in zip(cuts[:-1], cuts[1:]):
+                if x == y:
+                    continue
+                name = [batch.column(c)[x].as_py() for c in where]
+                if name != now and held:
+                    yield from rows(held)
+                    held = []
+                now = name
+                held.append(batch.slice(x, y - x))
+        if held:
+            yield from rows(held)
+
+    return asked
+
+
+def _told(order: int, parts: int, low):
+    def told(table: pa.Table) -> pa.Table:
+        """What a part of the model answers to each run: the counts of its sequences and their
+        contexts, and the code lengths of those that were never seen; or the counts of words."""
+        sizes = table["size"].to_numpy()
+        many = [
+            np.concatenate([_unpacked(x, n, kind) for x, n in zip(table[c], sizes.tolist())])
+            for c, kind in (("keys", np.uint64), ("counts", np.int64))
+        ]
+        keys, back = np.unique(many[0], return_inverse=True)
+        n = np.bincount(back, many[1], len(keys)).astype(np.int64)
+        total, unseen, counts = n, np.zeros(len(n)), [0, 0]
+        if table["part"][0].as_py() >= parts:
+            counts = [int((n > 0).sum()), int(n.sum())]
+        elif len(keys):
+            context = keys >> np.uint64(_BITS)
+            start = np.flatnonzero(np.diff(context, prepend=~context[:1]))
+            total = np.repeat(np.add.reduceat(n, start), np.diff(np.append(start, len(keys))))
+            left = np.flatnonzero(n == 0)
+            if len(left):
+                grams = _turned_back(keys)
+                by_gram = np.argsort(grams)
+                by_gram = by_gram[n[by_gram] > 0]
+                kept = list(low.value)
+                if order >= len(kept):
+                    kept += _below(grams[by_gram], n[by_gram], order, len(kept))
+                unseen[left] = Trie(kept, _contexts(kept)).log_probability(grams[left])
+        ends = np.cumsum(sizes)
+        found = [[], [], []]
+        for first, last in zip(ends - sizes, ends):
+            own = back[first:last]
+            found[0].append(_packed(n[own]))
+            found[1].append(_packed(total[own]))
+            found[2].append(_packed(unseen[own[n[own] == 0]]))
+        first = np.arange(len(sizes)) == 0
+        return pa.table(
+            {
+                **{c: table[c] for c in ("file", "run", "first", "part", "size")},
+                **{
+                    c: pa.array(x, pa.binary())
+                    for c, x in zip(("counts", "totals", "unseen"), found)
+                },
+                "distinct": pa.array(first * counts[0]),
+                "learned": pa.array(first * counts[1]),
+            }
+        )
+
+    return told
+
+
+def _places_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values, sorted, and the place of each value among them."""
+    order = np.argsort(values)
+    keys = values[order]
+    new = np.diff(keys, prepend=~keys[:1]) != 0
+    places = np.empty(len(values), np.int32 if len(values) < 1 << 31 else np.int64)
+    places[order] = np.cumsum(new, dtype=places.dtype) - 1
+    return keys[new], places
+
+
+def _lengths(kind: int, size, counts, totals, unseen) -> np.ndarray:
+    """The code lengths of sequences, or the logarithms of counts of words, from an answer."""
+    n = _unpacked(counts, size.as_py(), np.int64)
+    if kind == _WORD:
+        return np.log10(n + 1.0)
+    out = np.log10(np.maximum(2 * n - 1, 1)) - _log(2 * _unpacked(totals, len(n), np.int64))
+    new = n == 0
+    out[new] = _unpacked(unseen, int(new.sum()), np.float64)
+    return out
+
+
+def _scored(order: int, parts: int):
+    def scored(docs: pa.Table, told: pa.Table) -> pa.Table:
+        """The scores of the texts of a run, from what the parts of the model have told it."""
+        docs = docs.sort_by("row")
+        told = told.sort_by([("first", "ascending"), ("part", "ascending")])
+        firsts = told["first"].to_numpy()
+        cuts = np.searchsorted(docs["row"].to_numpy(), np.unique(firsts))
+        ends = np.append(cuts[1:], docs.num_rows)
+        out = [[], [], [], []]
+        for first, x, y in zip(np.unique(firsts), cuts, ends):
+            mine = np.flatnonzero(firsts == first)
+            of = told["part"].to_numpy()[mine]
+            text = docs["text"].slice(x, y - x)
+            # Each block's different values and where they are; then the code lengths of all.
+            blocks = [
+                [(*_places_of(values), at) for values, at in found]
+                for *_, found in _symbols(text, order)
+            ]
+            for kind in (_GRAM, _WORD):
+                keys = np.sort(np.concatenate([b[kind][0] for b in blocks]))
+                keys = keys[np.diff(keys, prepend=~keys[:1]) != 0]
+                answers = [
+                    _lengths(kind, *(told[c][k] for c in ("size", "counts", "totals", "unseen")))
+                    for k in mine[(of >= parts) == (kind == _WORD)].tolist()
+                ]
+                answers = np.concatenate([np.zeros(0), *answers])
+                if len(answers) != len(keys):
+                    raise ValueError(f"the rows of {docs['file'][0]} have changed meanwhile")
+                lengths = np.empty(len(answers))
+                lengths[_sorted_by_part(kind, keys, parts)[1]] = answers
+                for block in blocks:
+                    own, places, at = block[kind]
+                    logs = lengths[np.searchsorted(keys, own)][places]
+                    sums = np.add.reduceat(logs, at[:-1])
+                    if kind == _GRAM:
+                        out[0].append(sums)
+                    else:
+                        out[1].append(np.diff(at))
+                        out[2].append(np.add.reduceat((logs > 0).astype(np.int64), at[:-1]))
+                        out[3].append(sums)
+                    block[kind] = None
+        score, n_tokens, n_known, log_sum = (np.concatenate(c) for c in out)
+        alone = (np.arange(docs.num_rows) == 0).astype(np.int64)
+        return pa.table(
+            {
+                "doc_id": docs["doc_id"],
+                "held_out": docs["held_out"],
+                "n_tokens": pa.array(n_tokens),
+                "n_known": pa.array(n_known),
+                "log_sum": pa.array(log_sum),
+                "score": pa.array(score),
+                "distinct": pa.array(alone * told["distinct"].to_numpy().sum()),
+                "learned": pa.array(alone * told["learned"].to_numpy().sum()),
+            }
+        )
 
+    return scored
 
-def _plain(x) -> dict:
-    """The arrays of an object, which need no code of this package to be read."""
-    return {k: v.__dict__ if isinstance(v, Hashed) else v for k, v in x.__dict__.items()}
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Documents with the file, the piece of it and the row at which they lie."""
+    places = {"file": "file_path", "block": "file_block_start", "row": "row_index"}
+    where = [F.col(f"_metadata.{c}").alias(name) for name, c in places.items()]
+    try:
+        return docs.select("*", *where)
+    except AnalysisException:
+        return stage(docs, "ppm_documents").select("*", *where)
 
 
 def score_documents(
-    docs: DataFrame, held_out_of: int = 7, held_out: int = 2, order: int = ORDER, share: int = SHARE
+    docs: DataFrame,
+    held_out_of: int = 7,
+    held_out: int = 2,
+    order: int = ORDER,
+    share: int = RUN_SYMBOLS,
 ) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of
-    every document, with a model of those that are not held out."""
+    every document, with a model of those that are not held out. A run of rows has about
+    ``share`` bytes of text."""
     context = docs.sparkSession.sparkContext
-    docs = docs.select(
-        "doc_id",
-        F.coalesce(remainder(F.col("doc_id"), held_out_of) == held_out, F.lit(False)).alias(
-            "held_out"
-        ),
-        F.col("text").cast("string").alias("text"),
+    docs = _numbered(
+        docs.select(
+            "doc_id",
+            F.coalesce(remainder(F.col("doc_id"), held_out_of) == held_out, F.lit(False)).alias(
+                "held_out"
+            ),
+            F.col("text").cast("string").alias("text"),
+        )
     )
-    counts = gather(docs.filter("not held_out"), order)
-    total = _total(counts)
-    whole = total <= share
-    if whole:
-        codes = train(counts, order, share)
-    else:
-        levels = _levels(counts, order)
-        # At most 256 rows of a context.
-        all_ = F.sum("n").over(Window.partitionBy(_context()))
-        learned = stage(
-            levels[-1].select("gram", "n", all_.alias("total")), "ppm_learned"
-        ).select("gram", "n", (F.log10(2 * F.col("n") - 1) - F.log10(2 * F.col("total"))).alias("log"))
-        cached = F.col("n") >= -(-total // share)
-        codes = Cache(order, *_sorted_columns(learned.filter(cached), "gram", "log"))
-    model = context.broadcast(_plain(codes))
-
-    vocabulary = counts.filter(F.col("kind") == _WORD)
-    n, v = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least = max(1, -(-n // share))
-    keys, often = _sorted_columns(vocabulary.filter(F.col("n") >= least), "key", "n")
-    frequent = context.broadcast(Hashed(keys, np.log10(often + 1.0)).__dict__)
-
+    n_rows, n_bytes = docs.agg(
+        F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))
+    ).first()
+    rows = max(1, share * n_rows // max(n_bytes, 1))
+    parts = max(PARTS, n_bytes // PART_BYTES)
+    docs = docs.withColumn("run", F.floor(F.col("row") / rows).cast("long"))
+
+    last = min(order, 2)
+    # The shortest contexts are few, whatever the text, and every task needs them.
+    few = docs.filter("not held_out").select("text").mapInArrow(_few(last), "key long, n long")
+    few = _sorted_columns(few.groupBy("key").agg(F.sum("n").alias("n")), "key", "n")
+    low = context.broadcast(_below(*few, last, 0))
+
+    asked = docs.mapInArrow(_asked(order, parts), _ASKED)
+    told = asked.groupBy("part").applyInArrow(_told(order, parts, low), _TOLD)
     schema = T.StructType(
-        [*docs.schema.fields[:2], *T._parse_datatype_string(_SCORED).fields]
-    )
-    rows = stage(
-        docs.mapInArrow(_scored(type(codes), model, frequent), schema).withColumn(
-            "row", F.monotonically_increasing_id()
-        ),
-        "ppm_scored",
+        [
+            *docs.schema.fields[:2],
+            *T._parse_datatype_string(
+                "n_tokens long, n_known long, log_sum double, score double, distinct long, learned long"
+            ).fields,
+        ]
     )
-    seldom = vocabulary.filter(F.col("n") < least).select(F.col("key").alias("word"), "n")
-    rest = (
-        rows.select("row", F.explode("rare").alias("word"))
-        .join(seldom, "word")
-        .groupBy("row")
-        .agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("more_log"))
+    scored = (
+        docs.drop("block")
+        .groupBy("file", "run")
+        .cogroup(told.groupBy("file", "run"))
+        .applyInArrow(_scored(order, parts), schema)
     )
-    if not whole:
-        seldom = learned.filter(~cached).select("gram", "log")
-        asked = rows.select("row", "held_out", F.inline("asked"))
-        unseen = asked.filter("held_out").select("gram").distinct()
-        unseen = stage(unseen.join(seldom, "gram", "left_anti"), "ppm_asked")
-        seldom = seldom.unionByName(_unseen(unseen, levels))
-        added = (
-            asked.join(seldom, "gram")
-            .groupBy("row")
-            .agg(F.sum(F.col("times") * F.col("log")).alias("added"))
-        )
-        rows = rows.join(added, "row", "left").withColumn(
-            "score", F.col("score") + F.coalesce("added", F.lit(0.0))
-        )
+    scored = stage(scored, "ppm_scored")
+    v, n = scored.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)) for c in ("distinct", "learned")]
+    ).first()
     per_token = float(np.log10(n + v + 1.0))
-    return rows.drop("rare", "asked").join(rest, "row", "left").select(
+    return scored.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
+        "n_known",
         F.lit(n).cast("bigint").alias("train_tokens"),
-        (
-            F.col("log_sum") + F.coalesce("more_log", F.lit(0.0)) - F.col("n_tokens") * per_token
-        ).alias("base_score"),
+        (F.col("log_sum") - F.col("n_tokens") * per_token).alias("base_score"),
         "score",
     )
 

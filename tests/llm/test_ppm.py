@@ -164,3 +164,43 @@ def test_seven_bytes_of_context(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     score = {r.doc_id: r.score for r in ppm.score_documents(df).collect()}
     assert ppm.ORDER == 7 and score[held[0]] > score[held[1]] + 1
+
+
+def test_cut_files_and_runs_give_the_same(spark, tmp_path, monkeypatch):
+    """Runs that are cut by pieces of files; nothing is staged that grows with the model."""
+    rows = [(k, t) for k, t in enumerate([*TEXTS, "zq", "the catz", "tea é", None, "No W" * 3] * 40)]
+    path = str(tmp_path / "docs")
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    df.coalesce(2).write.option("parquet.block.size", 256).option(
+        "parquet.block.size.row.check.min", 10
+    ).parquet(path)
+    staged = []
+    real = ppm.stage
+    monkeypatch.setattr(ppm, "stage", lambda d, label: staged.append((label, d.columns)) or real(d, label))
+    held = lambda k: zlib.crc32(str(k).encode()) % 7 == 2
+    counts = counted([t or "" for k, t in rows if not held(k)], 3)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = ppm.score_documents(spark.read.parquet(path), order=3, share=500).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(got) == len(rows)
+    for r in got:
+        symbols = [ppm.END] * 3 + list((rows[r.doc_id][1] or "").encode()) + [ppm.END]
+        steps = [plain(counts, symbols[at - 3 : at], symbols[at]) for at in range(3, len(symbols))]
+        assert r.score == pytest.approx(sum(map(math.log10, steps)), abs=1e-9)
+    assert [label for label, _ in staged] == ["ppm_scored"]
+    assert not {"rare", "asked"} & set(staged[0][1])
+
+
+def test_turned_and_packed():
+    grams = np.random.default_rng(2).integers(0, 2**64, 1000, dtype=np.uint64)
+    assert (ppm._turned_back(ppm._turned(grams)) == grams).all()
+    same = grams & np.uint64(0xFFFFFF00)  # parts by the three symbols before the last one
+    first = {}
+    for turned, key in zip(ppm._part(0, ppm._turned(grams), 50).tolist(), same.tolist()):
+        assert first.setdefault(key, turned) == turned < 50
+    (packed,) = pa.array([ppm._packed(grams)], pa.binary())
+    assert (ppm._unpacked(packed, 1000, np.uint64) == grams).all()
